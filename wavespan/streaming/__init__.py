@@ -1,0 +1 @@
+"""Kept empty on purpose: every operator here is a batch operator, as no unbounded source exists."""
