@@ -55,3 +55,11 @@ def fold(doc_id: Column, mod: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for a row however often the body reads it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases now, not when the driver happens to collect garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
