@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import langid, linededup, packing, quality, toxicity
+from . import langid, linededup, ngramjoin, packing, quality, suffixdedup, toxicity
 from .common import table
 
 #: Vocabulary file of the packing query.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {
+    "op3_suffix_dedup": lambda spark, d: suffixdedup.suffix_dedup(table(spark, d, "documents")),
     "op5_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_line_dedup": lambda spark, d: linededup.report(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: langid.language_id(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), WORD_BPE),
+    "op9_ngram_join": lambda spark, d: ngramjoin.ngram_join(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
 }
 SQL = {"op6_line_dedup": linededup.SQL, "op10_quality_rules": quality.SQL}
