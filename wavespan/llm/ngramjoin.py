@@ -69,19 +69,24 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of each text."""
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (A-Z lower-cased), and the index of its text."""
     a = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     if not len(a):
-        return [np.zeros(0, _U) for _ in texts]
+        return np.zeros(0, _U), np.zeros(0, np.int64)
     a = _LOWER[a]
     sep = _SEPARATOR[a]
     sums = np.concatenate([[_U(0)], np.cumsum(_BYTES[a] * _power("r", _R, len(a)), dtype=_U)])
     edge = np.flatnonzero(np.diff(np.concatenate([[True], sep, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     w = _mix((sums[end] - sums[start]) * _power("i", _INV, len(a))[start] + (end - start).astype(_U) * _U(0x8CB92BA72F3D8DD7))
-    doc = np.searchsorted(ends, start, side="right")
+    return w, np.searchsorted(ends, start, side="right")
+
+
+def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text."""
+    w, doc = hashed_words(texts)
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
     s = _join_words(w, width)
     out = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, ngramjoin, packing, quality, suffixdedup, toxicity
+from . import ann, langid, linededup, maxent, ngramjoin, packing, quality, suffixdedup, toxicity
 from .common import table
 
 #: Vocabulary file of the packing query.
@@ -14,6 +14,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 QUERIES = {
     "op1_additive_ann": lambda spark, d: ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0),
     "op3_suffix_dedup": lambda spark, d: suffixdedup.suffix_dedup(table(spark, d, "documents")),
+    "op4_maxent_lm": lambda spark, d: maxent.lm_scores(table(spark, d, "documents")),
     "op5_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_line_dedup": lambda spark, d: linededup.report(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: langid.language_id(table(spark, d, "documents")),
