@@ -15,6 +15,7 @@ Defined cases
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ CAPACITY = 4096
 WINDOWS = 16
 GROUP = 16
 END_ID = 2
-#: Words whose ids a worker remembers; the table starts anew when it is full, which changes no result.
-REMEMBERED = 400_000
+#: Space-separated parts whose ids a worker remembers; the table starts anew when it is full, which changes no result.
+REMEMBERED = 600_000
+#: Marks that may follow a word; a run of them is a token group of its own.
+MARKS = ".,;:!?#$%&*|<>()[]{}+-=~^@/\"\\_"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open int, ids binary"
 #: Sequences of one partition or group are numbered below this.
@@ -37,25 +40,76 @@ ROOM = 1 << 24
 
 
 class Encoder:
-    """Ids of whole texts. White space always ends a token here, so ids are those of the space-separated parts."""
+    """Ids of whole texts. White space always ends a token here, so ids are those of the space-separated parts.
+
+    Parts that are letters of the Latin blocks, with or without marks after them, are most of all parts. The
+    tokenizer's own model gets these directly, lower-cased and as byte symbols; its normalizer and splitter would
+    leave such words alone. All other parts go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        symbol = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.symbols = {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+        self.cores: dict[str, bytes] = {}
+        self.marks = {"": b""}
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(parts), 5_000):
+            out += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(parts[k : k + 5_000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, parts: list[str]) -> None:
+        plain, cores, marks, other = [], [], [], []
+        for w in parts:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+                plain.append(w)
+                cores.append(core.lower())
+                marks.append(w[len(core) :])
+            else:
+                other.append(w)
+        new = list(set(marks).difference(self.marks))
+        self.marks.update(zip(new, self._whole(new), strict=True))
+        words = list(set(cores).difference(self.cores))
+        for k in range(0, len(words), 20_000):
+            run = words[k : k + 20_000]
+            text = " ".join(run)
+            if not text.isascii():
+                text = text.translate(self.symbols)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            cut = [0, *(4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()]
+            if len(cut) != len(run) + 1:
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw = ids.tobytes()
+            self.cores.update(zip(run, [raw[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        c, m = self.cores, self.marks
+        self.known.update(zip(plain, [c[x] + m[y] for x, y in zip(cores, marks, strict=True)], strict=True))
+        self.known.update(zip(other, self._whole(other), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for p in parts for w in p})
-        for k in range(0, len(new), 50_000):
-            run = new[k : k + 50_000]
-            for w, e in zip(run, self.tokenizer.encode_batch(run, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in p]), np.uint32) for p in parts]
+        new = set().union(*parts).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.cores = {}, {}
+            new = set().union(*parts)
+        self._learn(list(new))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.uint32) for p in parts]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, kept from task to task."""
+    return Encoder(path)
 
 
 class Packer:
@@ -139,7 +193,7 @@ class _Rows:
 
 def _pack_documents(path: str, capacity: int, windows: int, keep_ids: bool):
     def run(batches):
-        encode = Encoder(path)
+        encode = encoder(path)
         out = _Rows(TaskContext.get().partitionId() * ROOM, keep_ids)
         packer = Packer(out.add, capacity, windows)
         for b in batches:
