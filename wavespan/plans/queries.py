@@ -10,6 +10,7 @@ from ..fixtures import HOP, RADIUS, SEED, SEGMENT, TARGET, sql
 from ..functions import arrays, rng
 from ..operators import augment, chunks, evaluate, manifest, split, windows
 from ..sources import audio
+from . import dataset
 
 QUERIES = {}
 SQL = {}
@@ -697,3 +698,33 @@ def score_fn(spark, d):
 @query("augment_fn")
 def augment_fn(spark, d):
     return augment.augment(long_signals(spark, d), fx.noise(spark, d), 2, SEED, 44100.0, "user_id", augment_fn=lambda x, p, noise, pick, rate: [x * p["wet"]])
+
+
+def _cut(spark, d):
+    s = long_signals(spark, d)
+    return s.select(F.col("user_id").alias("source_idx"), F.floor(F.col("user_id") / 2).alias("group_idx"), "x")
+
+
+@query("encode_pairs")
+def encode_pairs(spark, d):
+    s = long_signals(spark, d)
+    v = augment.augment(s, fx.noise(spark, d), 2, SEED, 44100.0, "user_id")
+    return dataset.encode_pairs(s, v, "spectrum", [0.0] * 17, [1.0] * 17, "user_id")
+
+
+@query("encoder_fn")
+def encoder_fn(spark, d):
+    return dataset.latent_stats(long_signals(spark, d), lambda x: x[None, :])
+
+
+@query("precompute_dataset")
+def precompute_dataset(spark, d):
+    return dataset.precompute(_cut(spark, d), fx.noise(spark, d), 32, 8, 2, SEED, TARGET, 44100.0)
+
+
+@query("validate_dataset", "SELECT unnest(['incomplete', 'unexpected', 'missing', 'not_finite']) AS rule, 0::BIGINT AS bad")
+def validate_dataset(spark, d):
+    pairs = precompute_dataset(spark, d)
+    rows = split.ranked(dataset.cut_windows(_cut(spark, d), 32, 8), SEED, "source_idx", "local_idx")
+    kept = split.split_windows(rows, "group_idx", windows.overlap_radius(32, 8), TARGET).where("split <> 'discard'")
+    return dataset.validate(pairs, kept.select("global_idx"), 2)
