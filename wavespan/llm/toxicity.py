@@ -24,11 +24,11 @@ from .chars import MULTIPLIER, blocks, code_points, letter_table
 from .common import fold
 
 #: Labelled rows of each class that training reads at most.
-SAMPLE = 6000
+SAMPLE = 3000
 BITS = 20
 SIZES = (3, 4, 5, 6)
 #: Features kept, by |r| weighted with support; documents a feature needs.
-FEATURES = 30000
+FEATURES = 8000
 SUPPORT = 4
 THRESHOLD = 0.7
 L2 = 1e-3
@@ -90,7 +90,7 @@ def _take(keep):
 
 def _fit(y: np.ndarray, doc: np.ndarray, feat: np.ndarray, r: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights of presence (r included) and intercept, by accelerated full gradients."""
-    n, x = len(y), r[feat]
+    n, x = len(y), r[feat].astype(np.float32)
     w, b = np.zeros(len(r)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     vw, vb = w.copy(), b
     scale = np.bincount(doc, x * x, minlength=n)
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.mapInArrow(_take(spark.sparkContext.broadcast(keep)), "y int, f binary").toPandas()
     feats = [np.frombuffer(x, np.int32) for x in got["f"]]
     y = got["y"].to_numpy(float)
-    weight, intercept = _fit(y, np.repeat(np.arange(len(y)), [len(x) for x in feats]), np.concatenate([*feats, np.zeros(0, np.int32)]), chosen["r"].to_numpy(float))
+    weight, intercept = _fit(y, np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in feats]), np.concatenate([*feats, np.zeros(0, np.int32)]), chosen["r"].to_numpy(float))
     shift = np.log(total[1] / total[0]) - np.log(n[1] / n[0])
     return Model(keep, weight, float(intercept + shift))
 
