@@ -5,14 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, maxent, ngramjoin, packing, quality, suffixdedup, toxicity
+from . import ann, langid, linededup, maxent, ngramjoin, packing, pieces, quality, suffixdedup, toxicity
 from .common import table
 
-#: Vocabulary file of the packing query.
+#: Vocabulary files of the packing query and of the pieces query.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {
     "op1_additive_ann": lambda spark, d: ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0),
+    "op2_sentencepiece": lambda spark, d: pieces.encode(table(spark, d, "documents"), PIECES),
     "op3_suffix_dedup": lambda spark, d: suffixdedup.suffix_dedup(table(spark, d, "documents")),
     "op4_maxent_lm": lambda spark, d: maxent.lm_scores(table(spark, d, "documents")),
     "op5_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
