@@ -29,15 +29,15 @@ def overlap_add(chunks: DataFrame, chunk: int, overlap: int, key: str, normalize
     where what remains of a chunk ends, so weights may add up to less than 1 near the end; normalize divides by them.
     """
     rise = lambda k: 0.5 * (1 - F.cos(2 * np.pi * k / (2 * overlap)))
-    rows = chunks.select(key, "n", "chunk_idx", "start", F.posexplode("x").alias("k", "v")).withColumn("pos", F.col("start") + F.col("k")).where("pos < n")
+    rows = chunks.select(key, "n", "chunk_idx", "start", F.posexplode("x").alias("_i", "_v")).withColumn("pos", F.col("start") + F.col("_i")).where("pos < n")
     here = F.least(F.lit(chunk), F.col("n") - F.col("start"))
     final = F.col("start") + chunk >= F.col("n")
     w = F.lit(1.0)
     if overlap:
-        w = F.when((F.col("chunk_idx") > 0) & (F.col("k") < overlap), rise(F.col("k"))).otherwise(1.0)
-        tail = F.col("k") - (here - overlap)
+        w = F.when((F.col("chunk_idx") > 0) & (F.col("_i") < overlap), rise(F.col("_i"))).otherwise(1.0)
+        tail = F.col("_i") - (here - overlap)
         w = w * F.when(~final & (tail >= 0), 1 - rise(tail)).otherwise(1.0)
-    g = rows.withColumn("w", w).groupBy(key, "pos").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"))
+    g = rows.withColumn("_w", w).groupBy(key, "pos").agg(F.sum(F.col("_w") * F.col("_v")).alias("s"), F.sum("_w").alias("w"))
     return g.select(key, "pos", (F.when(F.col("w") > 1e-12, F.col("s") / F.col("w")).otherwise(F.col("s")) if normalize else F.col("s")).alias("v"))
 
 
