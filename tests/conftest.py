@@ -4,9 +4,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 os.environ.setdefault("PYTHONPATH", sys.path[0])
-DATA = "/root/testdata/sf0.001"
+from helpers import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -30,14 +31,3 @@ def duck():
     for p in glob.glob(f"{DATA}/*.parquet"):
         c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     return c
-
-
-def same(a, b):
-    """Two pandas tables hold the same rows in any order."""
-    assert sorted(a.columns) == sorted(b.columns)
-    cols = sorted(a.columns)
-    a, b = (x[cols].sort_values(cols, ignore_index=True) for x in (a, b))
-    assert len(a) == len(b)
-    for c in cols:
-        differ = ~((a[c] == b[c]) | (a[c].isna() & b[c].isna()))
-        assert not differ.any(), (c, a[differ].head(3), b[differ].head(3))
