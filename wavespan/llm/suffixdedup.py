@@ -255,7 +255,7 @@ def _refine(bucket, doc, first, stretches):
 
 
 def _refine_buckets(batches):
-    """Input sorted by bucket; whole buckets are taken together, about 100,000 rows at a time."""
+    """Input sorted by bucket; whole buckets are taken together, about 20,000 rows at a time."""
     held = None
     for b in _with_end(batches):
         t = b if held is None else (pa.concat_tables([held, b]) if b is not None else held)
@@ -265,7 +265,7 @@ def _refine_buckets(batches):
         if b is None:
             cut = t.num_rows
         else:
-            if t.num_rows < 100_000:
+            if t.num_rows < 20_000:
                 held = t
                 continue
             keys = t.column("bucket").to_numpy()
