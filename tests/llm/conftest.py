@@ -1,6 +1,6 @@
 import pytest
 
-EDGE = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, spans int, lead string, chunk int"
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, spans int, lead string, chunk int, first string, runs int, bad string"
 
 
 @pytest.fixture(scope="session")
@@ -12,7 +12,7 @@ def edge(spark):
         (None, "one two three four five six seven eight nine ten eleven", "en", None, 3, None, None, None, None, None), (5, long, "de", "b", 9, 0.2, "a", 1, "b", 3),
         (6, long, "de", "c", 9, 0.2, "a", 1, "b", 3), (7, "\n \t\r\n", "fr", "b", 4, None, None, 2, None, 1), (8, "é▁ ß\U0001f600 <|endoftext|> ### 12,3", "fr", "b", 4, None, None, 2, None, 1),
     ]
-    return spark.createDataFrame([*rows, rows[0], rows[4]], EDGE)
+    return spark.createDataFrame([(*r, "f", 1, "b") for r in [*rows, rows[0], rows[4]]], EDGE)
 
 
 @pytest.fixture(scope="session")

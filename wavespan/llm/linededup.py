@@ -55,12 +55,12 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR)
 
 
 def _bad_by_document(docs: DataFrame, min_sites: int) -> DataFrame:
-    """doc, bad (hashes to remove wholly), first (hashes of which the first occurrence stays)."""
+    """doc, _bad_lines (hashes to remove wholly), _first_lines (hashes of which the first occurrence stays)."""
     # Line hashes move, not texts; a line of many documents meets few boilerplate rows, so the skewed side can be split.
     lines = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.explode(_line_hashes(F.col("text"))).alias("h")).select("doc", "h.h1", "h.h2")
     hit = lines.join(boilerplate(docs, min_sites), ["h1", "h2"]).select("doc", F.struct("h1", "h2").alias("h"), (F.col("doc") == F.col("first_doc")).alias("is_first"))
     return hit.groupBy("doc").agg(
-        F.collect_set(F.when(~F.col("is_first"), F.col("h"))).alias("bad"), F.collect_set(F.when(F.col("is_first"), F.col("h"))).alias("first")
+        F.collect_set(F.when(~F.col("is_first"), F.col("h"))).alias("_bad_lines"), F.collect_set(F.when(F.col("is_first"), F.col("h"))).alias("_first_lines")
     )
 
 
@@ -74,13 +74,13 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         key = lambda x: let(_norm(x), lambda n: F.struct(F.xxhash64(n).alias("h1"), F.xxhash64(n, F.lit(1)).alias("h2")))
 
         def kept(keys: Column) -> Column:
-            drop = lambda i: F.array_contains(F.col("bad"), F.get(keys, i)) | (F.array_contains(F.col("first"), F.get(keys, i)) & (F.array_position(keys, F.get(keys, i)) <= i))
+            drop = lambda i: F.array_contains(F.col("_bad_lines"), F.get(keys, i)) | (F.array_contains(F.col("_first_lines"), F.get(keys, i)) & (F.array_position(keys, F.get(keys, i)) <= i))
             return F.transform(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~drop(i)), lambda i: F.get(lines, i))
 
         return let(F.transform(lines, key), kept)
 
-    hit = F.col("bad").isNotNull() & F.col("text").isNotNull()
-    out = rows.withColumn("bad", F.coalesce("bad", nothing)).withColumn("first", F.coalesce("first", nothing)).withColumn("_kept", F.when(hit, let(_split(F.col("text")), clean)))
+    hit = F.col("_bad_lines").isNotNull() & F.col("text").isNotNull()
+    out = rows.withColumn("_bad_lines", F.coalesce("_bad_lines", nothing)).withColumn("_first_lines", F.coalesce("_first_lines", nothing)).withColumn("_kept", F.when(hit, let(_split(F.col("text")), clean)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(_split(F.col("text"))))
     return out.select(
         *[F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns],

@@ -336,7 +336,7 @@ def _kept(data: bytes, spans) -> bytes:
 def _digest(batches):
     for b in batches:
         out = []
-        for doc, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
+        for doc, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "_runs")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             spans = _removed(len(data), runs)
             out.append((doc, len(data), sum(hi - lo for lo, hi in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest()))
@@ -347,13 +347,13 @@ def _digest(batches):
 def _with_runs(docs: DataFrame, hot: int) -> DataFrame:
     rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
     starts = repeated_starts(rows.select(F.col("_doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), hot)
-    runs = starts.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = starts.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
     return rows.join(runs, "_doc", "left")
 
 
 def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), hot).select("doc_id", "text", "runs")
+    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), hot).select("doc_id", "text", "_runs")
     return rows.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -361,7 +361,7 @@ def _cut(batches):
     for b in batches:
         at = b.schema.get_field_index("text")
         texts = []
-        for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
+        for text, runs in zip(b.column("text").to_pylist(), b.column("_runs").to_pylist(), strict=True):
             if text is not None and runs:
                 data = text.encode("utf-8", "surrogatepass")
                 inside = lambda k, d=data: k < len(d) and d[k] & 0xC0 == 0x80
@@ -374,7 +374,7 @@ def _cut(batches):
                     spans.append((lo, hi))
                 text = _kept(data, spans).decode("utf-8", "surrogatepass")
             texts.append(text)
-        keep = [k for k, name in enumerate(b.schema.names) if name not in ("runs", "_doc")]
+        keep = [k for k, name in enumerate(b.schema.names) if name not in ("_runs", "_doc")]
         yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in keep], [b.schema.names[k] for k in keep])
 
 
