@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded_sample, saved
 
 BOOKS = 32
 WORDS = 64
@@ -164,7 +164,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = RERAN
     order = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     few = rows.withColumn("r", order).where(F.col("r") <= k + 1)
     classes = saved(few.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
-    sample = classes.select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
+    sample = bounded_sample(classes.select("vector", "rep"), "rep", SAMPLE).toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     held = spark.sparkContext.broadcast(fit(np.array(sample.sort_values("rep")["vector"].tolist()), books, words))

@@ -24,4 +24,4 @@ QUERIES = {
     "op9_ngram_join": lambda spark, d: ngramjoin.ngram_join(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
 }
-SQL = {"op6_line_dedup": linededup.SQL, "op10_quality_rules": quality.SQL}
+SQL = {"op6_line_dedup": linededup.SQL, "op9_ngram_join": ngramjoin.SQL, "op10_quality_rules": quality.SQL}
