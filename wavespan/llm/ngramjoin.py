@@ -7,12 +7,13 @@ Links are pairs with 100 * intersection >= 90 * union; symmetric difference and
    its size, and the triangle inequality leaves partners in the same annulus of sizes or the next one, so every
    document goes to two annuli. In an annulus a link differs in at most H shingles. Shingles are dealt into
    H + 2 parts by hash; H differences leave two parts equal, so partners share the region (annulus, part, contents
-   of that part). Regions overlap; regions that share documents are joined into clusters (connected components).
+   of that part). Regions overlap. A region is known by its smallest document, its lead; regions with one lead are
+   taken together as a cluster, so that partners still share one.
 3. Clusters up to GATHER documents are compared wholly in a task. Larger ones recur by pivots: the most central
-   documents become pivots; documents within the join distance of a pivot are linked to it, and need no further
-   comparison with each other. Each document that is not yet in the pivots' component lies in the Voronoi region of
-   its nearest pivot, and all documents whose distances to that pivot and to their own nearest one differ by no more
-   than twice the join distance are replicated to it. Regions are worked on in blocks.
+   documents become pivots; documents within the join distance of a pivot are linked to it, and those of the pivots'
+   largest component need no comparison with each other. Every other document lies in the Voronoi region of its
+   nearest pivot, and all documents whose distances to that pivot and to their own nearest one differ by no more
+   than twice the join distance are replicated to it. Regions are worked on in blocks, so no task holds a cluster.
 4. Links give connected components.
 
 Defined cases
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chars import blocks
@@ -36,11 +37,14 @@ from .graph import components
 WORDS = 3
 #: Least percentage of intersection in union.
 PERCENT = 90
-#: Documents of a cluster that a task compares with each other; documents of a block; pivots of a large cluster.
-GATHER = 512
+#: Documents of a cluster that a task compares with each other; of a block; of a slice against a block; pivots.
+#: A document counts for one for each TYPICAL shingles that it has, so that long ones don't fill a task.
+GATHER = 1024
 BLOCK = 256
+SLICE = 1024
 PIVOTS = 8
-BATCH = 1 << 24
+TYPICAL = 500
+BATCH = 1 << 23
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15
 _INV = pow(_R, -1, 1 << 64)
@@ -201,13 +205,9 @@ def _emit_regions(width, percent):
                 keys.append(key)
             doc, key = np.concatenate([*docs, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, _U)]).view(np.int64)
             _, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            lead = doc[first][which]
-            later = np.ones(len(doc), bool)
-            later[first] = False
-            yield pa.record_batch({"region": pa.array(key[first]), "doc": pa.array(doc[first]), "lead": pa.array(doc[first]), "here": pa.array(count), "part": pa.array(np.zeros(len(first), np.int64))})
-            if later.any():
-                pair, n = np.unique(np.stack([lead[later], doc[later]]), axis=1, return_counts=True)
-                yield pa.record_batch({"region": pa.array(pair[1]), "doc": pa.array(pair[1]), "lead": pa.array(pair[0]), "here": pa.array(n), "part": pa.array(1 + (pair[1] & 1023))})
+            part = 1 + (doc & 1023)
+            part[first] = 0
+            yield pa.record_batch({"region": pa.array(key), "doc": pa.array(doc), "part": pa.array(part), "here": pa.array(count[which])})
 
     return emit
 
@@ -305,83 +305,91 @@ def _compare_clusters(percent):
 
 
 def _near_pivots(percent):
-    """Distances of each document to the pivots of its cluster, and the pivot it links to (-1: none)."""
-
-    def run(batches):
-        held: dict[bytes, list[np.ndarray]] = {}
-        for b in batches:
-            out = []
-            cols = [b.column(c).to_pylist() for c in ("cluster", "doc", "shingles", "pivots")]
-            groups: dict[int, list[int]] = {}
-            for k, c in enumerate(cols[0]):
-                groups.setdefault(c, []).append(k)
-            for c, ks in groups.items():
-                piv = held.setdefault(c, [(p["doc"], np.frombuffer(p["shingles"], _U)) for p in cols[3][ks[0]]])
-                sets = [np.frombuffer(cols[2][k], _U) for k in ks]
-                a, z = np.array([len(s) for s in sets]), np.array([len(p[1]) for p in piv])
-                inter = _overlaps(sets, [p[1] for p in piv])
-                d = 1 - inter / np.maximum(a[:, None] + z[None, :] - inter, 1)
-                link = _linked(inter, a, z, percent)
-                for i, k in enumerate(ks):
-                    own = int(np.argmax(link[i])) if link[i].any() else -1
-                    out.append((c, cols[1][k], cols[2][k], d[i].tolist(), piv[own][0] if own >= 0 else None, [p[0] for p, y in zip(piv, link[i], strict=True) if y]))
-            x = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.record_batch([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.binary()), pa.array(x[3], pa.list_(pa.float64())), pa.array(x[4], pa.int64()), pa.array(x[5], pa.list_(pa.int64()))], names=["cluster", "doc", "shingles", "far", "pivot", "links"])
+    """Distances of the documents of a slice to the cluster's pivots, the pivots they link to, and their component."""
+
+    def run(key, left, right):
+        right = right.sort_by("r")
+        names = right.column("doc").to_pylist()
+        piv = [np.frombuffer(x, _U) for x in right.column("shingles").to_pylist()]
+        docs, raws = left.column("doc").to_pylist(), left.column("shingles").to_pylist()
+        sets = [np.frombuffer(x, _U) for x in raws]
+        a, z = np.array([len(s) for s in sets], np.int64), np.array([len(s) for s in piv], np.int64)
+        inter = _overlaps(sets, piv)
+        far = 1 - inter / np.maximum(a[:, None] + z[None, :] - inter, 1)
+        link = _linked(inter, a, z, percent)
+        group = np.array(_pairs_of_cluster(piv, percent) if len(piv) > 1 else [0])
+        own = np.where(link.any(1), group[link.argmax(1)], -1)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64())]
+        cols = [left.column("cluster").to_pylist(), docs, raws, far.tolist(), own.tolist(), [[n for n, y in zip(names, row, strict=True) if y] for row in link]]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["cluster", "doc", "shingles", "far", "own", "links"])
 
     return run
 
 
-def _against_blocks(percent):
-    """Links of documents with the documents of a block that travels with them."""
+def _against_block(percent):
+    """Links between a slice of documents and a block."""
 
-    def run(batches):
-        for b in batches:
-            groups: dict[tuple, list[int]] = {}
-            cols = {c: b.column(c).to_pylist() for c in ("block_key", "doc", "shingles", "block")}
-            for k, c in enumerate(cols["block_key"]):
-                groups.setdefault(c, []).append(k)
-            out = []
-            for ks in groups.values():
-                block = cols["block"][ks[0]]
-                right = [np.frombuffer(x["shingles"], _U) for x in block]
-                left = [np.frombuffer(cols["shingles"][k], _U) for k in ks]
-                hit = _linked(_overlaps(left, right), np.array([len(s) for s in left]), np.array([len(s) for s in right]), percent)
-                out += [(cols["doc"][ks[i]], block[j]["doc"]) for i, j in zip(*np.nonzero(hit), strict=True) if cols["doc"][ks[i]] != block[j]["doc"]]
-            x = list(zip(*out, strict=True)) or [[], []]
-            yield pa.record_batch({"a": pa.array(x[0], pa.int64()), "b": pa.array(x[1], pa.int64())})
+    def run(key, left, right):
+        sides = [t.column("doc").to_numpy() for t in (left, right)]
+        sets = [[np.frombuffer(x, _U) for x in t.column("shingles").to_pylist()] for t in (left, right)]
+        if not sets[0] or not sets[1]:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        hit = _linked(_overlaps(*sets), *(np.array([len(s) for s in side], np.int64) for side in sets), percent)
+        i, j = np.nonzero(hit)
+        return pa.table({"a": pa.array(sides[0][i]), "b": pa.array(sides[1][j])})
 
     return run
 
 
-def _join_large(sets: DataFrame, central: DataFrame, percent: int) -> DataFrame:
-    """node, label of the documents of clusters over GATHER. sets: cluster, doc, shingles; central: doc, weight."""
-    from pyspark.sql import Window
+def _merged(nodes: DataFrame) -> DataFrame:
+    """Large clusters that share documents as one, so that no document is compared in several of them."""
+    first = nodes.groupBy("doc").agg(F.min("cluster").alias("a"))
+    label = components(nodes.join(first, "doc").select("a", F.col("cluster").alias("b")).distinct())
+    rows = nodes.join(label, nodes.cluster == label.node).groupBy(F.col("label").alias("cluster"), "doc").agg(F.sum("weight").alias("weight"), F.first("units").alias("units"))
+    size = rows.groupBy("cluster").agg(F.ceil(F.sum("units")).alias("size"))
+    return saved(rows.join(size, "cluster"), "large-nodes")
+
+
+def _slice(n: Column) -> Column:
+    return F.pmod(F.xxhash64("doc", F.lit(5)), F.ceil(n / SLICE)).cast("int")
 
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, so that a table can meet itself."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _join_large(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the documents of clusters over GATHER. sets: cluster, doc, shingles; nodes: cluster, doc, weight, size."""
+    slices = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / SLICE).cast("int") - 1)).alias("s")
     best = Window.partitionBy("cluster").orderBy(F.desc("weight"), "doc")
-    chosen = central.withColumn("r", F.row_number().over(best)).where(F.col("r") <= PIVOTS).select("doc", "r")
-    pivots = sets.join(chosen, "doc").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "doc", "shingles"))).alias("pivots"))
-    kind = "cluster long, doc long, shingles binary, far array<double>, pivot long, links array<long>"
-    near = saved(sets.join(pivots, "cluster").mapInArrow(_near_pivots(percent), kind), "near")
-    links = saved(near.select(F.col("doc").alias("a"), F.explode("links").alias("b")), "links")
-    label = components(links.unionAll(near.select(F.col("doc").alias("a"), F.col("doc").alias("b"))).where("a <> b"))
-    # Documents out of their cluster's largest component lie in the Voronoi region of their nearest pivot.
-    told = near.join(label, near.doc == label.node, "left").select("cluster", "doc", "shingles", "far", F.coalesce("label", "doc").alias("label"))
-    told = saved(told.withColumn("nearest", F.array_min("far")).withColumn("region", (F.array_position("far", F.array_min("far")) - 1).cast("int")), "told")
-    sizes = told.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
-    rest = told.join(main, "cluster").where("label <> main")
-    count = rest.groupBy("cluster", "region").agg(F.count(F.lit(1)).alias("rest"))
-    blocks_of = rest.join(count, ["cluster", "region"]).withColumn("k", F.pmod(F.xxhash64("doc"), F.ceil(F.col("rest") / BLOCK)).cast("int"))
-    packed = blocks_of.groupBy("cluster", "region", "k").agg(F.collect_list(F.struct("doc", "shingles")).alias("block"))
-    window = 2 * (1 - percent / 100)
-    spread = told.select(
-        "cluster", "doc", "shingles",
-        F.explode(F.filter(F.transform("far", lambda d, i: F.when(d - F.col("nearest") <= window + 1e-9, i.cast("int"))), lambda i: i.isNotNull())).alias("region"),
-    )
-    pairs = spread.join(packed, ["cluster", "region"]).withColumn("block_key", F.concat_ws(":", "cluster", "region", "k"))
-    more = saved(pairs.select("block_key", "doc", "shingles", "block").mapInArrow(_against_blocks(percent), "a long, b long").distinct(), "more")
-    out = components(links.unionAll(more))
-    return out
+    chosen = nodes.withColumn("r", F.row_number().over(best)).where(F.col("r") <= PIVOTS).select("cluster", "doc", "r", "size")
+    pivots = sets.join(chosen, ["cluster", "doc"]).select("cluster", "doc", "shingles", "r", slices)
+    sizes = nodes.groupBy("cluster").agg(F.first("size").alias("size"))
+    mine = sets.join(sizes, "cluster").withColumn("s", _slice(F.col("size")))
+    kind = "cluster long, doc long, shingles binary, far array<double>, own int, links array<long>"
+    near = saved(mine.groupBy("cluster", "s").cogroup(_renewed(pivots).groupBy("cluster", "s")).applyInArrow(_near_pivots(percent), kind), "near")
+    links = near.select(F.col("doc").alias("a"), F.explode("links").alias("b"))
+    count = near.groupBy("cluster", "own").agg(F.count(F.lit(1)).alias("n"))
+    main = count.groupBy("cluster").agg(
+        F.max_by(F.when(F.col("own") >= 0, F.col("own")), F.when(F.col("own") >= 0, F.struct("n", -F.col("own")))).alias("main"),
+        (F.sum("n") - F.coalesce(F.max(F.when(F.col("own") >= 0, F.col("n"))), F.lit(0))).alias("left_over"),
+    )
+    # No more regions than blocks are needed: the first pivots that many serve.
+    used = F.slice("far", 1, F.greatest(F.lit(1), F.least(F.size("far"), F.ceil(F.col("left_over") / BLOCK).cast("int"))))
+    near = near.join(main, "cluster").withColumn("far", used)
+    region = (F.array_position("far", F.array_min("far")) - 1).cast("int")
+    rest = near.where("own < 0 OR main IS NULL OR own <> main").select("cluster", "doc", "shingles", region.alias("region"))
+    held = rest.groupBy("cluster", "region").agg(F.ceil(F.sum(F.greatest(F.lit(1.0), F.octet_length("shingles") / (8 * TYPICAL)))).alias("rest"))
+    window = 2 * (1 - percent / 100) + 1e-9
+    close = F.filter(F.transform("far", lambda d, i: F.when(d - F.array_min("far") <= window, i.cast("int"))), lambda i: i.isNotNull())
+    spread = near.select("cluster", "doc", "shingles", F.explode(close).alias("region")).join(held, ["cluster", "region"]).join(sizes, "cluster")
+    left = spread.select("cluster", "region", "doc", "shingles", _slice(F.col("size")).alias("s"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("rest") / BLOCK).cast("int") - 1)).alias("k"))
+    right = rest.join(held, ["cluster", "region"]).join(sizes, "cluster").select(
+        "cluster", "region", "doc", "shingles", F.pmod(F.xxhash64("doc"), F.ceil(F.col("rest") / BLOCK)).cast("int").alias("k"), slices
+    )
+    keys = ["cluster", "region", "k", "s"]
+    return links.unionAll(left.groupBy(*keys).cogroup(_renewed(right).groupBy(*keys)).applyInArrow(_against_block(percent), "a long, b long")).where("a <> b")
 
 
 def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, gather: int = GATHER) -> DataFrame:
@@ -390,27 +398,27 @@ def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     sizes = saved(docs.mapInArrow(_digest(width), "doc long, n long, h1 long, h2 long"), "sizes")
     lead = sizes.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("lead"))
     classes = saved(sizes.join(lead, ["h1", "h2", "n"], "left").select("doc", "n", F.coalesce("lead", "doc").alias("lead")), "classes")
-    regions = docs.mapInArrow(_emit_regions(width, percent), "region long, doc long, lead long, here long, part long")
+    # The first of a region in each batch meets the others'; the rest of a batch has company there, and is spread out.
+    regions = docs.mapInArrow(_emit_regions(width, percent), "region long, doc long, part long, here long")
     over = "OVER (PARTITION BY region, part)"
-    met = regions.withColumn("total", F.expr(f"sum(here) {over}")).withColumn("first", F.expr(f"min(lead) {over}"))
-    met = met.select(F.when(F.col("part") > 0, F.col("lead")).otherwise(F.col("first")).alias("a"), F.col("doc").alias("b"), "total", "part").where("part > 0 OR total > 1")
-    met = saved(met.groupBy("a", "b").agg(F.sum("total").alias("weight")), "met")
+    met = regions.withColumn("total", F.expr(f"sum(here) {over}")).withColumn("first", F.expr(f"min(doc) {over}"))
+    met = saved(met.where("part > 0 OR total > 1").select("region", "doc", "part", "first"), "met")
     release(spark)
-    clusters = components(met)
-    reps = classes.where("doc = lead").select("doc").distinct()
-    nodes = clusters.join(reps, clusters.node == reps.doc).select("doc", F.col("label").alias("cluster"))
-    count = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    leads = met.where("part = 0 AND doc = first").select("region", F.col("first").alias("cluster"))
+    stars = met.where("part = 0").select(F.col("first").alias("cluster"), "doc").unionAll(met.where("part > 0").select("region", "doc").join(leads, "region").select("cluster", "doc"))
+    reps = classes.where("doc = lead").groupBy("doc").agg(F.greatest(F.lit(1.0), F.max("n") / TYPICAL).alias("units"))
+    nodes = stars.groupBy("cluster", "doc").agg(F.count(F.lit(1)).alias("weight")).join(reps, "doc")
+    count = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"), F.ceil(F.sum("units")).alias("size")).where("n_docs > 1").drop("n_docs")
     nodes = saved(nodes.join(count, "cluster"), "nodes")
     release(spark)
     rows = lambda which: docs.join(which.select("doc", "cluster"), "doc").select("doc", "cluster", "text").mapInArrow(_set_rows(width), "cluster long, doc long, shingles binary")
     small = rows(nodes.where(F.col("size") <= gather)).repartition("cluster").sortWithinPartitions("cluster", "doc")
-    labels = small.mapInArrow(_compare_clusters(percent), "node long, label long")
-    large = nodes.where(F.col("size") > gather)
+    links = small.mapInArrow(_compare_clusters(percent), "node long, label long").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    large = nodes.where(F.col("size") > gather).select("cluster", "doc", "weight", "units", "size")
     if large.limit(1).count():
-        weight = met.select(F.col("b").alias("doc"), "weight").unionAll(met.select(F.col("a").alias("doc"), "weight")).groupBy("doc").agg(F.sum("weight").alias("weight"))
-        central = large.join(weight, "doc").select("cluster", "doc", "weight")
-        labels = labels.unionAll(_join_large(saved(rows(large).dropDuplicates(["doc"]), "large"), central, percent))
-    labels = saved(labels, "found")
+        large = _merged(large)
+        links = links.unionAll(_join_large(saved(rows(large).dropDuplicates(["cluster", "doc"]), "large"), large, percent))
+    labels = components(links.where("a <> b"))
     release(spark)
     for done in (sizes, met, nodes):
         drop_saved(done)
@@ -432,3 +440,15 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, gather
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     gone = near_components(rows, width, percent, gather).where("component < doc").select(F.col("doc").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: The same rows by DuckDB, from all pairs that share a shingle: for small tables only.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * i >= 90 * (a.n + b.n - i)),
+c(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.y, c.m FROM c JOIN l ON c.doc_id = l.x WHERE c.m < l.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(m) FROM c WHERE c.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
