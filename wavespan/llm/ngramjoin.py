@@ -411,7 +411,8 @@ def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     count = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"), F.ceil(F.sum("units")).alias("size")).where("n_docs > 1").drop("n_docs")
     nodes = saved(nodes.join(count, "cluster"), "nodes")
     release(spark)
-    rows = lambda which: docs.join(which.select("doc", "cluster"), "doc").select("doc", "cluster", "text").mapInArrow(_set_rows(width), "cluster long, doc long, shingles binary")
+    # The list of documents grows with the table: texts meet it by shuffle at every size.
+    rows = lambda which: docs.join(which.select("doc", "cluster").hint("merge"), "doc").select("doc", "cluster", "text").mapInArrow(_set_rows(width), "cluster long, doc long, shingles binary")
     small = rows(nodes.where(F.col("size") <= gather)).repartition("cluster").sortWithinPartitions("cluster", "doc")
     links = small.mapInArrow(_compare_clusters(percent), "node long, label long").select(F.col("node").alias("a"), F.col("label").alias("b"))
     large = nodes.where(F.col("size") > gather).select("cluster", "doc", "weight", "units", "size")
