@@ -167,6 +167,23 @@ def test_language_model(docs, rows, edge, empty):
     assert maxent.lm_scores(empty).count() == 0
 
 
+def test_language_model_uses_all_of_its_corpus(spark):
+    """Frequent words are counted over more documents than a sample holds, and every position is trained on once."""
+    texts = [f"rare{k % 70} rare{k % 71} common{k % 3}" for k in range(5000)]
+    texts[4000:4003] = [" ".join([f"late{j}"] * 9000) for j in range(3)]
+    found, cluster = maxent.frequent_words(spark.createDataFrame([(t,) for t in texts], "text string"))
+    c = collections.Counter(int(w) for t in texts for w in maxent._tokens([t.encode()])[0][:-1])
+    assert len(cluster) == maxent.FREQUENT + 1 and sorted(c[int(w)] for w in found) == sorted(c.values())[-maxent.FREQUENT :]
+    own = texts[:300]
+    w, doc, start = maxent._tokens([t.encode() for t in own])
+    u, at = np.unique(w, return_inverse=True)
+    raw = u.tobytes(), (np.arange(len(u)) % 32).astype(np.uint8).tobytes(), at.astype("<u2").tobytes()
+    got = [maxent._positions(*raw, found, k % maxent.EVERY) for k in range(maxent.ROUNDS)]
+    want = maxent._features(w, doc, start, maxent._last_frequent(w, doc, start, found))
+    rows = lambda x, y: collections.Counter(map(tuple, np.column_stack([x, y]).tolist()))
+    assert rows(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])) == rows(want, at % 32)
+
+
 # 5
 
 
