@@ -147,6 +147,21 @@ def test_repeats_edge_cases(spark, edge, empty):
     assert suffixdedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4000, 1])
+def test_repeats_with_shared_or_no_ids(spark, hot):
+    """Different texts with one id, or none, are documents of their own, of any length and with copies elsewhere."""
+    p, q, r = ("".join(np.random.default_rng(k).choice(list("abcdefgh"), 400)) for k in range(3))
+    texts = [(1, p), (2, q + p[:150]), (2, r[:220]), (None, p), (None, "own " + r + q[:130]), (None, "short"), (None, q[5:125]), (None, "x" * 105 + r[100:250]), (2**63 - 1, r[30:390])]
+    df = spark.createDataFrame([*texts, texts[4]], "doc_id long, text string")
+    order = {(x["doc_id"], x["text"]): x["h"] for x in df.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 1).alias("h")).collect()}
+    ranked = sorted(set(texts), key=lambda x: (x[0] is None, x[0] or 0, order[x] if x[0] is None else -order[x]))
+    want = [(ranked[x[0]][0], *x[1:]) for x in brute_repeats([(k, x[1]) for k, x in enumerate(ranked)])]
+    want += [want[ranked.index(texts[4])]]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    assert sorted((tuple(x) for x in suffixdedup.suffix_dedup(df, hot).collect()), key=key) == sorted(want, key=key)
+    assert suffixdedup.remove_repeats(df, hot).count() == 10
+
+
 # 4
 
 

@@ -17,7 +17,8 @@ aggregated one by one (minimum by identifier, combined before the shuffle) and j
 
 Defined cases
 * null or empty text, and texts under LENGTH bytes: nothing is removed. Matches never cross documents.
-* null doc_id: sorts after all others. Rows with one doc_id count as one document, and each is returned.
+* null doc_id: sorts after all others. Rows with one doc_id (or none) and one text count as one document, and each is
+  returned; different texts with one doc_id (or none) are documents of their own, in the order of 63-bit text hashes.
 * equal whole texts: all but the smallest doc_id lose everything (from LENGTH bytes on) without further work.
 * other columns are ignored. Empty table: empty result. Texts of any length are read whole.
 """
@@ -114,24 +115,25 @@ def _encoded(batches, columns: list[str], most: int = BATCH):
 
 
 def _emit_anchors(batches):
-    """bucket, doc, place (anchor, least and largest distance to a start), part (0: first of its bucket in this batch)."""
-    for run in _encoded(batches, ["doc", "text"]):
-        docs, places, buckets = [], [], []
+    """bucket, doc, tie, place (anchor, least and largest distance to a start), part (0: first of its bucket in this batch)."""
+    for run in _encoded(batches, ["doc", "text", "tie"]):
+        docs, ties, places, buckets = [], [], [], []
         for part in blocks([r for r in run if len(r[1]) >= LENGTH], lambda r: len(r[1]), BLOCK):
             text = np.frombuffer(b"".join(r[1] for r in part), np.uint8)
             ends = np.cumsum([len(r[1]) for r in part])
             a, lo, hi, b = _anchors(text, ends)
             at = np.searchsorted(ends, lo, side="right")
             docs.append(np.array([r[0] for r in part], np.int64)[at])
+            ties.append(np.array([r[2] for r in part], np.int64)[at])
             places.append(((a - np.concatenate([[0], ends])[at]) << 16) | ((a - hi) << 8) | (a - lo))
             buckets.append(b.view(np.int64))
         if not docs:
             continue
-        doc, place, bucket = np.concatenate(docs), np.concatenate(places), np.concatenate(buckets)
+        doc, tie, place, bucket = np.concatenate(docs), np.concatenate(ties), np.concatenate(places), np.concatenate(buckets)
         _, first, which, count = np.unique(bucket, return_index=True, return_inverse=True, return_counts=True)
         part = np.ones(len(bucket), np.int64)
         part[first] = 0
-        yield pa.record_batch({"bucket": pa.array(bucket), "doc": pa.array(doc), "place": pa.array(place), "part": pa.array(np.where(part == 0, 0, 1 + (doc & 1023))), "here": pa.array(count[which])})
+        yield pa.record_batch({"bucket": pa.array(bucket), "doc": pa.array(doc), "tie": pa.array(tie), "place": pa.array(place), "part": pa.array(np.where(part == 0, 0, 1 + (doc & 1023))), "here": pa.array(count[which])})
 
 
 def _levels(data: np.ndarray):
@@ -144,6 +146,16 @@ def _levels(data: np.ndarray):
     return g24, g48, g96, g100
 
 
+def _ranks(doc: np.ndarray, tie: np.ndarray):
+    """Rank of each row's (doc, tie) among the distinct ones, and these in order."""
+    order = np.lexsort((tie, doc))
+    d, t = doc[order], tie[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])[: len(d)]
+    rank = np.empty(len(d), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, d[new], t[new]
+
+
 def _offsets(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Concatenated ranges starts[i] .. starts[i] + sizes[i]."""
     total = int(sizes.sum())
@@ -160,10 +172,12 @@ def _runs(doc: np.ndarray, p: np.ndarray):
 
 def _emit_stretches(batches):
     """Rows for refinement: kind 0, a stretch around an anchor; 1, one string of a hot bucket; 2, starts to remove."""
-    names = ["kind", "bucket", "id2", "doc", "first", "last", "stretch"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    for run in _encoded(batches, ["doc", "text", "places"]):
-        run.sort(key=lambda r: r[0])
+    names = ["kind", "bucket", "id2", "doc", "tie", "first", "last", "stretch"]
+    kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
+    for run in _encoded(batches, ["doc", "text", "tie", "places"]):
+        rank, docs, ties = _ranks(np.array([r[0] for r in run], np.int64), np.array([r[2] for r in run], np.int64))
+        # doc stands for the rank among the run's documents from here on.
+        run = sorted(((k, r[1], r[3]) for k, r in zip(rank.tolist(), run, strict=True)), key=lambda r: r[0])
         seen: dict[tuple, tuple] = {}
         gone, hot = [], []
         for doc, data, places in run:
@@ -192,7 +206,7 @@ def _emit_stretches(batches):
             for k in range(0, len(doc), 50_000):
                 s = slice(k, k + 50_000)
                 zero = np.zeros(len(doc[s]), np.int64)
-                yield pa.record_batch([pa.array(zero, pa.int32()), pa.array(bucket[s]), pa.array(zero), pa.array(doc[s]), pa.array(lo[s]), pa.array((lo + size - LENGTH)[s]), pa.array(stretch[s], pa.binary())], names=names)
+                yield pa.record_batch([pa.array(zero, pa.int32()), pa.array(bucket[s]), pa.array(zero), pa.array(docs[doc[s]]), pa.array(ties[doc[s]]), pa.array(lo[s]), pa.array((lo + size - LENGTH)[s]), pa.array(stretch[s], pa.binary())], names=names)
         if hot:
             data = np.frombuffer(b"".join(s for _, _, s in hot), np.uint8)
             size = np.array([len(s) for _, _, s in hot], np.int64)
@@ -213,11 +227,12 @@ def _emit_stretches(batches):
             keep = np.flatnonzero(new)
             for k in range(0, len(keep), 200_000):
                 s = keep[k : k + 200_000]
-                yield pa.record_batch([pa.array(np.ones(len(s)), pa.int32()), pa.array(i1[s]), pa.array(i2[s]), pa.array(doc[s]), pa.array(p[s]), pa.array(p[s]), pa.nulls(len(s), pa.binary())], names=names)
+                yield pa.record_batch([pa.array(np.ones(len(s)), pa.int32()), pa.array(i1[s]), pa.array(i2[s]), pa.array(docs[doc[s]]), pa.array(ties[doc[s]]), pa.array(p[s]), pa.array(p[s]), pa.nulls(len(s), pa.binary())], names=names)
         if gone:
             cols = list(zip(*gone, strict=True))
+            own = np.array(cols[0], np.int64)
             none = np.zeros(len(gone), np.int64)
-            yield pa.record_batch([pa.array(np.full(len(gone), 2), pa.int32()), pa.array(none), pa.array(none), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.nulls(len(gone), pa.binary())], names=names)
+            yield pa.record_batch([pa.array(np.full(len(gone), 2), pa.int32()), pa.array(none), pa.array(none), pa.array(docs[own]), pa.array(ties[own]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.nulls(len(gone), pa.binary())], names=names)
         yield pa.record_batch([pa.array([], k) for k in kinds], names=names)
 
 
@@ -272,8 +287,9 @@ def _refine_buckets(batches):
             cut = int(np.searchsorted(keys, keys[-1]))
         now, held = t.slice(0, cut), t.slice(cut)
         if now.num_rows:
-            d, lo, hi = _refine(now.column("bucket").to_numpy(), now.column("doc").to_numpy(), now.column("first").to_numpy(), now.column("stretch").to_pylist())
-            yield pa.record_batch({"doc": pa.array(d), "first": pa.array(lo), "last": pa.array(hi)})
+            rank, docs, ties = _ranks(now.column("doc").to_numpy(), now.column("tie").to_numpy())
+            d, lo, hi = _refine(now.column("bucket").to_numpy(), rank, now.column("first").to_numpy(), now.column("stretch").to_pylist())
+            yield pa.record_batch({"doc": pa.array(docs[d]), "tie": pa.array(ties[d]), "first": pa.array(lo), "last": pa.array(hi)})
 
 
 def _with_end(batches):
@@ -283,29 +299,32 @@ def _with_end(batches):
 
 
 def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc, first, last: runs of starts of strings that also start earlier. docs: doc (never null), text."""
+    """doc, tie, first, last: runs of starts of strings that also start earlier. docs: doc, tie (never null), text.
+
+    doc and tie together name one text.
+    """
     spark = docs.sparkSession
-    found = docs.mapInArrow(_emit_anchors, "bucket long, doc long, place long, part long, here long")
+    found = docs.mapInArrow(_emit_anchors, "bucket long, doc long, tie long, place long, part long, here long")
     # The first of a bucket in each batch meets the others'; the rest are known to have company and are spread out.
     total = F.expr("sum(CASE WHEN part = 0 THEN here END) OVER (PARTITION BY bucket, part)")
-    found = found.withColumn("total", total).where("part > 0 OR total > 1").select("bucket", "doc", "place")
+    found = found.withColumn("total", total).where("part > 0 OR total > 1").select("bucket", "doc", "tie", "place")
     found = saved(found, "anchors")
     release(spark)
     large = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("bucket", F.lit(True).alias("is_hot"))
-    places = found.join(large, "bucket", "left").groupBy("doc").agg(F.collect_set(2 * F.col("place") + F.when(F.col("is_hot"), 1).otherwise(0)).alias("places"))
+    places = found.join(large, "bucket", "left").groupBy("doc", "tie").agg(F.collect_set(2 * F.col("place") + F.when(F.col("is_hot"), 1).otherwise(0)).alias("places"))
     text_hash = [F.xxhash64("text"), F.xxhash64("text", F.lit(1)), F.length("text")]
-    classes = docs.where(F.octet_length("text") >= LENGTH).select("doc", F.octet_length("text").cast("long").alias("n"), *[x.alias(f"h{k}") for k, x in enumerate(text_hash)])
-    firsts = classes.groupBy("h0", "h1", "h2").agg(F.min("doc").alias("lead"))
-    copies = saved(classes.join(firsts, ["h0", "h1", "h2"]).where("doc <> lead").select("doc", F.lit(0).cast("long").alias("first"), (F.col("n") - LENGTH).alias("last")), "copies")
-    todo = docs.join(places.join(copies.select("doc"), "doc", "left_anti"), "doc").select("doc", "text", "places")
-    stretches = saved(todo.mapInArrow(_emit_stretches, "kind int, bucket long, id2 long, doc long, first long, last long, stretch binary"), "stretches")
+    classes = docs.where(F.octet_length("text") >= LENGTH).select("doc", "tie", F.octet_length("text").cast("long").alias("n"), *[x.alias(f"h{k}") for k, x in enumerate(text_hash)])
+    firsts = classes.groupBy("h0", "h1", "h2").agg(F.min(F.struct("doc", "tie")).alias("lead"))
+    copies = saved(classes.join(firsts, ["h0", "h1", "h2"]).where("struct(doc, tie) <> lead").select("doc", "tie", F.lit(0).cast("long").alias("first"), (F.col("n") - LENGTH).alias("last")), "copies")
+    todo = docs.join(places.join(copies.select("doc", "tie"), ["doc", "tie"], "left_anti"), ["doc", "tie"]).select("doc", "text", "tie", "places")
+    stretches = saved(todo.mapInArrow(_emit_stretches, "kind int, bucket long, id2 long, doc long, tie long, first long, last long, stretch binary"), "stretches")
     release(spark)
-    gathered = stretches.where("kind = 0").select("bucket", "doc", "first", "stretch").repartition("bucket").sortWithinPartitions("bucket")
-    gone = gathered.mapInArrow(_refine_buckets, "doc long, first long, last long")
-    single = stretches.where("kind = 1").select("bucket", "id2", "doc", "first")
-    lead = single.groupBy("bucket", "id2").agg(F.min(F.struct("doc", "first")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = single.join(lead, ["bucket", "id2"]).where("struct(doc, first) <> lead").select("doc", "first", F.col("first").alias("last"))
-    out = saved(gone.unionAll(later).unionAll(stretches.where("kind = 2").select("doc", "first", "last")).unionAll(copies), "starts")
+    gathered = stretches.where("kind = 0").select("bucket", "doc", "tie", "first", "stretch").repartition("bucket").sortWithinPartitions("bucket")
+    gone = gathered.mapInArrow(_refine_buckets, "doc long, tie long, first long, last long")
+    single = stretches.where("kind = 1").select("bucket", "id2", "doc", "tie", "first")
+    lead = single.groupBy("bucket", "id2").agg(F.min(F.struct("doc", "tie", "first")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = single.join(lead, ["bucket", "id2"]).where("struct(doc, tie, first) <> lead").select("doc", "tie", "first", F.col("first").alias("last"))
+    out = saved(gone.unionAll(later).unionAll(stretches.where("kind = 2").select("doc", "tie", "first", "last")).unionAll(copies), "starts")
     release(spark)
     for done in (found, stretches, copies):
         drop_saved(done)
@@ -344,11 +363,25 @@ def _digest(batches):
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _doc and _tie, which together name a text: _tie is 0 but for texts that share a doc_id, or have none, with others.
+
+    Ties of a null doc_id are positive, so that these rows also come after a row whose doc_id is LAST_ID.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(3)), 1)
+    tie = F.when(F.col("doc_id").cast("long").isNull(), h).otherwise(-h - 1)
+    shared = docs.select(own.alias("_doc"), tie.alias("_tie")).groupBy("_doc").agg(F.min("_tie").alias("a"), F.max("_tie").alias("b")).where("a <> b")
+    # Saved, so that its size is known when the join is planned: it is small as a rule, and texts do not move then.
+    shared = saved(shared.select("_doc", F.lit(True).alias("_shared")), "shared")
+    return docs.withColumn("_doc", own).join(shared, "_doc", "left").withColumn("_tie", F.when(F.col("_shared"), tie).otherwise(F.lit(0).cast("long"))).drop("_shared")
+
+
 def _with_runs(docs: DataFrame, hot: int) -> DataFrame:
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-    starts = repeated_starts(rows.select(F.col("_doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), hot)
-    runs = starts.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    return rows.join(runs, "_doc", "left")
+    rows = _keyed(docs)
+    starts = repeated_starts(rows.select(F.col("_doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.col("_tie").alias("tie")), hot)
+    runs = starts.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    return rows.join(runs, ["_doc", "_tie"], "left")
 
 
 def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -374,7 +407,7 @@ def _cut(batches):
                     spans.append((lo, hi))
                 text = _kept(data, spans).decode("utf-8", "surrogatepass")
             texts.append(text)
-        keep = [k for k, name in enumerate(b.schema.names) if name not in ("_runs", "_doc")]
+        keep = [k for k, name in enumerate(b.schema.names) if name not in ("_runs", "_doc", "_tie")]
         yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in keep], [b.schema.names[k] for k in keep])
 
 
