@@ -110,6 +110,20 @@ def test_pieces(docs, rows, edge, empty):
     assert pieces.encode(empty, PIECES).count() == 0
 
 
+def test_pieces_of_long_words(spark):
+    """Runs without spaces are one word, so pieces lie across every multiple of 48 characters."""
+    encode = brute_pieces()
+    runs = ["international" * 12, "x" * 46 + "tion" * 30, "日本語の文章は空白がない" * 10, "aGVsbG8gd29ybGQ/" * 9, "\U0001f600the" * 20, "a" * 47, "a" * 48]
+    texts = [*runs, f"the {runs[0]} and {runs[2]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pieces.encode(df, PIECES, keep_ids=True).collect()}
+    for k, text in enumerate(texts):
+        assert np.frombuffer(got[k]["ids"], "<i4").tolist() == [i for w in text.split(" ") for i in encode(pieces.SPACE + w)] and got[k]["round_trip"]
+    short = pieces.encode_words(spark.createDataFrame([(pieces.SPACE + r,) for r in runs], "word string"), pieces.piece_table(spark, PIECES), 1, 16).collect()
+    table = {r["piece"]: (r["id"], r["score"]) for r in pieces.piece_table(spark, PIECES).collect()}
+    assert all(r["ids"] == pieces.long_word_ids(r["word"], table, 16) for r in short)
+
+
 # 3
 
 

@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Words (a space and what follows up to the next space, at most WORD characters; the text begins with a space of its
-own) are made distinct. Their substrings of bounded length are exploded and joined to the piece table by equality;
+Words (a space and what follows up to the next space; the text begins with a space of its own) are made distinct.
+Their substrings of bounded length are exploded and joined to the piece table by equality;
 the matches are edges of a lattice, grouped by word; a Viterbi fold with Spark's aggregate keeps the best score and
-last piece for each end and reads the ids back. Characters without a piece go to the pieces of their bytes.
+last piece for each end and reads the ids back. Words over WORD characters are not sent: they have the same lattice
+and fold in the task that holds their text, which keeps one state for each character. Characters without a piece go to the pieces of their bytes.
 Ids come back to the documents split by split: each input split sends its distinct words once.
 
 Defined cases
-* null or empty text: no pieces; decoding gives the empty text. Pieces never span words (nor runs over WORD).
+* null or empty text: no pieces; decoding gives the empty text. Pieces never span words.
 * ties in score: the longer last piece. Texts of any length are read whole.
 * null doc_id: encoded, too. Repeated rows: each is returned. Other columns are ignored. Empty table: empty result.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import drop_saved, release, saved
 
 SPACE = "▁"
-#: Characters of a word; a longer run is cut into words of this length.
+#: Characters up to which words are made distinct and sent to the lattice.
 WORD = 48
 #: Pieces up to which the table is broadcast; a larger vocabulary is joined by shuffle.
 BROADCAST_PIECES = 300_000
@@ -53,11 +54,7 @@ def split_words(text: str) -> list[str]:
     """Words of a text, whose concatenation is the text with a space in front and spaces as SPACE."""
     if not text:
         return []
-    out = []
-    for part in text.split(" "):
-        word = SPACE + part
-        out += [word] if len(word) <= WORD else [word[k : k + WORD] for k in range(0, len(word), WORD)]
-    return out
+    return [SPACE + part for part in text.split(" ")]
 
 
 def _distinct(batches):
@@ -73,7 +70,7 @@ def _distinct(batches):
         for text, chunk in zip(b.column("text").to_pylist(), b.column("chunk").to_pylist(), strict=True):
             words = seen.setdefault(chunk, set())
             before = len(words)
-            words.update(split_words(text or ""))
+            words.update(w for w in split_words(text or "") if len(w) <= WORD)
             n += len(words) - before
         if n > 500_000:
             yield from flush(seen)
@@ -114,6 +111,28 @@ def encode_words(words: DataFrame, pieces: DataFrame, n_pieces: int, longest: in
     return lattice.select("word", viterbi(F.col("edges"), F.length("word")).alias("ids"))
 
 
+def long_word_ids(word: str, table: dict[str, tuple[int, float]], longest: int) -> list[int]:
+    """Ids of the best path of a word of any length, as encode_words gives them: same scores, and ties to the longer last piece."""
+    best, back = [0.0], [(0, 0)]
+    for stop in range(1, len(word) + 1):
+        score = None
+        for start in range(max(0, stop - longest), stop):
+            hit = table.get(word[start:stop])
+            if hit is None:
+                if stop - start > 1:
+                    continue
+                hit = (-ord(word[start]) - 1, BYTES_SCORE)
+            if score is None or best[start] + hit[1] > score:
+                score, way = best[start] + hit[1], (start, hit[0])
+        best.append(score)
+        back.append(way)
+    ids, at = [], len(word)
+    while at:
+        at, i = back[at]
+        ids.append(i)
+    return ids[::-1]
+
+
 def _ids_of(word: str, ids: list[int], spell: list[int]) -> bytes:
     if min(ids) < 0:
         ids = [x for i in ids for x in ([i] if i >= 0 else [spell[b] for b in chr(-i - 1).encode("utf-8", "surrogatepass")])]
@@ -135,11 +154,11 @@ def piece_bytes(model_path: str) -> list[bytes]:
 
 def _assemble(held, keep_ids: bool):
     def run(key, left, right):
-        spell, pieces = held.value
+        spell, pieces, table, longest = held.value
         known = {w: _ids_of(w, i, spell) for w, i in zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True)}
         out = []
         for doc, text in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True):
-            raw = b"".join([known[w] for w in split_words(text or "")])
+            raw = b"".join([known[w] if len(w) <= WORD else _ids_of(w, long_word_ids(w, table, longest), spell) for w in split_words(text or "")])
             same = decode(np.frombuffer(raw, "<i4"), pieces) == (text or "").replace(SPACE, " ")
             out.append((doc, len(raw) // 4, zlib.crc32(raw), same, raw if keep_ids else None))
         cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -168,6 +187,7 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFram
     known = saved(words.join(ids, "word").select(F.explode("chunks").alias("chunk"), "word", "ids"), "ids")
     release(spark)
     drop_saved(words)
-    held = spark.sparkContext.broadcast((byte_ids(model_path), piece_bytes(model_path)))
+    table = {r["piece"]: (r["id"], r["score"]) for r in pieces.collect()}
+    held = spark.sparkContext.broadcast((byte_ids(model_path), piece_bytes(model_path), table, size["m"]))
     out = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_assemble(held, keep_ids), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids binary")
     return out if keep_ids else out.drop("ids")
