@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import DATA, same
@@ -78,50 +79,68 @@ def test_codes_beat_a_single_book():
 # 2
 
 
-def brute_pieces():
+def brute_viterbi(word, v):
+    best = [(0.0, [])] + [(-math.inf, [])] * len(word)
+    for e in range(1, len(word) + 1):
+        for s in range(e):
+            hit = v.table.get(word[s:e])
+            if hit is None and e - s == 1:
+                hit = (-ord(word[s]) - 1, pieces.BYTES_SCORE)
+            if hit and best[s][0] + hit[1] > best[e][0]:
+                best[e] = (best[s][0] + hit[1], [*best[s][1], hit[0]])
+    return pieces.spelt(best[-1][1], v)
+
+
+LONG = ["international" * 12, "x" * 46 + "tion" * 30, "日本語の文章は空白がない" * 10, "aGVsbG8gd29ybGQ/" * 9, "\U0001f600the" * 20, "a" * 47, "a" * 48, "a" * 1000, "http://www." + "example-page/" * 6]
+ODD = ["  two  spaces   and more ", " ", "▁ own mark▁", "tab\tline\n\n  end", "\x00nul\x00", "e\u0301 ﬁ \r"]
+
+
+def test_pieces_are_those_of_the_library(spark, docs, rows, edge, empty):
     import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    table = {m.id_to_piece(i): (i, m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
-    spell = pieces.byte_ids(PIECES)
-
-    def encode(word):
-        best = [(0.0, [])] + [(-math.inf, [])] * len(word)
-        for e in range(1, len(word) + 1):
-            for s in range(e):
-                hit = table.get(word[s:e])
-                if hit is None and e - s == 1:
-                    hit = ([spell[b] for b in word[s:e].encode()], pieces.BYTES_SCORE)
-                if hit and best[s][0] + hit[1] > best[e][0]:
-                    best[e] = (best[s][0] + hit[1], best[s][1] + (hit[0] if isinstance(hit[0], list) else [hit[0]]))
-        return best[-1][1]
-
-    return encode
-
-
-def test_pieces(docs, rows, edge, empty):
-    encode = brute_pieces()
-    got = {r["doc_id"]: r for r in pieces.encode(docs.where("doc_id < 30"), PIECES, keep_ids=True).collect()}
-    for r in rows[:30]:
-        assert np.frombuffer(got[r["doc_id"]]["ids"], "<i4").tolist() == [i for w in pieces.split_words(r["text"]) for i in encode(w)]
-        assert got[r["doc_id"]]["round_trip"] and got[r["doc_id"]]["ids_crc32"] == zlib.crc32(got[r["doc_id"]]["ids"])
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: r for r in pieces.encode(docs, PIECES, keep_ids=True).collect()}
+    for r in rows:
+        own = got[r["doc_id"]]
+        assert np.frombuffer(own["ids"], "<i4").tolist() == library.encode(r["text"] or ""), r["doc_id"]
+        assert own["round_trip"] and own["ids_crc32"] == zlib.crc32(own["ids"]) and own["n_pieces"] == len(own["ids"]) // 4
+    texts = [*LONG, *ODD, f"the {LONG[0]} and {LONG[2]}"]
+    more = {r["doc_id"]: r for r in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES, keep_ids=True).collect()}
+    for k, text in enumerate(texts):
+        assert np.frombuffer(more[k]["ids"], "<i4").tolist() == library.encode(text) and more[k]["round_trip"], text
     more = pieces.encode(edge, PIECES).collect()
     assert len(more) == 10 and all(r["round_trip"] for r in more) and {r["n_pieces"] for r in more if r["doc_id"] in (2, 3)} == {0}
     assert pieces.encode(empty, PIECES).count() == 0
 
 
-def test_pieces_of_long_words(spark):
-    """Runs without spaces are one word, so pieces lie across every multiple of 48 characters."""
-    encode = brute_pieces()
-    runs = ["international" * 12, "x" * 46 + "tion" * 30, "日本語の文章は空白がない" * 10, "aGVsbG8gd29ybGQ/" * 9, "\U0001f600the" * 20, "a" * 47, "a" * 48]
-    texts = [*runs, f"the {runs[0]} and {runs[2]}"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pieces.encode(df, PIECES, keep_ids=True).collect()}
-    for k, text in enumerate(texts):
-        assert np.frombuffer(got[k]["ids"], "<i4").tolist() == [i for w in text.split(" ") for i in encode(pieces.SPACE + w)] and got[k]["round_trip"]
-    short = pieces.encode_words(spark.createDataFrame([(pieces.SPACE + r,) for r in runs], "word string"), pieces.piece_table(spark, PIECES), 1, 16).collect()
-    table = {r["piece"]: (r["id"], r["score"]) for r in pieces.piece_table(spark, PIECES).collect()}
-    assert all(r["ids"] == pieces.long_word_ids(r["word"], table, 16) for r in short)
+@pytest.mark.parametrize("fold", ["merges", "viterbi"])
+def test_both_folds_alike_in_lattice_and_task(spark, fold):
+    """The lattice and the fold in a task give the same ids, and Viterbi those of brute force."""
+    v = pieces.vocabulary(PIECES)
+    units = sorted({x for t in [*LONG, *ODD] for x in [pieces.shown(t)]})
+    got = {r["unit"]: pieces.spelt(r["ids"], v) for r in pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), pieces.piece_table(spark, PIECES), 1, v.longest, fold).collect()}
+    for u in units:
+        assert got[u] == pieces.spelt(pieces.long_unit_ids(u, v, fold), v)
+        if fold == "viterbi":
+            assert got[u] == brute_viterbi(u, v)
+
+
+def test_packets_of_few_texts(spark, docs, rows, monkeypatch):
+    """Many packets in a split, and hashes that all collide, change nothing."""
+    monkeypatch.setattr(pieces, "PACKET", 2000)
+    monkeypatch.setattr(pieces, "BLOB", 500)
+    batch = pa.record_batch({"doc_id": pa.array([r["doc_id"] for r in rows[:40]]), "text": pa.array([r["text"] for r in rows[:40]]), "chunk": pa.array([7] * 40, pa.int64())})
+    units, texts = (pa.Table.from_batches(list(f([batch]))).to_pydict() for f in (pieces._distinct(PIECES), pieces._pack))
+    v, whole = pieces.vocabulary(PIECES), {r["doc_id"]: r for r in pieces.encode(docs, PIECES).collect()}
+    assert len(set(units["packet"])) > 5 and set(units["packet"]) == set(texts["packet"])
+    for broken in (False, True):
+        for p in set(texts["packet"]):
+            own = [u for q, u in zip(units["packet"], units["unit"], strict=True) if q == p]
+            ids = [pieces.long_unit_ids(u, v) for u in own]
+            right = pa.table({"unit": own, "ids": ids[::-1] if broken else ids})
+            left = pa.table({"texts": pa.array([t for q, t in zip(texts["packet"], texts["texts"], strict=True) if q == p], pa.binary())})
+            for r in pieces._assemble(PIECES, "merges", False)(None, left, right).to_pylist():
+                assert all(r[c] == whole[r["doc_id"]][c] for c in ("n_pieces", "ids_crc32", "round_trip"))
 
 
 # 3

@@ -1,15 +1,22 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Words (a space and what follows up to the next space; the text begins with a space of its own) are made distinct.
-Their substrings of bounded length are exploded and joined to the piece table by equality;
-the matches are edges of a lattice, grouped by word; a Viterbi fold with Spark's aggregate keeps the best score and
-last piece for each end and reads the ids back. Words over WORD characters are not sent: they have the same lattice
-and fold in the task that holds their text, which keeps one state for each character. Characters without a piece go to the pieces of their bytes.
-Ids come back to the documents split by split: each input split sends its distinct words once.
+A text begins with a space of its own, and spaces are shown as SPACE. It is cut wherever the two neighbouring
+characters stand together in no piece of the vocabulary: no piece lies across such a place, so the units between cuts
+are encoded alone, whatever their length. Units are made distinct. Their substrings of bounded length are exploded and
+joined to the piece table by equality; the matches are edges of a lattice, grouped by unit; a fold with Spark's
+aggregate picks the path and gives its ids. There are two folds:
+
+* viterbi, for vocabularies whose scores are log-probabilities: the path with the greatest sum of scores;
+* merges, for vocabularies whose scores are merge ranks (the model in use): edges in the order of their scores join
+  the two parts of the path that they span. This gives the ids of the library; the greatest sum does not.
+
+Characters without a piece go to the pieces of their bytes. Ids come back to the texts by packets of at most PACKET
+bytes of texts of one input split: each packet sends its distinct units once.
 
 Defined cases
-* null or empty text: no pieces; decoding gives the empty text. Pieces never span words.
-* ties in score: the longer last piece. Texts of any length are read whole.
+* null or empty text: no pieces; decoding gives the empty text.
+* merges: of equal edges the first one; viterbi: ties to the longer last piece. Texts of any length are read whole.
+* units over UNIT characters are not sent, but fold whole in the task that holds the text, by the same rule.
 * null doc_id: encoded, too. Repeated rows: each is returned. Other columns are ignored. Empty table: empty result.
 """
 
@@ -23,63 +30,149 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, release, saved
+from .chars import blocks
+from .common import saved
 
 SPACE = "▁"
-#: Characters up to which words are made distinct and sent to the lattice.
-WORD = 48
+#: Characters up to which units are made distinct and sent to the lattice.
+UNIT = 64
+#: Bytes of texts that share a dictionary, at most (a longer text has one of its own); bytes packed together on the way there.
+PACKET, BLOB = 1 << 25, 1 << 20
 #: Pieces up to which the table is broadcast; a larger vocabulary is joined by shuffle.
 BROADCAST_PIECES = 300_000
 #: Score of a character that only bytes can spell.
 BYTES_SCORE = -1e7
+_U = np.uint64
+_R = 0x9E3779B97F4A7C15
+_INV = pow(_R, -1, 1 << 64)
+
+
+class Vocabulary:
+    """Pieces of a model file: ids and scores, byte pieces, and which characters stand together in a piece."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = m.get_piece_size()
+        self.table = {m.id_to_piece(i): (i, float(m.get_score(i))) for i in range(size) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
+        self.spell = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        shown = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).encode() for i in range(size)]
+        self.pool = np.frombuffer(b"".join(shown), np.uint8)
+        self.width = np.array([len(x) for x in shown], np.int64)
+        self.longest = max(map(len, self.table))
+        self.pairs = {p[k : k + 2] for p in self.table for k in range(len(p) - 1)}
+        chars = sorted({c for x in self.pairs for c in x})
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.together = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, b in self.pairs:
+            self.together[self.kind[ord(a)], self.kind[ord(b)]] = True
+
+
+_vocabularies: dict[str, Vocabulary] = {}
 
 
-def piece_table(spark: SparkSession, model_path: str) -> DataFrame:
+def vocabulary(path: str) -> Vocabulary:
+    """One for each Python process."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """piece, id, score of a model's ordinary pieces. The file bounds its size."""
-    import sentencepiece
+    return spark.createDataFrame([(p, i, s) for p, (i, s) in vocabulary(path).table.items()], "piece string, id int, score double")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(32))
 
-    m = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    rows = [(m.id_to_piece(i), i, float(m.get_score(i))) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
 
+_powers = [np.ones(1, _U), np.ones(1, _U)]
 
-def byte_ids(model_path: str) -> list[int]:
-    import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+def _power(k: int, n: int) -> np.ndarray:
+    if len(_powers[k]) < n:
+        out = np.full(max(n, 1 << 20), (_R, _INV)[k], _U)
+        out[0] = 1
+        _powers[k] = np.multiply.accumulate(out)
+    return _powers[k][:n]
 
 
-def split_words(text: str) -> list[str]:
-    """Words of a text, whose concatenation is the text with a space in front and spaces as SPACE."""
-    if not text:
-        return []
-    return [SPACE + part for part in text.split(" ")]
+def shown(text: str | None) -> str:
+    """The text as the pieces spell it."""
+    return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def _distinct(batches):
-    def flush(seen):
-        for chunk, words in seen.items():
-            words = sorted(words)
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                yield pa.record_batch({"chunk": pa.array([chunk] * len(part), pa.int64()), "word": pa.array(part, pa.string())})
+def cut_units(texts: list[str], v: Vocabulary):
+    """Joined texts (as shown), first character of each unit and the end of all, hash of each unit, first unit of each text and the end."""
+    joined = "".join(texts)
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(size) - size
+    k = v.kind[c]
+    cut = np.ones(len(c), bool)
+    cut[1:] = ~v.together[k[:-1], k[1:]]
+    cut[begin[size > 0]] = True
+    start = np.flatnonzero(cut)
+    sums = np.concatenate([[_U(0)], np.cumsum(_mix(c.astype(_U) + _U(1)) * _power(0, len(c)), dtype=_U)])
+    edge = np.append(start, len(c))
+    h = _mix((sums[edge[1:]] - sums[edge[:-1]]) * _power(1, len(c))[start] + np.diff(edge).astype(_U) * _U(0x8CB92BA72F3D8DD7))
+    return joined, edge, h, np.searchsorted(start, np.append(begin, len(c)))
 
-    seen, n = {}, 0
+
+def _packets(batches, columns: list[str]):
+    """(packet, rows) in order: texts of one input split, of PACKET bytes at most; a row is (text as shown, *columns)."""
+    done: dict[int, int] = {}
+    held: dict[int, list] = {}
     for b in batches:
-        for text, chunk in zip(b.column("text").to_pylist(), b.column("chunk").to_pylist(), strict=True):
-            words = seen.setdefault(chunk, set())
-            before = len(words)
-            words.update(w for w in split_words(text or "") if len(w) <= WORD)
-            n += len(words) - before
-        if n > 500_000:
-            yield from flush(seen)
-            seen, n = {}, 0
-    yield from flush(seen)
+        for text, chunk, *rest in zip(b.column("text").to_pylist(), b.column("chunk").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
+            n = done.get(chunk, 0)
+            packet = (chunk ^ (n // PACKET) * 0x5851F42D4C957F2D) & 0x7FFFFFFFFFFFFFFF
+            done[chunk] = n + len(text or "")
+            rows = held.setdefault(packet, [])
+            rows.append((shown(text), *rest))
+        for packet in [p for p, rows in held.items() if sum(len(r[0]) for r in rows) >= BLOB]:
+            yield packet, held.pop(packet)
+    yield from held.items()
+
+
+def _distinct(path: str):
+    """packet, unit: distinct units of each packet, short ones only."""
+
+    def run(batches):
+        v, now, seen = vocabulary(path), None, np.zeros(0, _U)
+        for packet, rows in _packets(batches, []):
+            if packet != now:
+                now, seen = packet, np.zeros(0, _U)
+            for part in blocks([r[0] for r in rows], len, 1 << 20):
+                joined, edge, h, _ = cut_units(part, v)
+                u, first = np.unique(h, return_index=True)
+                new = ~np.isin(u, seen, assume_unique=True)
+                seen = np.union1d(seen, u[new])
+                found = [joined[a:z] for a, z in zip(edge[first[new]].tolist(), edge[first[new] + 1].tolist(), strict=True) if z - a <= UNIT]
+                yield pa.record_batch({"packet": pa.array(np.full(len(found), packet, np.int64)), "unit": pa.array(found, pa.string())})
+
+    return run
+
+
+ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _pack(batches):
+    """packet, texts: rows of ROWS as compressed Arrow streams."""
+    for packet, rows in _packets(batches, ["doc_id"]):
+        for part in blocks(rows, lambda r: len(r[0]), BLOB):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(pa.record_batch([pa.array([r[1] for r in part], pa.int64()), pa.array([r[0] for r in part], pa.string())], schema=ROWS))
+            yield pa.record_batch({"packet": pa.array([packet], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
 def viterbi(edges: Column, length: Column) -> Column:
-    """Ids of the best path. edges: (stop, start, score, id) sorted by stop and start; a null id stands for bytes.
+    """Ids of the path with the greatest sum. edges: (stop, start, score, id) sorted by stop and start.
 
     The state holds for each end reached so far its best score and the ids up to it.
     """
@@ -98,69 +191,155 @@ def viterbi(edges: Column, length: Column) -> Column:
     return F.aggregate(edges, start, step, lambda state: F.get(state, length)["ids"])
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, n_pieces: int, longest: int) -> DataFrame:
-    """word, ids of distinct words; -c - 1 in ids is a character c to be spelt by bytes."""
-    n = F.length("word")
-    at = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    at = at.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
-    parts = at.select("word", "start", (F.col("start") + F.col("size")).alias("stop"), "size", F.expr("substring(word, start + 1, size)").alias("piece"))
-    table = F.broadcast(pieces) if n_pieces <= BROADCAST_PIECES else pieces
-    met = parts.join(table, "piece", "left").where("id IS NOT NULL OR size = 1")
-    edge = F.struct("stop", "start", F.coalesce("score", F.lit(BYTES_SCORE)).alias("score"), F.coalesce("id", -F.ascii("piece") - 1).alias("id"))
-    lattice = met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    return lattice.select("word", viterbi(F.col("edges"), F.length("word")).alias("ids"))
-
-
-def long_word_ids(word: str, table: dict[str, tuple[int, float]], longest: int) -> list[int]:
-    """Ids of the best path of a word of any length, as encode_words gives them: same scores, and ties to the longer last piece."""
-    best, back = [0.0], [(0, 0)]
-    for stop in range(1, len(word) + 1):
-        score = None
-        for start in range(max(0, stop - longest), stop):
-            hit = table.get(word[start:stop])
-            if hit is None:
-                if stop - start > 1:
-                    continue
-                hit = (-ord(word[start]) - 1, BYTES_SCORE)
-            if score is None or best[start] + hit[1] > score:
-                score, way = best[start] + hit[1], (start, hit[0])
-        best.append(score)
-        back.append(way)
-    ids, at = [], len(word)
-    while at:
-        at, i = back[at]
-        ids.append(i)
-    return ids[::-1]
-
-
-def _ids_of(word: str, ids: list[int], spell: list[int]) -> bytes:
-    if min(ids) < 0:
-        ids = [x for i in ids for x in ([i] if i >= 0 else [spell[b] for b in chr(-i - 1).encode("utf-8", "surrogatepass")])]
-    return np.array(ids, "<i4").tobytes()
-
-
-def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
-    """Text of ids: pieces (as bytes) joined, SPACE turned into spaces, the first space dropped."""
-    text = b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+def merges(singles: Column, edges: Column, length: Column) -> Column:
+    """Ids of the path that merging gives. singles: (start, id) of the characters in order; edges: (rank, start, stop, id) in order.
 
+    The state holds the places where parts of the path start, with the length at the end, and the ids of the parts.
+    An edge is taken if two parts next to each other fill it.
+    """
+    begin = F.struct(F.concat(F.transform(singles, lambda x: x["start"]), F.array(length)).alias("at"), F.transform(singles, lambda x: x["id"]).alias("ids"))
+
+    def step(state: Column, e: Column) -> Column:
+        at, ids = state["at"], state["ids"]
+        k = F.array_position(at, e["start"]).cast("int")
+        joined = F.struct(
+            F.concat(F.slice(at, 1, k), F.slice(at, k + 2, F.size(at))).alias("at"),
+            F.concat(F.slice(ids, 1, k - 1), F.array(e["id"]), F.slice(ids, k + 2, F.size(ids))).alias("ids"),
+        )
+        return F.when((k > 0) & F.coalesce(F.get(at, k + 1) == e["stop"], F.lit(False)), joined).otherwise(state)
+
+    return F.aggregate(edges, begin, step, lambda state: state["ids"])
 
-def piece_bytes(model_path: str) -> list[bytes]:
-    import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).encode() for i in range(m.get_piece_size())]
+def encode_units(units: DataFrame, pieces: DataFrame, n_pieces: int, longest: int, fold: str = "merges") -> DataFrame:
+    """unit, ids, and the other columns of distinct units; -c - 1 in ids is a character c to be spelt by bytes."""
+    others = [c for c in units.columns if c != "unit"]
+    n = F.length("unit")
+    at = units.select("unit", *others, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    at = at.select("unit", *others, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
+    parts = at.select("unit", *others, "start", "size", F.expr("substring(unit, start + 1, size)").alias("piece"))
+    table = F.broadcast(pieces) if n_pieces <= BROADCAST_PIECES else pieces
+    met = parts.join(table, "piece", "left").where("id IS NOT NULL OR size = 1")
+    stop, own = (F.col("start") + F.col("size")).alias("stop"), F.coalesce("id", -F.ascii("piece") - 1).alias("id")
+    rest = [F.first(c).alias(c) for c in others]
+    if fold == "viterbi":
+        edge = F.struct(stop, "start", F.coalesce("score", F.lit(BYTES_SCORE)).alias("score"), own)
+        lattice = met.groupBy("unit").agg(*rest, F.array_sort(F.collect_list(edge)).alias("edges"))
+        return lattice.select("unit", *others, viterbi(F.col("edges"), n).alias("ids"))
+    if fold != "merges":
+        raise ValueError("fold is merges or viterbi")
+    edge, single = F.struct((-F.col("score")).alias("rank"), "start", stop, own), F.struct("start", own)
+    lattice = met.groupBy("unit").agg(
+        *rest, F.array_sort(F.collect_list(F.when(F.col("size") == 1, single))).alias("singles"), F.array_sort(F.collect_list(F.when(F.col("size") > 1, edge))).alias("edges")
+    )
+    return lattice.select("unit", *others, merges(F.col("singles"), F.col("edges"), n).alias("ids"))
+
+
+def long_unit_ids(unit: str, v: Vocabulary, fold: str = "merges") -> list[int]:
+    """Ids of a unit of any length, as encode_units gives them."""
+    n = len(unit)
+    if fold == "viterbi":
+        best, back = [0.0], [(0, 0)]
+        for stop in range(1, n + 1):
+            score = None
+            for start in range(max(0, stop - v.longest), stop):
+                hit = v.table.get(unit[start:stop]) or ((-ord(unit[start]) - 1, BYTES_SCORE) if stop - start == 1 else None)
+                if hit and (score is None or best[start] + hit[1] > score):
+                    score, way = best[start] + hit[1], (start, hit[0])
+            best.append(score)
+            back.append(way)
+        ids, at = [], n
+        while at:
+            at, i = back[at]
+            ids.append(i)
+        return ids[::-1]
+    edges = [(-hit[1], s, s + k, hit[0]) for s in range(n) for k in range(2, min(v.longest, n - s) + 1) if (hit := v.table.get(unit[s : s + k]))]
+    ids = [v.table[c][0] if c in v.table else -ord(c) - 1 for c in unit]
+    follow, live = list(range(1, n + 2)), [True] * (n + 1)
+    for _, s, e, i in sorted(edges):
+        mid = follow[s]
+        if live[s] and mid < e and follow[mid] == e:
+            follow[s], live[mid], ids[s] = e, False, i
+    return [i for i, ok in zip(ids, live, strict=False) if ok]
+
+
+def spelt(ids: list[int], v: Vocabulary) -> list[int]:
+    return [x for i in ids for x in ([i] if i >= 0 else [v.spell[b] for b in chr(-i - 1).encode("utf-8", "surrogatepass")])]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Concatenated ranges starts[i] .. starts[i] + sizes[i]."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
+def decode(ids: np.ndarray, v: Vocabulary) -> str:
+    """Text of ids: pieces joined, SPACE turned into spaces, the first space dropped."""
+    at = np.cumsum(v.width) - v.width
+    text = v.pool[_ranges(at[ids], v.width[ids])].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:] if text.startswith(" ") else text
 
 
-def _assemble(held, keep_ids: bool):
+class _Dictionary:
+    """Hashes of units (sorted), and the ids of each in one array."""
+
+    def __init__(self, units: list[str], ids: list[list[int]], v: Vocabulary):
+        h = np.concatenate([np.zeros(0, _U), *(cut_units(part, v)[2] for part in blocks(units, len, 1 << 20))])
+        order = np.argsort(h)
+        own = [ids[k] for k in order]
+        own = [x if min(x) >= 0 else spelt(x, v) for x in own]
+        self.h, self.size = h[order], np.array([len(x) for x in own], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.flat = np.array([i for x in own for i in x], "<i4")
+
+    def find(self, h: np.ndarray):
+        """Place of each hash, and which of them are here."""
+        if not len(self.h):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return at, self.h[at] == h
+
+
+def _ids_of(texts: list[str], known: _Dictionary, v: Vocabulary, fold: str):
+    """Flat ids of some texts (as shown), and where each text's ids start and end."""
+    joined, edge, h, first = cut_units(texts, v)
+    u, which = np.unique(h, return_inverse=True)
+    at, here = known.find(u)
+    at, here = at[which], here[which]
+    size = np.where(here, known.size[at] if len(known.h) else 0, 0)
+    own = {}
+    for k in np.flatnonzero(~here).tolist():
+        own[k] = spelt(long_unit_ids(joined[edge[k] : edge[k + 1]], v, fold), v)
+        size[k] = len(own[k])
+    stop = np.cumsum(size)
+    flat = np.zeros(int(stop[-1]) if len(stop) else 0, "<i4")
+    ok = np.repeat(here, size)
+    flat[ok] = known.flat[_ranges(known.at[at[here]], size[here])] if here.any() else 0
+    for k, x in own.items():
+        flat[stop[k] - size[k] : stop[k]] = x
+    return flat, np.concatenate([[0], stop])[first]
+
+
+def _assemble(path: str, fold: str, keep_ids: bool):
     def run(key, left, right):
-        spell, pieces, table, longest = held.value
-        known = {w: _ids_of(w, i, spell) for w, i in zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True)}
-        out = []
-        for doc, text in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True):
-            raw = b"".join([known[w] if len(w) <= WORD else _ids_of(w, long_word_ids(w, table, longest), spell) for w in split_words(text or "")])
-            same = decode(np.frombuffer(raw, "<i4"), pieces) == (text or "").replace(SPACE, " ")
-            out.append((doc, len(raw) // 4, zlib.crc32(raw), same, raw if keep_ids else None))
+        v = vocabulary(path)
+        known, out = _Dictionary(right.column("unit").to_pylist(), right.column("ids").to_pylist(), v), []
+        place = np.cumsum(v.width) - v.width
+        for blob in left.column("texts").to_pylist():
+            rows = pa.ipc.open_stream(blob).read_all()
+            for part in blocks(list(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True)), lambda r: len(r[1]), 1 << 20):
+                texts = [r[1] for r in part]
+                flat, cut = _ids_of(texts, known, v, fold)
+                # Decoding all at once; where it differs, text by text, without the dictionary.
+                whole = v.pool[_ranges(place[flat], v.width[flat])].tobytes() == "".join(texts).encode("utf-8", "surrogatepass")
+                for (doc, text), a, z in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    ids, same = flat[a:z], whole
+                    if not whole:
+                        want = text[1:].replace(SPACE, " ")
+                        if decode(ids, v) != want:
+                            ids = _ids_of([text], _Dictionary([], [], v), v, fold)[0]
+                        same = decode(ids, v) == want
+                    raw = ids.tobytes()
+                    out.append((doc, len(ids), zlib.crc32(raw), same, raw if keep_ids else None))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids"])
@@ -168,7 +347,7 @@ def _assemble(held, keep_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, keep_ids: bool = False, fold: str = "merges") -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian 32-bit ids), round_trip (decoding gives the text back), ids."""
     spark = docs.sparkSession
     try:
@@ -177,17 +356,12 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFram
         docs = saved(docs.select("doc_id", "text"), "docs")
     chunk = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", chunk.alias("chunk"))
-    pieces = piece_table(spark, model_path)
-    size = pieces.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("piece")).alias("m")).first()
-    pairs = rows.select("text", "chunk").mapInArrow(_distinct, "chunk long, word string")
-    # One shuffle by word: its splits stay beside it, and the lattice is grouped where the word already is.
-    words = saved(pairs.groupBy("word").agg(F.collect_set("chunk").alias("chunks")), "words")
-    release(spark)
-    ids = encode_words(words.select("word"), pieces, size["n"], size["m"])
-    known = saved(words.join(ids, "word").select(F.explode("chunks").alias("chunk"), "word", "ids"), "ids")
-    release(spark)
-    drop_saved(words)
-    table = {r["piece"]: (r["id"], r["score"]) for r in pieces.collect()}
-    held = spark.sparkContext.broadcast((byte_ids(model_path), piece_bytes(model_path), table, size["m"]))
-    out = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_assemble(held, keep_ids), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids binary")
+    v = vocabulary(model_path)
+    pairs = rows.select("text", "chunk").mapInArrow(_distinct(model_path), "packet long, unit string")
+    # One shuffle by unit: its packets stay beside it, and the lattice is grouped where the unit already is.
+    units = pairs.groupBy("unit").agg(F.collect_set("packet").alias("packets"))
+    ids = encode_units(units, piece_table(spark, model_path), len(v.table), v.longest, fold)
+    known = ids.select(F.explode("packets").alias("packet"), "unit", "ids")
+    texts = rows.mapInArrow(_pack, "packet long, texts binary")
+    out = texts.groupBy("packet").cogroup(known.groupBy("packet")).applyInArrow(_assemble(model_path, fold, keep_ids), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids binary")
     return out if keep_ids else out.drop("ids")
