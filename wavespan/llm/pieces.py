@@ -4,7 +4,7 @@ A text begins with a space of its own, and spaces are shown as SPACE. It is cut
 characters stand together in no piece of the vocabulary: no piece lies across such a place, so the units between cuts
 are encoded alone, whatever their length. Units are made distinct. Their substrings of bounded length are exploded and
 joined to the piece table by equality; the matches are edges of a lattice, grouped by unit; a fold with Spark's
-aggregate picks the path and gives its ids. There are two folds:
+aggregate picks the path, as a number whose bits are the places where pieces start or end. There are two folds:
 
 * viterbi, for vocabularies whose scores are log-probabilities: the path with the greatest sum of scores;
 * merges, for vocabularies whose scores are merge ranks (the model in use): edges in the order of their scores join
@@ -35,7 +35,7 @@ from .common import saved
 
 SPACE = "▁"
 #: Characters up to which units are made distinct and sent to the lattice.
-UNIT = 64
+UNIT = 62
 #: Bytes of texts that share a dictionary, at most (a longer text has one of its own); bytes packed together on the way there.
 PACKET, BLOB = 1 << 25, 1 << 20
 #: Pieces up to which the table is broadcast; a larger vocabulary is joined by shuffle.
@@ -56,18 +56,35 @@ class Vocabulary:
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         size = m.get_piece_size()
         self.table = {m.id_to_piece(i): (i, float(m.get_score(i))) for i in range(size) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
+        self.longest = max(map(len, self.table))
+        #: Pieces of several characters in the order of their scores.
+        self.ranked = sorted((p for p in self.table if len(p) > 1), key=lambda p: (-self.table[p][1], self.table[p][0]))
+        names = sorted(self.table, key=self.table.get)
+        h = _hashes(_points("".join(names)).astype(_U), np.concatenate([[0], np.cumsum(list(map(len, names)))]))
+        order = np.argsort(h)
+        self.hashes, self.hash_ids = h[order], np.array([self.table[p][0] for p in names], np.int32)[order]
+        self.char_id = np.full(0x110000, -1, np.int32)
+        for p, (i, _) in self.table.items():
+            if len(p) == 1:
+                self.char_id[ord(p)] = i
         self.spell = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         shown = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).encode() for i in range(size)]
         self.pool = np.frombuffer(b"".join(shown), np.uint8)
-        self.width = np.array([len(x) for x in shown], np.int64)
-        self.longest = max(map(len, self.table))
-        self.pairs = {p[k : k + 2] for p in self.table for k in range(len(p) - 1)}
-        chars = sorted({c for x in self.pairs for c in x})
-        self.kind = np.zeros(0x110000, np.uint16)
+        self.width = np.array([len(x) for x in shown], np.int32)
+        self.place = np.cumsum(self.width, dtype=np.int32) - self.width
+        pairs = {p[k : k + 2] for p in self.table for k in range(len(p) - 1)}
+        chars = sorted({c for x in pairs for c in x})
+        self.kind = np.zeros(0x110000, np.int32)
         self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.together = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        for a, b in self.pairs:
-            self.together[self.kind[ord(a)], self.kind[ord(b)]] = True
+        self.kinds = len(chars) + 1
+        self.together = np.zeros(self.kinds**2, bool)
+        for a, b in pairs:
+            self.together[self.kind[ord(a)] * self.kinds + self.kind[ord(b)]] = True
+
+    def ids_of(self, h: np.ndarray) -> np.ndarray:
+        """Ids of pieces by their hashes; -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.hash_ids[at], -1).astype(np.int32)
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -81,8 +98,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, score of a model's ordinary pieces. The file bounds its size."""
-    return spark.createDataFrame([(p, i, s) for p, (i, s) in vocabulary(path).table.items()], "piece string, id int, score double")
+    """piece, id, score, rank (of pieces of several characters, by score) of a model's ordinary pieces. The file bounds its size."""
+    v = vocabulary(path)
+    rank = {p: k for k, p in enumerate(v.ranked)}
+    return spark.createDataFrame([(p, i, s, rank.get(p)) for p, (i, s) in v.table.items()], "piece string, id int, score double, rank long")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,21 +125,31 @@ def shown(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def _hashes(c: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """64-bit hash of the code points between one edge and the next."""
+    sums = np.zeros(len(c) + 1, _U)
+    np.cumsum((c + _U(1)) * _U(0xD6E8FEB86659FD93) * _power(0, len(c)), out=sums[1:])
+    at = sums[edge]
+    return _mix(_mix((at[1:] - at[:-1]) * _power(1, len(c) + 1)[edge[:-1]]) + np.diff(edge).astype(_U) * _U(0x8CB92BA72F3D8DD7))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def cut_units(texts: list[str], v: Vocabulary):
     """Joined texts (as shown), first character of each unit and the end of all, hash of each unit, first unit of each text and the end."""
     joined = "".join(texts)
-    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = _points(joined)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(size) - size
-    k = v.kind[c]
+    k = np.take(v.kind, c)
     cut = np.ones(len(c), bool)
-    cut[1:] = ~v.together[k[:-1], k[1:]]
+    np.logical_not(np.take(v.together, k[:-1] * v.kinds + k[1:]), out=cut[1:])
     cut[begin[size > 0]] = True
     start = np.flatnonzero(cut)
-    sums = np.concatenate([[_U(0)], np.cumsum(_mix(c.astype(_U) + _U(1)) * _power(0, len(c)), dtype=_U)])
     edge = np.append(start, len(c))
-    h = _mix((sums[edge[1:]] - sums[edge[:-1]]) * _power(1, len(c))[start] + np.diff(edge).astype(_U) * _U(0x8CB92BA72F3D8DD7))
-    return joined, edge, h, np.searchsorted(start, np.append(begin, len(c)))
+    return joined, edge, _hashes(c.astype(_U), edge), np.searchsorted(start, np.append(begin, len(c)))
 
 
 def _packets(batches, columns: list[str]):
@@ -140,7 +169,7 @@ def _packets(batches, columns: list[str]):
 
 
 def _distinct(path: str):
-    """packet, unit: distinct units of each packet, short ones only."""
+    """packet, unit: distinct units of each packet, but those of one character and long ones."""
 
     def run(batches):
         v, now, seen = vocabulary(path), None, np.zeros(0, _U)
@@ -149,10 +178,14 @@ def _distinct(path: str):
                 now, seen = packet, np.zeros(0, _U)
             for part in blocks([r[0] for r in rows], len, 1 << 20):
                 joined, edge, h, _ = cut_units(part, v)
-                u, first = np.unique(h, return_index=True)
-                new = ~np.isin(u, seen, assume_unique=True)
-                seen = np.union1d(seen, u[new])
-                found = [joined[a:z] for a, z in zip(edge[first[new]].tolist(), edge[first[new] + 1].tolist(), strict=True) if z - a <= UNIT]
+                size = np.diff(edge)
+                own = np.flatnonzero((size > 1) & (size <= UNIT))
+                u, first = np.unique(h[own], return_index=True)
+                at = np.minimum(np.searchsorted(seen, u), max(0, len(seen) - 1))
+                new = seen[at] != u if len(seen) else np.ones(len(u), bool)
+                seen = np.sort(np.concatenate([seen, u[new]]), kind="stable")
+                first = own[first[new]]
+                found = sorted(joined[a:z] for a, z in zip(edge[first].tolist(), edge[first + 1].tolist(), strict=True))
                 yield pa.record_batch({"packet": pa.array(np.full(len(found), packet, np.int64)), "unit": pa.array(found, pa.string())})
 
     return run
@@ -166,21 +199,25 @@ def _pack(batches):
     for packet, rows in _packets(batches, ["doc_id"]):
         for part in blocks(rows, lambda r: len(r[0]), BLOB):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
                 w.write_batch(pa.record_batch([pa.array([r[1] for r in part], pa.int64()), pa.array([r[0] for r in part], pa.string())], schema=ROWS))
             yield pa.record_batch({"packet": pa.array([packet], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
 def viterbi(edges: Column, length: Column) -> Column:
-    """Ids of the path with the greatest sum. edges: (stop, start, score, id) sorted by stop and start.
+    """The path with the greatest sum. edges: (stop, start, score) sorted by stop and start.
 
-    The state holds for each end reached so far its best score and the ids up to it.
+    The state holds for each end reached so far its best score and the path up to it.
     """
-    start = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("ids")))
+    start = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(1).cast("long").alias("path")))
 
     def step(state: Column, e: Column) -> Column:
         before = F.get(state, e["start"])
-        now = F.struct((before["s"] + e["score"]).alias("s"), F.concat(before["ids"], F.array(e["id"])).alias("ids"))
+        now = F.struct((before["s"] + e["score"]).alias("s"), before["path"].bitwiseOR(_bit(e["stop"])).alias("path"))
         last = F.get(state, e["stop"])
         return (
             F.when(F.size(state) <= e["stop"], F.concat(state, F.array(now)))
@@ -188,55 +225,46 @@ def viterbi(edges: Column, length: Column) -> Column:
             .otherwise(state)
         )
 
-    return F.aggregate(edges, start, step, lambda state: F.get(state, length)["ids"])
+    return F.aggregate(edges, start, step, lambda state: F.get(state, length)["path"])
 
 
-def merges(singles: Column, edges: Column, length: Column) -> Column:
-    """Ids of the path that merging gives. singles: (start, id) of the characters in order; edges: (rank, start, stop, id) in order.
+def merges(edges: Column, length: Column, bits: int) -> Column:
+    """The path that merging gives. edges: sorted numbers of rank, start (6 bits) and size (`bits` bits).
 
-    The state holds the places where parts of the path start, with the length at the end, and the ids of the parts.
-    An edge is taken if two parts next to each other fill it.
+    The path starts as all characters alone. An edge is taken if it starts and ends at bits with one bit in between, which goes.
     """
-    begin = F.struct(F.concat(F.transform(singles, lambda x: x["start"]), F.array(length)).alias("at"), F.transform(singles, lambda x: x["id"]).alias("ids"))
 
-    def step(state: Column, e: Column) -> Column:
-        at, ids = state["at"], state["ids"]
-        k = F.array_position(at, e["start"]).cast("int")
-        joined = F.struct(
-            F.concat(F.slice(at, 1, k), F.slice(at, k + 2, F.size(at))).alias("at"),
-            F.concat(F.slice(ids, 1, k - 1), F.array(e["id"]), F.slice(ids, k + 2, F.size(ids))).alias("ids"),
-        )
-        return F.when((k > 0) & F.coalesce(F.get(at, k + 1) == e["stop"], F.lit(False)), joined).otherwise(state)
+    def step(path: Column, e: Column) -> Column:
+        start, size = F.shiftright(e, bits).bitwiseAND(F.lit(63)).cast("int"), e.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        part = F.call_function("shiftright", path, start).bitwiseAND(_bit(size + 1) - 1)
+        taken = (F.bit_count(part) == 3) & (part.bitwiseAND(_bit(size) + 1) == _bit(size) + 1)
+        return F.when(taken, path - F.call_function("shiftleft", part - _bit(size) - 1, start)).otherwise(path)
 
-    return F.aggregate(edges, begin, step, lambda state: state["ids"])
+    return F.aggregate(edges, _bit(length + 1) - 1, step)
 
 
-def encode_units(units: DataFrame, pieces: DataFrame, n_pieces: int, longest: int, fold: str = "merges") -> DataFrame:
-    """unit, ids, and the other columns of distinct units; -c - 1 in ids is a character c to be spelt by bytes."""
-    others = [c for c in units.columns if c != "unit"]
+def encode_units(units: DataFrame, pieces: DataFrame, v: Vocabulary, fold: str = "merges") -> DataFrame:
+    """unit, path of distinct units that a piece of several characters fits into."""
     n = F.length("unit")
-    at = units.select("unit", *others, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    at = at.select("unit", *others, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
-    parts = at.select("unit", *others, "start", "size", F.expr("substring(unit, start + 1, size)").alias("piece"))
-    table = F.broadcast(pieces) if n_pieces <= BROADCAST_PIECES else pieces
-    met = parts.join(table, "piece", "left").where("id IS NOT NULL OR size = 1")
-    stop, own = (F.col("start") + F.col("size")).alias("stop"), F.coalesce("id", -F.ascii("piece") - 1).alias("id")
-    rest = [F.first(c).alias(c) for c in others]
-    if fold == "viterbi":
-        edge = F.struct(stop, "start", F.coalesce("score", F.lit(BYTES_SCORE)).alias("score"), own)
-        lattice = met.groupBy("unit").agg(*rest, F.array_sort(F.collect_list(edge)).alias("edges"))
-        return lattice.select("unit", *others, viterbi(F.col("edges"), n).alias("ids"))
-    if fold != "merges":
+    least = 2 if fold == "merges" else 1
+    at = units.where(n >= least).select("unit", F.explode(F.sequence(F.lit(0), n - least)).alias("start"))
+    at = at.select("unit", "start", F.explode(F.sequence(F.lit(least), F.least(F.lit(v.longest), n - F.col("start")))).alias("size"))
+    parts = at.select("unit", "start", "size", F.expr("substring(unit, start + 1, size)").alias("piece"))
+    table = F.broadcast(pieces) if len(v.table) <= BROADCAST_PIECES else pieces
+    if fold == "merges":
+        bits = v.longest.bit_length()
+        edge = F.shiftleft("rank", bits + 6) + F.shiftleft(F.col("start").cast("long"), bits) + F.col("size")
+        lattice = parts.join(table.select("piece", "rank"), "piece").groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+        return lattice.select("unit", merges(F.col("edges"), n, bits).alias("path"))
+    if fold != "viterbi":
         raise ValueError("fold is merges or viterbi")
-    edge, single = F.struct((-F.col("score")).alias("rank"), "start", stop, own), F.struct("start", own)
-    lattice = met.groupBy("unit").agg(
-        *rest, F.array_sort(F.collect_list(F.when(F.col("size") == 1, single))).alias("singles"), F.array_sort(F.collect_list(F.when(F.col("size") > 1, edge))).alias("edges")
-    )
-    return lattice.select("unit", *others, merges(F.col("singles"), F.col("edges"), n).alias("ids"))
+    met = parts.join(table, "piece", "left").where("score IS NOT NULL OR size = 1")
+    edge = F.struct((F.col("start") + F.col("size")).alias("stop"), "start", F.coalesce("score", F.lit(BYTES_SCORE)).alias("score"))
+    return met.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges")).select("unit", viterbi(F.col("edges"), n).alias("path"))
 
 
 def long_unit_ids(unit: str, v: Vocabulary, fold: str = "merges") -> list[int]:
-    """Ids of a unit of any length, as encode_units gives them."""
+    """Ids of pieces of a unit of any length, by the same folds."""
     n = len(unit)
     if fold == "viterbi":
         best, back = [0.0], [(0, 0)]
@@ -252,44 +280,61 @@ def long_unit_ids(unit: str, v: Vocabulary, fold: str = "merges") -> list[int]:
         while at:
             at, i = back[at]
             ids.append(i)
-        return ids[::-1]
+        return spelt(ids[::-1], v)
     edges = [(-hit[1], s, s + k, hit[0]) for s in range(n) for k in range(2, min(v.longest, n - s) + 1) if (hit := v.table.get(unit[s : s + k]))]
-    ids = [v.table[c][0] if c in v.table else -ord(c) - 1 for c in unit]
+    ids = [-ord(c) - 1 for c in unit]
     follow, live = list(range(1, n + 2)), [True] * (n + 1)
     for _, s, e, i in sorted(edges):
         mid = follow[s]
         if live[s] and mid < e and follow[mid] == e:
             follow[s], live[mid], ids[s] = e, False, i
-    return [i for i, ok in zip(ids, live, strict=False) if ok]
+    return spelt([i for i, ok in zip(ids, live, strict=False) if ok], v)
 
 
 def spelt(ids: list[int], v: Vocabulary) -> list[int]:
-    return [x for i in ids for x in ([i] if i >= 0 else [v.spell[b] for b in chr(-i - 1).encode("utf-8", "surrogatepass")])]
+    """ids with the pieces of characters -c - 1: their own, or those of their bytes."""
+    out = []
+    for i in ids:
+        if i >= 0 or v.char_id[-i - 1] >= 0:
+            out.append(i if i >= 0 else int(v.char_id[-i - 1]))
+        else:
+            out += [v.spell[b] for b in chr(-i - 1).encode("utf-8", "surrogatepass")]
+    return out
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Concatenated ranges starts[i] .. starts[i] + sizes[i]."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+    total = int(sizes.sum())
+    return np.arange(total, dtype=np.int32) + np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+
+
+def _bytes_of(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
+    return np.take(v.pool, _ranges(np.take(v.place, ids), np.take(v.width, ids)))
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """Text of ids: pieces joined, SPACE turned into spaces, the first space dropped."""
-    at = np.cumsum(v.width) - v.width
-    text = v.pool[_ranges(at[ids], v.width[ids])].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
+    text = _bytes_of(ids, v).tobytes().decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text.startswith(" ") else text
 
 
 class _Dictionary:
-    """Hashes of units (sorted), and the ids of each in one array."""
-
-    def __init__(self, units: list[str], ids: list[list[int]], v: Vocabulary):
-        h = np.concatenate([np.zeros(0, _U), *(cut_units(part, v)[2] for part in blocks(units, len, 1 << 20))])
+    """Hashes of units (sorted), and the ids of each in one array. Units that need byte pieces are left out."""
+
+    def __init__(self, units: list[str], paths: np.ndarray, v: Vocabulary):
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        begin = np.cumsum(length) - length
+        c = _points("".join(units)).astype(_U)
+        row = np.repeat(np.arange(len(units)), length)
+        cut = np.flatnonzero((paths[row] >> (np.arange(len(c)) - begin[row])) & 1)
+        ids = v.ids_of(_hashes(c, np.append(cut, len(c))))
+        ok = np.ones(len(units), bool)
+        ok[row[cut[ids < 0]]] = False
+        size = np.bincount(row[cut], minlength=len(units))
+        h = _hashes(c, np.append(begin, len(c)))
         order = np.argsort(h)
-        own = [ids[k] for k in order]
-        own = [x if min(x) >= 0 else spelt(x, v) for x in own]
-        self.h, self.size = h[order], np.array([len(x) for x in own], np.int64)
-        self.at = np.cumsum(self.size) - self.size
-        self.flat = np.array([i for x in own for i in x], "<i4")
+        order = order[ok[order]]
+        self.h, self.size, self.at, self.flat = h[order], size[order], (np.cumsum(size) - size)[order], ids
 
     def find(self, h: np.ndarray):
         """Place of each hash, and which of them are here."""
@@ -299,47 +344,47 @@ class _Dictionary:
         return at, self.h[at] == h
 
 
-def _ids_of(texts: list[str], known: _Dictionary, v: Vocabulary, fold: str):
+def _ids_of(texts: list[str], known: _Dictionary | None, v: Vocabulary, fold: str):
     """Flat ids of some texts (as shown), and where each text's ids start and end."""
     joined, edge, h, first = cut_units(texts, v)
-    u, which = np.unique(h, return_inverse=True)
-    at, here = known.find(u)
-    at, here = at[which], here[which]
-    size = np.where(here, known.size[at] if len(known.h) else 0, 0)
-    own = {}
+    u, one, which = np.unique(h if known else np.arange(len(h)), return_index=True, return_inverse=True)
+    at, here = known.find(u) if known else (np.zeros(len(u), np.int64), np.zeros(len(u), bool))
+    size = np.zeros(len(u), np.int64)
+    start = np.zeros(len(u), np.int64)
+    if here.any():
+        size[here], start[here] = known.size[at[here]], known.at[at[here]]
+    # What the dictionary lacks: characters alone, long units, units with byte pieces.
+    more, n = [], len(known.flat) if known else 0
     for k in np.flatnonzero(~here).tolist():
-        own[k] = spelt(long_unit_ids(joined[edge[k] : edge[k + 1]], v, fold), v)
-        size[k] = len(own[k])
-    stop = np.cumsum(size)
-    flat = np.zeros(int(stop[-1]) if len(stop) else 0, "<i4")
-    ok = np.repeat(here, size)
-    flat[ok] = known.flat[_ranges(known.at[at[here]], size[here])] if here.any() else 0
-    for k, x in own.items():
-        flat[stop[k] - size[k] : stop[k]] = x
-    return flat, np.concatenate([[0], stop])[first]
+        own = long_unit_ids(joined[edge[one[k]] : edge[one[k] + 1]], v, fold)
+        size[k], start[k] = len(own), n
+        more += own
+        n += len(own)
+    table = np.concatenate([known.flat if known else np.zeros(0, np.int32), np.array(more, np.int32)])
+    size = size[which]
+    flat = np.take(table, _ranges(start[which], size)).astype("<i4")
+    return flat, np.concatenate([[0], np.cumsum(size)])[first]
 
 
 def _assemble(path: str, fold: str, keep_ids: bool):
     def run(key, left, right):
         v = vocabulary(path)
-        known, out = _Dictionary(right.column("unit").to_pylist(), right.column("ids").to_pylist(), v), []
-        place = np.cumsum(v.width) - v.width
+        known, out = _Dictionary(right.column("unit").to_pylist(), right.column("path").to_numpy(), v), []
         for blob in left.column("texts").to_pylist():
             rows = pa.ipc.open_stream(blob).read_all()
-            for part in blocks(list(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True)), lambda r: len(r[1]), 1 << 20):
-                texts = [r[1] for r in part]
-                flat, cut = _ids_of(texts, known, v, fold)
-                # Decoding all at once; where it differs, text by text, without the dictionary.
-                whole = v.pool[_ranges(place[flat], v.width[flat])].tobytes() == "".join(texts).encode("utf-8", "surrogatepass")
-                for (doc, text), a, z in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    ids, same = flat[a:z], whole
-                    if not whole:
-                        want = text[1:].replace(SPACE, " ")
-                        if decode(ids, v) != want:
-                            ids = _ids_of([text], _Dictionary([], [], v), v, fold)[0]
-                        same = decode(ids, v) == want
-                    raw = ids.tobytes()
-                    out.append((doc, len(ids), zlib.crc32(raw), same, raw if keep_ids else None))
+            docs, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+            flat, cut = _ids_of(texts, known, v, fold)
+            # Decoding all at once; where it differs, text by text, without the dictionary.
+            whole = _bytes_of(flat, v).tobytes() == "".join(texts).encode("utf-8", "surrogatepass")
+            raw = flat.tobytes()
+            for doc, text, a, z in zip(docs, texts, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                own, same = raw[4 * a : 4 * z], whole
+                if not whole:
+                    want = text[1:].replace(SPACE, " ")
+                    if decode(flat[a:z], v) != want:
+                        own = _ids_of([text], None, v, fold)[0].tobytes()
+                    same = decode(np.frombuffer(own, "<i4"), v) == want
+                out.append((doc, len(own) // 4, zlib.crc32(own), same, own if keep_ids else None))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids"])
@@ -357,11 +402,10 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = False, fold: str =
     chunk = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", chunk.alias("chunk"))
     v = vocabulary(model_path)
-    pairs = rows.select("text", "chunk").mapInArrow(_distinct(model_path), "packet long, unit string")
-    # One shuffle by unit: its packets stay beside it, and the lattice is grouped where the unit already is.
-    units = pairs.groupBy("unit").agg(F.collect_set("packet").alias("packets"))
-    ids = encode_units(units, piece_table(spark, model_path), len(v.table), v.longest, fold)
-    known = ids.select(F.explode("packets").alias("packet"), "unit", "ids")
+    # One shuffle by unit serves both: units are made distinct and folded where their packets already are.
+    pairs = rows.select("text", "chunk").mapInArrow(_distinct(model_path), "packet long, unit string").repartition("unit")
+    ids = encode_units(pairs.groupBy("unit").agg(F.min("packet").alias("low")).where("low IS NOT NULL"), piece_table(spark, model_path), v, fold)
+    known = pairs.join(ids, "unit").select("packet", "unit", "path")
     texts = rows.mapInArrow(_pack, "packet long, texts binary")
     out = texts.groupBy("packet").cogroup(known.groupBy("packet")).applyInArrow(_assemble(model_path, fold, keep_ids), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids binary")
     return out if keep_ids else out.drop("ids")
