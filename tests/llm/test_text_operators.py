@@ -264,8 +264,24 @@ def test_line_dedup_edge_cases(spark, edge, empty):
     out = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()}
     assert out[0] == f"{same_line}\nown 0" and all(out[k] == f"own {k}" for k in range(1, 10))
     got = linededup.line_dedup(edge)
-    assert got.count() == 10 and got.columns[:-2] == edge.columns and got.where("doc_id = 3").first()["text"] is None
+    assert got.count() == 10 and got.columns == edge.columns and got.where("doc_id = 3").first()["text"] is None
     assert linededup.report(empty).count() == 0
+    # Rows without id, or with one id, are documents of their own: one of them keeps the line.
+    nameless = [(None, f"{same_line}\nown {k}", f"s{k}") for k in range(9)] + [(5, f"the second\nown {k}", f"s{k}") for k in range(9)]
+    left = [r["text"] for r in linededup.line_dedup(spark.createDataFrame([*nameless, nameless[0]], "doc_id long, text string, source string")).collect()]
+    assert len(left) == 19 and 1 <= sum(t.startswith(same_line) for t in left) <= 2 and sum(t.startswith("the second") for t in left) == 1
+
+
+INTERNAL = ["row", "doc", "th", "nameless", "bad", "kept", "n_lines", "n_removed", "h1", "h2", "first", "line", "site", "score", "_doc", "_tie", "_runs", "_shared", "_toxic_score", "_n_lines", "_kept", "_bad_lines", "y", "n", "component", "lead", "a.b", "tie", "runs"]
+
+
+@pytest.mark.parametrize("stage", [linededup.line_dedup, suffixdedup.remove_repeats, ngramjoin.keep_one, None])
+def test_stages_pass_columns_of_any_name(spark, edge, labels, stage):
+    docs = edge.select("doc_id", "text", "source", *[F.lit(k).alias(c) for k, c in enumerate(INTERNAL)])
+    out = stage(docs) if stage else toxicity.reject_toxic(docs, labels)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == k for r in rows for k, c in enumerate(INTERNAL))
 
 
 # 7

@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. The session names it; a local one is made only where it doesn't (tests)."""
+    """The folder that all executors share. The session names it; in local mode (tests) one is made where it doesn't."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,6 +44,21 @@ def drop_saved(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of docs as one, named row, so that no name that is added can clash with theirs."""
+    return F.struct(*[column(c) for c in docs.columns]).alias("row")
+
+
+def of_row(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of docs out of row, some of them changed."""
+    return [changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")

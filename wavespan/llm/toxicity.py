@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .chars import MULTIPLIER, blocks, code_points, letter_table
-from .common import fold
+from .common import as_row, fold, of_row
 
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 3000
@@ -137,29 +138,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(keep, weight, float(intercept + shift))
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
-    """id and score (0 to 1) of every row; reads whole texts in one narrow pass."""
-    return scored(docs.select(id_column, "text"), model)
-
-
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and `_toxic_score`."""
+    """row (all columns of docs) and score of every row; reads whole texts in one narrow pass."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
             z = []
-            for part in blocks(texts, lambda t: len(t or "")):
+            for part in blocks(b.column("text").to_pylist(), lambda t: len(t or "")):
                 i, f = _features(part, m.keep)
                 z.append(np.bincount(i, m.weight[f], minlength=len(part)) + m.intercept)
             p = 1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.zeros(0)]), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "_toxic_score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(p)], ["row", "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_toxic_score", DoubleType())]))
+    rows = docs.select(as_row(docs), F.col("text").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -168,13 +162,13 @@ def held_out(doc_id: Column) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; labels of held-out rows are never read."""
+    docs = docs.select("doc_id", "text")
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
-    return score(docs, model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxic_score").alias("score"), (F.col("_toxic_score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    doc_id = F.col("row.doc_id")
+    return scored(docs, model).select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score under the threshold, with the columns of docs."""
-    model = train(docs, labels.where(~held_out(F.col("doc_id"))))
-    return scored(docs, model).where(F.col("_toxic_score") < threshold).select(*docs.columns)
+    model = train(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"))))
+    return scored(docs, model).where(F.col("score") < threshold).select(*of_row(docs))
