@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chars import blocks
-from .common import drop_saved, release, saved
+from .common import as_row, drop_saved, of_row, release, saved
 from .graph import components
 
 WORDS = 3
@@ -439,8 +439,8 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, gath
 def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, gather: int = GATHER) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component (null doc_ids stay); same columns."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = near_components(rows, width, percent, gather).where("component < doc").select(F.col("doc").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_components(rows, width, percent, gather).where("component < doc").select("doc")
+    return docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc")).join(gone, "doc", "left_anti").select(*of_row(docs))
 
 
 #: The same rows by DuckDB, from all pairs that share a shingle: for small tables only.

@@ -3,24 +3,27 @@
 Every string of LENGTH bytes that also starts earlier (smaller doc_id, or same document and earlier start) is
 removed. Sorting all suffixes of a corpus is not affordable, and not needed: only equality of LENGTH bytes counts.
 
-1. Initial q-gram buckets. Of the q-grams inside a string, the one with the least hash is its anchor; equal strings
-   have equal anchors at equal distance, so a string needs comparing only with those of its anchor's bucket, and
-   neighbouring strings share anchors (about one for 40 bytes). Anchors alone in their bucket leave at once.
-2. Refinement. Within a bucket the strings are sorted on the bucket identifiers of later offsets: identifiers of
-   24 bytes at p and p + 24 give those of 48, these at p and p + 48 give 96, and with the one at p + 76 give 100.
-   Each identifier is computed once and reused at every level and offset; strings that are alone leave early.
+1. Anchors. Of the 24-byte grams inside a string, the one with the least hash is its anchor; equal strings have equal
+   anchors at equal distance, so a string needs comparing only with those that have its anchor, and neighbouring
+   strings share anchors (about one for 40 bytes). The bytes around an anchor that stands alone never move.
+2. Refinement. Stretches of bytes around equal anchors meet in a task, equal stretches once. Positions fall into
+   initial buckets by their 8 bytes. Sorting positions on the bucket numbers at p and p + 8 gives buckets of 16 bytes;
+   their numbers at p and p + 16 give 32, and so on to 64; 64 and 32 give 96, and the 8 at p + 92 complete LENGTH.
+   Each sort renumbers the buckets that the next one points to, at all later offsets. Strings alone in their bucket
+   leave, and with the last of a stretch its positions. Bucket numbers stand for bytes, not for hashes of them.
 3. Of each final bucket the earliest string stays; the starts of the others are removed.
 
-Hot buckets: a batch of documents sends each distinct stretch around an anchor once, so a passage that millions of
-documents share costs one row for each batch. Buckets that stay over HOT rows are not gathered: their strings are
-aggregated one by one (minimum by identifier, combined before the shuffle) and joined back.
+Hot anchors: a batch of documents sends each distinct stretch around an anchor once, so a passage that millions of
+documents share costs one row for each batch. Anchors that stay over HOT rows are not gathered: their strings are
+aggregated one by one (minimum by a 128-bit identifier, combined before the shuffle) and joined back.
 
 Defined cases
 * null or empty text, and texts under LENGTH bytes: nothing is removed. Matches never cross documents.
 * null doc_id: sorts after all others. Rows with one doc_id (or none) and one text count as one document, and each is
   returned; different texts with one doc_id (or none) are documents of their own, in the order of 63-bit text hashes.
-* equal whole texts: all but the smallest doc_id lose everything (from LENGTH bytes on) without further work.
-* other columns are ignored. Empty table: empty result. Texts of any length are read whole.
+* equal whole texts (by 128-bit hash and length): all but the smallest doc_id lose everything (from LENGTH bytes on)
+  without further work.
+* other columns are ignored, or pass through whatever their names. Empty table: empty result. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import blocks
-from .common import drop_saved, release, saved
+from .common import as_row, drop_saved, release, saved
 
 LENGTH = 100
 Q = 24
@@ -236,41 +239,91 @@ def _emit_stretches(batches):
         yield pa.record_batch([pa.array([], k) for k in kinds], names=names)
 
 
-def _refine(bucket, doc, first, stretches):
-    """Runs of starts to remove of whole buckets: sort on identifiers of growing length, leaving lone strings out."""
-    size = np.array([len(s) for s in stretches], np.int64)
-    data = np.frombuffer(b"".join(stretches), np.uint8)
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Number of each key among the distinct ones, in order."""
+    order = np.argsort(key)
+    k = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]])) if len(k) else k
+    return out
+
+
+def _in_company(key: np.ndarray) -> np.ndarray:
+    n = np.bincount(key)
+    return n[key] > 1
+
+
+def _same_strings(stretches: list[bytes]):
+    """Stretch, start in it, and final bucket of all strings that stand in several places of the stretches."""
+    own, size = np.arange(len(stretches)), np.array([len(s) for s in stretches], np.int64)
+    data = np.frombuffer(b"".join([*stretches, b"\0" * LENGTH]), np.uint8)
     n = size - LENGTH + 1
-    row = np.repeat(np.arange(len(size)), n)
-    where = _offsets(np.cumsum(size) - size, n)
-    group = np.unique(bucket, return_inverse=True)[1].astype(_U)
-    order = None
-    for level in _levels(data):
-        key = level[where] ^ _mix(group[row] + _U(1))
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        alone = new & np.concatenate([new[1:], [True]])
-        keep = order[~alone]
-        if not len(keep):
-            return keep, keep, keep
+    row, where = np.repeat(own, n), _offsets(np.cumsum(size) - size, n)
+    x = data.astype(_U)
+    for k in (1, 2, 4):
+        x = x[:-k] | (x[k:] << _U(8 * k))
+    held = {8: _ranked(x)}
+    for length, first, second in ((16, 8, 8), (32, 16, 16), (64, 32, 32), (96, 64, 32), (LENGTH, 96, 8)):
+        a, b, step = held[first], held[second], length - second
+        m = min(len(a), len(b) - step)
+        if length == LENGTH:
+            key = _ranked(a[where] * (int(b.max()) + 1) + b[where + step])
+            keep = _in_company(key)
+            return own[row[keep]], where[keep] - (np.cumsum(size) - size)[row[keep]], key[keep]
+        held[length] = _ranked(a[:m] * (int(b.max()) + 1) + b[step : step + m])
+        keep = _in_company(held[length][where])
         row, where = row[keep], where[keep]
-    starts = np.cumsum(size) - size
-    p = first[row] + where - starts[row]
-    d = doc[row]
-    key = _levels(data)[3][where] ^ _mix(group[row] + _U(1))
-    order = np.lexsort((p, d, key))
-    key, d, p = key[order], d[order], p[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    gone = (d != d[head]) | (p != p[head])
-    d, p = d[gone], p[gone]
-    order = np.lexsort((p, d))
-    return _runs(d[order], p[order])
+        # Stretches without a string left are taken out, and bucket numbers move up with the positions.
+        live = np.zeros(len(size), bool)
+        live[row] = True
+        if not live.any():
+            return row, where, where
+        if 2 * size[live].sum() < size.sum():
+            begin = np.cumsum(size) - size
+            spot = np.concatenate([_offsets(begin[live], size[live]), np.full(LENGTH, int(size.sum()))])
+            held = {k: v[np.minimum(spot, len(v) - 1)] for k, v in held.items()}
+            moved = np.cumsum(size * live) - size * live
+            where = where - begin[row] + moved[row]
+            row = (np.cumsum(live) - 1)[row]
+            own, size = own[live], size[live]
+    return row, where, where
+
+
+def _refine(bucket, doc, first, stretches):
+    """doc, first, last of runs of starts to remove of whole buckets."""
+    order = np.lexsort((first, doc)).tolist()
+    lead: dict[tuple, int] = {}
+    gone_doc, gone_lo, gone_hi, several, company = [], [], [], {}, set()
+    b, d, f = bucket.tolist(), doc.tolist(), first.tolist()
+    for k in order:
+        s = stretches[k]
+        held = lead.setdefault((b[k], s), k)
+        if held != k:
+            if (d[held], f[held]) != (d[k], f[k]):
+                gone_doc.append(d[k])
+                gone_lo.append(f[k])
+                gone_hi.append(f[k] + len(s) - LENGTH)
+        elif several.setdefault(b[k], k) != k:
+            company.add(b[k])
+    rest = [k for (x, _), k in lead.items() if x in company]
+    out = [np.array(x, np.int64) for x in (gone_doc, gone_lo, gone_hi)]
+    if rest:
+        at, start, key = _same_strings([stretches[k] for k in rest])
+        rest = np.array(rest)
+        d, p = doc[rest[at]], first[rest[at]] + start
+        order = np.lexsort((p, d, key))
+        key, d, p = key[order], d[order], p[order]
+        if len(key):
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
+            later = (d != d[head]) | (p != p[head])
+            d, p = d[later], p[later]
+            order = np.lexsort((p, d))
+            out = [np.concatenate(x) for x in zip(out, _runs(d[order], p[order]), strict=True)]
+    return out
 
 
 def _refine_buckets(batches):
-    """Input sorted by bucket; whole buckets are taken together, about 20,000 rows at a time."""
+    """Input sorted by bucket; whole buckets are taken together, about 10,000 rows at a time."""
     held = None
     for b in _with_end(batches):
         t = b if held is None else (pa.concat_tables([held, b]) if b is not None else held)
@@ -280,7 +333,7 @@ def _refine_buckets(batches):
         if b is None:
             cut = t.num_rows
         else:
-            if t.num_rows < 20_000:
+            if t.num_rows < 10_000:
                 held = t
                 continue
             keys = t.column("bucket").to_numpy()
@@ -310,11 +363,13 @@ def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = found.withColumn("total", total).where("part > 0 OR total > 1").select("bucket", "doc", "tie", "place")
     found = saved(found, "anchors")
     release(spark)
-    large = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("bucket", F.lit(True).alias("is_hot"))
+    # Saved, so that Spark can split the hot anchors on the other side of the join.
+    large = saved(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("bucket", F.lit(True).alias("is_hot")), "hot")
     places = found.join(large, "bucket", "left").groupBy("doc", "tie").agg(F.collect_set(2 * F.col("place") + F.when(F.col("is_hot"), 1).otherwise(0)).alias("places"))
     text_hash = [F.xxhash64("text"), F.xxhash64("text", F.lit(1)), F.length("text")]
     classes = docs.where(F.octet_length("text") >= LENGTH).select("doc", "tie", F.octet_length("text").cast("long").alias("n"), *[x.alias(f"h{k}") for k, x in enumerate(text_hash)])
-    firsts = classes.groupBy("h0", "h1", "h2").agg(F.min(F.struct("doc", "tie")).alias("lead"))
+    firsts = classes.groupBy("h0", "h1", "h2").agg(F.min(F.struct("doc", "tie")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    firsts = saved(firsts, "firsts")
     copies = saved(classes.join(firsts, ["h0", "h1", "h2"]).where("struct(doc, tie) <> lead").select("doc", "tie", F.lit(0).cast("long").alias("first"), (F.col("n") - LENGTH).alias("last")), "copies")
     todo = docs.join(places.join(copies.select("doc", "tie"), ["doc", "tie"], "left_anti"), ["doc", "tie"]).select("doc", "text", "tie", "places")
     stretches = saved(todo.mapInArrow(_emit_stretches, "kind int, bucket long, id2 long, doc long, tie long, first long, last long, stretch binary"), "stretches")
@@ -322,11 +377,11 @@ def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     gathered = stretches.where("kind = 0").select("bucket", "doc", "tie", "first", "stretch").repartition("bucket").sortWithinPartitions("bucket")
     gone = gathered.mapInArrow(_refine_buckets, "doc long, tie long, first long, last long")
     single = stretches.where("kind = 1").select("bucket", "id2", "doc", "tie", "first")
-    lead = single.groupBy("bucket", "id2").agg(F.min(F.struct("doc", "tie", "first")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lead = saved(single.groupBy("bucket", "id2").agg(F.min(F.struct("doc", "tie", "first")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "leads")
     later = single.join(lead, ["bucket", "id2"]).where("struct(doc, tie, first) <> lead").select("doc", "tie", "first", F.col("first").alias("last"))
     out = saved(gone.unionAll(later).unionAll(stretches.where("kind = 2").select("doc", "tie", "first", "last")).unionAll(copies), "starts")
     release(spark)
-    for done in (found, stretches, copies):
+    for done in (found, stretches, copies, large, firsts, lead):
         drop_saved(done)
     return out
 
@@ -355,7 +410,7 @@ def _kept(data: bytes, spans) -> bytes:
 def _digest(batches):
     for b in batches:
         out = []
-        for doc, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "_runs")), strict=True):
+        for doc, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             spans = _removed(len(data), runs)
             out.append((doc, len(data), sum(hi - lo for lo, hi in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest()))
@@ -364,53 +419,62 @@ def _digest(batches):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _doc and _tie, which together name a text: _tie is 0 but for texts that share a doc_id, or have none, with others.
+    """row (all columns of docs), text, doc, tie; doc and tie together name a text: tie is 0 but for texts that share a doc_id, or have none, with others.
 
     Ties of a null doc_id are positive, so that these rows also come after a row whose doc_id is LAST_ID.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    doc_id = F.col("doc_id").cast("long")
+    own = F.coalesce(doc_id, F.lit(LAST_ID)).alias("doc")
     h = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(3)), 1)
-    tie = F.when(F.col("doc_id").cast("long").isNull(), h).otherwise(-h - 1)
-    shared = docs.select(own.alias("_doc"), tie.alias("_tie")).groupBy("_doc").agg(F.min("_tie").alias("a"), F.max("_tie").alias("b")).where("a <> b")
+    tie = F.when(doc_id.isNull(), h).otherwise(-h - 1).alias("own_tie")
+    shared = docs.select(own, tie).groupBy("doc").agg(F.min("own_tie").alias("a"), F.max("own_tie").alias("b")).where("a <> b")
     # Saved, so that its size is known when the join is planned: it is small as a rule, and texts do not move then.
-    shared = saved(shared.select("_doc", F.lit(True).alias("_shared")), "shared")
-    return docs.withColumn("_doc", own).join(shared, "_doc", "left").withColumn("_tie", F.when(F.col("_shared"), tie).otherwise(F.lit(0).cast("long"))).drop("_shared")
+    shared = saved(shared.select("doc", F.lit(True).alias("is_shared")), "shared")
+    rows = docs.select(as_row(docs), F.col("text").alias("text"), own, tie).join(shared, "doc", "left")
+    return rows.select("row", "text", "doc", F.when(F.col("is_shared"), F.col("own_tie")).otherwise(F.lit(0).cast("long")).alias("tie"))
 
 
 def _with_runs(docs: DataFrame, hot: int) -> DataFrame:
+    """row, text, runs of starts to remove."""
     rows = _keyed(docs)
-    starts = repeated_starts(rows.select(F.col("_doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.col("_tie").alias("tie")), hot)
-    runs = starts.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    return rows.join(runs, ["_doc", "_tie"], "left")
+    starts = repeated_starts(rows.select("doc", F.coalesce("text", F.lit("")).alias("text"), "tie"), hot)
+    runs = starts.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return rows.join(runs, ["doc", "tie"], "left").select("row", "text", "runs")
 
 
 def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), hot).select("doc_id", "text", "_runs")
+    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), hot).select(F.col("row.doc_id").alias("doc_id"), "text", "runs")
     return rows.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _cut(batches):
-    for b in batches:
-        at = b.schema.get_field_index("text")
-        texts = []
-        for text, runs in zip(b.column("text").to_pylist(), b.column("_runs").to_pylist(), strict=True):
-            if text is not None and runs:
-                data = text.encode("utf-8", "surrogatepass")
-                inside = lambda k, d=data: k < len(d) and d[k] & 0xC0 == 0x80
-                spans = []
-                for lo, hi in _removed(len(data), runs):
-                    while inside(lo):
-                        lo += 1
-                    while inside(hi):
-                        hi -= 1
-                    spans.append((lo, hi))
-                text = _kept(data, spans).decode("utf-8", "surrogatepass")
-            texts.append(text)
-        keep = [k for k, name in enumerate(b.schema.names) if name not in ("_runs", "_doc", "_tie")]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in keep], [b.schema.names[k] for k in keep])
+def _cut(at: int):
+    """Rows with the runs cut out of column number `at`, the text."""
+
+    def cut(batches):
+        for b in batches:
+            texts = []
+            for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
+                if text is not None and runs:
+                    data = text.encode("utf-8", "surrogatepass")
+                    inside = lambda k, d=data: k < len(d) and d[k] & 0xC0 == 0x80
+                    spans = []
+                    for lo, hi in _removed(len(data), runs):
+                        while inside(lo):
+                            lo += 1
+                        while inside(hi):
+                            hi -= 1
+                        spans.append((lo, hi))
+                    text = _kept(data, spans).decode("utf-8", "surrogatepass")
+                texts.append(text)
+            row = b.column("row")
+            cols = row.flatten()
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in row.type])
+
+    return cut
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs with repeated bytes taken out of text (whole characters only); same columns, every row stays."""
-    return _with_runs(docs, hot).mapInArrow(_cut, docs.schema)
+    return _with_runs(docs, hot).select("row", "text", "runs").mapInArrow(_cut(docs.columns.index("text")), docs.schema)
