@@ -397,6 +397,53 @@ def test_ngram_join_of_a_large_group(spark):
         assert got == brute_components(texts, 3, 90)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_regions_of_pivots_lose_no_link(monkeypatch, percent):
+    """Recursion by pivots and windows gives the components of all pairs, and regions are really divided."""
+    rnd = np.random.default_rng(5)
+    sets = []
+    for g in range(12):
+        base = rnd.choice(1 << 40, 120, replace=False) + g
+        for _ in range(30):
+            own = base.copy()
+            k = rnd.integers(0, 20)
+            own[rnd.choice(120, k, replace=False)] = rnd.integers(1 << 41, 1 << 42, k)
+            sets.append(np.unique(own.astype(np.uint64)))
+    calls = []
+    monkeypatch.setattr(ngramjoin, "LEAF", 8)
+    monkeypatch.setattr(ngramjoin, "_join_region", lambda at, *a, f=ngramjoin._join_region: calls.append(len(at)) or f(at, *a))
+    order = rnd.permutation(len(sets))
+    got = ngramjoin._pairs_of_cluster([sets[k] for k in order], percent)
+    own = [set(sets[k].tolist()) for k in order]
+    root = list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            n = len(own[i] & own[j])
+            if n and 100 * n >= percent * (len(own[i]) + len(own[j]) - n) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert got == root and len(set(root)) > 12 and len(calls) > 5 and min(calls) < 60
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (2, 50)])
+def test_partners_share_enough_regions(docs, rows, width, percent):
+    """Every link is among the candidates, in one annulus at least, with the company that it needs."""
+    sets = [s for s in ngramjoin.shingle_sets([(r["text"] or "").encode() for r in rows], width) if len(s) > 1]
+    more = [np.unique(np.concatenate([s[: -max(1, len(s) // 12)], s[:1] + np.uint64(1)])) for s in sets[:150]]
+    sets += more
+    d, key, shift, need = ngramjoin._regions(sets, percent)
+    own = [{k: set(key[(d == i) & (shift == k)].tolist()) for k in (0, 1)} for i in range(len(sets))]
+    least = {(i, k): n for i, k, n in zip(d.tolist(), shift.tolist(), need.tolist(), strict=True)}
+    n_links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if n and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n) and not np.array_equal(sets[i], sets[j]):
+                n_links += 1
+                assert any(len(own[i][a] & own[j][b]) >= max(least.get((i, a), 9**9), least.get((j, b), 9**9)) for a in (0, 1) for b in (0, 1)), (i, j)
+    assert n_links > 100
+
+
 def test_ngram_join_edge_cases(edge, empty):
     got = ngramjoin.ngram_join(edge).collect()
     assert len(got) == 10 and {r["component_id"] for r in got if r["doc_id"] in (5, 6)} == {5}

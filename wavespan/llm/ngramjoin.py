@@ -3,17 +3,20 @@
 Links are pairs with 100 * intersection >= 90 * union; symmetric difference and Jaccard distance are metrics.
 
 1. Equal sets collapse to the smallest doc_id (aggregation).
-2. Regions. In the metric of symmetric difference the empty set is the first pivot: a document's distance to it is
-   its size, and the triangle inequality leaves partners in the same annulus of sizes or the next one, so every
-   document goes to two annuli. In an annulus a link differs in at most H shingles. Shingles are dealt into
-   H + 2 parts by hash; H differences leave two parts equal, so partners share the region (annulus, part, contents
-   of that part). Regions overlap. A region is known by its smallest document, its lead; regions with one lead are
-   taken together as a cluster, so that partners still share one.
-3. Clusters up to GATHER documents are compared wholly in a task. Larger ones recur by pivots: the most central
-   documents become pivots; documents within the join distance of a pivot are linked to it, and those of the pivots'
-   largest component need no comparison with each other. Every other document lies in the Voronoi region of its
-   nearest pivot, and all documents whose distances to that pivot and to their own nearest one differ by no more
-   than twice the join distance are replicated to it. Regions are worked on in blocks, so no task holds a cluster.
+2. Regions of the whole. Jaccard distances of unrelated documents to any pivot are 1 or nearly so: a window of the
+   triangle inequality round sampled pivots would replicate every document to every region. The first level therefore
+   uses the symmetric difference. The empty set is its pivot: a document's distance to it is its size, and the triangle
+   inequality leaves partners in the same annulus of sizes or the next one, so every document goes to two annuli. In an
+   annulus a link differs in at most H shingles. Shingles are dealt into H + M parts by hash; H differences leave M
+   parts equal, so partners share M regions (annulus, part, contents of that part). A document that has company in
+   fewer regions of an annulus has no partner there and leaves; with it go those that only it kept company.
+3. Documents that share a region are candidates; connected candidates form a group. In every group pivots far from
+   each other are drawn. Documents within the join distance of a pivot are linked to it, and those of one component
+   need no comparison with each other. Every other document lies in the Voronoi region of its nearest pivot, and all
+   documents whose distances to that pivot and to their own nearest one differ by no more than twice the join distance
+   are replicated to it. Regions are joined by new pivots again, until they are small or no longer shrink.
+   A group of up to GATHER documents is joined in one task; of a larger one, the first level of pivots is a Spark join
+   over slices of the group, and its regions are compared in blocks, so no task holds a group.
 4. Links give connected components.
 
 Defined cases
@@ -37,12 +40,15 @@ from .graph import components
 WORDS = 3
 #: Least percentage of intersection in union.
 PERCENT = 90
-#: Documents of a cluster that a task compares with each other; of a block; of a slice against a block; pivots.
+#: Documents of a group that one task joins; of a block; of a slice against a block; pivots; of a region that is not divided further.
 #: A document counts for one for each TYPICAL shingles that it has, so that long ones don't fill a task.
 GATHER = 1024
 BLOCK = 256
 SLICE = 1024
 PIVOTS = 8
+LEAF = 48
+#: Of H + M parts, M is 2 and this share of H.
+SPARE = 0.25
 TYPICAL = 500
 BATCH = 1 << 23
 _U = np.uint64
@@ -125,18 +131,19 @@ def _annuli(percent: int) -> np.ndarray:
 
 
 def _regions(sets: list[np.ndarray], percent: int):
-    """(index of set, region) of all regions of each set, by the parts of its two annuli."""
+    """Index of set, region, annulus (0 own, 1 next) and regions with company that a partner needs, by the parts of each set's two annuli."""
     low = _annuli(percent)
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate([*sets, np.zeros(0, _U)])
     row = np.repeat(np.arange(len(sets)), size)
     own = np.searchsorted(low, size, side="right") - 1
-    docs, keys = [], []
+    out = []
     for shift in (0, 1):
         tag = own + shift
         # |x| + |y| < 2 * upper; D * (100 + percent) <= (|x| + |y|) * (100 - percent)
         most = 2 * (low[np.maximum(tag, 0) + 1] - 1) * (100 - percent) // (100 + percent)
-        parts = np.where((size > 0) & (most > 0), most + 2, 0)
+        spare = 2 + (most * SPARE).astype(np.int64)
+        parts = np.where((size > 0) & (most > 0), most + spare, 0)
         base = np.cumsum(parts) - parts
         use = parts[row] > 0
         h, r = flat[use], row[use]
@@ -148,12 +155,11 @@ def _regions(sets: list[np.ndarray], percent: int):
         doc = np.repeat(np.arange(len(sets)), parts)
         part = np.arange(total) - base[doc]
         key = _mix(_mix(lo + _U(0x9E3779B9)) * _U(0xD6E8FEB86659FD93) + hi + _mix((tag[doc] << 32 | part).astype(_U)))
-        # Two parts are equal in any link, so one of them has shingles unless two or more are empty.
-        empty = np.bincount(doc, n == 0, len(sets))
-        keep = (n > 0) | (empty[doc] > 1)
-        docs.append(doc[keep])
-        keys.append(key[keep])
-    return np.concatenate(docs), np.concatenate(keys)
+        # Of `spare` parts that partners share, those that both have empty are not sent, unless there may be no others.
+        empty = np.bincount(doc, n == 0, len(sets)).astype(np.int64)
+        keep = (n > 0) | (empty >= spare)[doc]
+        out.append((doc[keep], key[keep], np.full(int(keep.sum()), shift), np.maximum(1, spare - empty)[doc[keep]]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def _batches(batches, most: int = BATCH):
@@ -189,25 +195,29 @@ def _digest(width):
 
 
 def _emit_regions(width, percent):
+    """region, doc, meta: part (11 bits; 0 for the first of a region in this batch), annulus, regions needed (20 bits), how often the region is here."""
+
     def emit(batches):
         for run in _batches(batches):
             run.sort(key=lambda r: r[0])
-            seen, docs, keys = set(), [], []
+            seen, docs, keys, metas = set(), [], [], []
             for part, sets in _with_sets(run, width):
                 fresh = []
                 for k, s in enumerate(sets):
                     raw = s.tobytes()
-                    if len(raw) > 8 and hash(raw) not in seen:
-                        seen.add(hash(raw))
+                    if len(raw) > 8 and raw not in seen:
+                        seen.add(raw)
                         fresh.append(k)
-                d, key = _regions([sets[k] for k in fresh], percent)
+                d, key, shift, need = _regions([sets[k] for k in fresh], percent)
                 docs.append(np.array([part[k][0] for k in fresh], np.int64)[d])
                 keys.append(key)
-            doc, key = np.concatenate([*docs, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, _U)]).view(np.int64)
+                metas.append(shift << 11 | need << 12)
+            doc, key, meta = (np.concatenate([*x, np.zeros(0, kind)]) for x, kind in ((docs, np.int64), (keys, _U), (metas, np.int64)))
+            key = key.view(np.int64)
             _, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             part = 1 + (doc & 1023)
             part[first] = 0
-            yield pa.record_batch({"region": pa.array(key), "doc": pa.array(doc), "part": pa.array(part), "here": pa.array(count[which])})
+            yield pa.record_batch({"region": pa.array(key), "doc": pa.array(doc), "meta": pa.array(meta | part | count[which] << 32)})
 
     return emit
 
@@ -251,21 +261,71 @@ def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
     return (inter > 0) & (100 * inter >= percent * (a[:, None] + b[None, :] - inter))
 
 
+class _Links:
+    """Smallest index reachable by the links so far."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = a[self.root[a] != self.root[b]], b[self.root[a] != self.root[b]]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self.root[x], self.root[y]
+            if x != y:
+                self.root[self.root == max(x, y)] = min(x, y)
+
+
+def _far_apart(sets: list[np.ndarray], size: np.ndarray, percent: int):
+    """Pivots (each the farthest from those before), distances of all to them, and who is within the join distance."""
+    pivots, far, near = [], [], []
+    nearest = np.full(len(sets), np.inf)
+    k = 0
+    while len(pivots) < PIVOTS:
+        inter = _overlaps(sets, [sets[k]])[:, 0].astype(np.int64)
+        union = np.maximum(size + size[k] - inter, 1)
+        pivots.append(k)
+        far.append(1 - inter / union)
+        near.append((inter > 0) & (100 * inter >= percent * union))
+        nearest = np.minimum(nearest, far[-1])
+        k = int(nearest.argmax())
+        if nearest[k] == 0:
+            break
+    return pivots, np.stack(far, 1), np.stack(near, 1)
+
+
+def _join_region(at: np.ndarray, sets: list[np.ndarray], percent: int, links: _Links) -> None:
+    """Add all links among the documents `at`, up to those that join what is joined already."""
+    own = [sets[k] for k in at]
+    size = np.array([len(s) for s in own], np.int64)
+    if len(at) <= LEAF:
+        i, j = np.nonzero(_linked(_overlaps(_without_single(own), own), size, size, percent))
+        links.add(at[i], at[j])
+        return
+    pivots, far, near = _far_apart(own, size, percent)
+    for c, p in enumerate(pivots):
+        links.add(np.full(int(near[:, c].sum()), at[p]), at[near[:, c]])
+    home = far.argmin(1)
+    window = far <= far.min(1, keepdims=True) + 2 * (1 - percent / 100) + 1e-9
+    for c, p in enumerate(pivots):
+        mine, close = np.flatnonzero(home == c), np.flatnonzero(window[:, c])
+        # Those that the pivot's component holds need no comparison with each other.
+        rest = mine[links.root[at[mine]] != links.root[at[p]]]
+        if not len(rest):
+            continue
+        if len(close) <= len(at) * 3 // 4:
+            _join_region(at[close], sets, percent, links)
+            continue
+        for lo in range(0, len(rest), BLOCK):
+            some = rest[lo : lo + BLOCK]
+            i, j = np.nonzero(_linked(_overlaps([own[k] for k in some], [own[k] for k in close]), size[some], size[close], percent))
+            links.add(at[some[i]], at[close[j]])
+
+
 def _pairs_of_cluster(sets: list[np.ndarray], percent: int) -> list[int]:
     """Smallest index reachable by links, for each set."""
-    n, size = len(sets), np.array([len(s) for s in sets])
-    if n == 2:
-        x = len(np.intersect1d(*sets, assume_unique=True))
-        return [0, 0 if x and 100 * x >= percent * (size.sum() - x) else 1]
-    near = _linked(_overlaps(_without_single(sets), sets), size, size, percent)
-    label = np.arange(n)
-    while True:
-        new = np.where(near, label[None, :], n).min(1)
-        new = np.minimum(label, new)
-        new = new[new]
-        if (new == label).all():
-            return label.tolist()
-        label = new
+    links = _Links(len(sets))
+    _join_region(np.arange(len(sets)), sets, percent, links)
+    return links.root.tolist()
 
 
 def _without_single(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -341,15 +401,6 @@ def _against_block(percent):
     return run
 
 
-def _merged(nodes: DataFrame) -> DataFrame:
-    """Large clusters that share documents as one, so that no document is compared in several of them."""
-    first = nodes.groupBy("doc").agg(F.min("cluster").alias("a"))
-    label = components(nodes.join(first, "doc").select("a", F.col("cluster").alias("b")).distinct())
-    rows = nodes.join(label, nodes.cluster == label.node).groupBy(F.col("label").alias("cluster"), "doc").agg(F.sum("weight").alias("weight"), F.first("units").alias("units"))
-    size = rows.groupBy("cluster").agg(F.ceil(F.sum("units")).alias("size"))
-    return saved(rows.join(size, "cluster"), "large-nodes")
-
-
 def _slice(n: Column) -> Column:
     return F.pmod(F.xxhash64("doc", F.lit(5)), F.ceil(n / SLICE)).cast("int")
 
@@ -392,37 +443,69 @@ def _join_large(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return links.unionAll(left.groupBy(*keys).cogroup(_renewed(right).groupBy(*keys)).applyInArrow(_against_block(percent), "a long, b long")).where("a <> b")
 
 
+def _collapsed(docs: DataFrame, width: int) -> DataFrame:
+    """doc, n, lead (smallest doc with an equal set)."""
+    sizes = saved(docs.mapInArrow(_digest(width), "doc long, n long, h1 long, h2 long"), "sizes")
+    same = sizes.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    # A table of its own, so that Spark can split a set that very many documents have.
+    same = saved(same, "same")
+    out = saved(sizes.join(same, ["h1", "h2", "n"], "left").select("doc", "n", F.coalesce("lead", "doc").alias("lead")), "classes")
+    drop_saved(sizes)
+    drop_saved(same)
+    return out
+
+
+def _with_company(rows: DataFrame) -> DataFrame:
+    """rows (region, ...) of regions that at least two rows have, and the smallest doc of the region as lead."""
+    several = rows.groupBy("region").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    several = saved(several, "several")
+    out = saved(rows.join(several, "region"), "company")
+    drop_saved(several)
+    return out
+
+
+def candidates(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """lead, doc of documents that share a region and have enough company for a partner; equal sets are left out."""
+    regions = docs.mapInArrow(_emit_regions(width, percent), "region long, doc long, meta long").withColumn("part", F.col("meta").bitwiseAND(F.lit(2047)))
+    # The first of a region in each batch meets the others'; the rest of a batch has company there, and is spread out.
+    met = regions.withColumn("total", F.expr("sum(shiftright(meta, 32)) OVER (PARTITION BY region, part)"))
+    met = saved(met.where("part > 0 OR total > 1").select("region", "doc", F.shiftright("meta", 11).bitwiseAND(F.lit(1)).cast("int").alias("shift"), F.shiftright("meta", 12).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("need")), "met")
+    release(docs.sparkSession)
+    one = classes.where("doc = lead").select("doc").distinct()
+    found = _with_company(met.join(one, "doc"))
+    drop_saved(met)
+    enough = found.groupBy("doc", "shift").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("doc", "shift")
+    left = _with_company(found.select("region", "doc", "shift").join(enough, ["doc", "shift"]).select("region", "doc"))
+    drop_saved(found)
+    return left
+
+
 def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, gather: int = GATHER) -> DataFrame:
     """doc, n, component of every distinct doc. docs: doc (long, not null), text (not null)."""
     spark = docs.sparkSession
-    sizes = saved(docs.mapInArrow(_digest(width), "doc long, n long, h1 long, h2 long"), "sizes")
-    lead = sizes.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("lead"))
-    classes = saved(sizes.join(lead, ["h1", "h2", "n"], "left").select("doc", "n", F.coalesce("lead", "doc").alias("lead")), "classes")
-    # The first of a region in each batch meets the others'; the rest of a batch has company there, and is spread out.
-    regions = docs.mapInArrow(_emit_regions(width, percent), "region long, doc long, part long, here long")
-    over = "OVER (PARTITION BY region, part)"
-    met = regions.withColumn("total", F.expr(f"sum(here) {over}")).withColumn("first", F.expr(f"min(doc) {over}"))
-    met = saved(met.where("part > 0 OR total > 1").select("region", "doc", "part", "first"), "met")
-    release(spark)
-    leads = met.where("part = 0 AND doc = first").select("region", F.col("first").alias("cluster"))
-    stars = met.where("part = 0").select(F.col("first").alias("cluster"), "doc").unionAll(met.where("part > 0").select("region", "doc").join(leads, "region").select("cluster", "doc"))
-    reps = classes.where("doc = lead").groupBy("doc").agg(F.greatest(F.lit(1.0), F.max("n") / TYPICAL).alias("units"))
-    nodes = stars.groupBy("cluster", "doc").agg(F.count(F.lit(1)).alias("weight")).join(reps, "doc")
-    count = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"), F.ceil(F.sum("units")).alias("size")).where("n_docs > 1").drop("n_docs")
-    nodes = saved(nodes.join(count, "cluster"), "nodes")
+    classes = _collapsed(docs, width)
+    left = candidates(docs, classes, width, percent)
+    group = components(left.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+    weight = left.groupBy("doc").agg(F.count(F.lit(1)).alias("weight"))
+    units = classes.where("doc = lead").groupBy("doc").agg(F.greatest(F.lit(1.0), F.max("n") / TYPICAL).alias("units"))
+    grouped = saved(group.select(F.col("node").alias("doc"), F.col("label").alias("cluster")).join(weight, "doc").join(units, "doc"), "nodes")
+    sizes = saved(grouped.groupBy("cluster").agg(F.ceil(F.sum("units")).alias("size")), "groups")
+    nodes = grouped.join(sizes, "cluster")
     release(spark)
     # The list of documents grows with the table: texts meet it by shuffle at every size.
     rows = lambda which: docs.join(which.select("doc", "cluster").hint("merge"), "doc").select("doc", "cluster", "text").mapInArrow(_set_rows(width), "cluster long, doc long, shingles binary")
     small = rows(nodes.where(F.col("size") <= gather)).repartition("cluster").sortWithinPartitions("cluster", "doc")
     links = small.mapInArrow(_compare_clusters(percent), "node long, label long").select(F.col("node").alias("a"), F.col("label").alias("b"))
     large = nodes.where(F.col("size") > gather).select("cluster", "doc", "weight", "units", "size")
+    sets = None
     if large.limit(1).count():
-        large = _merged(large)
-        links = links.unionAll(_join_large(saved(rows(large).dropDuplicates(["cluster", "doc"]), "large"), large, percent))
+        sets = saved(rows(large).dropDuplicates(["cluster", "doc"]), "large")
+        links = links.unionAll(_join_large(sets, large, percent))
     labels = components(links.where("a <> b"))
     release(spark)
-    for done in (sizes, met, nodes):
-        drop_saved(done)
+    for done in (left, grouped, sizes, sets):
+        if done is not None:
+            drop_saved(done)
     out = classes.join(labels, classes.lead == labels.node, "left").select("doc", "n", F.coalesce("label", "lead").alias("component"))
     return out.groupBy("doc").agg(F.max("n").alias("n"), F.min("component").alias("component"))
 
