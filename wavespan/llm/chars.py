@@ -23,7 +23,7 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint32), ends
 
 
-def blocks(rows: list, size, most: int = 4_000_000):
+def blocks(rows: list, size, most: int = 1 << 20):
     """Cut a list into runs whose sizes add up to most at least; a larger row is a run of its own."""
     run, total = [], 0
     for row in rows:

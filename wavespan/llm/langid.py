@@ -146,7 +146,7 @@ def _tagger(held):
         m = held.value
         for b in batches:
             pred, score, spans = [], [], []
-            for part in blocks(b.column("text").to_pylist(), lambda t: len(t or "")):
+            for part in blocks(b.column("text").to_pylist(), lambda t: len(t or ""), max(1 << 14, (1 << 22) // max(1, len(m.langs)))):
                 if not m.langs:
                     pred += ["und"] * len(part)
                     score += [0.0] * len(part)

@@ -81,10 +81,10 @@ def _count(batches):
 def _take(keep):
     def take(batches):
         for b in batches:
-            y = b.column("y").to_pylist()
-            i, f = _features(b.column("text").to_pylist(), keep.value)
-            cut = np.searchsorted(i, np.arange(len(y) + 1))
-            yield pa.record_batch({"y": pa.array(y, pa.int32()), "f": pa.array([f[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(len(y))], pa.binary())})
+            for part in blocks(list(zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True)), lambda r: len(r[1] or "")):
+                i, f = _features([r[1] for r in part], keep.value)
+                cut = np.searchsorted(i, np.arange(len(part) + 1))
+                yield pa.record_batch({"y": pa.array([r[0] for r in part], pa.int32()), "f": pa.array([f[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(len(part))], pa.binary())})
 
     return take
 
