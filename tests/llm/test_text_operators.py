@@ -222,21 +222,68 @@ def test_language_model(docs, rows, edge, empty):
     assert maxent.lm_scores(empty).count() == 0
 
 
-def test_language_model_uses_all_of_its_corpus(spark):
-    """Frequent words are counted over more documents than a sample holds, and every position is trained on once."""
+def test_language_model_counts_frequent_words_in_all_documents(spark):
     texts = [f"rare{k % 70} rare{k % 71} common{k % 3}" for k in range(5000)]
     texts[4000:4003] = [" ".join([f"late{j}"] * 9000) for j in range(3)]
     found, cluster = maxent.frequent_words(spark.createDataFrame([(t,) for t in texts], "text string"))
     c = collections.Counter(int(w) for t in texts for w in maxent._tokens([t.encode()])[0][:-1])
     assert len(cluster) == maxent.FREQUENT + 1 and sorted(c[int(w)] for w in found) == sorted(c.values())[-maxent.FREQUENT :]
-    own = texts[:300]
-    w, doc, start = maxent._tokens([t.encode() for t in own])
-    u, at = np.unique(w, return_inverse=True)
-    raw = u.tobytes(), (np.arange(len(u)) % 32).astype(np.uint8).tobytes(), at.astype("<u2").tobytes()
-    got = [maxent._positions(*raw, found, k % maxent.EVERY) for k in range(maxent.ROUNDS)]
-    want = maxent._features(w, doc, start, maxent._last_frequent(w, doc, start, found))
-    rows = lambda x, y: collections.Counter(map(tuple, np.column_stack([x, y]).tolist()))
-    assert rows(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])) == rows(want, at % 32)
+
+
+def test_language_model_probabilities(spark):
+    """Of a small vocabulary, probabilities of all words and of the unseen ones sum up to 1; recomputed one by one, they are the same."""
+    rnd = np.random.default_rng(1)
+    w = rnd.integers(1 << 40, 1 << 50, 300)
+    tokens = np.concatenate([rnd.choice(w, 400), [maxent.END]])
+    doc, start = np.zeros(401, np.int64), np.zeros(1, np.int64)
+    frequent = np.sort(w[:64])
+    words = np.concatenate([np.unique(w), [maxent.END, 5]])
+    c = np.concatenate([np.arange(len(words) - 2) % 9 + 1, [40, 0]])
+    head = np.flatnonzero(c[:-2] > 6)
+    kind = np.where(c <= 1, 0, 2 + words % 3 * maxent.BANDS + np.searchsorted(maxent.BAND_COUNTS, c, side="right"))
+    spot, room = np.zeros(len(words), np.int64), np.ones(256, np.int64)
+    kind[-2] = 1
+    for k, x in enumerate(head):
+        kind[x], spot[x] = maxent.FIRST_HEAD + k // 40, k % 40
+        room[kind[x]] = spot[x] + 1
+    mass = np.bincount(kind, c, maxent.CLASSES)
+    counts = maxent.Counts(int(c.sum()), len(words) - 1, int((c == 1).sum()), int((c == 2).sum()), mass)
+    weights = tuple(rnd.normal(size=(1 << counts.bits, n)).astype(np.float32) for n in (maxent.CLASSES, maxent.IN_CLASS))
+    empty = np.setdiff1d(np.arange(maxent.CLASSES), kind)
+    weights[0][0, empty] = -1e9
+    for at in (0, 1, 57, 400):
+        total = 0.0
+        for x in range(len(words)):
+            t = tokens.copy()
+            t[at] = words[x]
+            args = [np.full(401, v) for v in (c[x], kind[x], spot[x])]
+            lp = maxent.log_probabilities(t, doc, start, *args, frequent, room, weights, counts)[at]
+            f = maxent._features(t, doc, start, maxent._last_frequent(t, doc, start, frequent), counts.bits)[at]
+            z = sum(weights[0][k].astype(float) for k in f)
+            own = z[kind[x]] - np.log(np.exp(z).sum())
+            if kind[x] >= maxent.FIRST_HEAD:
+                z = sum(weights[1][k].astype(float) for k in maxent._word_features(f[None], kind[x : x + 1], counts.bits)[0])[: room[kind[x]]]
+                own += z[spot[x]] - np.log(np.exp(z).sum())
+            elif kind[x]:
+                own += np.log(c[x] / mass[kind[x]])
+            else:
+                own += np.log(counts.unseen / counts.missing if c[x] == 0 else (1 - counts.unseen) / counts.once)
+            assert math.isclose(lp, own, rel_tol=1e-4, abs_tol=1e-4)
+            total += np.exp(lp) * (counts.missing if c[x] == 0 else 1)
+        assert math.isclose(total, 1, rel_tol=1e-3)
+
+
+def test_language_model_ranks_text_above_junk(spark):
+    """Held-out prose gains over the base, and strings of random consonants score under all of it."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rnd = np.random.default_rng(2)
+    ids = [i for i in range(1 << 20, (1 << 20) + 40) if crc(i, 5) == 1]
+    junk = [(i, " ".join("".join(rnd.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(200))) for i in ids]
+    t = maxent.lm_scores(d.unionAll(spark.createDataFrame(junk, "doc_id long, text string"))).toPandas()
+    t["each"], t["gain"] = t["score"] / t["n_tokens"], (t["score"] - t["base_score"]) / t["n_tokens"]
+    bad, good = t[t["doc_id"].isin(ids)], t[~t["doc_id"].isin(ids) & t["held_out"] & (t["n_tokens"] > 50)]
+    assert bad["each"].max() < good["each"].quantile(0.02)
+    assert good[good["n_known"] > 0.9 * good["n_tokens"]]["gain"].mean() > 0.1 and good["gain"].mean() > 0.1
 
 
 # 5
