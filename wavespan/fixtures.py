@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,17 @@ from .functions import rng
 SEGMENT, HOP, RADIUS, SEED, TARGET = 400, 40, 9, 42, 0.1
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share; in local mode one is made where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -126,6 +139,7 @@ SQL: dict[str, str] = {
     "curve": "SELECT x, sum(v) OVER (ORDER BY x)::BIGINT AS val, sum(t) OVER (ORDER BY x)::BIGINT AS gone FROM (SELECT x, sum(v) AS v, sum(t) AS t FROM (SELECT p AS x, 1 AS v, 0 AS t FROM left_at UNION ALL SELECT b, 0, 1 FROM left_at) GROUP BY x)",
     "cut": f"SELECT min(x) AS x FROM curve WHERE val::DOUBLE / (val + (SELECT count(*) FROM win) - gone) >= {TARGET}",
     "split": "SELECT source_idx, group_idx, local_idx, start_sample, CASE WHEN p <= x THEN 'validate' WHEN b > x THEN 'train' ELSE 'discard' END AS split FROM left_at, cut",
+    "broken": "SELECT source_idx, group_idx, local_idx, start_sample, CASE WHEN local_idx % 97 = 5 THEN 'train' WHEN local_idx % 101 = 11 THEN 'other' ELSE split END AS split FROM split UNION ALL SELECT source_idx, group_idx, local_idx, start_sample, 'discard' FROM split WHERE local_idx % 89 = 3",
     "pairs": "SELECT l_orderkey AS window_idx, (l_linenumber - 1)::INTEGER AS degradation_idx, sum(l_tax::DOUBLE) AS sse, sum(l_quantity::DOUBLE) AS n FROM lineitem GROUP BY ALL",
     "sig": "SELECT user_id, list(value / 250.0 - 1 ORDER BY ts, event_id) AS x FROM events GROUP BY user_id",
     "hot": "SELECT user_id, list(value / 100.0 - 1 ORDER BY ts, event_id) AS x FROM events GROUP BY user_id",

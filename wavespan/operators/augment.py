@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,26 +12,49 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, rng
 
-#: Fixed values of the degradation model: means, deviations and ends of its clipped Gaussians, and the EQ nodes in Hz.
-NODES = [31.25, 62.5, 125.0, 250.0, 500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0]
-GAIN = (0.0, 6.0, -15.0, 15.0)
-DRIVE = (4.0, 2.0, 1.0, 10.0)
-WET = (0.5, 0.2, 0.0, 1.0)
-LOW_CUT = (200.0, 80.0, 50.0, 500.0)
-HIGH_CUT = (4000.0, 1000.0, 2000.0, 8000.0)
-SLOPE = (12.0, 6.0, 3.0, 36.0)
-SNR = (15.0, 8.0, 0.0, 40.0)
-
-
-def degradation_params(df: DataFrame, seed: int, *ids: str) -> DataFrame:
-    """df with the parameters of one degradation, which depend on the seed and ids alone."""
+@dataclass(frozen=True)
+class Degradation:
+    """Mean, deviation, least and largest value of each clipped Gaussian of the degradation model; EQ gains have one for each node (Hz)."""
+
+    nodes: tuple
+    eq1: tuple
+    eq2: tuple
+    drive: tuple
+    wet: tuple
+    low_cut: tuple
+    high_cut: tuple
+    low_slope: tuple
+    high_slope: tuple
+    snr: tuple
+
+
+#: The published configuration. EQs only cut.
+MODEL = Degradation(
+    nodes=(40, 80, 160, 320, 640, 1280, 2560, 5120, 10240, 20480),
+    eq1=tuple((m, 14.7, -80.0, 0.0) for m in (-9.0, -4.9, -4.9, 0.0, 0.0, -3.1, -1.1, -8.6, -2.1, 0.0)),
+    eq2=tuple((m, 14.7, -80.0, 0.0) for m in (-3.0, -4.9, -4.9, 0.0, 0.0, -3.1, -1.1, -8.6, -2.1, 0.0)),
+    drive=(2.2, 0.9, 0.75, 4.5),
+    wet=(0.18, 0.09, 0.03, 0.4),
+    low_cut=(100.0, 50.0, 40.0, 250.0),
+    high_cut=(3200.0, 850.0, 2000.0, 5500.0),
+    low_slope=(18.0, 8.0, 6.0, 48.0),
+    high_slope=(30.0, 10.0, 12.0, 60.0),
+    snr=(11.0, 4.5, 2.0, 20.0),
+)
+
+NODES = list(map(float, MODEL.nodes))
+
+
+def degradation_params(df: DataFrame, seed: int, *ids: str, model: Degradation = MODEL) -> DataFrame:
+    """df with the parameters of one degradation, which depend on the model, the seed and the ids alone."""
     key = [F.col(c) for c in ids]
     draw = lambda what, of: rng.clipped_gaussian(*of, seed, *key, what)
-    low, high = draw("low", LOW_CUT), draw("high", HIGH_CUT)
+    low, high = draw("low", model.low_cut), draw("high", model.high_cut)
+    gains = lambda name, of: F.array(*[draw(f"{name}_{k}", x) for k, x in enumerate(of)]).alias(name)
     return df.select(
-        "*", F.array(*[draw(f"eq1_{k}", GAIN) for k in range(10)]).alias("eq1"), F.array(*[draw(f"eq2_{k}", GAIN) for k in range(10)]).alias("eq2"),
-        draw("drive", DRIVE).alias("drive"), draw("wet", WET).alias("wet"), F.least(low, high).alias("low_cut"), F.greatest(low, high).alias("high_cut"),
-        draw("low_slope", SLOPE).alias("low_slope"), draw("high_slope", SLOPE).alias("high_slope"), draw("snr", SNR).alias("snr"),
+        "*", gains("eq1", model.eq1), gains("eq2", model.eq2), draw("drive", model.drive).alias("drive"), draw("wet", model.wet).alias("wet"),
+        F.least(low, high).alias("low_cut"), F.greatest(low, high).alias("high_cut"),
+        draw("low_slope", model.low_slope).alias("low_slope"), draw("high_slope", model.high_slope).alias("high_slope"), draw("snr", model.snr).alias("snr"),
     )
 
 
@@ -51,9 +75,9 @@ def filter_signal(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x) * mask, len(x))
 
 
-def eq_mask(n: int, rate: float, gains) -> np.ndarray:
+def eq_mask(n: int, rate: float, gains, nodes=NODES) -> np.ndarray:
     f = np.log2(np.maximum(_frequencies(n, rate), 1.0))
-    return 10 ** (np.interp(f, np.log2(NODES), gains) / 20)
+    return 10 ** (np.interp(f, np.log2(nodes), gains) / 20)
 
 
 def bandpass_mask(n: int, rate: float, low: float, high: float, low_slope: float, high_slope: float) -> np.ndarray:
@@ -62,12 +86,12 @@ def bandpass_mask(n: int, rate: float, low: float, high: float, low_slope: float
     return 10 ** (np.clip(db, -80, 0) / 20)
 
 
-def degrade(x: np.ndarray, p: dict, noise: np.ndarray, pick: int, rate: float) -> list[np.ndarray]:
+def degrade(x: np.ndarray, p: dict, noise: np.ndarray, pick: int, rate: float, nodes=NODES) -> list[np.ndarray]:
     """Signal after each of the five stages: EQ, saturation, second EQ, band-pass, noise."""
     n = len(x)
-    one = filter_signal(x, eq_mask(n, rate, p["eq1"]))
+    one = filter_signal(x, eq_mask(n, rate, p["eq1"], nodes))
     two = (1 - p["wet"]) * one + p["wet"] * np.tanh(p["drive"] * one) / p["drive"]
-    second = eq_mask(n, rate, p["eq2"])
+    second = eq_mask(n, rate, p["eq2"], nodes)
     three = filter_signal(two, second)
     four = filter_signal(two, second * bandpass_mask(n, rate, p["low_cut"], p["high_cut"], p["low_slope"], p["high_slope"]))
     tape = np.tile(noise, n // len(noise) + 1) if len(noise) < n else noise
@@ -81,22 +105,32 @@ def degrade(x: np.ndarray, p: dict, noise: np.ndarray, pick: int, rate: float) -
 PARAMS = ("eq1", "eq2", "drive", "wet", "low_cut", "high_cut", "low_slope", "high_slope", "snr")
 
 
-def augment(windows: DataFrame, noise: DataFrame, n: int, seed: int, rate: float, *ids: str, stages: bool = False, augment_fn=None) -> DataFrame:
+def _augmented(made, args: list[tuple], rate: float) -> list:
+    if hasattr(made, "batch"):
+        try:
+            return made.batch(*zip(*args, strict=True), rate) if args else []
+        except (ValueError, MemoryError, NotImplementedError):
+            pass
+    return [made(*a, rate) for a in args]
+
+
+def augment(windows: DataFrame, noise: DataFrame, n: int, seed: int, rate: float, *ids: str, stages: bool = False, augment_fn=None, model: Degradation = MODEL) -> DataFrame:
     """n degraded variants of each window (columns ids and x): ids, degradation_idx, stage, x.
 
-    augment_fn, a function like degrade, takes the place of the built-in chain.
+    augment_fn, a function like degrade, takes the place of the built-in chain. A function with a method `batch` gets
+    lists of all arguments of an Arrow batch at once; if that method fails, rows are done one by one.
     """
     keys = [*ids, "degradation_idx"]
     rows = windows.select(*ids, "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("degradation_idx"))
-    rows = assign_noise(degradation_params(rows, seed, *keys), noise, seed, *keys).withColumn("pick", rng.key(seed, *[F.col(c) for c in keys], "start"))
-    made = augment_fn or degrade
+    rows = assign_noise(degradation_params(rows, seed, *keys, model=model), noise, seed, *keys).withColumn("pick", rng.key(seed, *[F.col(c) for c in keys], "start"))
+    made = augment_fn or partial(degrade, nodes=model.nodes)
 
     def run(batches):
         for b in batches:
             cols = {c: b.column(c).to_pylist() for c in ("x", "samples", "pick", *PARAMS)}
             at, stage, out = [], [], []
-            for k in range(b.num_rows):
-                each = made(np.array(cols["x"][k]), {c: cols[c][k] for c in PARAMS}, np.array(cols["samples"][k]), cols["pick"][k], rate)
+            args = [(np.array(cols["x"][k]), {c: cols[c][k] for c in PARAMS}, np.array(cols["samples"][k]), cols["pick"][k]) for k in range(b.num_rows)]
+            for k, each in enumerate(_augmented(made, args, rate)):
                 for s, v in enumerate(each, 1) if stages else [(len(each), each[-1])]:
                     at.append(k)
                     stage.append(s)

@@ -41,13 +41,25 @@ def overlap_add(chunks: DataFrame, chunk: int, overlap: int, key: str, normalize
     return g.select(key, "pos", (F.when(F.col("w") > 1e-12, F.col("s") / F.col("w")).otherwise(F.col("s")) if normalize else F.col("s")).alias("v"))
 
 
+#: Restorers by name: array to array of the same length. A user's own function can be given instead.
+RESTORERS = {"identity": lambda x: x, "clamp": lambda x: np.clip(x, -1.0, 1.0), "remove_mean": lambda x: x - x.mean()}
+
+
+def restorer(name_or_function):
+    if callable(name_or_function):
+        return name_or_function
+    if name_or_function not in RESTORERS:
+        raise ValueError(f"unknown restorer {name_or_function}; there are {sorted(RESTORERS)}")
+    return RESTORERS[name_or_function]
+
+
 def batch_restore(signals: DataFrame, restore_fn, chunk: int, overlap: int, key: str) -> DataFrame:
     """Chunks of all signals through restore_fn (array to array of the same length), and added up again."""
-    kind = dict(signals.dtypes)[key]
+    kind, made = dict(signals.dtypes)[key], restorer(restore_fn)
 
     def run(batches):
         for b in batches:
-            out = [np.asarray(restore_fn(np.array(v)), float) for v in b.column("x").to_pylist()]
+            out = [np.asarray(made(np.array(v)), float) for v in b.column("x").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (key, "n", "chunk_idx", "start")], pa.array(out, pa.list_(pa.float64()))], [key, "n", "chunk_idx", "start", "x"])
 
     done = chunk_signals(signals, chunk, overlap, key).mapInArrow(run, f"{key} {kind}, n int, chunk_idx int, start int, x array<double>")

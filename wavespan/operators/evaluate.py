@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +24,15 @@ def metric_means(df: DataFrame) -> DataFrame:
     return df.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def first_per_window(pairs: DataFrame) -> DataFrame:
-    """Row of the least degradation of each window."""
+def first_per_window(pairs: DataFrame, most: int | None = None, requested: DataFrame | None = None) -> DataFrame:
+    """Row of the least degradation of each window; the first `most` windows by id, or of `requested` (pos, window_idx) by position."""
     w = Window.partitionBy("window_idx").orderBy("degradation_idx")
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    one = pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    if requested is not None:
+        one = one.join(requested.select("pos", "window_idx"), "window_idx").orderBy("pos")
+    elif most is not None:
+        one = one.orderBy("window_idx")
+    return one if most is None else one.limit(most)
 
 
 def condition_margin(ratings: DataFrame, ours: str, rival: str, base: str) -> DataFrame:
@@ -71,15 +77,23 @@ def t_quantile(df: int, upper: float = 0.025) -> float:
         return part / 2
 
     low, high = 0.0, 1e3
-    for _ in range(200):
+    for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if above(mid) > upper else (low, mid)
     return (low + high) / 2
 
 
-def t_table(n: int = 200) -> list[tuple[int, float]]:
-    """Two-sided 95 % values for 1 .. n degrees of freedom; beyond, the last one is right to 0.01."""
-    return [(k, round(t_quantile(k), 9)) for k in range(1, n + 1)]
+def t_expansion(df: Column) -> Column:
+    """Two-sided 95 % value for many degrees of freedom: the expansion in 1 / df, right to 1e-9 from 200 on."""
+    z = 1.959963984540054
+    terms = (z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    return sum((F.lit(t) / F.pow(df, F.lit(k)) for k, t in enumerate(terms[1:], 1)), F.lit(terms[0]))
+
+
+@lru_cache(maxsize=1)
+def t_table(n: int = 200) -> tuple[tuple[int, float], ...]:
+    """Two-sided 95 % values for 1 .. n degrees of freedom."""
+    return tuple((k, round(t_quantile(k), 9)) for k in range(1, n + 1))
 
 
 def opinion_summary(ratings: DataFrame, condition: str = "condition") -> DataFrame:
@@ -90,8 +104,9 @@ def opinion_summary(ratings: DataFrame, condition: str = "condition") -> DataFra
     both = one.unionByName(whole).groupBy("category", condition).agg(F.sum("k").alias("ratings"), F.count(F.lit(1)).alias("participants"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"))
     table = t_table()
     t = spark.createDataFrame(table, "df int, t double")
-    half = F.col("t") * F.col("sd") / F.sqrt("participants")
-    return both.join(F.broadcast(t), F.least(F.col("participants") - 1, F.lit(len(table))) == F.col("df"), "left").select(
+    df = F.col("participants") - 1
+    half = F.when(df > len(table), t_expansion(df.cast("double"))).otherwise(F.col("t")) * F.col("sd") / F.sqrt("participants")
+    return both.join(F.broadcast(t), df == F.col("df"), "left").select(
         "category", condition, "ratings", "participants", F.round("mean", 6).alias("participant_mean"), F.round("sd", 6).alias("participant_mean_sd"),
         F.round(F.col("mean") - half, 6).alias("ci95_low"), F.round(F.col("mean") + half, 6).alias("ci95_high"),
     )
@@ -114,15 +129,21 @@ def due_steps(steps: DataFrame, validate_every: int, audio_every: int) -> DataFr
     return steps.select("step", ((s == 1) | (s % validate_every == 0)).alias("validation"), ((s > 1) & (s % audio_every == 0)).alias("audio")).where("validation OR audio")
 
 
-def throughput(steps: DataFrame, warm_up: int, batch: int) -> DataFrame:
-    """By run, after the warm-up: mean step time of the slowest worker, samples a second, peak, fraction of a step's time."""
+def throughput(steps: DataFrame, warm_up: int, batch: int, memory: float) -> DataFrame:
+    """By run, after the warm-up: mean step time of the slowest worker, samples a second, peak and its fraction of the memory, spread of step times."""
     one = steps.where(F.col("step") > warm_up).groupBy("run", "step").agg(F.max("secs").alias("secs"), F.max("peak").alias("peak"), F.countDistinct("worker").alias("workers"))
     return one.groupBy("run").agg(
         F.count(F.lit(1)).alias("n_steps"), F.round(F.avg("secs"), 6).alias("mean_secs"), F.round(batch * F.sum("workers") / F.sum("secs"), 6).alias("samples_per_sec"),
-        F.max("peak").alias("peak"), F.round(F.max("secs") - F.min("secs"), 6).alias("spread"),
+        F.max("peak").alias("peak"), F.round(F.max("peak") / memory, 6).alias("peak_fraction"), F.round(F.max("secs") - F.min("secs"), 6).alias("spread"),
     )
 
 
+def shards_disjoint(samples: DataFrame) -> DataFrame:
+    """run, disjoint: whether no sample of a run was seen by two workers. samples: run, worker, sample."""
+    one = samples.groupBy("run", "sample").agg((F.min("worker") == F.max("worker")).alias("ok"))
+    return one.groupBy("run").agg(F.bool_and("ok").alias("disjoint"))
+
+
 def across_workers(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run", "step").agg(F.round(F.avg("secs"), 6).alias("mean"), F.max("secs").alias("max"), F.round(F.sum("secs"), 6).alias("sum"))
 

@@ -34,11 +34,11 @@ def reconcile(manifest: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def enrich(sources: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Sources (name, source_idx) with their manifest attributes, or the defaults of an unlisted source."""
-    m = manifest.select(F.col("output_file").alias("name"), *[c for c in COLUMNS if c != "output_file"])
+    """Sources (name, source_idx) with their manifest attributes, or the defaults of an unlisted source: it is a recording and a group of its own."""
+    m = manifest.select(F.col("output_file").alias("name"), *[c for c in (*COLUMNS, "group_idx") if c != "output_file"])
     pick = lambda c, default: F.coalesce(F.col(c), default).alias(c)
     return sources.join(m, "name", "left").select(
-        "name", "source_idx", pick("recording_id", F.col("name")), pick("kind", F.lit("full_mix")), pick("family", F.lit("full_mix")),
+        "name", "source_idx", pick("recording_id", F.col("name")), pick("group_idx", F.col("source_idx")), pick("kind", F.lit("full_mix")), pick("family", F.lit("full_mix")),
         pick("dataset", F.lit("unmanifested")), pick("song", F.regexp_replace("name", r"\.[^.]*$", "")),
     )
 
@@ -70,14 +70,18 @@ def provenance_faults(windows: DataFrame) -> DataFrame:
     return first.unionAll(duplicates(windows, "global_idx").agg(F.count(F.lit(1)).alias("n")).select(F.lit("id_used_twice").alias("rule"), "n"))
 
 
-def media_failures(assets: DataFrame, rate: int = 44100, channels: int = 2, shortest: float = 5.0, longest: float = 5.1, quietest: float = -80.0, loudest: float = 0.0) -> DataFrame:
-    """doc_id, rule for every rule that an asset breaks."""
+def media_failures(assets: DataFrame, rate: int = 44100, channels: int = 2, shortest: float = 5.0, longest: float = 5.1, quietest: float = -80.0, loudest: float = 0.0, expected: int | None = None) -> DataFrame:
+    """doc_id, rule for every rule that an asset breaks; a row without doc_id if there are not as many assets as expected."""
     bad = lambda cond, name: F.when(cond, F.lit(name))
     rules = F.array_compact(F.array(
         bad(F.col("found_sha256") != F.col("listed_sha256"), "sha256"), bad(F.col("sample_rate") != rate, "sample_rate"), bad(F.col("channels") != channels, "channels"),
         bad((F.col("duration") < shortest) | (F.col("duration") > longest), "duration"), bad(F.col("mean_db") < quietest, "mean_db"), bad(F.col("peak_db") > loudest, "peak_db"),
     ))
-    return assets.select("doc_id", F.explode(rules).alias("rule"))
+    found = assets.select("doc_id", F.explode(rules).alias("rule"))
+    if expected is None:
+        return found
+    count = assets.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
+    return found.unionByName(count.select(F.lit(None).cast(dict(assets.dtypes)["doc_id"]).alias("doc_id"), F.lit("row_count").alias("rule")))
 
 
 def checksum_faults(found: DataFrame, listed: DataFrame) -> DataFrame:

@@ -35,7 +35,12 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def probe(spark: SparkSession, path: str) -> DataFrame:
-    """name, rate, frames, channels, bits of every WAV file."""
+    """name, rate, frames, channels, bits of every WAV file of a folder."""
+    return probe_contents(_contents(spark, path))
+
+
+def probe_contents(files: DataFrame) -> DataFrame:
+    """The same of files (name, content)."""
 
     def run(batches):
         for b in batches:
@@ -45,11 +50,16 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
                     rows.append({"name": name, "rate": w.getframerate(), "frames": w.getnframes(), "channels": w.getnchannels(), "bits": 8 * w.getsampwidth()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("name", pa.string()), ("rate", pa.int32()), ("frames", pa.int64()), ("channels", pa.int32()), ("bits", pa.int32())]))
 
-    return _contents(spark, path).mapInArrow(run, "name string, rate int, frames long, channels int, bits int")
+    return files.select("name", "content").mapInArrow(run, "name string, rate int, frames long, channels int, bits int")
 
 
 def read_windows(spark: SparkSession, path: str, segment: int, hop: int) -> DataFrame:
-    """name, local_idx, start_sample, x (mono) of all full windows; a file is decoded once."""
+    """name, local_idx, start_sample, x (mono) of all full windows of a folder; a file is decoded once."""
+    return windows_of_contents(_contents(spark, path), segment, hop)
+
+
+def windows_of_contents(files: DataFrame, segment: int, hop: int) -> DataFrame:
+    """The same of files (name, content)."""
 
     def run(batches):
         schema = pa.schema([("name", pa.string()), ("local_idx", pa.int64()), ("start_sample", pa.int64()), ("x", pa.list_(pa.float64()))])
@@ -62,15 +72,16 @@ def read_windows(spark: SparkSession, path: str, segment: int, hop: int) -> Data
                 starts = range(0, max(0, len(x) - segment + 1), hop)
                 yield pa.RecordBatch.from_pylist([{"name": name, "local_idx": k, "start_sample": s, "x": x[s : s + segment]} for k, s in enumerate(starts)], schema=schema)
 
-    return _contents(spark, path).mapInArrow(run, "name string, local_idx long, start_sample long, x array<double>")
+    return files.select("name", "content").mapInArrow(run, "name string, local_idx long, start_sample long, x array<double>")
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated manifest, all strings; a file without exactly the known columns is refused."""
+    """Tab-separated manifest, all strings; a file without the known columns is refused, further columns pass."""
     found = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
-    if set(found.columns) != set(COLUMNS):
-        raise ValueError(f"columns are {found.columns}")
-    return found.select(*[F.coalesce(c, F.lit("")).alias(c) for c in COLUMNS])
+    missing = [c for c in COLUMNS if c not in found.columns]
+    if missing:
+        raise ValueError(f"the manifest lacks {missing}")
+    return found.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in found.columns])
 
 
 def parse_pair_names(files: DataFrame) -> DataFrame:
@@ -102,6 +113,41 @@ def scan_selection(spark: SparkSession, path: str) -> DataFrame:
     return checked.select(F.posexplode("ids").alias("pos", "global_idx"))
 
 
+def selected_windows(spark: SparkSession, explicit: list[int] | None = None, path: str | None = None, default: tuple[int, ...] = ()) -> DataFrame:
+    """pos, global_idx: the explicit list if there is one, else the selection file, else the default."""
+    if explicit is None and path is not None:
+        return scan_selection(spark, path)
+    ids = list(default if explicit is None else explicit)
+    if not ids or len(set(ids)) < len(ids):
+        raise ValueError("a selection is a list of distinct integers")
+    return spark.createDataFrame(list(enumerate(ids)), "pos int, global_idx long")
+
+
+def encode_wav(signals: DataFrame, name: str, rate: int = 44100) -> DataFrame:
+    """name, content: 16-bit mono PCM WAV files of signals (name, x), clamped to -1 .. 1."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in b.column("x").to_pylist():
+                sink = io.BytesIO()
+                with wave.open(sink, "wb") as w:
+                    w.setnchannels(1)
+                    w.setsampwidth(2)
+                    w.setframerate(rate)
+                    w.writeframes(np.rint(np.clip(np.array(x, float), -1, 1) * 32767).astype("<i2").tobytes())
+                out.append(sink.getvalue())
+            yield pa.record_batch({"name": b.column("name"), "content": pa.array(out, pa.binary())})
+
+    return signals.select(F.col(name).cast("string").alias("name"), "x").mapInArrow(run, "name string, content binary")
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether an output has its success marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def output_path(root: str, path: str, suffix: str) -> Column:
     """Path under a root with another ending."""
     return F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(suffix))
