@@ -140,19 +140,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """row (all columns of docs) and score of every row; reads whole texts in one narrow pass."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         m = held.value
-        for b in batches:
-            z = []
-            for part in blocks(b.column("text").to_pylist(), lambda t: len(t or "")):
-                i, f = _features(part, m.keep)
-                z.append(np.bincount(i, m.weight[f], minlength=len(part)) + m.intercept)
-            p = 1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.zeros(0)]), -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(p)], ["row", "score"])
-
-    rows = docs.select(as_row(docs), F.col("text").alias("text"))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                z = []
+                for part in blocks(b.column("row").field(at).to_pylist(), lambda t: len(t or ""), 1 << 19):
+                    i, f = _features(part, m.keep)
+                    z.append(np.bincount(i, m.weight[f], minlength=len(part)) + m.intercept)
+                p = 1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.zeros(0)]), -30, 30)))
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(p)], ["row", "score"])
+
+    rows = docs.select(as_row(docs))
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
