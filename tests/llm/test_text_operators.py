@@ -513,5 +513,19 @@ def test_quality_edge_cases(spark, edge, empty):
     assert out[0]["n_removed_words"] == 5 and out[0]["kept"] and not out[99]["kept"] and out[100]["kept"] and out[100]["n_removed_words"] == 0
 
 
+def test_quality_counts_documents(spark):
+    """Copies under other ids count each, repeated rows once; the absolute limit holds in a host of any size."""
+    lone = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    rows = [(k, "one line that all copies have and nothing else but a few words more", "copies") for k in range(9)] + [(20, "an unlike text " + lone(20), "copies")]
+    rows += [(100, "the same row again and again with a dozen words or so in it", "again")] * 12 + [(101, lone(101), "again")]
+    rows += [(1000 + k, ("shared by some\n" if k < 7 else "") + lone(k), "large") for k in range(300)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=6, min_docs=5, host_share=0.5).collect()
+    kept = {r["doc_id"]: (r["kept"], r["n_removed_words"]) for r in got}
+    assert len(got) == len(rows)
+    assert all(not kept[k][0] for k in range(9)) and kept[20] == (True, 0)
+    assert kept[100] == (True, 0) and kept[101] == (True, 0)
+    assert all(kept[1000 + k] == (True, 3 if k < 7 else 0) for k in range(300))
+
+
 def test_vocabularies_are_files_outside():
     assert WORD_BPE == public_tokenizers.path("word_bpe_49k.json")

@@ -7,7 +7,7 @@ that keeps too little of itself.
 Defined cases
 * null or empty text: no words, so base_failed and not kept.
 * null host: a host of its own. Null doc_id: such rows are measured like others.
-* whole texts that are equal count as one document for a line (copies are not boilerplate).
+* a document is an id with a text: copies under other ids count each, rows that repeat id and text count once.
 * repeated rows: each is returned, with the same result. Empty table: empty result.
 * other columns of the input are ignored, whatever their names.
 """
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import let, words
 
-#: A line is boilerplate in a host when more documents than both have it.
+#: A line is boilerplate in a host when more than MIN_DOCS documents have it, and more than HOST_SHARE of
+#: the host's documents or more than MAX_DOCS, however large the host is.
 MIN_DOCS = 8
 HOST_SHARE = 0.05
+MAX_DOCS = 100
 #: A document is depleted when fewer of its words than this share are left, or fewer than MIN_WORDS.
 KEEP_SHARE = 0.5
 MIN_WORDS = 10
@@ -88,18 +90,24 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
-    """host, h1, h2, n_docs of the lines above the limit."""
-    lines = _lines(docs).select("host", "h1", "h2", "th")
+def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
+    """host, h1, h2, n_docs of the lines above the limits."""
+    lines = _lines(docs).select("host", "h1", "h2", F.xxhash64("doc_id", "th").alias("doc"))
+    # The distinct rows spread by document too, and their counts are summed before the shuffle by line: no line is one task's.
     spread = lines.distinct().groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("\x00null")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    return spread.join(hosts, "host").where(F.col("n_docs") > host_share * F.col("host_docs")).select("host", "h1", "h2", "n_docs")
+    keys = docs.select(
+        F.coalesce(F.col("source").cast("string"), F.lit("\x00null")).alias("host"),
+        F.xxhash64("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(7))).alias("doc"),
+    )
+    hosts = keys.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    above = (F.col("n_docs") > host_share * F.col("host_docs")) | (F.col("n_docs") > max_docs)
+    return spread.join(hosts, "host").where(above).select("host", "h1", "h2", "n_docs")
 
 
-def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """Base measures of every row, n_removed_words by the line filter, and kept."""
     base = base_measures(docs).drop("_text")
-    bad = boilerplate_lines(docs, min_docs, host_share)
+    bad = boilerplate_lines(docs, min_docs, host_share, max_docs)
     removed = (
         _lines(docs).join(bad, ["host", "h1", "h2"])
         .groupBy("doc_id", "host", "th").agg(F.sum("n").alias("n_removed"))
@@ -130,9 +138,9 @@ m AS (SELECT doc_id, count(*) AS n_words, count_if(cov) AS n_repeat_words FROM
 l AS (SELECT doc_id, host, text, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, line FROM
   (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE norm <> '' GROUP BY doc_id),
-s AS (SELECT host, norm, count(DISTINCT text) AS n FROM l WHERE norm <> '' GROUP BY host, norm HAVING count(DISTINCT text) > {MIN_DOCS}),
-hd AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
-bad AS (SELECT s.host, s.norm FROM s JOIN hd USING (host) WHERE s.n > {HOST_SHARE} * hd.host_docs),
+s AS (SELECT host, norm, count(*) AS n FROM (SELECT DISTINCT host, norm, doc_id, text FROM l WHERE norm <> '') GROUP BY host, norm HAVING count(*) > {MIN_DOCS}),
+hd AS (SELECT host, count(*) AS host_docs FROM (SELECT DISTINCT host, doc_id, text FROM d) GROUP BY host),
+bad AS (SELECT s.host, s.norm FROM s JOIN hd USING (host) WHERE s.n > {HOST_SHARE} * hd.host_docs OR s.n > {MAX_DOCS}),
 r AS (SELECT doc_id, sum(length(l.norm) - length(replace(l.norm, ' ', '')) + 1)::BIGINT AS n_removed_words FROM l JOIN bad USING (host, norm) GROUP BY doc_id),
 o AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
