@@ -365,7 +365,11 @@ def _compare_clusters(percent):
 
 
 def _near_pivots(percent):
-    """Distances of the documents of a slice to the cluster's pivots, the pivots they link to, and their component."""
+    """Distances of the documents of a slice to the cluster's pivots, their component, and the first pivot of each component they link to.
+
+    Pivots stand in the slices, too: each is tied to the first of its own component, so one link to that one says as much as
+    links to all, and the number of links grows with the documents and not with documents times pivots.
+    """
 
     def run(key, left, right):
         right = right.sort_by("r")
@@ -380,14 +384,14 @@ def _near_pivots(percent):
         group = np.array(_pairs_of_cluster(piv, percent) if len(piv) > 1 else [0])
         own = np.where(link.any(1), group[link.argmax(1)], -1)
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64())]
-        cols = [left.column("cluster").to_pylist(), docs, raws, far.tolist(), own.tolist(), [[n for n, y in zip(names, row, strict=True) if y] for row in link]]
+        cols = [left.column("cluster").to_pylist(), docs, raws, far.tolist(), own.tolist(), [[names[g] for g in np.unique(group[row])] for row in link]]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["cluster", "doc", "shingles", "far", "own", "links"])
 
     return run
 
 
 def _against_block(percent):
-    """Links between a slice of documents and a block."""
+    """Links between a slice of documents and a block: one for each document of a component and its first, not all pairs."""
 
     def run(key, left, right):
         sides = [t.column("doc").to_numpy() for t in (left, right)]
@@ -395,8 +399,18 @@ def _against_block(percent):
         if not sets[0] or not sets[1]:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         hit = _linked(_overlaps(*sets), *(np.array([len(s) for s in side], np.int64) for side in sets), percent)
-        i, j = np.nonzero(hit)
-        return pa.table({"a": pa.array(sides[0][i]), "b": pa.array(sides[1][j])})
+        ids, met = np.concatenate(sides), hit.any(1)
+        label = np.full(len(ids), len(ids))
+        label[: len(met)][met] = np.flatnonzero(met)
+        while True:  # each round hands the smallest number over every link, until none changes
+            before = label.copy()
+            top, low = label[: len(met)], label[len(met) :]
+            low[:] = np.minimum(low, np.where(hit, top[:, None], len(ids)).min(0))
+            top[:] = np.minimum(top, np.where(hit, low[None, :], len(ids)).min(1))
+            if (label == before).all():
+                break
+        own = label < len(ids)
+        return pa.table({"a": pa.array(ids[own]), "b": pa.array(ids[label[own]])})
 
     return run
 
