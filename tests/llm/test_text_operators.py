@@ -11,6 +11,7 @@ import pytest
 from helpers import DATA, same
 from pyspark.sql import functions as F
 from wavespan.llm import ann, langid, linededup, maxent, ngramjoin, packing, pieces, quality, suffixdedup, toxicity
+from wavespan.llm.graph import components
 from wavespan.llm.queries import PIECES, SQL, WORD_BPE
 
 SEPARATED = re.compile("[^\x20\x09-\x0d]+")
@@ -444,6 +445,22 @@ def test_ngram_join_of_a_large_group(spark):
         assert got == brute_components(texts, 3, 90)
 
 
+def test_components(spark):
+    """Chains with rising, falling and mixed ids, stars round the smallest and the largest, links to oneself, a random graph."""
+    rnd = np.random.default_rng(11)
+    mixed = rnd.permutation(np.arange(2000, 2100)).tolist()
+    links = [(k, k + 1) for k in range(100)] + [(k + 1, k) for k in range(200, 300)] + list(zip(mixed, mixed[1:], strict=False))
+    links += [(1000, k) for k in range(1001, 1050)] + [(k, 1199) for k in range(1100, 1199)] + [(5000, 5000), (5001, 5001), (5001, 5002)]
+    links += [(int(a), int(b)) for a, b in rnd.integers(-400, 0, (180, 2))]
+    root = {x: x for link in links for x in link}
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = {x: low if r == high else r for x, r in root.items()}
+    got = components(spark.createDataFrame(links + links[:50], "a long, b long")).collect()
+    assert len(got) == len(root) and {r["node"]: r["label"] for r in got} == root
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_regions_of_pivots_lose_no_link(monkeypatch, percent):
     """Recursion by pivots and windows gives the components of all pairs, and regions are really divided."""
