@@ -15,13 +15,13 @@ removed. Sorting all suffixes of a corpus is not affordable, and not needed: onl
 
 Hot anchors: a batch of documents sends each distinct stretch around an anchor once, so a passage that millions of
 documents share costs one row for each batch. Anchors that stay over HOT rows are not gathered: their strings are
-aggregated one by one (minimum by a 128-bit identifier, combined before the shuffle) and joined back.
+aggregated one by one (minimum by two 64-bit identifiers, each of all LENGTH bytes, combined before the shuffle) and joined back.
 
 Defined cases
 * null or empty text, and texts under LENGTH bytes: nothing is removed. Matches never cross documents.
 * null doc_id: sorts after all others. Rows with one doc_id (or none) and one text count as one document, and each is
   returned; different texts with one doc_id (or none) are documents of their own, in the order of 63-bit text hashes.
-* equal whole texts (by 128-bit hash and length): all but the smallest doc_id lose everything (from LENGTH bytes on)
+* equal whole texts (by SHA-256 and length): all but the smallest doc_id lose everything (from LENGTH bytes on)
   without further work.
 * other columns are ignored, or pass through whatever their names. Empty table: empty result. Texts are read whole.
 """
@@ -149,6 +149,19 @@ def _levels(data: np.ndarray):
     return g24, g48, g96, g100
 
 
+def _second_identifier(data: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """64-bit chained hash of the LENGTH bytes at some offsets, eight bytes at a time, the last eight overlapping."""
+    x = data.astype(_U)
+    for n in (1, 2, 4):
+        x = x[:-n] | (x[n:] << _U(8 * n))
+    h = np.full(len(where), LENGTH, _U)
+    for at in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        h = (h ^ x[where + at]) * _U(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+        h ^= h >> _U(29)
+    return h
+
+
 def _ranks(doc: np.ndarray, tie: np.ndarray):
     """Rank of each row's (doc, tie) among the distinct ones, and these in order."""
     order = np.lexsort((tie, doc))
@@ -215,9 +228,9 @@ def _emit_stretches(batches):
             size = np.array([len(s) for _, _, s in hot], np.int64)
             n = size - LENGTH + 1
             where = _offsets(np.cumsum(size) - size, n)
-            g24, _, _, g100 = _levels(data)
-            # A second, independent identifier: these are compared across the whole corpus.
-            id2 = _mix(g24[where] * _U(0xD6E8FEB86659FD93) + _mix(g24[where + 25] + _U(1)) * _U(3) + _mix(g24[where + 50] + _U(2)) * _U(5) + _mix(g24[where + 76] + _U(3)) * _U(7))
+            g100 = _levels(data)[3]
+            # A second identifier of all LENGTH bytes, made without the first: these are compared across the whole corpus.
+            id2 = _second_identifier(data, where)
             doc, p = np.repeat(np.array([d for d, _, _ in hot], np.int64), n), _offsets(np.array([x for _, x, _ in hot], np.int64), n)
             order = np.lexsort((p, doc, id2, g100[where]))
             i1, i2, doc, p = g100[where][order].view(np.int64), id2[order].view(np.int64), doc[order], p[order]
@@ -366,11 +379,11 @@ def repeated_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # Saved, so that Spark can split the hot anchors on the other side of the join.
     large = saved(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("bucket", F.lit(True).alias("is_hot")), "hot")
     places = found.join(large, "bucket", "left").groupBy("doc", "tie").agg(F.collect_set(2 * F.col("place") + F.when(F.col("is_hot"), 1).otherwise(0)).alias("places"))
-    text_hash = [F.xxhash64("text"), F.xxhash64("text", F.lit(1)), F.length("text")]
-    classes = docs.where(F.octet_length("text") >= LENGTH).select("doc", "tie", F.octet_length("text").cast("long").alias("n"), *[x.alias(f"h{k}") for k, x in enumerate(text_hash)])
-    firsts = classes.groupBy("h0", "h1", "h2").agg(F.min(F.struct("doc", "tie")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    size = F.octet_length("text").cast("long")
+    classes = docs.where(size >= LENGTH).select("doc", "tie", size.alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+    firsts = classes.groupBy("sha", "n").agg(F.min(F.struct("doc", "tie")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     firsts = saved(firsts, "firsts")
-    copies = saved(classes.join(firsts, ["h0", "h1", "h2"]).where("struct(doc, tie) <> lead").select("doc", "tie", F.lit(0).cast("long").alias("first"), (F.col("n") - LENGTH).alias("last")), "copies")
+    copies = saved(classes.join(firsts, ["sha", "n"]).where("struct(doc, tie) <> lead").select("doc", "tie", F.lit(0).cast("long").alias("first"), (F.col("n") - LENGTH).alias("last")), "copies")
     todo = docs.join(places.join(copies.select("doc", "tie"), ["doc", "tie"], "left_anti"), ["doc", "tie"]).select("doc", "text", "tie", "places")
     stretches = saved(todo.mapInArrow(_emit_stretches, "kind int, bucket long, id2 long, doc long, tie long, first long, last long, stretch binary"), "stretches")
     release(spark)
