@@ -75,7 +75,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each distinct normalised line with a word of each document: 128-bit hash and the words it takes up."""
+    """One row for each distinct normalised line with a word of each document: the first 128 bits of its SHA-256 and the words it takes up."""
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = lambda x: F.trim(F.lower(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
     lines = F.filter(F.transform(F.split(text, "\n", -1), norm), lambda x: x != "")
@@ -85,23 +85,23 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.xxhash64(text, F.lit(7)).alias("th"),
         F.posexplode(lines).alias("pos", "line"),
     ).select(
-        "doc_id", "host", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
+        "doc_id", "host", "th", "pos", F.unhex(F.substring(F.sha2(F.col("line").cast("binary"), 256), 1, 32)).alias("h"),
         (F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).alias("n"),
     )
 
 
 def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
-    """host, h1, h2, n_docs of the lines above the limits."""
-    lines = _lines(docs).select("host", "h1", "h2", F.xxhash64("doc_id", "th").alias("doc"))
+    """host, h, n_docs of the lines above the limits."""
+    lines = _lines(docs).select("host", "h", F.xxhash64("doc_id", "th").alias("doc"))
     # The distinct rows spread by document too, and their counts are summed before the shuffle by line: no line is one task's.
-    spread = lines.distinct().groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    spread = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
     keys = docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("\x00null")).alias("host"),
         F.xxhash64("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(7))).alias("doc"),
     )
     hosts = keys.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     above = (F.col("n_docs") > host_share * F.col("host_docs")) | (F.col("n_docs") > max_docs)
-    return spread.join(hosts, "host").where(above).select("host", "h1", "h2", "n_docs")
+    return spread.join(hosts, "host").where(above).select("host", "h", "n_docs")
 
 
 def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -109,7 +109,7 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float =
     base = base_measures(docs).drop("_text")
     bad = boilerplate_lines(docs, min_docs, host_share, max_docs)
     removed = (
-        _lines(docs).join(bad, ["host", "h1", "h2"])
+        _lines(docs).join(bad, ["host", "h"])
         .groupBy("doc_id", "host", "th").agg(F.sum("n").alias("n_removed"))
     )
     # Repeated rows each add their lines: divide by how many rows share the id, host and text.
