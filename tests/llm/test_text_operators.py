@@ -32,6 +32,24 @@ def crc(i, mod):
     return (zlib.crc32(str(i).encode()) if i is not None else 0) % mod
 
 
+def xxhash64_twins():
+    """Two texts of 128 characters with one xxhash64 (seed 42), and so with one of it chained with any other value."""
+    m, p1, p2 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
+
+    def lane(acc, x):
+        acc = (acc + x * p2) & m
+        return (((acc << 31) | (acc >> 33)) & m) * p1 & m
+
+    rng, word = np.random.default_rng(5), lambda b: int.from_bytes(b, "little")
+    base = bytes(rng.integers(97, 123, 128).tolist())
+    while True:
+        other = bytes(rng.integers(97, 123, 8).tolist())
+        away = (lane(42, word(base[16:24])) - lane(42, word(other))) & m
+        second = ((word(base[48:56]) + away * pow(p2, -1, 1 << 64)) & m).to_bytes(8, "little")
+        if all(c < 128 and c not in b"\r\n\t\v\f " for c in second):
+            return base.decode(), (base[:16] + other + base[24:48] + second + base[56:]).decode()
+
+
 # Rows by SQL
 
 
@@ -188,6 +206,15 @@ def test_repeats_edge_cases(spark, edge, empty):
     assert suffixdedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4000, 1])
+def test_repeats_of_texts_with_one_hash(spark, hot):
+    """Texts that share no string, but a 64-bit hash."""
+    a, b = xxhash64_twins()
+    df = spark.createDataFrame([(1, a), (2, b), (3, a + "x"), (4, "y" + b)], "doc_id long, text string")
+    assert df.where("doc_id < 3").select(F.countDistinct(F.xxhash64("text"), F.xxhash64("text", F.lit(1)))).first()[0] == 1
+    assert sorted(tuple(r) for r in suffixdedup.suffix_dedup(df, hot).collect()) == brute_repeats([(r["doc_id"], r["text"]) for r in df.collect()])
+
+
 @pytest.mark.parametrize("hot", [4000, 1])
 def test_repeats_with_shared_or_no_ids(spark, hot):
     """Different texts with one id, or none, are documents of their own, of any length and with copies elsewhere."""
@@ -429,6 +456,17 @@ def test_ngram_join(docs, rows, width, percent, gather):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in rows], width, percent)
 
 
+def test_ngram_join_of_words_with_one_sum(spark):
+    """The two words made by doubling have equal sums of powers of any odd number, modulo 2^64."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = [(1, f"one two {a} three four"), (2, f"one two {b} three four"), (3, f"{a} {b}"), (4, f"{b} {a}")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.ngram_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute_components(texts, 3, 90) and len({c for _, c in got.values()}) == 4
+
+
 def test_ngram_join_of_a_large_group(spark):
     rnd = np.random.default_rng(3)
     base = [f"t{k}" for k in range(150)]
@@ -530,6 +568,14 @@ def test_quality_edge_cases(spark, edge, empty):
     assert out[0]["n_removed_words"] == 5 and out[0]["kept"] and not out[99]["kept"] and out[100]["kept"] and out[100]["n_removed_words"] == 0
 
 
+def test_quality_tells_lines_with_one_hash_apart(spark):
+    a, b = xxhash64_twins()
+    rest = " ".join(f"word{k}" for k in range(30))
+    df = spark.createDataFrame([(k, f"{rest}\n{line}\nown line {k}", "h") for k, line in enumerate([a, a, b, b])], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_removed_words"] for r in quality.quality_rules(df, min_docs=1, max_docs=2, host_share=2.0, keep_share=0.0).collect()}
+    assert got == {k: 30 for k in range(4)}
+
+
 def test_quality_counts_documents(spark):
     """Copies under other ids count each, repeated rows once; the absolute limit holds in a host of any size."""
     lone = lambda k: " ".join(f"w{k}x{j}" for j in range(12))

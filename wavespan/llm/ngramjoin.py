@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ LEAF = 48
 SPARE = 0.25
 TYPICAL = 500
 BATCH = 1 << 23
+#: Longest word, in bytes, whose hash is a sum over its bytes.
+SUMMED = 32
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15
 _INV = pow(_R, -1, 1 << 64)
@@ -91,6 +94,9 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[True], sep, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     w = _mix((sums[end] - sums[start]) * _power("i", _INV, len(a))[start] + (end - start).astype(_U) * _U(0x8CB92BA72F3D8DD7))
+    # Sums of powers can't tell some long words apart, such as a word made by doubling and its complement.
+    for k in np.flatnonzero(end - start > SUMMED).tolist():
+        w[k] = xxhash.xxh3_64_intdigest(a[start[k] : end[k]])
     return w, np.searchsorted(ends, start, side="right")
 
 
