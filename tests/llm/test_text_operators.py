@@ -527,6 +527,22 @@ def test_regions_of_pivots_lose_no_link(monkeypatch, percent):
     assert got == root and len(set(root)) > 12 and len(calls) > 5 and min(calls) < 60
 
 
+def test_groups_of_the_registered_query_are_joined_by_pivots(spark, monkeypatch):
+    """Groups of candidates of a given table: those of three documents or more are divided by pivots."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("doc"), "text")
+    left = ngramjoin.candidates(docs, ngramjoin._collapsed(docs, 3), 3, 90)
+    group = components(left.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+    rows = docs.join(group, docs.doc == group.node).select("label", "doc", "text").orderBy("label", "doc").collect()
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r["label"]].append(r["text"].encode())
+    calls = []
+    monkeypatch.setattr(ngramjoin, "_far_apart", lambda *a, f=ngramjoin._far_apart: calls.append(len(a[0])) or f(*a))
+    for texts in groups.values():
+        ngramjoin._pairs_of_cluster(ngramjoin.shingle_sets(texts), 90)
+    assert len(calls) >= sum(len(g) > 2 for g in groups.values()) > 0
+
+
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (2, 50)])
 def test_partners_share_enough_regions(docs, rows, width, percent):
     """Every link is among the candidates, in one annulus at least, with the company that it needs."""

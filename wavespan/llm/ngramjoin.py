@@ -47,7 +47,7 @@ GATHER = 1024
 BLOCK = 256
 SLICE = 1024
 PIVOTS = 8
-LEAF = 48
+LEAF = 2
 #: Of H + M parts, M is 2 and this share of H.
 SPARE = 0.25
 TYPICAL = 500
@@ -242,7 +242,7 @@ def _set_rows(width):
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of incidence matrices over slices of the shared shingles."""
     out = np.zeros((len(left), len(right)), np.float32)
-    sides = [(np.concatenate([*s, np.zeros(0, _U)]), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
+    sides = [(np.concatenate(s or [np.zeros(0, _U)]), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
     shared = np.intersect1d(sides[0][0], sides[1][0])
     spots = []
     for flat, row in sides:
@@ -281,13 +281,27 @@ class _Links:
                 self.root[self.root == max(x, y)] = min(x, y)
 
 
+def _numbered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sets of the numbers of the shingles that several sets have, and the sizes of the whole sets: overlaps stay the same."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, at, n = np.unique(np.concatenate([*sets, np.zeros(0, _U)]), return_inverse=True, return_counts=True)
+    kept = n > 1
+    number = (np.cumsum(kept) - 1)[at]
+    return [x[k] for x, k in zip(np.split(number, np.cumsum(size)[:-1]), np.split(kept[at], np.cumsum(size)[:-1]), strict=True)], size
+
+
 def _far_apart(sets: list[np.ndarray], size: np.ndarray, percent: int):
-    """Pivots (each the farthest from those before), distances of all to them, and who is within the join distance."""
+    """Pivots (each the farthest from those before), distances of all to them, and who is within the join distance. sets: of numbers."""
     pivots, far, near = [], [], []
     nearest = np.full(len(sets), np.inf)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    held = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool)
     k = 0
     while len(pivots) < PIVOTS:
-        inter = _overlaps(sets, [sets[k]])[:, 0].astype(np.int64)
+        held[sets[k]] = True
+        inter = np.bincount(row[held[flat]], minlength=len(sets))
+        held[sets[k]] = False
+        inter[k] = size[k]
         union = np.maximum(size + size[k] - inter, 1)
         pivots.append(k)
         far.append(1 - inter / union)
@@ -299,12 +313,11 @@ def _far_apart(sets: list[np.ndarray], size: np.ndarray, percent: int):
     return pivots, np.stack(far, 1), np.stack(near, 1)
 
 
-def _join_region(at: np.ndarray, sets: list[np.ndarray], percent: int, links: _Links) -> None:
-    """Add all links among the documents `at`, up to those that join what is joined already."""
-    own = [sets[k] for k in at]
-    size = np.array([len(s) for s in own], np.int64)
+def _join_region(at: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, percent: int, links: _Links) -> None:
+    """Add all links among the documents `at`, up to those that join what is joined already. sets, sizes: of _numbered."""
+    own, size = [sets[k] for k in at], sizes[at]
     if len(at) <= LEAF:
-        i, j = np.nonzero(_linked(_overlaps(_without_single(own), own), size, size, percent))
+        i, j = np.nonzero(_linked(_overlaps(own, own), size, size, percent))
         links.add(at[i], at[j])
         return
     pivots, far, near = _far_apart(own, size, percent)
@@ -319,7 +332,7 @@ def _join_region(at: np.ndarray, sets: list[np.ndarray], percent: int, links: _L
         if not len(rest):
             continue
         if len(close) <= len(at) * 3 // 4:
-            _join_region(at[close], sets, percent, links)
+            _join_region(at[close], sets, sizes, percent, links)
             continue
         for lo in range(0, len(rest), BLOCK):
             some = rest[lo : lo + BLOCK]
@@ -330,17 +343,10 @@ def _join_region(at: np.ndarray, sets: list[np.ndarray], percent: int, links: _L
 def _pairs_of_cluster(sets: list[np.ndarray], percent: int) -> list[int]:
     """Smallest index reachable by links, for each set."""
     links = _Links(len(sets))
-    _join_region(np.arange(len(sets)), sets, percent, links)
+    _join_region(np.arange(len(sets)), *_numbered(sets), percent, links)
     return links.root.tolist()
 
 
-def _without_single(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """Sets without the shingles that no other set has; overlaps with others stay the same."""
-    u, n = np.unique(np.concatenate(sets), return_counts=True)
-    many = u[n > 1]
-    return [np.intersect1d(s, many, assume_unique=True) for s in sets]
-
-
 def _compare_clusters(percent):
     """Input sorted by cluster: doc, label of each document of whole clusters."""
 
@@ -436,22 +442,23 @@ def _join_large(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     best = Window.partitionBy("cluster").orderBy(F.desc("weight"), "doc")
     chosen = nodes.withColumn("r", F.row_number().over(best)).where(F.col("r") <= PIVOTS).select("cluster", "doc", "r", "size")
     pivots = sets.join(chosen, ["cluster", "doc"]).select("cluster", "doc", "shingles", "r", slices)
-    sizes = nodes.groupBy("cluster").agg(F.first("size").alias("size"))
+    # Sizes, components and regions are tables of their own, so that Spark can split a group that very many documents have.
+    sizes = saved(nodes.groupBy("cluster").agg(F.first("size").alias("size")), "sizes")
     mine = sets.join(sizes, "cluster").withColumn("s", _slice(F.col("size")))
     kind = "cluster long, doc long, shingles binary, far array<double>, own int, links array<long>"
     near = saved(mine.groupBy("cluster", "s").cogroup(_renewed(pivots).groupBy("cluster", "s")).applyInArrow(_near_pivots(percent), kind), "near")
     links = near.select(F.col("doc").alias("a"), F.explode("links").alias("b"))
     count = near.groupBy("cluster", "own").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("cluster").agg(
+    main = saved(count.groupBy("cluster").agg(
         F.max_by(F.when(F.col("own") >= 0, F.col("own")), F.when(F.col("own") >= 0, F.struct("n", -F.col("own")))).alias("main"),
         (F.sum("n") - F.coalesce(F.max(F.when(F.col("own") >= 0, F.col("n"))), F.lit(0))).alias("left_over"),
-    )
+    ), "main")
     # No more regions than blocks are needed: the first pivots that many serve.
     used = F.slice("far", 1, F.greatest(F.lit(1), F.least(F.size("far"), F.ceil(F.col("left_over") / BLOCK).cast("int"))))
     near = near.join(main, "cluster").withColumn("far", used)
     region = (F.array_position("far", F.array_min("far")) - 1).cast("int")
     rest = near.where("own < 0 OR main IS NULL OR own <> main").select("cluster", "doc", "shingles", region.alias("region"))
-    held = rest.groupBy("cluster", "region").agg(F.ceil(F.sum(F.greatest(F.lit(1.0), F.octet_length("shingles") / (8 * TYPICAL)))).alias("rest"))
+    held = saved(rest.groupBy("cluster", "region").agg(F.ceil(F.sum(F.greatest(F.lit(1.0), F.octet_length("shingles") / (8 * TYPICAL)))).alias("rest")), "held")
     window = 2 * (1 - percent / 100) + 1e-9
     close = F.filter(F.transform("far", lambda d, i: F.when(d - F.array_min("far") <= window, i.cast("int"))), lambda i: i.isNotNull())
     spread = near.select("cluster", "doc", "shingles", F.explode(close).alias("region")).join(held, ["cluster", "region"]).join(sizes, "cluster")
