@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, maxent, ngramjoin, packing, pieces, quality, suffixdedup, toxicity
+from . import ann, chat, langid, linededup, maxent, ngramjoin, packing, pieces, quality, suffixdedup, toxicity
 from .common import table
 
 #: Vocabulary files of the packing query and of the pieces query.
@@ -23,5 +23,6 @@ QUERIES = {
     "op8_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), WORD_BPE),
     "op9_ngram_join": lambda spark, d: ngramjoin.ngram_join(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
+    "op11_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
 }
-SQL = {"op6_line_dedup": linededup.SQL, "op9_ngram_join": ngramjoin.SQL, "op10_quality_rules": quality.SQL}
+SQL = {"op6_line_dedup": linededup.SQL, "op9_ngram_join": ngramjoin.SQL, "op10_quality_rules": quality.SQL, "op11_chat_format": chat.SQL}
