@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, linededup, maxent, ngramjoin, packing, periodic, pieces, quality, suffixdedup, toxicity
+from . import ann, chat, langid, linededup, maxent, merkle, ngramjoin, packing, periodic, pieces, quality, suffixdedup, toxicity
 from .common import table
 
 #: Vocabulary files of the packing query and of the pieces query.
@@ -25,5 +25,6 @@ QUERIES = {
     "op10_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
     "op11_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
     "op12_periodic_runs": lambda spark, d: periodic.report(table(spark, d, "documents"), periodic.planted),
+    "op13_merkle_manifest": lambda spark, d: merkle.report(table(spark, d, "documents")),
 }
-SQL = {"op6_line_dedup": linededup.SQL, "op9_ngram_join": ngramjoin.SQL, "op10_quality_rules": quality.SQL, "op11_chat_format": chat.SQL}
+SQL = {"op6_line_dedup": linededup.SQL, "op9_ngram_join": ngramjoin.SQL, "op10_quality_rules": quality.SQL, "op11_chat_format": chat.SQL, "op13_merkle_manifest": merkle.SQL}
