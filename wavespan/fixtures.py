@@ -3,28 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import rng
+from .operators import pieces as cut
+from .operators.ranks import in_order, with_positions
+from .shared import saved, scratch  # noqa: F401  queries take scratch from here
 
 SEGMENT, HOP, RADIUS, SEED, TARGET = 400, 40, 9, 42, 0.1
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share; in local mode one is made where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -64,11 +54,14 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.sum(F.col("l_tax").cast("double")).alias("sse"), F.sum(F.col("l_quantity").cast("double")).alias("n"))
 
 
-def signals(spark: SparkSession, d: str, scale: float = 250.0) -> DataFrame:
-    """user_id, x: one signal for each user."""
-    e = table(spark, d, "events")
-    x = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") / scale - 1).alias("v"))))
-    return e.groupBy("user_id").agg(x.alias("z")).select("user_id", F.transform("z", lambda s: s["v"]).alias("x"))
+def samples(spark: SparkSession, d: str, scale: float = 250.0) -> DataFrame:
+    """user_id, pos, v: the samples of one signal for each user, in the order of time."""
+    return cut.numbered(table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("value") / scale - 1).alias("v")), "user_id", "ts", "event_id").select("user_id", "pos", "v")
+
+
+def pieces(spark: SparkSession, d: str, scale: float = 250.0, size: int = cut.SIZE, halo: int = 0) -> DataFrame:
+    """The signals in pieces: a user with very many events is many rows."""
+    return cut.pieces(samples(spark, d, scale), "user_id", size, halo)
 
 
 def latents(spark: SparkSession, d: str) -> DataFrame:
@@ -77,16 +70,16 @@ def latents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latent_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """vec_id, label, a, b: each vector with the next one of its label."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return latents(spark, d).select("vec_id", "label", F.col("x").alias("a"), F.lead("x").over(w).alias("b")).where("b IS NOT NULL")
+    """vec_id, label, a, b: each vector with the next one of its label; vectors meet by their place, not in a window over a label."""
+    own = with_positions(saved(in_order(latents(spark, d), "label", "vec_id"), "latents"), "at")
+    after = own.select(F.col("label").alias("_label"), (F.col("at") - 1).alias("at"), F.col("x").alias("b"))
+    return own.join(after, "at").where("label = _label").select("vec_id", "label", F.col("x").alias("a"), "b")
 
 
 def noise(spark: SparkSession, d: str) -> DataFrame:
-    """noise_idx, samples: the vectors with label 0. A handful of clips, as a noise library is."""
-    own = table(spark, d, "embeddings").where("label = 0")
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    return own.select((F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("noise_idx"), x.alias("samples"))
+    """noise_idx, samples: the vectors with label 0."""
+    own = table(spark, d, "embeddings").where("label = 0").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
+    return with_positions(saved(in_order(own, "vec_id"), "noise"), "noise_idx").select("noise_idx", "samples")
 
 
 def ratings(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..shared import saved
 
 #: Bits of a rank below the histogram's 65,536 bins.
 LOW_BITS = 36
@@ -66,7 +67,8 @@ def threshold(promoted: DataFrame, target: float) -> int:
 
 def split_windows(windows: DataFrame, group: str, radius: int, target: float, h: str = "h") -> DataFrame:
     """windows with a column split. Views at one position of a group are always validated together."""
-    promoted = promotion(windows, group, radius, h)
+    # Written once: the histogram, the search in one bin and the result all read it.
+    promoted = saved(promotion(windows, group, radius, h), "promoted")
     x = threshold(promoted, target)
     return promoted.withColumn("split", F.when(F.col("p") <= x, "validate").when(F.col("b") > x, "train").otherwise("discard")).drop("p", "b")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import saved
+from .ranks import in_order, with_positions
+
 
 def resolve_hop(segment: int, hop_samples: int | None = None, hop_seconds: float | None = None, hop_fraction: float | None = None, rate: int = 44100, divisor: int = 10) -> int:
     """Hop in samples: samples go before seconds, these before the fraction of a segment, this before the divisor."""
@@ -39,16 +42,15 @@ def make_windows(sources: DataFrame, segment: int, hop: int) -> DataFrame:
 
 
 def dense_index(df: DataFrame, by: str, name: str) -> DataFrame:
-    """Dense 0-based index of the sorted distinct values of a column of a small table (sources, recordings)."""
-    keys = df.select(by).distinct().withColumn(name, (F.row_number().over(Window.orderBy(by)) - 1).cast("long"))
-    return df.join(keys, by)
+    """Dense 0-based index of the sorted distinct values of a column (one or many rows each)."""
+    keys = saved(in_order(df.select(by).distinct(), by), "keys")
+    return df.join(with_positions(keys, name), by)
 
 
 def global_index(sources: DataFrame, segment: int, hop: int) -> DataFrame:
     """Windows with contiguous global_idx in (source_idx, local_idx) order: the offsets come from sources alone."""
-    n = sources.withColumn("n_windows", window_count(F.col("num_frames"), segment, hop))
-    before = F.coalesce(F.sum("n_windows").over(Window.orderBy("source_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = n.select("source_idx", before.cast("long").alias("offset"))
+    n = sources.select("source_idx", window_count(F.col("num_frames"), segment, hop).alias("n_windows"))
+    offsets = with_positions(saved(in_order(n, "source_idx"), "sources"), "offset", F.col("n_windows")).select("source_idx", "offset")
     return make_windows(sources, segment, hop).join(offsets, "source_idx").withColumn("global_idx", F.col("offset") + F.col("local_idx")).drop("offset")
 
 

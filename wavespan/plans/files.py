@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import arrays
 from ..operators import chunks, split
-from ..sources import audio
-from .queries import all_split, digest, digest_sql, query
+from ..sources import audio, wav
+from .queries import all_split, digest_pieces, digest_sql, query
 
 PCM = "greatest(-1.0, least(1.0, v)) * 32767"
 
 
-def _wav(spark, d):
-    s = fx.signals(spark, d, 100.0).withColumn("name", F.format_string("sig_%d.wav", F.col("user_id")))
-    return audio.encode_wav(s, "name")
+def _folder(spark, d, tag):
+    """A folder with a WAV file for each signal."""
+    path = fx.scratch(spark, tag)
+    wav.write(fx.pieces(spark, d, 100.0).withColumn("name", F.format_string("sig_%d.wav", F.col("user_id"))), "name", path).count()
+    return path
 
 
 @query("scan_audio_inventory", "SELECT dataset AS song, count(*) AS n_lines, 1::BIGINT AS n_files, sum(strlen(output_file) + 1)::BIGINT AS bytes FROM rec GROUP BY dataset")
@@ -31,12 +33,12 @@ def scan_audio_inventory(spark, d):
 
 @query("probe_audio_header", "SELECT 'sig_' || user_id || '.wav' AS name, 44100 AS rate, len(x) AS frames, 1 AS channels, 16 AS bits FROM hot")
 def probe_audio_header(spark, d):
-    return audio.probe_contents(_wav(spark, d))
+    return audio.probe(spark, _folder(spark, d, "probed"))
 
 
 @query("read_windows", f"SELECT 'sig_' || user_id || '.wav' AS name, k AS local_idx, k * 8 AS start_sample, round(list_sum(list_transform(x[(k * 8 + 1):(k * 8 + 32)], lambda v: round_even({PCM}, 0) / 32768)), 6) + 0.0 AS total FROM (SELECT user_id, x, unnest(range(0, (len(x) - 32) // 8 + 1)) AS k FROM hot WHERE len(x) >= 32)")
 def read_windows(spark, d):
-    w = audio.windows_of_contents(_wav(spark, d), 32, 8)
+    w = audio.read_windows(spark, _folder(spark, d, "windows"), 32, 8)
     return w.select("name", "local_idx", "start_sample", F.round(arrays.total(F.col("x")), 6).alias("total"))
 
 
@@ -128,9 +130,16 @@ def append_metrics(spark, d):
     return spark.read.parquet(path).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last_step"))
 
 
+@query("restore_folder", f"SELECT 'sig_' || user_id || '_restored.wav' AS file, len(x) AS frames, round(list_sum(list_transform(x, lambda v: round_even(round_even({PCM}, 0) / 32768 * 0.5 * 32767, 0) / 32768)), 6) + 0.0 AS total FROM hot")
+def restore_folder(spark, d):
+    """A folder of recordings through a restorer, in overlapping chunks, to another folder."""
+    source, path = _folder(spark, d, "recordings"), fx.scratch(spark, "restored")
+    chunks.restore_folder(spark, source, path, lambda x: x * 0.5, 16, 8)
+    found = wav.pieces(spark, path).groupBy(F.col("name").alias("file")).agg(F.max("n").alias("frames"), F.sum(arrays.total(F.col("x"))).alias("total"))
+    return found.withColumn("total", F.round("total", 6))
+
+
 @query("restore_fn", digest_sql("user_id", "list_transform(x, lambda v: greatest(-1.0, least(1.0, v)))", "hot"))
 def restore_fn(spark, d):
     """A restorer chosen by name."""
-    r = chunks.batch_restore(fx.signals(spark, d, 100.0), "clamp", 16, 8, "user_id")
-    x = r.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("z")).select("user_id", F.transform("z", lambda s: s["v"]).alias("x"))
-    return digest(x, "user_id", "x")
+    return digest_pieces(chunks.restore_pieces(fx.pieces(spark, d, 100.0, halo=16), "clamp", 16, 8, "user_id").withColumnRenamed("start", "begin"), "user_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import HOP, RADIUS, SEED, SEGMENT, TARGET, sql
 from ..functions import arrays, rng
-from ..operators import augment, chunks, evaluate, manifest, split, windows
+from ..operators import augment, chunks, evaluate, manifest, pieces, split, windows
 from ..sources import audio
 from . import dataset
 
@@ -33,6 +33,13 @@ def digest(df: DataFrame, key: str, x: str | Column) -> DataFrame:
     return df.select(key, F.size(v).cast("long").alias("n"), F.round(arrays.total(v), 6).alias("total"), F.round(moment, 6).alias("moment"))
 
 
+def digest_pieces(rows: DataFrame, key: str) -> DataFrame:
+    """The same of whole signals, from their pieces."""
+    moment = F.aggregate(F.transform("x", lambda a, i: a * (F.col("begin") + i + 1)), F.lit(0.0), lambda s, a: s + a)
+    g = rows.select(key, F.size("x").alias("k"), arrays.total(F.col("x")).alias("t"), moment.alias("m")).groupBy(key)
+    return g.agg(F.sum("k").alias("n"), F.round(F.sum("t"), 6).alias("total"), F.round(F.sum("m"), 6).alias("moment"))
+
+
 def digest_sql(key: str, x: str, source: str) -> str:
     return f"SELECT {key}, len(y) AS n, round(list_sum(y), 6) + 0.0 AS total, round(list_sum(list_transform(y, lambda v, i: v * i)), 6) + 0.0 AS moment FROM (SELECT {key}, {x} AS y FROM {source})"
 
@@ -128,7 +135,7 @@ def media_rules(spark, d):
 
 @query("window_shape_guard", "SELECT user_id, len(x) AS n FROM sig WHERE len(x) <> 67")
 def window_shape_guard(spark, d):
-    return fx.signals(spark, d).select("user_id", F.size("x").cast("long").alias("n")).where("n <> 67")
+    return fx.pieces(spark, d).groupBy("user_id").agg(F.sum(F.size("x")).alias("n")).where("n <> 67")
 
 
 # C. Joins
@@ -284,7 +291,7 @@ def preservation_summary(spark, d):
 
 @query("clipping_audit", "SELECT user_id % 3 AS split_no, count(*) AS n, count_if(c > 0)::BIGINT AS files, sum(c)::BIGINT AS samples FROM (SELECT user_id, len(list_filter(x, lambda v: abs(v) > 1)) AS c FROM hot) GROUP BY 1")
 def clipping_audit(spark, d):
-    c = fx.signals(spark, d, 100.0).select((F.col("user_id") % 3).alias("split_no"), arrays.clipped_samples(F.col("x")).alias("c"))
+    c = fx.pieces(spark, d, 100.0).groupBy("user_id").agg(F.sum(arrays.clipped_samples(F.col("x"))).alias("c")).withColumn("split_no", F.col("user_id") % 3)
     return c.groupBy("split_no").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") > 0).alias("files"), F.sum("c").alias("samples"))
 
 
@@ -330,13 +337,17 @@ MIX_KEY = "('0x' || substr(md5('42:' || song || ':' || stem), 1, 13))::UBIGINT::
     f"SELECT song, n_stems, peak, round(peak_after, 6) AS peak_after FROM (SELECT song, count(DISTINCT stem) AS n_stems, round(max(abs(v)), 6) AS peak FROM (SELECT song, i, sum(v) AS v FROM (SELECT song, stem, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY {MIX_KEY}) AS r FROM (SELECT user_id // 5 AS song, user_id AS stem, x FROM hot)) WHERE r <= 2 + song % 2) GROUP BY song, i) JOIN (SELECT song, stem FROM (SELECT song, stem, row_number() OVER (PARTITION BY song ORDER BY {MIX_KEY}) AS r FROM (SELECT user_id // 5 AS song, user_id AS stem FROM hot)) WHERE r <= 2 + song % 2) USING (song) GROUP BY song), LATERAL (SELECT least(peak, 1.0) AS peak_after)",
 )
 def mix_stems(spark, d):
-    stems = fx.signals(spark, d, 100.0).select(F.floor(F.col("user_id") / 5).alias("song"), F.col("user_id").alias("stem"), "x")
+    rows = fx.pieces(spark, d, 100.0).select(F.floor(F.col("user_id") / 5).alias("song"), F.col("user_id").alias("stem"), "piece", "x")
     order = F.row_number().over(Window.partitionBy("song").orderBy(rng.key(SEED, F.col("song"), F.col("stem"))))
-    chosen = stems.withColumn("r", order).where(F.col("r") <= 2 + F.col("song") % 2)
+    # Stems are chosen by name, before any sample moves; a song has a few.
+    stems = fx.table(spark, d, "events").select(F.floor(F.col("user_id") / 5).alias("song"), F.col("user_id").alias("stem")).distinct()
+    chosen = fx.saved(stems.withColumn("r", order).where(F.col("r") <= 2 + F.col("song") % 2).select("song", "stem"), "stems")
     count = chosen.groupBy("song").agg(F.count(F.lit(1)).alias("n_stems"))
-    mixed = chosen.select("song", F.posexplode("x").alias("i", "v")).groupBy("song", "i").agg(F.sum("v").alias("v"))
-    x = mixed.groupBy("song").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("z")).select("song", F.transform("z", lambda r: r["v"]).alias("x"))
-    return x.join(count, "song").select("song", "n_stems", F.round(arrays.peak(F.col("x")), 6).alias("peak"), F.round(arrays.peak(arrays.peak_normalize(F.col("x"))), 6).alias("peak_after"))
+    mixed = pieces.mixed(rows.join(chosen, ["song", "stem"]), "song")
+    peak = mixed.groupBy("song").agg(F.max(arrays.peak(F.col("x"))).alias("peak"))
+    after = mixed.join(peak, "song").select("song", "peak", F.when(F.col("peak") > 1, F.transform("x", lambda v: v / F.col("peak"))).otherwise(F.col("x")).alias("x"))
+    out = after.groupBy("song", "peak").agg(F.max(arrays.peak(F.col("x"))).alias("peak_after"))
+    return out.join(count, "song").select("song", "n_stems", F.round("peak", 6).alias("peak"), F.round("peak_after", 6).alias("peak_after"))
 
 
 # E. Window functions
@@ -484,8 +495,8 @@ def resolve_hop(spark, d):
 
 @query("downmix", digest_sql("user_id", "list_transform(x, lambda v: (v + -v / 2) / 2)", "sig"))
 def downmix(spark, d):
-    s = fx.signals(spark, d)
-    return digest(s.select("user_id", arrays.downmix(F.col("x"), F.transform("x", lambda v: -v / 2)).alias("x")), "user_id", "x")
+    s = fx.pieces(spark, d)
+    return digest_pieces(pieces.each(s, arrays.downmix(F.col("x"), F.transform("x", lambda v: -v / 2))), "user_id")
 
 
 PEAK = "list_max(list_transform(x, lambda v: abs(v)))"
@@ -493,7 +504,7 @@ PEAK = "list_max(list_transform(x, lambda v: abs(v)))"
 
 @query("peak_normalize", digest_sql("user_id", f"CASE WHEN {PEAK} > 1 THEN list_transform(x, lambda v: v / {PEAK}) ELSE x END", "hot"))
 def peak_normalize(spark, d):
-    return digest(fx.signals(spark, d, 100.0).select("user_id", arrays.peak_normalize(F.col("x")).alias("x")), "user_id", "x")
+    return digest_pieces(pieces.peak_normalize(fx.pieces(spark, d, 100.0), "user_id"), "user_id")
 
 
 LOUD = "10 * log10(list_sum(list_transform(x, lambda v: v * v)) / len(x))"
@@ -501,19 +512,21 @@ LOUD = "10 * log10(list_sum(list_transform(x, lambda v: v * v)) / len(x))"
 
 @query("loudness_normalize", digest_sql("user_id", "CASE WHEN p > 1 THEN list_transform(y, lambda v: v / p) ELSE y END", f"(SELECT user_id, y, list_max(list_transform(y, lambda v: abs(v))) AS p FROM (SELECT user_id, list_transform(x, lambda v: v * pow(10, (-6.0 - loud) / 20)) AS y FROM (SELECT user_id, x, {LOUD} AS loud FROM sig)))"))
 def loudness_normalize(spark, d):
-    s = fx.signals(spark, d).withColumn("loud", 10 * F.log10(arrays.mean_square(F.col("x"))))
-    return digest(s.select("user_id", arrays.loudness_normalize(F.col("x"), F.col("loud"), -6.0).alias("x")), "user_id", "x")
+    s = fx.pieces(spark, d)
+    loud = pieces.peaks(s, "user_id").select("user_id", (10 * F.log10("mean_square")).alias("loudness"))
+    return digest_pieces(pieces.loudness_normalize(s, "user_id", loud, -6.0), "user_id")
 
 
 @query("level_stats", f"SELECT user_id, round({LOUD}, 6) + 0.0 AS mean_db, round(20 * log10({PEAK}), 6) + 0.0 AS peak_db FROM sig")
 def level_stats(spark, d):
-    return fx.signals(spark, d).select("user_id", F.round(10 * F.log10(arrays.mean_square(F.col("x"))), 6).alias("mean_db"), F.round(20 * F.log10(arrays.peak(F.col("x"))), 6).alias("peak_db"))
+    return pieces.peaks(fx.pieces(spark, d), "user_id").select("user_id", F.round(10 * F.log10("mean_square"), 6).alias("mean_db"), F.round(20 * F.log10("peak"), 6).alias("peak_db"))
 
 
 @query("clamp_quantize_pcm16", "SELECT user_id, sum(round_even(greatest(-1.0, least(1.0, v)) * 32767, 0))::BIGINT AS total, min(round_even(greatest(-1.0, least(1.0, v)) * 32767, 0))::BIGINT AS low, max(round_even(greatest(-1.0, least(1.0, v)) * 32767, 0))::BIGINT AS high FROM (SELECT user_id, unnest(x) AS v FROM hot) GROUP BY user_id")
 def clamp_quantize_pcm16(spark, d):
-    s = fx.signals(spark, d, 100.0).select("user_id", F.explode(arrays.quantize_pcm16(F.col("x"))).alias("v"))
-    return s.groupBy("user_id").agg(F.sum("v").alias("total"), F.min("v").cast("long").alias("low"), F.max("v").cast("long").alias("high"))
+    s = fx.pieces(spark, d, 100.0).select("user_id", arrays.quantize_pcm16(F.col("x")).alias("v"))
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda a, v: a + v)
+    return s.groupBy("user_id").agg(F.sum(total).alias("total"), F.min(F.array_min("v")).cast("long").alias("low"), F.max(F.array_max("v")).cast("long").alias("high"))
 
 
 NORMAL = f"(SELECT vec_id, x, (SELECT list(mean ORDER BY channel) FROM ({STATS})) AS m, (SELECT list(std ORDER BY channel) FROM ({STATS})) AS s FROM lat)"
@@ -593,7 +606,7 @@ def bandpass_curve(spark, d):
 
 @query("soft_saturate", digest_sql("user_id", "list_transform(x, lambda v: 0.4 * v + 0.6 * tanh(3 * v) / 3)", "hot"))
 def soft_saturate(spark, d):
-    return digest(fx.signals(spark, d, 100.0).select("user_id", arrays.soft_saturate(F.col("x"), 0.6, 3.0).alias("x")), "user_id", "x")
+    return digest_pieces(pieces.each(fx.pieces(spark, d, 100.0), arrays.soft_saturate(F.col("x"), 0.6, 3.0)), "user_id")
 
 
 MIX = "(SELECT user_id, x, n[(1 + user_id % (len(n) - len(x) + 1)):(len(x) + user_id % (len(n) - len(x) + 1))] AS p FROM (SELECT user_id, x, CASE WHEN len(samples) < len(x) THEN flatten(list_transform(range(len(x) // len(samples) + 1), lambda i: samples)) ELSE samples END AS n FROM sig JOIN noise ON noise_idx = user_id % (SELECT count(*) FROM noise)))"
@@ -603,8 +616,10 @@ MEAN_SQUARE = "greatest(list_sum(list_transform({0}, lambda v: v * v)) / len({0}
 @query("mix_at_snr", digest_sql("user_id", "list_transform(x, lambda v, i: v + g * p[i])", f"(SELECT user_id, x, p, sqrt({MEAN_SQUARE.format('x')} / pow(10, 12.0 / 10) / {MEAN_SQUARE.format('p')}) AS g FROM {MIX})"))
 def mix_at_snr(spark, d):
     n = fx.noise(spark, d)
-    s = fx.signals(spark, d).join(F.broadcast(n.agg(F.count(F.lit(1)).alias("k")))).withColumn("noise_idx", F.col("user_id") % F.col("k")).join(n, "noise_idx")
-    return digest(s.select("user_id", arrays.mix_at_snr(F.col("x"), F.col("samples"), F.col("user_id"), F.lit(12.0)).alias("x")), "user_id", "x")
+    s = fx.pieces(spark, d)
+    users = fx.table(spark, d, "events").select("user_id").distinct()
+    clip = users.join(F.broadcast(n.agg(F.count(F.lit(1)).alias("k")))).withColumn("noise_idx", F.col("user_id") % F.col("k")).join(n, "noise_idx").select("user_id", "samples")
+    return digest_pieces(pieces.mix_at_snr(s, "user_id", clip, F.col("user_id"), 12.0), "user_id")
 
 
 @query("artifact_name", "SELECT window_idx, degradation_idx, format('window_{:06d}_degradation_{:02d}.pt', window_idx, degradation_idx) AS name FROM pairs")
@@ -621,7 +636,7 @@ def mse(spark, d):
 def hann_weights(spark, d):
     """Every 16 samples of a signal under one window."""
     x = F.transform("x", lambda v, i: v * F.get(arrays.hann(16), i % 16))
-    return fx.signals(spark, d).select("user_id", F.round(arrays.total(x), 6).alias("faded"))
+    return fx.pieces(spark, d).groupBy("user_id").agg(F.round(F.sum(arrays.total(x)), 6).alias("faded"))
 
 
 # I. Set operations
@@ -651,58 +666,66 @@ def merge_worker_previews(spark, d):
 # J. Jobs over arrays
 
 
-def long_signals(spark: SparkSession, d: str) -> DataFrame:
-    return fx.signals(spark, d)
+CHUNK, OVERLAP = 16, 8
 
 
 @query("chunk_signals", "SELECT user_id, k::INTEGER AS chunk_idx, round(list_sum(x[(k * 8 + 1):(k * 8 + 16)]), 6) + 0.0 AS total FROM (SELECT user_id, x, unnest(range(0, greatest(ceil((len(x) - 16) / 8.0), 0)::BIGINT + 1)) AS k FROM sig)")
 def chunk_signals(spark, d):
     size, overlap = chunks.chunk_sizes(14, 9, 4)
-    return chunks.chunk_signals(long_signals(spark, d), size, overlap, "user_id").select("user_id", "chunk_idx", F.round(arrays.total(F.col("x")), 6).alias("total"))
+    return chunks.chunk_pieces(fx.pieces(spark, d, halo=size), size, overlap, "user_id").select("user_id", "chunk_idx", F.round(arrays.total(F.col("x")), 6).alias("total"))
+
+
+def _samples(blocks: DataFrame) -> DataFrame:
+    rows = blocks.select("user_id", "start", F.posexplode("x").alias("i", "v"))
+    return rows.select("user_id", (F.col("start") + F.col("i")).cast("int").alias("pos"), F.round("v", 6).alias("v"))
 
 
 @query("overlap_add", "SELECT user_id, (i - 1)::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM (SELECT user_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM sig)")
 def overlap_add(spark, d):
     """Chunks of unchanged signals give the signals back."""
-    c = chunks.chunk_signals(long_signals(spark, d), 16, 8, "user_id")
-    return chunks.overlap_add(c, 16, 8, "user_id").select("user_id", F.col("pos").cast("int").alias("pos"), F.round("v", 6).alias("v"))
+    c = chunks.chunk_pieces(fx.pieces(spark, d, halo=CHUNK), CHUNK, OVERLAP, "user_id")
+    return _samples(chunks.overlap_add_blocks(c, CHUNK, OVERLAP, "user_id"))
 
 
 @query("batch_restore", "SELECT user_id, (i - 1)::INTEGER AS pos, round(v * 0.5, 6) + 0.0 AS v FROM (SELECT user_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM sig)")
 def batch_restore(spark, d):
-    return chunks.batch_restore(long_signals(spark, d), lambda x: x * 0.5, 16, 8, "user_id").select("user_id", F.col("pos").cast("int").alias("pos"), F.round("v", 6).alias("v"))
+    return _samples(chunks.restore_pieces(fx.pieces(spark, d, halo=CHUNK), lambda x: x * 0.5, CHUNK, OVERLAP, "user_id"))
+
+
+#: Pieces of signals stand for windows: their length is bounded.
+IDS = ("user_id", "piece")
 
 
 @query("apply_frequency_response")
 def apply_frequency_response(spark, d):
-    return augment.frequency_response(long_signals(spark, d), [3.0, 0.0, 0.0, -3.0, 0.0, 0.0, 6.0, 0.0, 0.0, -6.0], 44100.0, "user_id")
+    return augment.frequency_response(fx.pieces(spark, d), [3.0, 0.0, 0.0, -3.0, 0.0, 0.0, 6.0, 0.0, 0.0, -6.0], 44100.0, *IDS)
 
 
 @query("augment_windows")
 def augment_windows(spark, d):
-    return augment.augment(long_signals(spark, d), fx.noise(spark, d), 3, SEED, 44100.0, "user_id")
+    return augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 3, SEED, 44100.0, *IDS)
 
 
 @query("augment_stages")
 def augment_stages(spark, d):
-    return augment.augment(long_signals(spark, d), fx.noise(spark, d), 1, SEED, 44100.0, "user_id", stages=True)
+    return augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 1, SEED, 44100.0, *IDS, stages=True)
 
 
 @query("stft_features")
 def stft_features(spark, d):
-    return augment.stft_features(long_signals(spark, d), "user_id", n_fft=32, hop=8, win=32)
+    return augment.stft_features(fx.pieces(spark, d), *IDS, n_fft=32, hop=8, win=32)
 
 
 @query("istft_signal", "SELECT user_id, (i - 1)::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM (SELECT user_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM sig)")
 def istft_signal(spark, d):
     """Spectra of the signals give the signals back."""
-    x = augment.istft_signals(stft_features(spark, d), "user_id", n_fft=32, hop=8, win=32)
-    return x.select("user_id", F.posexplode("x").alias("pos", "v")).select("user_id", "pos", F.round("v", 6).alias("v"))
+    x = augment.istft_signals(stft_features(spark, d), *IDS, n_fft=32, hop=8, win=32)
+    return _samples(x.withColumn("start", F.col("piece") * pieces.SIZE))
 
 
 @query("log_spectrogram")
 def log_spectrogram(spark, d):
-    return augment.log_spectrogram(stft_features(spark, d), "user_id")
+    return augment.log_spectrogram(stft_features(spark, d), *IDS)
 
 
 @query("stft_channel_stats")
@@ -712,8 +735,8 @@ def stft_channel_stats(spark, d):
 
 def _metric_rows(spark, d):
     """Signals against a softly saturated version of themselves."""
-    s = long_signals(spark, d)
-    return augment.spectral_metrics(s.select("user_id", arrays.soft_saturate(F.col("x"), 0.6, 3.0).alias("a"), F.col("x").alias("b")), 44100.0, "user_id")
+    s = fx.pieces(spark, d)
+    return augment.spectral_metrics(s.select(*IDS, arrays.soft_saturate(F.col("x"), 0.6, 3.0).alias("a"), F.col("x").alias("b")), 44100.0, *IDS)
 
 
 @query("pair_spectral_metrics")
@@ -723,29 +746,30 @@ def pair_spectral_metrics(spark, d):
 
 @query("score_fn", "SELECT user_id, round(list_max(list_transform(x, lambda v: abs(v))), 6) AS score FROM sig")
 def score_fn(spark, d):
-    return augment.score_items(long_signals(spark, d), lambda x: abs(x).max(), "user_id").select("user_id", F.round("score", 6).alias("score"))
+    scored = augment.score_items(fx.pieces(spark, d), lambda x: abs(x).max(), *IDS)
+    return scored.groupBy("user_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 @query("augment_fn")
 def augment_fn(spark, d):
-    return augment.augment(long_signals(spark, d), fx.noise(spark, d), 2, SEED, 44100.0, "user_id", augment_fn=lambda x, p, noise, pick, rate: [x * p["wet"]])
+    return augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 2, SEED, 44100.0, *IDS, augment_fn=lambda x, p, noise, pick, rate: [x * p["wet"]])
 
 
 def _cut(spark, d):
-    s = long_signals(spark, d)
+    s = fx.pieces(spark, d)
     return s.select(F.col("user_id").alias("source_idx"), F.floor(F.col("user_id") / 2).alias("group_idx"), "x")
 
 
 @query("encode_pairs")
 def encode_pairs(spark, d):
-    s = long_signals(spark, d)
+    s = fx.pieces(spark, d)
     v = augment.augment(s, fx.noise(spark, d), 2, SEED, 44100.0, "user_id")
     return dataset.encode_pairs(s, v, "spectrum", [0.0] * 17, [1.0] * 17, "user_id")
 
 
 @query("encoder_fn")
 def encoder_fn(spark, d):
-    return dataset.latent_stats(long_signals(spark, d), lambda x: x[None, :])
+    return dataset.latent_stats(fx.pieces(spark, d), lambda x: x[None, :])
 
 
 @query("precompute_dataset")

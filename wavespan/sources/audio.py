@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import wave
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.manifest import COLUMNS
+from ..operators.pieces import SIZE, full_windows
+from . import wav
 
 
 def name_of(path: str) -> Column:
@@ -30,49 +27,15 @@ def stem_folders(spark: SparkSession, path: str, extensions: tuple[str, ...] = (
     return rows.groupBy("song").agg(F.array_sort(F.collect_list("name")).alias("stems"))
 
 
-def _contents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").load(path).select(name_of("path").alias("name"), "content")
-
-
 def probe(spark: SparkSession, path: str) -> DataFrame:
-    """name, rate, frames, channels, bits of every WAV file of a folder."""
-    return probe_contents(_contents(spark, path))
-
-
-def probe_contents(files: DataFrame) -> DataFrame:
-    """The same of files (name, content)."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for name, data in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
-                with wave.open(io.BytesIO(data)) as w:
-                    rows.append({"name": name, "rate": w.getframerate(), "frames": w.getnframes(), "channels": w.getnchannels(), "bits": 8 * w.getsampwidth()})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("name", pa.string()), ("rate", pa.int32()), ("frames", pa.int64()), ("channels", pa.int32()), ("bits", pa.int32())]))
-
-    return files.select("name", "content").mapInArrow(run, "name string, rate int, frames long, channels int, bits int")
-
+    """name, rate, frames, channels, bits of every WAV file of a folder; only headers are read."""
+    return wav.headers(spark, path)
 
-def read_windows(spark: SparkSession, path: str, segment: int, hop: int) -> DataFrame:
-    """name, local_idx, start_sample, x (mono) of all full windows of a folder; a file is decoded once."""
-    return windows_of_contents(_contents(spark, path), segment, hop)
 
-
-def windows_of_contents(files: DataFrame, segment: int, hop: int) -> DataFrame:
-    """The same of files (name, content)."""
-
-    def run(batches):
-        schema = pa.schema([("name", pa.string()), ("local_idx", pa.int64()), ("start_sample", pa.int64()), ("x", pa.list_(pa.float64()))])
-        for b in batches:
-            for name, data in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
-                with wave.open(io.BytesIO(data)) as w:
-                    if w.getsampwidth() != 2:
-                        raise ValueError(f"{name}: only 16-bit PCM is read")
-                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(1) / 32768
-                starts = range(0, max(0, len(x) - segment + 1), hop)
-                yield pa.RecordBatch.from_pylist([{"name": name, "local_idx": k, "start_sample": s, "x": x[s : s + segment]} for k, s in enumerate(starts)], schema=schema)
-
-    return files.select("name", "content").mapInArrow(run, "name string, local_idx long, start_sample long, x array<double>")
+def read_windows(spark: SparkSession, path: str, segment: int, hop: int, size: int = SIZE) -> DataFrame:
+    """name, local_idx, start_sample, x (mono) of all full windows of a folder; a long file is many tasks."""
+    size = max(size, segment)
+    return full_windows(wav.pieces(spark, path, size, segment), segment, hop, size).select("name", "local_idx", "start_sample", "x")
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -123,25 +86,6 @@ def selected_windows(spark: SparkSession, explicit: list[int] | None = None, pat
     return spark.createDataFrame(list(enumerate(ids)), "pos int, global_idx long")
 
 
-def encode_wav(signals: DataFrame, name: str, rate: int = 44100) -> DataFrame:
-    """name, content: 16-bit mono PCM WAV files of signals (name, x), clamped to -1 .. 1."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for x in b.column("x").to_pylist():
-                sink = io.BytesIO()
-                with wave.open(sink, "wb") as w:
-                    w.setnchannels(1)
-                    w.setsampwidth(2)
-                    w.setframerate(rate)
-                    w.writeframes(np.rint(np.clip(np.array(x, float), -1, 1) * 32767).astype("<i2").tobytes())
-                out.append(sink.getvalue())
-            yield pa.record_batch({"name": b.column("name"), "content": pa.array(out, pa.binary())})
-
-    return signals.select(F.col(name).cast("string").alias("name"), "x").mapInArrow(run, "name string, content binary")
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether an output has its success marker."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
