@@ -90,15 +90,12 @@ def test_scorers_may_fail(signals):
     assert {r["error"] for r in augment.score_items(signals, None, "k").collect()} == {"no scorer"}
 
 
-def test_plug_ins(spark, signals, noise):
+def test_plug_ins(signals):
     with pytest.raises(ValueError):
         dataset.encoder("nothing")
     own = dataset.latent_stats(signals, lambda x: x[None, :]).first()
     every = np.concatenate([r["x"] for r in signals.collect()])
     assert np.isclose(own["mean"], every.mean()) and np.isclose(own["std"], every.std())
-    rows = signals.selectExpr("k AS source_idx", "k AS group_idx", "x")
-    pairs = dataset.precompute(rows, noise, 64, 16, 2, 1, 0.2, 44100.0, encode_fn="samples", scope="all").collect()
-    assert {r["split"] for r in pairs} == {"train", "validate"} and all(np.shape(r["z_clean"]) == np.shape(r["z_cond"]) == (1, 64) for r in pairs)
 
 
 def test_draws_are_normal(spark):

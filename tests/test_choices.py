@@ -28,7 +28,7 @@ def test_batch_augmenter_and_its_fallback(spark):
 
         def batch(self, xs, ps, noises, picks, rate):
             if any(len(x) > 3 for x in xs):
-                raise ValueError("too long")
+                return NotImplemented
             return [[x * 3] for x in xs]
 
     noise = spark.createDataFrame([(0, [0.1, 0.2])], "noise_idx long, samples array<double>")
@@ -37,6 +37,19 @@ def test_batch_augmenter_and_its_fallback(spark):
         assert len(out) == 2 and all(np.allclose(r["x"], np.array(x) * factor) for r in out)
 
 
+def test_errors_of_an_augmenter_are_not_hidden(spark):
+    class Broken:
+        def __call__(self, *a):
+            return [a[0]]
+
+        def batch(self, *a):
+            raise ValueError("broken augmenter")
+
+    noise = spark.createDataFrame([(0, [0.1, 0.2])], "noise_idx long, samples array<double>")
+    with pytest.raises(Exception, match="broken augmenter"):
+        augment.augment(spark.createDataFrame([(1, [0.5])], "k long, x array<double>"), noise, 1, 1, 44100.0, "k", augment_fn=Broken()).collect()
+
+
 def test_a_user_gives_another_degradation(spark):
     flat = augment.Degradation(nodes=(100, 1000), eq1=((-3.0, 0.0, -3.0, -3.0),) * 2, eq2=((0.0, 0.0, 0.0, 0.0),) * 2, drive=(1.0, 0.0, 1.0, 1.0), wet=(0.0,) * 4, low_cut=(40.0, 0.0, 40.0, 40.0), high_cut=(5000.0, 0.0, 5000.0, 5000.0), low_slope=(6.0, 0.0, 6.0, 6.0), high_slope=(9.0, 0.0, 9.0, 9.0), snr=(20.0, 0.0, 20.0, 20.0))
     r = augment.degradation_params(spark.range(1), 1, "id", model=flat).first()

@@ -146,6 +146,13 @@ SQL: dict[str, str] = {
     "assets": "SELECT doc_id, sha256(text) AS found_sha256, CASE WHEN doc_id % 23 = 9 THEN sha256('x') ELSE sha256(text) END AS listed_sha256, CASE WHEN doc_id % 19 = 3 THEN 48000 ELSE 44100 END AS sample_rate, CASE WHEN doc_id % 17 = 4 THEN 1 ELSE 2 END AS channels, 5.0::DOUBLE + (doc_id % 13) / 100.0::DOUBLE AS duration, -20.0::DOUBLE - (doc_id % 71) AS mean_db, 1.0::DOUBLE - (doc_id % 11) AS peak_db FROM documents",
 }
 
+#: The same split of recordings that are signals of users: windows of 32 samples, 8 apart, two users a recording.
+SQL["src2"] = "SELECT user_id, row_number() OVER (ORDER BY 'sig_' || user_id || '.wav') - 1 AS source_idx, dense_rank() OVER (ORDER BY 'rec_' || (user_id // 2)) - 1 AS group_idx, list_transform(x, lambda v: round_even(greatest(-1.0, least(1.0, v)) * 32767, 0) / 32768) AS y FROM hot WHERE len(x) >= 32"
+SQL["win2"] = f"SELECT source_idx, group_idx, i AS local_idx, i * 8 AS start_sample, y[(i * 8 + 1):(i * 8 + 32)] AS y, ('0x' || substr(md5('{SEED}:' || source_idx || ':' || i), 1, 13))::UBIGINT::BIGINT AS h FROM (SELECT *, unnest(range(0, (len(y) - 32) // 8 + 1)) AS i FROM src2)"
+for _name, _from in (("prom", "win"), ("left_at", "prom"), ("curve", "left_at"), ("cut", "curve"), ("split", "left_at")):
+    SQL[f"{_name}2"] = re.sub(r"\b(win|prom|left_at|curve|cut)\b(?=[\s,)]|$)", r"\g<1>2", SQL[_name]).replace(f"BETWEEN {RADIUS} PRECEDING AND {RADIUS} FOLLOWING", "BETWEEN 3 PRECEDING AND 3 FOLLOWING")
+SQL["split2"] = SQL["split2"].replace("start_sample, CASE", "start_sample, y, row_number() OVER (ORDER BY source_idx, local_idx) - 1 AS global_idx, CASE")
+
 
 def sql(body: str) -> str:
     """body with the definitions it uses in front."""

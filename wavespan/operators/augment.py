@@ -106,22 +106,23 @@ PARAMS = ("eq1", "eq2", "drive", "wet", "low_cut", "high_cut", "low_slope", "hig
 
 
 def _augmented(made, args: list[tuple], rate: float) -> list:
-    if hasattr(made, "batch"):
-        try:
-            return made.batch(*zip(*args, strict=True), rate) if args else []
-        except (ValueError, MemoryError, NotImplementedError):
-            pass
+    """All results of a batch. Errors of a user's function are its own: only a batch method that says so is done without."""
+    if args and hasattr(made, "batch"):
+        found = made.batch(*zip(*args, strict=True), rate)
+        if found is not NotImplemented:
+            return found
     return [made(*a, rate) for a in args]
 
 
-def augment(windows: DataFrame, noise: DataFrame, n: int, seed: int, rate: float, *ids: str, stages: bool = False, augment_fn=None, model: Degradation = MODEL) -> DataFrame:
-    """n degraded variants of each window (columns ids and x): ids, degradation_idx, stage, x.
+def augment(windows: DataFrame, noise: DataFrame, n: int, seed: int, rate: float, *ids: str, keep: tuple[str, ...] = (), stages: bool = False, augment_fn=None, model: Degradation = MODEL) -> DataFrame:
+    """n degraded variants of each window (columns ids, keep and x): ids, degradation_idx, keep, stage, x. Draws depend on ids, not on keep.
 
     augment_fn, a function like degrade, takes the place of the built-in chain. A function with a method `batch` gets
-    lists of all arguments of an Arrow batch at once; if that method fails, rows are done one by one.
+    lists of all arguments of an Arrow batch at once; if it gives NotImplemented, rows are done one by one.
     """
     keys = [*ids, "degradation_idx"]
-    rows = windows.select(*ids, "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("degradation_idx"))
+    cols_kept = [*keys, *keep]
+    rows = windows.select(*ids, *keep, "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("degradation_idx"))
     rows = assign_noise(degradation_params(rows, seed, *keys, model=model), noise, seed, *keys).withColumn("pick", rng.key(seed, *[F.col(c) for c in keys], "start"))
     made = augment_fn or partial(degrade, nodes=model.nodes)
 
@@ -136,10 +137,10 @@ def augment(windows: DataFrame, noise: DataFrame, n: int, seed: int, rate: float
                     stage.append(s)
                     out.append(v)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in keys], pa.array(stage, pa.int32()), pa.array(out, pa.list_(pa.float64()))], [*keys, "stage", "x"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in cols_kept], pa.array(stage, pa.int32()), pa.array(out, pa.list_(pa.float64()))], [*cols_kept, "stage", "x"])
 
     kinds = dict(rows.dtypes)
-    return rows.select(*keys, "x", "samples", "pick", *PARAMS).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", stage int, x array<double>")
+    return rows.select(*cols_kept, "x", "samples", "pick", *PARAMS).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in cols_kept) + ", stage int, x array<double>")
 
 
 def frequency_response(df: DataFrame, gains: list[float], rate: float, *ids: str) -> DataFrame:

@@ -8,15 +8,16 @@ from .. import fixtures as fx
 from ..functions import arrays
 from ..operators import chunks, split
 from ..sources import audio, wav
+from . import dataset
 from .queries import all_split, digest_pieces, digest_sql, query
 
 PCM = "greatest(-1.0, least(1.0, v)) * 32767"
 
 
-def _folder(spark, d, tag):
-    """A folder with a WAV file for each signal."""
+def _folder(spark, d, tag, least=0):
+    """A folder with a WAV file for each signal of a length."""
     path = fx.scratch(spark, tag)
-    wav.write(fx.pieces(spark, d, 100.0).withColumn("name", F.format_string("sig_%d.wav", F.col("user_id"))), "name", path).count()
+    wav.write(fx.pieces(spark, d, 100.0).where(F.col("n") >= least).withColumn("name", F.format_string("sig_%d.wav", F.col("user_id"))), "name", path).count()
     return path
 
 
@@ -143,3 +144,35 @@ def restore_folder(spark, d):
 def restore_fn(spark, d):
     """A restorer chosen by name."""
     return digest_pieces(chunks.restore_pieces(fx.pieces(spark, d, 100.0, halo=16), "clamp", 16, 8, "user_id").withColumnRenamed("start", "begin"), "user_id")
+
+
+def _listed(spark, d):
+    """A manifest of the folder: two users are views of one recording."""
+    i = F.col("user_id")
+    users = fx.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 32")
+    kind = F.when(i % 2 == 0, "full_mix").otherwise("section_mix")
+    return users.select(F.concat(F.lit("rec_"), F.floor(i / 2)).alias("recording_id"), kind.alias("kind"), F.lit("users").alias("dataset"), F.lit("song").alias("song"), F.when(i % 2 == 0, "full_mix").otherwise("strings").alias("family"), F.format_string("sig_%d.wav", i).alias("output_file"))
+
+
+def _dataset(spark, d):
+    config = dataset.Config(segment=32, hop=8, variants=2, seed=fx.SEED, target=fx.TARGET, encoder="samples")
+    return dataset.Dataset(spark, fx.scratch(spark, "dataset"), _folder(spark, d, "sources", 32), config, _listed(spark, d), fx.noise(spark, d))
+
+
+@query(
+    "precompute_dataset",
+    "SELECT split, global_idx, source_idx, local_idx, k::INTEGER AS degradation_idx, 32::BIGINT AS n, round(list_sum(list_transform(y, lambda v: (v - mean) / (std + 1e-6))), 6) + 0.0 AS clean_total FROM split2, range(0, 2) t(k), (SELECT avg(v) AS mean, sqrt(greatest(avg(v * v) - avg(v) * avg(v), 1e-12)) AS std FROM (SELECT unnest(y) AS v FROM split2 WHERE split = 'train')) WHERE split <> 'discard'",
+)
+def precompute_dataset(spark, d):
+    """From a folder of recordings and a manifest to audited pairs."""
+    made = _dataset(spark, d)
+    if made.build().where("bad > 0").count():
+        raise ValueError("the audit has faults")
+    z, c = F.get("z_clean", F.lit(0)), F.get("z_cond", F.lit(0))
+    return made.read("pairs").select("split", "global_idx", "source_idx", "local_idx", "degradation_idx", F.size(c).cast("long").alias("n"), F.round(arrays.total(z), 6).alias("clean_total"))
+
+
+@query("split_of_folder", "SELECT split, global_idx, source_idx, group_idx, local_idx FROM split2")
+def split_of_folder(spark, d):
+    """The plan up to its split: no sample is read."""
+    return _dataset(spark, d).build("split").select("split", "global_idx", "source_idx", "group_idx", "local_idx")

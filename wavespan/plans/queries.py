@@ -755,26 +755,28 @@ def augment_fn(spark, d):
     return augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 2, SEED, 44100.0, *IDS, augment_fn=lambda x, p, noise, pick, rate: [x * p["wet"]])
 
 
-def _cut(spark, d):
-    s = fx.pieces(spark, d)
-    return s.select(F.col("user_id").alias("source_idx"), F.floor(F.col("user_id") / 2).alias("group_idx"), "x")
-
-
-@query("encode_pairs")
+@query("encode_pairs", "SELECT vec_id, k::INTEGER AS degradation_idx, n, round(list_sum(list_transform(x[1:n], lambda v: (v - 0.1) / (0.5 + 1e-6))), 6) + 0.0 AS clean_total, round(list_sum(list_transform(x[1:n], lambda v: (v * (0.5 + 0.25 * k) - 0.1) / (0.5 + 1e-6))), 6) + 0.0 AS cond_total FROM (SELECT vec_id, x, 40 + vec_id % 20 AS n FROM lat), range(0, 2) t(k)")
 def encode_pairs(spark, d):
-    s = fx.pieces(spark, d)
-    v = augment.augment(s, fx.noise(spark, d), 2, SEED, 44100.0, "user_id")
-    return dataset.encode_pairs(s, v, "spectrum", [0.0] * 17, [1.0] * 17, "user_id")
+    """Of each vector and two variants, of which one is shorter: all are cropped to its length."""
+    rows = fx.latents(spark, d)
+    one = rows.select("vec_id", F.lit(0).alias("degradation_idx"), F.transform("x", lambda v: v * 0.5).alias("x"))
+    two = rows.select("vec_id", F.lit(1).alias("degradation_idx"), F.slice(F.transform("x", lambda v: v * 0.75), 1, (40 + F.col("vec_id") % 20).cast("int")).alias("x"))
+    z = dataset.encode_pairs(rows, one.unionAll(two), "samples", [0.1], [0.5], "vec_id")
+    first = lambda c: F.get(c, F.lit(0))
+    return z.select("vec_id", "degradation_idx", F.size(first("z_cond")).cast("long").alias("n"), F.round(arrays.total(first("z_clean")), 6).alias("clean_total"), F.round(arrays.total(first("z_cond")), 6).alias("cond_total"))
 
 
-@query("encoder_fn")
+@query("encoder_fn", "SELECT 0 AS channel, round(avg(v), 6) + 0.0 AS mean, round(sqrt(greatest(avg(v * v) - avg(v) * avg(v), 1e-12)), 6) AS std FROM (SELECT unnest(x) AS v FROM sig)")
 def encoder_fn(spark, d):
-    return dataset.latent_stats(fx.pieces(spark, d), lambda x: x[None, :])
+    """A user's function as encoder."""
+    return dataset.latent_stats(fx.pieces(spark, d), lambda x: x[None, :]).select("channel", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("precompute_dataset")
-def precompute_dataset(spark, d):
-    return dataset.precompute(_cut(spark, d), fx.noise(spark, d), 32, 8, 2, SEED, TARGET, 44100.0)
+@query("encoder_roundtrip", "SELECT user_id, (i - 1)::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM (SELECT user_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM sig)")
+def encoder_roundtrip(spark, d):
+    """Chunks through a codec and back, added up: the signals again."""
+    made = dataset.codec("cosines").check(CHUNK)
+    return _samples(chunks.restore_pieces(fx.pieces(spark, d, halo=CHUNK), dataset.round_trip(made), CHUNK, OVERLAP, "user_id"))
 
 
 @query(
