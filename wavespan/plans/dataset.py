@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import augment, evaluate, manifest, pieces, split, windows
+from ..operators import augment, evaluate, loudness, manifest, pieces, split, windows
 from ..sources import audio, wav
 
 
@@ -161,6 +161,7 @@ class Config:
     scope: str = "train"
     grouped: bool = True
     output: str = "latents"
+    loudness: float | None = None
     model: augment.Degradation = field(default=augment.MODEL)
 
     def checked(self) -> Config:
@@ -259,7 +260,9 @@ class Dataset:
         wanted = ids.join(names, "source_idx").withColumn("piece", F.floor(F.col("start_sample") / size)).groupBy("name", "source_idx", "piece").agg(F.collect_list(F.struct(*keep)).alias("w"))
         met = wav.pieces(self.spark, self.source, size, self.config.segment).join(wanted, ["name", "piece"])
         rows = met.select("source_idx", "begin", "x", F.explode("w").alias("w")).select("source_idx", "w.*", "begin", "x")
-        return rows.select(*ids.columns, F.slice("x", (F.col("start_sample") - F.col("begin") + 1).cast("int"), self.config.segment).alias("x"))
+        out = rows.select(*ids.columns, F.slice("x", (F.col("start_sample") - F.col("begin") + 1).cast("int"), self.config.segment).alias("x"))
+        # Windows are brought to the target loudness one by one, as they are read.
+        return out if self.config.loudness is None else loudness.normalize_windows(out, self.config.rate, self.config.loudness, *ids.columns)
 
     def statistics(self) -> DataFrame:
         """channel, mean, std of the latents of the training windows, or of all."""

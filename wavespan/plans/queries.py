@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import HOP, RADIUS, SEED, SEGMENT, TARGET, sql
 from ..functions import arrays, rng
-from ..operators import augment, chunks, evaluate, manifest, pieces, split, windows
+from ..operators import augment, chunks, evaluate, loudness, manifest, pieces, split, windows
 from ..sources import audio
 from . import dataset
 
@@ -517,6 +517,22 @@ def loudness_normalize(spark, d):
     return digest_pieces(pieces.loudness_normalize(s, "user_id", loud, -6.0), "user_id")
 
 
+#: A signal of the tables has under a hundred samples: blocks of 16 of them, at 8,000 a second.
+LOUD_RATE, LOUD_BLOCK = 8000.0, 0.002
+_RESPONSE = "[" + ", ".join(repr(float(v)) for v in loudness.response(LOUD_RATE, 512)) + "]"
+_ENERGY = "list_transform(range(0, (len(x) - 16) // 4 + 1), lambda b: list_sum(list_transform(y[(b * 4 + 1):(b * 4 + 16)], lambda v: v * v)) / 16)"
+
+
+@query(
+    "gated_loudness",
+    f"SELECT user_id, round(-0.691 + 10 * log10(avg(e) FILTER (e > gate)), 6) + 0.0 AS loudness FROM (SELECT user_id, e, avg(e) FILTER (-0.691 + 10 * log10(e) > -70) OVER (PARTITION BY user_id) * 0.1 AS gate FROM (SELECT user_id, unnest({_ENERGY}) AS e FROM (SELECT user_id, x, list_transform(range(1, len(x) + 1), lambda i: list_sum(list_transform(range(0, i), lambda k: h[k + 1] * x[i - k]))) AS y FROM sig, (SELECT {_RESPONSE} AS h) WHERE len(x) >= 16)) WHERE e > 0) WHERE -0.691 + 10 * log10(e) > -70 GROUP BY user_id",
+)
+def gated_loudness(spark, d):
+    chunk = loudness.stretch(LOUD_RATE, LOUD_BLOCK, 1024)[2]
+    e = loudness.energies(fx.pieces(spark, d, halo=chunk), "user_id", LOUD_RATE, LOUD_BLOCK, span=1024)
+    return loudness.gated_loudness(e, "user_id").select("user_id", F.round("loudness", 6).alias("loudness"))
+
+
 @query("level_stats", f"SELECT user_id, round({LOUD}, 6) + 0.0 AS mean_db, round(20 * log10({PEAK}), 6) + 0.0 AS peak_db FROM sig")
 def level_stats(spark, d):
     return pieces.peaks(fx.pieces(spark, d), "user_id").select("user_id", F.round(10 * F.log10("mean_square"), 6).alias("mean_db"), F.round(20 * F.log10("peak"), 6).alias("peak_db"))
