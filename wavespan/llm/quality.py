@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import drop_saved, let, saved, words
 
 #: A line is boilerplate in a host when more than MIN_DOCS documents have it, and more than HOST_SHARE of
 #: the host's documents or more than MAX_DOCS, however large the host is.
@@ -90,9 +90,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
-    """host, h, n_docs of the lines above the limits."""
-    lines = _lines(docs).select("host", "h", F.xxhash64("doc_id", "th").alias("doc"))
+def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS, lines: DataFrame | None = None) -> DataFrame:
+    """host, h, n_docs of the lines above the limits. lines: of the documents, where they are known already."""
+    lines = (_lines(docs) if lines is None else lines).select("host", "h", F.xxhash64("doc_id", "th").alias("doc"))
     # The distinct rows spread by document too, and their counts are summed before the shuffle by line: no line is one task's.
     spread = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
     keys = docs.select(
@@ -107,11 +107,12 @@ def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: flo
 def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """Base measures of every row, n_removed_words by the line filter, and kept."""
     base = base_measures(docs).drop("_text")
-    bad = boilerplate_lines(docs, min_docs, host_share, max_docs)
-    removed = (
-        _lines(docs).join(bad, ["host", "h"])
-        .groupBy("doc_id", "host", "th").agg(F.sum("n").alias("n_removed"))
-    )
+    # Lines are split, normalised and hashed once; the bad ones are a table, so that Spark can split a line that very many documents have.
+    lines = saved(_lines(docs).select("doc_id", "host", "th", "h", "n"), "lines")
+    bad = saved(boilerplate_lines(docs, min_docs, host_share, max_docs, lines), "bad-lines")
+    removed = saved(lines.join(bad, ["host", "h"]).groupBy("doc_id", "host", "th").agg(F.sum("n").alias("n_removed")), "removed-lines")
+    drop_saved(lines)
+    drop_saved(bad)
     # Repeated rows each add their lines: divide by how many rows share the id, host and text.
     rows = base.groupBy("doc_id", "_host", "_th").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
     removed = removed.join(rows, removed.doc_id.eqNullSafe(rows.doc_id) & (removed.host == rows._host) & (removed.th == rows._th), "left").select(
