@@ -63,9 +63,14 @@ def test_same_rows_as_sql(spark, duck, name):
 # 1
 
 
-def test_nearest_neighbours(spark):
-    v = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    got = ann.search(v, F.col("vec_id") % 20 == 0, books=16).toPandas()
+@pytest.mark.parametrize("rerank", [60, 1000])
+def test_nearest_neighbours(spark, monkeypatch, rerank):
+    """Also where codes decide: 60 of 2,000 vectors are reranked. Queries in several blocks, partitions in several groups."""
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(ann, "GROUP", 2)
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").repartition(7, "vec_id")
+    assert v.count() == 2000
+    got = ann.search(v, F.col("vec_id") % 20 == 0, rerank=rerank).toPandas()
     t = v.toPandas()
     x, ids, hit, n = np.array(t["embedding"].tolist(), float), t["vec_id"].to_numpy(), 0, 0
     for q in ids[ids % 20 == 0]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, saved
+from .common import bounded_sample, drop_saved, saved
 
 BOOKS = 32
 WORDS = 64
@@ -33,6 +33,8 @@ SAMPLE = 8192
 #: Distinct vectors reranked for each query, and queries scored together.
 RERANK = 1000
 QUERY_BLOCK = 1024
+#: Partitions whose best meet first.
+GROUP = 64
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 6) -> np.ndarray:
@@ -133,8 +135,20 @@ def _scorer(held_books, held_queries, most: int):
     return run
 
 
+def _best_of_some(most: int):
+    """The best of one query in a group of partitions, of which a row for each came in."""
+
+    def run(key, got):
+        rep = np.frombuffer(b"".join(got.column("reps").to_pylist()), np.int64)
+        near = np.frombuffer(b"".join(got.column("near").to_pylist()), np.float32)
+        keep = np.lexsort((rep, near))[:most]
+        return pa.table({"query_id": pa.array([key[0].as_py()], pa.int64()), "reps": pa.array([rep[keep].tobytes()], pa.binary()), "near": pa.array([near[keep].tobytes()], pa.binary())})
+
+    return run
+
+
 def _best_of_all(most: int):
-    """The partitions' best of one query; a row for each partition came in."""
+    """The groups' best of one query; a row for each group came in."""
 
     def run(key, got):
         rep = np.frombuffer(b"".join(got.column("reps").to_pylist()), np.int64)
@@ -171,17 +185,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, rerank: int = RERAN
     index = saved(classes.mapInArrow(_encoder(held), "rep long, codes binary, norm double"), "codes")
     asked = saved(rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "queries")
     n_blocks = -(-asked.count() // QUERY_BLOCK)
-    near = None
+    tables = []
     # Blocks by hash: each is broadcast alone, and its size doesn't grow with the table.
     for block in range(n_blocks):
         mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toPandas()
         if len(mine):
             q = spark.sparkContext.broadcast((mine["query_id"].to_numpy(np.int64), np.array(mine["query"].tolist())))
             found = index.mapInArrow(_scorer(held, q, rerank), "query_id long, reps binary, near binary")
-            got = saved(found.groupBy("query_id").applyInArrow(_best_of_all(rerank), "query_id long, rep long"), "near")
-            near = got if near is None else near.unionAll(got)
-    if near is None:
+            # Best of GROUP partitions first, so that no task holds a row of every partition.
+            some = found.withColumn("g", (F.spark_partition_id() / GROUP).cast("int")).groupBy("query_id", "g").applyInArrow(_best_of_some(rerank), "query_id long, reps binary, near binary")
+            tables.append(saved(some.groupBy("query_id").applyInArrow(_best_of_all(rerank), "query_id long, rep long"), "near"))
+    if not tables:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    near = spark.read.schema(tables[0].schema).parquet(*[t._scratch_path for t in tables])
+    drop_saved(index)
+    drop_saved(rows)
     pairs = near.join(classes, "rep").join(asked, "query_id")
     far = F.sqrt(F.aggregate(F.zip_with("query", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     found = pairs.select("query_id", far.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
