@@ -146,6 +146,10 @@ SQL: dict[str, str] = {
     "assets": "SELECT doc_id, sha256(text) AS found_sha256, CASE WHEN doc_id % 23 = 9 THEN sha256('x') ELSE sha256(text) END AS listed_sha256, CASE WHEN doc_id % 19 = 3 THEN 48000 ELSE 44100 END AS sample_rate, CASE WHEN doc_id % 17 = 4 THEN 1 ELSE 2 END AS channels, 5.0::DOUBLE + (doc_id % 13) / 100.0::DOUBLE AS duration, -20.0::DOUBLE - (doc_id % 71) AS mean_db, 1.0::DOUBLE - (doc_id % 11) AS peak_db FROM documents",
 }
 
+#: Spectra of 32 samples, 8 apart, ends reflected, under a periodic Hann window: a join with cosines and sines.
+SQL["padded"] = "SELECT user_id, CASE WHEN len(x) > 16 THEN list_concat(list_reverse(x[2:17]), x, list_reverse(x[-17:-2])) ELSE list_concat(list_resize([]::DOUBLE[], 16, 0.0), x, list_resize([]::DOUBLE[], 16, 0.0)) END AS p, len(x) AS n FROM sig"
+SQL["frames"] = "SELECT user_id, f, list_transform(p[(f * 8 + 1):(f * 8 + 32)], lambda v, k: v * 0.5 * (1 - cos(2 * pi() * (k - 1) / 32))) AS w FROM (SELECT user_id, p, unnest(range(0, n // 8 + 1)) AS f FROM padded)"
+SQL["spec"] = "SELECT user_id, f::INTEGER AS frame, b::INTEGER AS bin, list_sum(list_transform(w, lambda v, k: v * cos(2 * pi() * b * (k - 1) / 32))) AS re, -list_sum(list_transform(w, lambda v, k: v * sin(2 * pi() * b * (k - 1) / 32))) AS im FROM frames, range(0, 17) t(b)"
 #: The same split of recordings that are signals of users: windows of 32 samples, 8 apart, two users a recording.
 SQL["src2"] = "SELECT user_id, row_number() OVER (ORDER BY 'sig_' || user_id || '.wav') - 1 AS source_idx, dense_rank() OVER (ORDER BY 'rec_' || (user_id // 2)) - 1 AS group_idx, list_transform(x, lambda v: round_even(greatest(-1.0, least(1.0, v)) * 32767, 0) / 32768) AS y FROM hot WHERE len(x) >= 32"
 SQL["win2"] = f"SELECT source_idx, group_idx, i AS local_idx, i * 8 AS start_sample, y[(i * 8 + 1):(i * 8 + 32)] AS y, ('0x' || substr(md5('{SEED}:' || source_idx || ':' || i), 1, 13))::UBIGINT::BIGINT AS h FROM (SELECT *, unnest(range(0, (len(y) - 32) // 8 + 1)) AS i FROM src2)"

@@ -712,41 +712,121 @@ def batch_restore(spark, d):
 IDS = ("user_id", "piece")
 
 
-@query("apply_frequency_response")
+GAINS = [3.0, 0.0, 0.0, -3.0, 0.0, 0.0, 6.0, 0.0, 0.0, -6.0]
+
+
+def _gain_sql(f: str) -> str:
+    """Amplitude factor of the equaliser at a frequency."""
+    at = [f"log2({n})" for n in augment.NODES]
+    steps = "".join(f" WHEN g <= {at[k + 1]} THEN {GAINS[k]} + {GAINS[k + 1] - GAINS[k]} * (g - {at[k]}) / ({at[k + 1]} - {at[k]})" for k in range(len(at) - 1))
+    return f"(SELECT pow(10, CASE WHEN g <= {at[0]} THEN {GAINS[0]}{steps} ELSE {GAINS[-1]} END / 20) FROM (SELECT log2(greatest({f}, 1.0)) AS g))"
+
+
+@query(
+    "apply_frequency_response",
+    digest_sql("user_id", "y", "(SELECT user_id, list(v ORDER BY i) AS y FROM (SELECT user_id, i, sum(CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END * gain * (re * cos(2 * pi() * k * i / n) - im * sin(2 * pi() * k * i / n))) / any_value(n) AS v FROM (SELECT user_id, n, k, "
+    + _gain_sql("k * 44100.0::DOUBLE / n")
+    + " AS gain, list_sum(list_transform(x, lambda v, j: v * cos(2 * pi() * k * (j - 1) / n))) AS re, -list_sum(list_transform(x, lambda v, j: v * sin(2 * pi() * k * (j - 1) / n))) AS im, unnest(range(0, n)) AS i FROM (SELECT user_id, x, len(x) AS n, unnest(range(0, len(x) // 2 + 1)) AS k FROM sig)) GROUP BY user_id, i) GROUP BY user_id)"),
+)
 def apply_frequency_response(spark, d):
-    return augment.frequency_response(fx.pieces(spark, d), [3.0, 0.0, 0.0, -3.0, 0.0, 0.0, 6.0, 0.0, 0.0, -6.0], 44100.0, *IDS)
+    x = augment.frequency_response(fx.pieces(spark, d), GAINS, 44100.0, *IDS)
+    return digest_pieces(x.withColumn("begin", F.col("piece") * pieces.SIZE), "user_id")
+
+
+AUG_KEY = ("'42'", "user_id", "0", "degradation_idx")
+
+
+def _interpolated(g: str, prefix: str) -> str:
+    """Gains (columns prefix0, prefix1, ...) over log2 frequency, flat outside the nodes."""
+    at = [f"log2({n})" for n in augment.NODES]
+    steps = "".join(f" WHEN {g} <= {at[k + 1]} THEN {prefix}{k} + ({prefix}{k + 1} - {prefix}{k}) * ({g} - {at[k]}) / ({at[k + 1]} - {at[k]})" for k in range(len(at) - 1))
+    return f"CASE WHEN {g} <= {at[0]} THEN {prefix}0{steps} ELSE {prefix}{len(at) - 1} END"
+
+
+def _filtered(source: str, x: str, out: str, db: str) -> str:
+    """source with the array x through a filter (dB at bins k of frequency f) as the array out."""
+    wave = "list_sum(list_transform({x}, lambda v, j: v * {f}(2 * pi() * k * (j - 1) / n)))"
+    bins = f"SELECT *, {wave.format(x=x, f='cos')} AS re, -{wave.format(x=x, f='sin')} AS im, pow(10, {db} / 20) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS gain FROM (SELECT *, k * 44100.0::DOUBLE / n AS f, log2(greatest(k * 44100.0::DOUBLE / n, 1.0)) AS g FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM {source}))"
+    sums = f"SELECT user_id, degradation_idx, i, sum(gain * (re * cos(2 * pi() * k * i / n) - im * sin(2 * pi() * k * i / n))) / any_value(n) AS v FROM (SELECT *, unnest(range(0, n)) AS i FROM ({bins})) GROUP BY user_id, degradation_idx, i"
+    return f"(SELECT s.*, {out} FROM {source} s JOIN (SELECT user_id, degradation_idx, list(v ORDER BY i) AS {out} FROM ({sums}) GROUP BY user_id, degradation_idx) USING (user_id, degradation_idx))"
+
 
+def _augmented_sql() -> str:
+    """Definitions up to chain: user_id, degradation_idx and the signal after each stage, one to five."""
+    m, draw = augment.MODEL, lambda what, of: _gauss_sql(of, *AUG_KEY, f"'{what}'")
+    params = [f"{draw(f'{e}_{k}', of)} AS {e}_{k}" for e in ("eq1", "eq2") for k, of in enumerate(getattr(m, e))]
+    params += [f"{draw(w, getattr(m, w))} AS {w}" for w in ("drive", "wet", "low_slope", "high_slope", "snr")]
+    params += [f"{kind}({draw('low', m.low_cut)}, {draw('high', m.high_cut)}) AS {name}" for kind, name in (("least", "low_cut"), ("greatest", "high_cut"))]
+    band = "greatest(-80.0, least(0.0, CASE WHEN greatest(f, 0.5) < low_cut THEN -low_slope * log2(low_cut / greatest(f, 0.5)) WHEN greatest(f, 0.5) > high_cut THEN -high_slope * log2(greatest(f, 0.5) / high_cut) ELSE 0 END))"
+    second = _interpolated("g", "eq2_")
+    key = lambda what: "('0x' || substr(md5(" + " || ':' || ".join(f"({p})" for p in (*AUG_KEY, f"'{what}'")) + "), 1, 13))::UBIGINT::BIGINT"
+    steps = {
+        "par": f"SELECT *, {', '.join(params)} FROM (SELECT user_id, x, len(x) AS n, unnest(range(0, 3)) AS degradation_idx FROM sig)",
+        "st1": "SELECT * FROM " + _filtered("par", "x", "one", _interpolated("g", "eq1_")),
+        "st2": "SELECT *, list_transform(one, lambda v: (1 - wet) * v + wet * tanh(drive * v) / drive) AS two FROM st1",
+        "st3": "SELECT * FROM " + _filtered("st2", "two", "three", second),
+        "st4": "SELECT * FROM " + _filtered("st3", "two", "four", f"({second} + {band})"),
+        "st5": f"SELECT a.*, tape[(pick % (len(tape) - n + 1) + 1):(pick % (len(tape) - n + 1) + n)] AS part FROM (SELECT a.*, CASE WHEN len(samples) < n THEN flatten(list_transform(range(n // len(samples) + 1), lambda i: samples)) ELSE samples END AS tape FROM (SELECT *, {key('start')} AS pick, {key('noise')} % (SELECT count(*) FROM noise) AS noise_idx FROM st4) a JOIN noise USING (noise_idx)) a",
+        "chain": f"SELECT *, list_transform(four, lambda v, i: v + amount * part[i]) AS five FROM (SELECT *, sqrt({MEAN_SQUARE.format('four')} / pow(10, snr / 10) / {MEAN_SQUARE.format('part')}) AS amount FROM st5)",
+    }
+    fx.SQL.update(steps)
+    return ", ".join(steps)
 
-@query("augment_windows")
+
+_augmented_sql()
+
+
+def _totals(df: DataFrame, *by: str) -> DataFrame:
+    moment = F.aggregate(F.transform("x", lambda a, i: a * (i + 1)), F.lit(0.0), lambda s, a: s + a)
+    return df.select(*by, F.size("x").cast("long").alias("n"), F.round(arrays.total(F.col("x")), 5).alias("total"), F.round(moment, 4).alias("moment"))
+
+
+def _totals_sql(y: str) -> str:
+    return f"len({y}) AS n, round(list_sum({y}), 5) + 0.0 AS total, round(list_sum(list_transform({y}, lambda v, i: v * i)), 4) + 0.0 AS moment"
+
+
+@query("augment_windows", f"SELECT user_id, degradation_idx::INTEGER AS degradation_idx, {_totals_sql('five')} FROM chain")
 def augment_windows(spark, d):
-    return augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 3, SEED, 44100.0, *IDS)
+    return _totals(augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 3, SEED, 44100.0, *IDS), "user_id", "degradation_idx")
 
 
-@query("augment_stages")
+@query("augment_stages", " UNION ALL ".join(f"SELECT user_id, {k + 1} AS stage, {_totals_sql(name)} FROM chain WHERE degradation_idx = 0" for k, name in enumerate(("one", "two", "three", "four", "five"))))
 def augment_stages(spark, d):
-    return augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 1, SEED, 44100.0, *IDS, stages=True)
+    return _totals(augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 1, SEED, 44100.0, *IDS, stages=True), "user_id", "stage")
 
 
-@query("stft_features")
-def stft_features(spark, d):
+def _spectra(spark, d):
     return augment.stft_features(fx.pieces(spark, d), *IDS, n_fft=32, hop=8, win=32)
 
 
+def _cells(df: DataFrame, *of: str) -> DataFrame:
+    """user_id, frame, bin and the values of arrays of bins x frames."""
+    bins = F.posexplode(F.arrays_zip(*[F.col(c).alias(c) for c in of])).alias("bin", "_r")
+    rows = df.select("user_id", bins)
+    frames = F.posexplode(F.arrays_zip(*[F.col(f"_r.{c}").alias(c) for c in of])).alias("frame", "_v")
+    return rows.select("user_id", "bin", frames).select("user_id", "frame", "bin", *[F.round(f"_v.{c}", 6).alias(c) for c in of])
+
+
+@query("stft_features", "SELECT user_id, frame, bin, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM spec")
+def stft_features(spark, d):
+    return _cells(_spectra(spark, d), "re", "im")
+
+
 @query("istft_signal", "SELECT user_id, (i - 1)::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM (SELECT user_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM sig)")
 def istft_signal(spark, d):
     """Spectra of the signals give the signals back."""
-    x = augment.istft_signals(stft_features(spark, d), *IDS, n_fft=32, hop=8, win=32)
+    x = augment.istft_signals(_spectra(spark, d), *IDS, n_fft=32, hop=8, win=32)
     return _samples(x.withColumn("start", F.col("piece") * pieces.SIZE))
 
 
-@query("log_spectrogram")
+@query("log_spectrogram", "SELECT user_id, frame, bin, round(CASE WHEN high > low THEN (m - low) / (high - low) ELSE 0 END, 6) + 0.0 AS spectrogram FROM (SELECT *, min(m) OVER (PARTITION BY user_id) AS low, max(m) OVER (PARTITION BY user_id) AS high FROM (SELECT user_id, frame, bin, ln(1 + sqrt(re * re + im * im)) AS m FROM spec))")
 def log_spectrogram(spark, d):
-    return augment.log_spectrogram(stft_features(spark, d), *IDS)
+    return _cells(augment.log_spectrogram(_spectra(spark, d), *IDS), "spectrogram")
 
 
-@query("stft_channel_stats")
+@query("stft_channel_stats", "SELECT part, bin, round(avg(v), 6) + 0.0 AS mean, round(sqrt(greatest(avg(v * v) - avg(v) * avg(v), 1e-12)), 6) AS std FROM (SELECT 're' AS part, bin, re AS v FROM spec UNION ALL SELECT 'im', bin, im FROM spec) GROUP BY part, bin")
 def stft_channel_stats(spark, d):
-    return augment.stft_stats(stft_features(spark, d))
+    return augment.stft_stats(_spectra(spark, d)).select("part", "bin", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 def _metric_rows(spark, d):
@@ -766,9 +846,11 @@ def score_fn(spark, d):
     return scored.groupBy("user_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-@query("augment_fn")
+@query("augment_fn", "SELECT user_id, degradation_idx::INTEGER AS degradation_idx, " + _totals_sql("y") + " FROM (SELECT user_id, degradation_idx, list_transform(x, lambda v: v * wet) AS y FROM par WHERE degradation_idx < 2)")
 def augment_fn(spark, d):
-    return augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 2, SEED, 44100.0, *IDS, augment_fn=lambda x, p, noise, pick, rate: [x * p["wet"]])
+    """A user's function in place of the built-in chain."""
+    made = augment.augment(fx.pieces(spark, d), fx.noise(spark, d), 2, SEED, 44100.0, *IDS, augment_fn=lambda x, p, noise, pick, rate: [x * p["wet"]])
+    return _totals(made, "user_id", "degradation_idx")
 
 
 @query("encode_pairs", "SELECT vec_id, k::INTEGER AS degradation_idx, n, round(list_sum(list_transform(x[1:n], lambda v: (v - 0.1) / (0.5 + 1e-6))), 6) + 0.0 AS clean_total, round(list_sum(list_transform(x[1:n], lambda v: (v * (0.5 + 0.25 * k) - 0.1) / (0.5 + 1e-6))), 6) + 0.0 AS cond_total FROM (SELECT vec_id, x, 40 + vec_id % 20 AS n FROM lat), range(0, 2) t(k)")
