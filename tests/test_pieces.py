@@ -9,7 +9,7 @@ from wavespan.functions import arrays
 from wavespan.operators import chunks, pieces, windows
 from wavespan.operators.ranks import in_order, with_positions
 from wavespan.plans.queries import QUERIES
-from wavespan.shared import saved
+from wavespan.shared import saved, scratch
 from wavespan.sources import audio, wav
 
 
@@ -143,3 +143,12 @@ def test_written_files(spark, tmp_path):
 def test_dense_index_of_repeated_keys(spark):
     df = spark.createDataFrame([(k % 7, k) for k in range(50)], "k long, v long")
     assert all(r["i"] == r["k"] for r in windows.dense_index(df, "k", "i").collect())
+
+
+def test_scratch_has_one_owner(spark):
+    """Tables lie in a folder of the application, which can be deleted as a whole."""
+    import os
+
+    saved(spark.range(3), "three")
+    own = os.path.dirname(scratch(spark, "next"))
+    assert os.path.basename(own) == spark.sparkContext.applicationId and any(n.startswith("three-") for n in os.listdir(own))
