@@ -114,15 +114,16 @@ def _augmented(made, args: list[tuple], rate: float) -> list:
     return [made(*a, rate) for a in args]
 
 
-def augment(windows: DataFrame, noise: DataFrame, n: int, seed: int, rate: float, *ids: str, keep: tuple[str, ...] = (), stages: bool = False, augment_fn=None, model: Degradation = MODEL) -> DataFrame:
+def augment(windows: DataFrame, noise: DataFrame, n: int, seed: int, rate: float, *ids: str, keep: tuple[str, ...] = (), stages: bool = False, augment_fn=None, model: Degradation = MODEL, with_clean: bool = False) -> DataFrame:
     """n degraded variants of each window (columns ids, keep and x): ids, degradation_idx, keep, stage, x. Draws depend on ids, not on keep.
 
     augment_fn, a function like degrade, takes the place of the built-in chain. A function with a method `batch` gets
-    lists of all arguments of an Arrow batch at once; if it gives NotImplemented, rows are done one by one.
+    lists of all arguments of an Arrow batch at once; if it gives NotImplemented, rows are done one by one. with_clean: the
+    window itself comes too, as variant -1, so that its samples need reading once.
     """
     keys = [*ids, "degradation_idx"]
     cols_kept = [*keys, *keep]
-    rows = windows.select(*ids, *keep, "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("degradation_idx"))
+    rows = windows.select(*ids, *keep, "x", F.explode(F.sequence(F.lit(-1 if with_clean else 0), F.lit(n - 1))).alias("degradation_idx"))
     rows = assign_noise(degradation_params(rows, seed, *keys, model=model), noise, seed, *keys).withColumn("pick", rng.key(seed, *[F.col(c) for c in keys], "start"))
     made = augment_fn or partial(degrade, nodes=model.nodes)
 
@@ -130,8 +131,13 @@ def augment(windows: DataFrame, noise: DataFrame, n: int, seed: int, rate: float
         for b in batches:
             cols = {c: b.column(c).to_pylist() for c in ("x", "samples", "pick", *PARAMS)}
             at, stage, out = [], [], []
-            args = [(np.array(cols["x"][k]), {c: cols[c][k] for c in PARAMS}, np.array(cols["samples"][k]), cols["pick"][k]) for k in range(b.num_rows)]
-            for k, each in enumerate(_augmented(made, args, rate)):
+            todo = [k for k, d in enumerate(b.column("degradation_idx").to_pylist()) if d >= 0]
+            args = [(np.array(cols["x"][k]), {c: cols[c][k] for c in PARAMS}, np.array(cols["samples"][k]), cols["pick"][k]) for k in todo]
+            for k in set(range(b.num_rows)).difference(todo):
+                at.append(k)
+                stage.append(0)
+                out.append(cols["x"][k])
+            for k, each in zip(todo, _augmented(made, args, rate), strict=True):
                 for s, v in enumerate(each, 1) if stages else [(len(each), each[-1])]:
                     at.append(k)
                     stage.append(s)

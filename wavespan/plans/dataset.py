@@ -112,12 +112,17 @@ def encoded(rows: DataFrame, encode_fn, *ids: str) -> DataFrame:
 
 
 def encode_pairs(clean: DataFrame, variants: DataFrame, encode_fn, mean: list[float], std: list[float], *keys: str) -> DataFrame:
+    """keys, degradation_idx, z_clean, z_cond of clean windows (keys, x) and variants (keys, degradation_idx, x), as encode_together."""
+    rows = clean.select(*keys, F.lit(-1).alias("degradation_idx"), "x").unionByName(variants.select(*keys, "degradation_idx", "x"))
+    return encode_together(rows, encode_fn, mean, std, *keys)
+
+
+def encode_together(rows: DataFrame, encode_fn, mean: list[float], std: list[float], *keys: str) -> DataFrame:
     """keys, degradation_idx, z_clean, z_cond: latents of a window and all its variants, cropped to one length and normalised.
 
-    clean: keys, x; variants: keys, degradation_idx, x. Every array is encoded once, wherever it is; then the latents of a
+    rows: keys, degradation_idx (-1: the clean window), x. Every array is encoded once, wherever it is; then the latents of a
     window meet, the clean one and its few variants. Frames that any of them lacks are cut off all of them.
     """
-    rows = clean.select(*keys, F.lit(-1).alias("degradation_idx"), "x").unionByName(variants.select(*keys, "degradation_idx", "x"))
     met = encoded(rows, encode_fn, *keys, "degradation_idx").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("degradation_idx", "z"))).alias("all"))
     shortest = F.array_min(F.transform("all", lambda r: F.size(F.get(r["z"], F.lit(0)))))
     means, stds = (F.array(*[F.lit(float(v)) for v in values]) for values in (mean, std))
@@ -273,11 +278,13 @@ class Dataset:
         """split, global_idx, source_idx, local_idx, degradation_idx, z_clean, z_cond of the windows that are kept."""
         c, ids = self.config, ["global_idx", "source_idx", "local_idx", "split"]
         clean = self._samples(self.read("split").where("split <> 'discard'")).select(*ids, "x")
-        made = augment.augment(clean, self.noise, c.variants, c.seed, float(c.rate), "global_idx", keep=tuple(ids[1:]), model=c.model).drop("stage")
+        made = augment.augment(clean, self.noise, c.variants, c.seed, float(c.rate), "global_idx", keep=tuple(ids[1:]), model=c.model, with_clean=True).drop("stage")
         if c.output == "waveforms":
-            return clean.select(*ids, F.col("x").alias("clean")).join(made, ids)
+            met = made.groupBy(*ids).agg(F.collect_list(F.struct("degradation_idx", "x")).alias("all"))
+            first = F.get(F.filter("all", lambda r: r["degradation_idx"] < 0), F.lit(0))["x"]
+            return met.select(*ids, first.alias("clean"), F.explode(F.filter("all", lambda r: r["degradation_idx"] >= 0)).alias("v")).select(*ids, "clean", "v.*")
         stats = self.read("statistics").orderBy("channel").collect()
-        return encode_pairs(clean, made, c.encoder, [r["mean"] for r in stats], [r["std"] for r in stats], *ids)
+        return encode_together(made, c.encoder, [r["mean"] for r in stats], [r["std"] for r in stats], *ids)
 
     def _parts(self) -> DataFrame:
         """file, bytes, sha256 of the files of the pairs, as they are now."""

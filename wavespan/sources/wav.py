@@ -22,8 +22,8 @@ from ..operators.pieces import SIZE
 
 HEADER = pa.schema([("name", pa.string()), ("rate", pa.int32()), ("frames", pa.int64()), ("channels", pa.int32()), ("bits", pa.int32())])
 PIECE = pa.schema([("name", pa.string()), ("rate", pa.int32()), ("piece", pa.int64()), ("begin", pa.int64()), ("n", pa.int64()), ("x", pa.list_(pa.float64()))])
-#: Bytes of a task; files of a task that reads headers.
-TASK, HEADERS = 1 << 25, 256
+#: Bytes of a task; what opening a file counts for; files of a task that reads headers.
+TASK, OPEN, HEADERS = 1 << 25, 1 << 17, 256
 
 
 @dataclass
@@ -73,7 +73,7 @@ class WavReader(DataSourceReader):
             parts = [(name, size, lo, min(size, lo + self.task)) for lo in range(0, size, self.task)] if self.samples else [(name, size, 0, 0)]
             for part in parts:
                 now.append(part)
-                total += part[3] - part[2] if self.samples else self.task // HEADERS
+                total += part[3] - part[2] + (OPEN if self.task > OPEN else 0) if self.samples else self.task // HEADERS
                 if total >= self.task:
                     out.append(Range(now))
                     now, total = [], 0
