@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 from helpers import DATA
-from wavespan.llm import langid, toxicity
+from wavespan.llm import langid, maxent, toxicity
 from wavespan.llm.queries import QUERIES
 
 M = 0xFFFFFFFF
@@ -142,3 +142,44 @@ def test_toxicity_of_every_text(spark):
             first[f] += (share - k) * r[f] / len(y)
     norm = lambda g: math.sqrt(sum(v * v for v in g.values()))
     assert norm(away) < 0.05 * norm(first)
+
+
+def test_classes_of_words(spark):
+    """Head words by count in classes of one group, the rest by group and band of counts, unseen and end apart."""
+    rnd = np.random.default_rng(3)
+    rows = [(int(h), int(c), int(g)) for h, c, g in zip(rnd.permutation(1 << 20)[:4000], np.maximum(1, (3000 / np.arange(1, 4001)).astype(int)), rnd.integers(0, maxent.GROUPS, 4000), strict=True)]
+    rows.append((int(maxent.END), 5000, 0))
+    classed, room = maxent.word_classes(spark.createDataFrame(rows, "h long, c long, g int"))
+    got = {r["h"]: r for r in classed.collect()}
+    head = sorted((r for r in rows if r[0] != maxent.END and r[1] > 1), key=lambda r: (-r[1], r[0]))[: maxent.HEAD]
+    places = collections.defaultdict(set)
+    for h, _, g in head:
+        y, s = got[h]["y"], got[h]["s"]
+        assert maxent.FIRST_HEAD <= y < maxent.CLASSES and 0 <= s < room[y] <= maxent.IN_CLASS and s not in places[y]
+        places[y].add(s)
+        assert {r[2] for r in head if got[r[0]]["y"] == y} == {g}
+    assert all(places[y] == set(range(room[y])) for y in places)
+    for h, c, g in set(rows) - set(head):
+        band = sum(c >= b for b in maxent.BAND_COUNTS)
+        assert (got[h]["y"], got[h]["s"]) == (1 if h == maxent.END else 0 if c <= 1 else 2 + g * maxent.BANDS + band, 0)
+
+
+def test_one_update_is_the_gradient_of_each_position():
+    rnd = np.random.default_rng(4)
+    n, k = 50, 7
+    x = np.stack([np.zeros(n, np.int32), rnd.integers(1, 20, n), rnd.integers(1, 20, n), rnd.integers(20, 24, n)], 1).astype(np.int32)
+    y, room = rnd.integers(0, 3, n), rnd.integers(3, k + 1, n)
+    old, seen = rnd.normal(size=(24, k)).astype(np.float32), (1 + rnd.integers(0, 9, 24)).astype(np.float32)
+    w, s = old.copy(), seen.copy()
+    maxent._step(w, s, x, y, 0.5, 3, room)
+    step, count = np.zeros((24, k)), np.zeros(24)
+    for i in range(n):
+        z = [sum(float(old[f, j]) for f in x[i]) if j < room[i] else -math.inf for j in range(k)]
+        e = [math.exp(v - max(z)) for v in z]
+        for f in x[i]:
+            count[f] += 1
+            for j in range(k):
+                step[f, j] += e[j] / sum(e) - (j == y[i])
+    assert np.allclose(s, seen + count)
+    want = old - step * (0.5 / (np.sqrt(seen + count) + count / 4))[:, None]
+    assert np.allclose(w, want, atol=1e-4)

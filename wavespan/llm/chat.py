@@ -35,7 +35,7 @@ START, BODY, PART, END = "<s>", "<|body|>", "<|part|>", "</s>"
 FORMS = r"/?s>|/?INST\]|/?SYS>>|\|[a-z_]+\|>"
 ESCAPED = r"([<\[])(\\*)(" + FORMS + ")"
 READ_BACK = r"([<\[])(\\*)\\(" + FORMS + ")"
-#: A content part. Rows of any subset of these fields do.
+#: A content part.
 FIELDS = {"type": "string", "text": "string", "ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
 PARTS = "array<struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">>"
 
