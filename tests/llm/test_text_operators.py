@@ -532,6 +532,15 @@ def test_regions_of_pivots_lose_no_link(monkeypatch, percent):
     assert got == root and len(set(root)) > 12 and len(calls) > 5 and min(calls) < 60
 
 
+def test_links_between_components_of_two_pivots_are_kept():
+    """Chains: each document links to the next one alone, so a lost link divides the component."""
+    rnd = np.random.default_rng(0)
+    for _ in range(20):
+        n = int(rnd.integers(9, 60))
+        names = rnd.integers(1, 1 << 63, 100 + 5 * n, dtype=np.uint64)
+        assert set(ngramjoin._pairs_of_cluster([np.sort(names[5 * k : 5 * k + 100]) for k in rnd.permutation(n)], 90)) == {0}
+
+
 def test_groups_of_the_registered_query_are_joined_by_pivots(spark, monkeypatch):
     """Groups of candidates of a given table: those of three documents or more are divided by pivots."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("doc"), "text")

@@ -11,8 +11,8 @@ Links are pairs with 100 * intersection >= 90 * union; symmetric difference and
    parts equal, so partners share M regions (annulus, part, contents of that part). A document that has company in
    fewer regions of an annulus has no partner there and leaves; with it go those that only it kept company.
 3. Documents that share a region are candidates; connected candidates form a group. In every group pivots far from
-   each other are drawn. Documents within the join distance of a pivot are linked to it, and those of one component
-   need no comparison with each other. Every other document lies in the Voronoi region of its nearest pivot, and all
+   each other are drawn. Documents within the join distance of a pivot are linked to it, and those of the largest
+   component need no comparison with each other. Every other document lies in the Voronoi region of its nearest pivot, and all
    documents whose distances to that pivot and to their own nearest one differ by no more than twice the join distance
    are replicated to it. Regions are joined by new pivots again, until they are small or no longer shrink.
    A group of up to GATHER documents is joined in one task; of a larger one, the first level of pivots is a Spark join
@@ -325,10 +325,13 @@ def _join_region(at: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, perc
         links.add(np.full(int(near[:, c].sum()), at[p]), at[near[:, c]])
     home = far.argmin(1)
     window = far <= far.min(1, keepdims=True) + 2 * (1 - percent / 100) + 1e-9
-    for c, p in enumerate(pivots):
+    # Those of one component need no comparison with each other: the largest may be left out, but no second one, as links
+    # between two components that are both left out would be lost.
+    _, first, count = np.unique(links.root[at], return_index=True, return_counts=True)
+    main = at[first[count.argmax()]]
+    for c in range(len(pivots)):
         mine, close = np.flatnonzero(home == c), np.flatnonzero(window[:, c])
-        # Those that the pivot's component holds need no comparison with each other.
-        rest = mine[links.root[at[mine]] != links.root[at[p]]]
+        rest = mine[links.root[at[mine]] != links.root[main]]
         if not len(rest):
             continue
         if len(close) <= len(at) * 3 // 4:
