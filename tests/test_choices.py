@@ -73,3 +73,12 @@ def test_shards_disjoint(spark):
 def test_expected_assets(spark):
     rows = spark.createDataFrame([(1, "a", "a", 44100, 2, 5.0, -20.0, 0.0)], "doc_id long, found_sha256 string, listed_sha256 string, sample_rate int, channels int, duration double, mean_db double, peak_db double")
     assert [r["rule"] for r in manifest.media_failures(rows, expected=2).collect()] == ["row_count"] and manifest.media_failures(rows, expected=1).count() == 0
+
+
+def test_inventory_counts_files(spark, duck):
+    """Every file that the tasks wrote is counted, and a large dataset is several files."""
+    from wavespan.plans.queries import QUERIES
+
+    n = dict(duck.execute("SELECT source, count(DISTINCT doc_id // 3 % 4) FROM documents GROUP BY source").fetchall())
+    got = {r["song"]: r["n_files"] for r in QUERIES["scan_audio_inventory"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == n and max(n.values()) > 1

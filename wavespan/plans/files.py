@@ -21,15 +21,15 @@ def _folder(spark, d, tag, least=0):
     return path
 
 
-@query("scan_audio_inventory", "SELECT dataset AS song, count(*) AS n_lines, sum(strlen(output_file) + 1)::BIGINT AS bytes FROM rec GROUP BY dataset")
+@query("scan_audio_inventory", "SELECT dataset AS song, count(*) AS n_lines, count(DISTINCT doc_id // 3 % 4) AS n_files, sum(strlen(output_file) + 1)::BIGINT AS bytes FROM rec GROUP BY dataset")
 def scan_audio_inventory(spark, d):
-    """A folder for each dataset, with files of names; a large dataset is several files, from several tasks."""
+    """A folder for each dataset, with files of names; a large dataset is four files, from several tasks."""
     path = fx.scratch(spark, "inventory")
-    rows = fx.recordings(spark, d).select("output_file", "dataset")
-    rows.repartition("dataset", F.pmod(F.xxhash64("output_file"), F.lit(4))).write.partitionBy("dataset").text(path)
+    rows = fx.recordings(spark, d).select("output_file", "dataset", F.pmod(F.floor(F.col("doc_id") / 3), F.lit(4)).alias("part"))
+    rows.repartition("dataset", "part").write.partitionBy("dataset", "part").text(path)
     found = audio.inventory(spark, path, ("txt",), recursive=True).withColumn("song", F.regexp_extract("path", "dataset=([^/]*)/", 1))
-    found = found.groupBy("song").agg(F.sum("bytes").alias("bytes"))
-    return found.join(rows.groupBy(F.col("dataset").alias("song")).agg(F.count(F.lit(1)).alias("n_lines")), "song")
+    found = found.groupBy("song").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"))
+    return found.join(rows.groupBy(F.col("dataset").alias("song")).agg(F.count(F.lit(1)).alias("n_lines")), "song").select("song", "n_lines", "n_files", "bytes")
 
 
 @query("probe_audio_header", "SELECT 'sig_' || user_id || '.wav' AS name, 44100 AS rate, len(x) AS frames, 1 AS channels, 16 AS bits FROM hot")
