@@ -136,8 +136,8 @@ def _annuli(percent: int) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-def _regions(sets: list[np.ndarray], percent: int):
-    """Index of set, region, annulus (0 own, 1 next) and regions with company that a partner needs, by the parts of each set's two annuli."""
+def _regions(sets: list[np.ndarray], percent: int, parity: int | None = None):
+    """Of all annuli or of the even or odd ones: index of set, region, annulus (0 own, 1 next) and regions with company that a partner needs, by the parts of each set's two annuli."""
     low = _annuli(percent)
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate([*sets, np.zeros(0, _U)])
@@ -149,7 +149,7 @@ def _regions(sets: list[np.ndarray], percent: int):
         # |x| + |y| < 2 * upper; D * (100 + percent) <= (|x| + |y|) * (100 - percent)
         most = 2 * (low[np.maximum(tag, 0) + 1] - 1) * (100 - percent) // (100 + percent)
         spare = 2 + (most * SPARE).astype(np.int64)
-        parts = np.where((size > 0) & (most > 0), most + spare, 0)
+        parts = np.where((size > 0) & (most > 0) & ((tag & 1 == parity) if parity is not None else True), most + spare, 0)
         base = np.cumsum(parts) - parts
         use = parts[row] > 0
         h, r = flat[use], row[use]
@@ -200,7 +200,7 @@ def _digest(width):
     return digest
 
 
-def _emit_regions(width, percent):
+def _emit_regions(width, percent, parity):
     """region, doc, meta: part (11 bits; 0 for the first of a region in this batch), annulus, regions needed (20 bits), how often the region is here."""
 
     def emit(batches):
@@ -211,10 +211,10 @@ def _emit_regions(width, percent):
                 fresh = []
                 for k, s in enumerate(sets):
                     raw = s.tobytes()
-                    if len(raw) > 8 and raw not in seen:
+                    if raw and raw not in seen:
                         seen.add(raw)
                         fresh.append(k)
-                d, key, shift, need = _regions([sets[k] for k in fresh], percent)
+                d, key, shift, need = _regions([sets[k] for k in fresh], percent, parity)
                 docs.append(np.array([part[k][0] for k in fresh], np.int64)[d])
                 keys.append(key)
                 metas.append(shift << 11 | need << 12)
@@ -231,10 +231,11 @@ def _emit_regions(width, percent):
 def _set_rows(width):
     def rows(batches):
         for b in batches:
-            meta = list(zip(b.column("doc").to_pylist(), b.column("cluster").to_pylist(), (t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()), strict=True))
-            for part in blocks(meta, lambda r: len(r[2]), 1 << 19):
-                sets = shingle_sets([r[2] for r in part], width)
-                yield pa.record_batch({"cluster": pa.array([r[1] for r in part], pa.int64()), "doc": pa.array([r[0] for r in part], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            meta = list(zip(b.column("doc").to_pylist(), b.column("cluster").to_pylist(), b.column("large").to_pylist(), (t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()), strict=True))
+            for part in blocks(meta, lambda r: len(r[3]), 1 << 19):
+                sets = shingle_sets([r[3] for r in part], width)
+                cols = [pa.array([r[1] for r in part], pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r[2] for r in part], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, ["cluster", "doc", "shingles", "large"])
 
     return rows
 
@@ -496,17 +497,25 @@ def _with_company(rows: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """lead, doc of documents that share a region and have enough company for a partner; equal sets are left out."""
-    regions = docs.mapInArrow(_emit_regions(width, percent), "region long, doc long, meta long").withColumn("part", F.col("meta").bitwiseAND(F.lit(2047)))
-    # The first of a region in each batch meets the others'; the rest of a batch has company there, and is spread out.
-    met = regions.withColumn("total", F.expr("sum(shiftright(meta, 32)) OVER (PARTITION BY region, part)"))
-    met = saved(met.where("part > 0 OR total > 1").select("region", "doc", F.shiftright("meta", 11).bitwiseAND(F.lit(1)).cast("int").alias("shift"), F.shiftright("meta", 12).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("need")), "met")
-    release(docs.sparkSession)
-    one = classes.where("doc = lead").select("doc").distinct()
-    found = _with_company(met.join(one, "doc"))
-    drop_saved(met)
+    one = saved(classes.where("doc = lead").select("doc").distinct(), "one")
+    halves = []
+    # Even annuli, then odd ones: a document is in one of each, so half of the regions are on disk at a time.
+    for parity in (0, 1):
+        regions = docs.mapInArrow(_emit_regions(width, percent, parity), "region long, doc long, meta long").withColumn("part", F.col("meta").bitwiseAND(F.lit(2047)))
+        # The first of a region in each batch meets the others'; the rest of a batch has company there, and is spread out.
+        met = regions.withColumn("total", F.expr("sum(shiftright(meta, 32)) OVER (PARTITION BY region, part)"))
+        met = saved(met.where("part > 0 OR total > 1").select("region", "doc", F.shiftright("meta", 11).bitwiseAND(F.lit(1)).cast("int").alias("shift"), F.shiftright("meta", 12).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("need")), "met")
+        release(docs.sparkSession)
+        halves.append(_with_company(met.join(one, "doc")))
+        drop_saved(met)
+        release(docs.sparkSession)
+    drop_saved(one)
+    found = halves[0].unionAll(halves[1])
     enough = found.groupBy("doc", "shift").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("doc", "shift")
     left = _with_company(found.select("region", "doc", "shift").join(enough, ["doc", "shift"]).select("region", "doc"))
-    drop_saved(found)
+    for half in halves:
+        drop_saved(half)
+    release(docs.sparkSession)
     return left
 
 
@@ -522,18 +531,21 @@ def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     sizes = saved(grouped.groupBy("cluster").agg(F.ceil(F.sum("units")).alias("size")), "groups")
     nodes = grouped.join(sizes, "cluster")
     release(spark)
-    # The list of documents grows with the table: texts meet it by shuffle at every size.
-    rows = lambda which: docs.join(which.select("doc", "cluster").hint("merge"), "doc").select("doc", "cluster", "text").mapInArrow(_set_rows(width), "cluster long, doc long, shingles binary")
-    small = rows(nodes.where(F.col("size") <= gather)).repartition("cluster").sortWithinPartitions("cluster", "doc")
+    # The list of documents grows with the table: texts meet it by shuffle at every size, once for groups of all sizes.
+    listed = nodes.select("doc", "cluster", (F.col("size") > gather).alias("large")).hint("merge")
+    rows = docs.join(listed, "doc").select("doc", "cluster", "large", "text").mapInArrow(_set_rows(width), "cluster long, doc long, shingles binary, large boolean")
+    rows = saved(rows, "sets")
+    release(spark)
+    small = rows.where("NOT large").select("cluster", "doc", "shingles").repartition("cluster").sortWithinPartitions("cluster", "doc")
     links = small.mapInArrow(_compare_clusters(percent), "node long, label long").select(F.col("node").alias("a"), F.col("label").alias("b"))
     large = nodes.where(F.col("size") > gather).select("cluster", "doc", "weight", "units", "size")
     sets = None
     if large.limit(1).count():
-        sets = saved(rows(large).dropDuplicates(["cluster", "doc"]), "large")
+        sets = saved(rows.where("large").select("cluster", "doc", "shingles").dropDuplicates(["cluster", "doc"]), "large")
         links = links.unionAll(_join_large(sets, large, percent))
     labels = components(links.where("a <> b"))
     release(spark)
-    for done in (left, grouped, sizes, sets):
+    for done in (left, grouped, sizes, rows, sets):
         if done is not None:
             drop_saved(done)
     out = classes.join(labels, classes.lead == labels.node, "left").select("doc", "n", F.coalesce("label", "lead").alias("component"))
