@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import few
 from .pieces import SIZE, of_arrays
 
 
@@ -97,7 +98,7 @@ def restore_chunks(chunks: DataFrame, restore_fn, key: str) -> DataFrame:
     kind, made = dict(chunks.dtypes)[key], restorer(restore_fn)
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             out = [np.asarray(made(np.array(v)), float) for v in b.column("x").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (key, "n", "chunk_idx", "start")], pa.array(out, pa.list_(pa.float64()))], [key, "n", "chunk_idx", "start", "x"])
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import few
 from ..shared import saved
 from .chunks import chunk_pieces
 from .pieces import SIZE
@@ -74,7 +75,7 @@ def energies(pieces: DataFrame, key: str, rate: float, block: float = BLOCK, siz
     kind = dict(pieces.dtypes)[key]
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             keys, blocks, found = [], [], []
             for row, (n, k, start, x) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "chunk_idx", "start", "x")), strict=True)):
                 y = weighted(np.array(x)[: n - start], rate)
@@ -134,7 +135,7 @@ def normalize_windows(rows: DataFrame, rate: float, target: float, *ids: str, bl
     kinds = dict(rows.dtypes)
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             out = []
             for v in b.column("x").to_pylist():
                 x = np.array(v, float)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.batches import few
 from ..operators import augment, evaluate, loudness, manifest, pieces, split, windows
 from ..sources import audio, wav
 
@@ -104,7 +105,7 @@ def encoded(rows: DataFrame, encode_fn, *ids: str) -> DataFrame:
     made, kinds = encoder(encode_fn), dict(rows.dtypes)
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             z = [np.asarray(made(np.array(v)), float).tolist() for v in b.column("x").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ids], pa.array(z, LATENT)], [*ids, "z"])
 
@@ -139,7 +140,7 @@ def latent_stats(clean: DataFrame, encode_fn) -> DataFrame:
 
     def run(batches):
         total = None
-        for b in batches:
+        for b in few(batches):
             for v in b.column("x").to_pylist():
                 z = made(np.array(v))
                 now = np.stack([z.sum(1), (z * z).sum(1), np.full(len(z), z.shape[1], float)])
