@@ -82,3 +82,33 @@ def test_inventory_counts_files(spark, duck):
     n = dict(duck.execute("SELECT source, count(DISTINCT doc_id // 3 % 4) FROM documents GROUP BY source").fetchall())
     got = {r["song"]: r["n_files"] for r in QUERIES["scan_audio_inventory"](spark, "/root/testdata/sf0.001").collect()}
     assert got == n and max(n.values()) > 1
+
+
+def test_rows_become_objects_a_few_at_a_time():
+    import pyarrow as pa
+    from wavespan.functions.batches import ROWS, few
+
+    b = pa.record_batch({"x": list(range(3 * ROWS + 5))})
+    got = list(few([b, b.slice(0, 0)]))
+    assert max(p.num_rows for p in got) == ROWS and [v for p in got for v in p.column("x").to_pylist()] == list(range(3 * ROWS + 5))
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_pairs_are_dealt_out_once(spark):
+    """Rows are not added up before they are dealt out, and grouping by window needs no other shuffle."""
+    from wavespan import fixtures as fx
+
+    assert _shuffles(evaluate.completeness(fx.pairs(spark, "/root/testdata/sf0.001"), 4)) == 1
+
+
+def test_splits_are_checked_in_one_shuffle(spark):
+    from wavespan.operators import split
+
+    ids = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 3)], "source_idx long, local_idx long")
+    rows = spark.createDataFrame([(1, 0, "train"), (1, 0, "validate"), (1, 1, "other"), (2, 0, "discard"), (2, 7, "train"), (None, 3, "train")], "source_idx long, local_idx long, split string")
+    made = split.partition_check(rows, ids, "source_idx", "local_idx")
+    assert _shuffles(made) <= 2
+    assert {r["check"]: r["n"] for r in made.collect()} == {"not_covered_or_unknown": 3, "train_and_validate": 1, "train_and_discard": 0, "validate_and_discard": 0}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import dealt
+
 #: Columns a manifest has.
 COLUMNS = ("recording_id", "kind", "dataset", "song", "family", "output_file")
 KINDS = ("full_mix", "section_mix")
@@ -67,7 +69,7 @@ def provenance_faults(windows: DataFrame) -> DataFrame:
     """rule, n: windows with a negative index or start, and ids used twice."""
     negative = F.count_if((F.col("source_idx") < 0) | (F.col("local_idx") < 0) | (F.col("start_sample") < 0) | (F.col("group_idx") < 0))
     first = windows.agg(negative.alias("n")).select(F.lit("negative").alias("rule"), "n")
-    return first.unionAll(duplicates(windows, "global_idx").agg(F.count(F.lit(1)).alias("n")).select(F.lit("id_used_twice").alias("rule"), "n"))
+    return first.unionAll(duplicates(dealt(windows.select("global_idx"), "global_idx"), "global_idx").agg(F.count(F.lit(1)).alias("n")).select(F.lit("id_used_twice").alias("rule"), "n"))
 
 
 def media_failures(assets: DataFrame, rate: int = 44100, channels: int = 2, shortest: float = 5.0, longest: float = 5.1, quietest: float = -80.0, loudest: float = 0.0, expected: int | None = None) -> DataFrame:
