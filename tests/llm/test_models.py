@@ -183,3 +183,14 @@ def test_one_update_is_the_gradient_of_each_position():
     assert np.allclose(s, seen + count)
     want = old - step * (0.5 / (np.sqrt(seen + count) + count / 4))[:, None]
     assert np.allclose(w, want, atol=1e-4)
+
+
+def test_sums_of_rows_of_every_length():
+    """Long and short runs of rows add up as by a loop, and an update reads each row once."""
+    rnd = np.random.default_rng(4)
+    for most in (1, maxent.SHORT, 60):
+        n = rnd.integers(1, most + 1, 200)
+        rows = rnd.integers(0, 300, n.sum())
+        p = rnd.normal(size=(300, 7)).astype(np.float32)
+        want = [sum(p[k].astype(float) for k in part) for part in np.split(rows, np.cumsum(n)[:-1])]
+        assert np.allclose(maxent._sums(p, rows, n), want, atol=1e-4)

@@ -292,7 +292,7 @@ def _rows(batch, names):
 def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -303,6 +303,33 @@ def _sum_rows(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
     return z
 
 
+#: Rows that a sum takes one by one; more of them are added up by a reduction, which has a cost for each sum.
+SHORT = 8
+
+
+def _sums(p: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of n[0], n[1] ... rows of p, which follow each other in rows."""
+    out, first, many = np.empty((len(n), p.shape[1]), p.dtype), np.cumsum(n) - n, n > SHORT
+    if many.any():
+        out[many] = np.add.reduceat(np.take(p, rows[np.repeat(many, n)], 0), np.cumsum(n[many]) - n[many], axis=0)
+    at = np.flatnonzero(~many)
+    at = at[np.argsort(SHORT - n[at].astype(np.int8), kind="stable")]
+    size = -n[at]
+    some = np.take(p, rows[first[at]], 0)
+    for j in range(1, -int(size[0]) if len(size) else 0):
+        k = int(np.searchsorted(size, -j))
+        some[:k] += np.take(p, rows[first[at[:k]] + j], 0)
+    out[at] = some
+    return out
+
+
+def _descend(weights: np.ndarray, seen: np.ndarray, f: np.ndarray, n: np.ndarray, step: np.ndarray, rate: float) -> None:
+    """Rows f, which n positions have, go down by step, which is overwritten."""
+    seen[f] += n
+    step *= (rate / (np.sqrt(seen[f]) + n / 4)).astype(np.float32)[:, None]
+    weights[f] = np.subtract(np.take(weights, f, 0), step, out=step)
+
+
 def _step(weights: np.ndarray, seen: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float, few: int | None = None, room: np.ndarray | None = None) -> None:
     """One update on the positions x with outcomes y. few: a column of few values; room: outcomes that there are at each position."""
     z = _sum_rows(weights, x)
@@ -311,27 +338,20 @@ def _step(weights: np.ndarray, seen: np.ndarray, x: np.ndarray, y: np.ndarray, r
     p = _softmax(z)
     p[np.arange(len(y)), y] -= 1
     # Column 0 is the same or nearly so everywhere: sums of it, and of the column of few values, are matrix products.
-    rest = [k for k in range(1, x.shape[1]) if k != few]
-    parts = []
     for k in (0, few) if few is not None else (0,):
-        f, at, n = np.unique(x[:, k], return_inverse=True, return_counts=True)
+        n = np.bincount(x[:, k])
+        f = np.flatnonzero(n)
         hot = np.zeros((len(f), len(y)), np.float32)
-        hot[at, np.arange(len(y))] = 1
-        parts.append((f, n, hot @ p))
+        hot[np.cumsum(n > 0)[x[:, k]] - 1, np.arange(len(y))] = 1
+        _descend(weights, seen, f, n[f], hot @ p, rate)
+    rest = [k for k in range(1, x.shape[1]) if k != few]
     flat = x[:, rest].ravel()
+    flat = flat.astype(np.uint16) if len(weights) <= 1 << 16 else flat  # numbers of 16 bits are sorted by radix
     order = np.argsort(flat, kind="stable")
-    cut = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    flat = flat[order]
+    cut = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     n = np.diff(np.append(cut, len(flat)))
-    once, more = cut[n == 1], np.repeat(n > 1, n)
-    parts.append((flat[order[once]], np.ones(len(once), np.int64), np.take(p, order[once] // len(rest), 0)))
-    if more.any():
-        n = n[n > 1]
-        order = order[more]
-        cut = np.cumsum(n) - n
-        parts.append((flat[order[cut]], n, np.add.reduceat(np.take(p, order // len(rest), 0), cut, axis=0)))
-    for f, n, step in parts:
-        seen[f] += n
-        weights[f] -= step * (rate / (np.sqrt(seen[f]) + n / 4)).astype(np.float32)[:, None]
+    _descend(weights, seen, flat[cut].astype(np.int64), n, _sums(p, order // len(rest), n), rate)
 
 
 def _update(held, held_weights, bits: int, rate: float):
@@ -368,6 +388,14 @@ def _average(key, got):
     return pa.table({"block": pa.array([key[0].as_py()]), "w": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n])})
 
 
+def _log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logarithm of the share of outcome y in each row; z is overwritten."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), y]
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
 def log_probabilities(w, doc, start, c, kind, spot, frequent, room, weights, counts: Counts) -> np.ndarray:
     """Natural log-probability of each token."""
     x = _features(w, doc, start, _last_frequent(w, doc, start, frequent), counts.bits)
@@ -375,8 +403,7 @@ def log_probabilities(w, doc, start, c, kind, spot, frequent, room, weights, cou
     for lo in range(0, len(w), STEP):
         s = slice(lo, lo + STEP)
         z = _sum_rows(weights[0], x[s])
-        z -= z.max(1, keepdims=True)
-        out[s] = z[np.arange(len(z)), kind[s]] - np.log(np.exp(z).sum(1))
+        out[s] = _log_softmax(z, kind[s])
     share = np.log(np.maximum(c, 1) / np.maximum(counts.mass[kind], 1))
     rare = np.where(c == 0, np.log(counts.unseen / counts.missing), np.log((1 - counts.unseen) / max(counts.once, 1)))
     out += np.where(kind == 0, rare, np.where(kind < FIRST_HEAD, share, 0))
@@ -385,8 +412,7 @@ def log_probabilities(w, doc, start, c, kind, spot, frequent, room, weights, cou
         k = at[lo : lo + STEP]
         z = _sum_rows(weights[1], _word_features(x[k], kind[k], counts.bits))
         z[np.arange(IN_CLASS) >= room[kind[k]][:, None]] = -np.inf
-        z -= z.max(1, keepdims=True)
-        out[k] += z[np.arange(len(k)), spot[k]] - np.log(np.exp(z).sum(1))
+        out[k] += _log_softmax(z, spot[k])
     return out
 
 

@@ -66,10 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = bytes(range(256)).lower()
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
@@ -84,12 +81,11 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (A-Z lower-cased), and the index of its text."""
-    a = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    a = np.frombuffer(b" ".join([*texts, b""]).translate(_LOWER), np.uint8)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     if not len(a):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    a = _LOWER[a]
-    sep = _SEPARATOR[a]
+    sep = (a == 0x20) | (a - np.uint8(9) < 5)
     sums = np.concatenate([[_U(0)], np.cumsum(_BYTES[a] * _power("r", _R, len(a)), dtype=_U)])
     edge = np.flatnonzero(np.diff(np.concatenate([[True], sep, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
@@ -97,7 +93,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # Sums of powers can't tell some long words apart, such as a word made by doubling and its complement.
     for k in np.flatnonzero(end - start > SUMMED).tolist():
         w[k] = xxhash.xxh3_64_intdigest(a[start[k] : end[k]])
-    return w, np.searchsorted(ends, start, side="right")
+    return w, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, ends), prepend=0))
 
 
 def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
