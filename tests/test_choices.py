@@ -112,3 +112,15 @@ def test_splits_are_checked_in_one_shuffle(spark):
     made = split.partition_check(rows, ids, "source_idx", "local_idx")
     assert _shuffles(made) <= 2
     assert {r["check"]: r["n"] for r in made.collect()} == {"not_covered_or_unknown": 3, "train_and_validate": 1, "train_and_discard": 0, "validate_and_discard": 0}
+
+
+def test_draws_are_spread_over_tasks(spark):
+    """One file of one row group has tens of thousands of windows, which are drawn for in several tasks."""
+    import math
+
+    from wavespan.plans.queries import QUERIES
+    from wavespan.shared import COSTLY_ROWS
+
+    made = QUERIES["degradation_params"](spark, "/root/testdata/sf0.01")
+    tasks = made.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == math.ceil(made.count() / COSTLY_ROWS) > 1
