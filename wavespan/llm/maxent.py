@@ -5,16 +5,19 @@ documents. The HEAD most frequent words form classes of IN_CLASS words of one gr
 words a word most often follows); the others share a class with those of their group and frequency band. Both factors
 are log-linear models over hashed features of the history: the last word, the last two, the one before the last (skip),
 and the last frequent word at any distance (skip). The second is a softmax over the words of a head class, with features
-hashed together with the class; in a class of rarer words, whose number is not bounded, each has the share of its count.
+hashed together with the class. A class of rarer words has no bound, so its words are the leaves of a binary tree, in the
+order of their counts: p(word | class, history) is the product of the decisions on the way to the word, each logistic over
+the node, it and the last word, and it and the last frequent word, on top of the log odds that counts give to the two sides.
 Words seen once stand for unseen ones: they share a class, of which Good-Turing gives the unseen words their part, in
-equal shares for as many as are estimated to exist (Chao).
+equal shares for as many as are estimated to exist (Chao); the words seen once share the rest by a tree.
 
 Weights are trained by distributed gradient updates: in each of ROUNDS rounds every partition starts from the shared
 weights, makes its updates on every position of another part of its training texts, and the results are averaged; after
 all rounds every position was used once. Texts are scored in sparse numpy batches.
 
-Counts meet texts without moving single tokens: packets of texts of one input split (bounded in bytes) send their
-distinct words once; these meet the counts, and return to the packet's texts.
+Texts are cut into words once, into parts: distinct words, and tokens as places among them. Counts meet texts without
+moving single tokens: packets of parts (bounded in bytes) send their distinct words once; these meet their places in the
+order of all words, which say count, class and place in it, and return to the packet's parts.
 
 Defined cases
 * null or empty text: the end token alone. Null doc_id: fold 0, so a training document.
@@ -24,13 +27,14 @@ Defined cases
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chars import blocks
 from .common import drop_saved, fold, release, saved
 from .ngramjoin import _mix, hashed_words
 
@@ -53,7 +57,12 @@ ROUNDS = 4
 STEP = 4096
 #: Bytes of texts that share a dictionary, and of a part, at most; a longer text is alone.
 PACKET, PART = 1 << 24, 1 << 20
-BATCH = 1 << 24
+#: A word that is less than 1 / SHARE of a part's tokens isn't named when candidates for frequent words are gathered.
+SHARE = 8192
+#: Trees of rarer words: weights as a power of 2, levels whose log odds come from counts (below, from numbers of words), tokens of an update.
+TREE_BITS, TOP = 18, 12
+TREE_STEP = 4 * STEP
+ZSTD = pa.Codec("zstd", 1)
 
 
 def _tokens(texts: list[bytes]):
@@ -67,14 +76,19 @@ def _tokens(texts: list[bytes]):
     return out, np.repeat(np.arange(len(texts)), n), stop - n
 
 
-def _last_frequent(w: np.ndarray, doc: np.ndarray, start: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Index of the last frequent word before each token in its text; FREQUENT if none."""
-    at = np.minimum(np.searchsorted(frequent, w), max(0, len(frequent) - 1))
-    is_one = (frequent[at] == w) if len(frequent) else np.zeros(len(w), bool)
-    where = np.maximum.accumulate(np.where(is_one, np.arange(len(w)), -1))
+def _last_frequent(at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The last frequent word before each token in its text, FREQUENT if none; at: the frequent word that each token is, FREQUENT if none."""
+    where = np.maximum.accumulate(np.where(at < FREQUENT, np.arange(len(at)), -1))
     before = np.concatenate([[-1], where[:-1]])
-    ok = before >= start[doc]
-    return np.where(ok, at[np.maximum(before, 0)], FREQUENT)
+    return np.where(before >= start[doc], at[np.maximum(before, 0)], FREQUENT)
+
+
+def _among(frequent: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Which frequent word each of u is; FREQUENT if none."""
+    if not len(frequent):
+        return np.full(len(u), FREQUENT)
+    at = np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)
+    return np.where(frequent[at] == u, at, FREQUENT)
 
 
 def _cluster(m: np.ndarray) -> np.ndarray:
@@ -93,27 +107,99 @@ def _cluster(m: np.ndarray) -> np.ndarray:
     return np.concatenate([own, np.zeros(FREQUENT + 1 - len(own), np.int64)])
 
 
-def _texts(batches, most: int = BATCH):
-    run, total = [], 0
+def _rows(batches, *names):
+    """Rows one by one, as a part of texts is large."""
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in b.schema.names if c != "text"]
-        for text, *rest in zip(b.column("text").to_pylist(), *cols, strict=True):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            run.append((data, *rest))
-            total += len(data)
-            if total >= most:
-                yield run
-                run, total = [], 0
-    if run:
-        yield run
-
-
-def _count_alone(batches):
-    """h, c of the words, summed in batches of texts."""
-    for rows in _texts(batches):
-        w = np.concatenate([hashed_words([r[0] for r in part])[0].view(np.int64) for part in blocks(rows, lambda r: len(r[0]), 1 << 19)])
-        u, n = np.unique(w[w != END], return_counts=True)
-        yield pa.record_batch({"h": pa.array(u), "c": pa.array(n)})
+        for k in range(b.num_rows):
+            yield tuple(b.column(n)[k].as_py() for n in names)
+
+
+PARTS = "packet long, turn int, docs array<long>, held_out boolean, u binary, i binary"
+
+
+def _parts(batches):
+    """Parts of PART bytes at most, learnt from or held out: distinct words (u), tokens as places among them (i)."""
+    task, total, made = TaskContext.get().partitionId(), 0, 0
+    runs, sizes = {False: [], True: []}, {False: 0, True: 0}
+
+    def part(out):
+        nonlocal total, made
+        w, _, _ = _tokens([r[0] for r in runs[out]])
+        u, at = np.unique(w, return_inverse=True)
+        cols = [task << 32 | total // PACKET, -1 if out else (task + made) % ROUNDS, [r[1] for r in runs[out]], out, *_packed(u, at)]
+        total, made = total + sizes[out], made + (not out)
+        runs[out], sizes[out] = [], 0
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
+
+    for b in batches:
+        for data, doc, out in zip(*(b.column(c).to_pylist() for c in ("text", "doc_id", "held_out")), strict=True):
+            data = data or b""
+            if runs[out] and sizes[out] + len(data) > PART:
+                yield part(out)
+            runs[out].append((data, doc))
+            sizes[out] += len(data)
+    for out in runs:
+        if runs[out]:
+            yield part(out)
+
+
+def _packed(u: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes]:
+    """Distinct words as compressed planes of bytes of their differences, and tokens compressed; numbers of bytes ahead."""
+    step = np.diff(u.view(_U), prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    raw = at.astype("<u2" if len(u) <= 1 << 16 else "<u4").tobytes()
+    return tuple(len(x).to_bytes(8, "little") + ZSTD.compress(x, asbytes=True) for x in (step, raw))
+
+
+def _unpacked(x: bytes) -> bytes:
+    return ZSTD.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
+
+
+def _words_of(u: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(_unpacked(u), np.uint8).reshape(8, -1).T).view(_U).ravel(), dtype=_U).view(np.int64)
+
+
+def _opened(u: bytes, i: bytes):
+    """Distinct words, tokens as places among them, text of each token, and start of texts."""
+    u = _words_of(u)
+    at = np.frombuffer(_unpacked(i), "<u2" if len(u) <= 1 << 16 else "<u4")
+    stop = np.flatnonzero(at == np.searchsorted(u, END)) + 1
+    start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+    return u, at, np.repeat(np.arange(len(stop)), stop - start), start
+
+
+def _count_some(share: int | None, among: np.ndarray | None = None):
+    """h, c, missed: of each part the words that are 1 / share of it or more (all, if None), or those among some; by how much others may be more."""
+
+    def run(batches):
+        for raw in _rows(batches, "u", "i"):
+            u, at, _, _ = _opened(*raw)
+            c = np.bincount(at, minlength=len(u))
+            least = max(1, len(at) // share) if share else 1
+            keep = np.flatnonzero((np.isin(u, among) if among is not None else c >= least) & (u != END))
+            missed = np.zeros(len(keep) + 1, np.int64)
+            missed[-1] = least - 1
+            yield pa.record_batch({"h": pa.array(np.append(u[keep], END)), "c": pa.array(np.append(c[keep], 0)), "missed": pa.array(missed)})
+
+    return run
+
+
+def _most_frequent(parts: DataFrame, n: int = FREQUENT) -> list[int]:
+    """The n most frequent words, exactly. Words that are rare in every part can't be among them, which is checked."""
+
+    def first(k, *how):
+        got = parts.select("u", "i").mapInArrow(_count_some(*how), "h long, c long, missed long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("missed").alias("missed"))
+        top = got.orderBy(F.col("h") != int(END), F.desc("c"), "h").limit(k + 1).collect()
+        return top[1:], top[0]["missed"] if top else 0
+
+    some, missed = first(SHARE, SHARE)
+    least = some[n - 1]["c"] if len(some) >= n else 0
+    near = [r["h"] for r in some if r["c"] >= least - missed]
+    if missed and least > 2 * missed and len(near) < SHARE:
+        some, _ = first(n, None, np.array(near, np.int64))
+    elif missed:
+        some, _ = first(n, None)
+    return [r["h"] for r in some[:n]]
 
 
 def _count_pairs(held):
@@ -121,13 +207,12 @@ def _count_pairs(held):
 
     def run(batches):
         frequent, m = held.value, np.zeros(FREQUENT * FREQUENT, np.int64)
-        for rows in _texts(batches):
-            for part in blocks(rows, lambda r: len(r[0]), 1 << 19):
-                w, doc, start = _tokens([r[0] for r in part])
-                last = _last_frequent(w, doc, start, frequent)
-                at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
-                both = (frequent[at] == w) & (last < FREQUENT)
-                m += np.bincount(last[both] * FREQUENT + at[both], minlength=len(m))
+        for raw in _rows(batches, "u", "i"):
+            u, i, doc, start = _opened(*raw)
+            at = _among(frequent, u)[i]
+            last = _last_frequent(at, doc, start)
+            both = (at < FREQUENT) & (last < FREQUENT)
+            m += np.bincount(last[both] * FREQUENT + at[both], minlength=len(m))
         k = np.flatnonzero(m)
         yield pa.record_batch({"k": pa.array(k), "n": pa.array(m[k])})
 
@@ -135,82 +220,69 @@ def _count_pairs(held):
 
 
 def frequent_words(learn: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the frequent words of all texts (sorted), and the cluster of each."""
+    """Hashes of the frequent words of all parts (sorted), and the cluster of each."""
     spark = learn.sparkSession
-    counted = learn.select("text").mapInArrow(_count_alone, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    frequent = np.sort(np.array([r["h"] for r in counted.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()], np.int64))
-    release(spark)
+    frequent = np.sort(np.array(_most_frequent(learn), np.int64))
     m = np.zeros((FREQUENT, FREQUENT))
     if len(frequent):
-        pairs = learn.select("text").mapInArrow(_count_pairs(spark.sparkContext.broadcast(frequent)), "k long, n long")
+        pairs = learn.select("u", "i").mapInArrow(_count_pairs(spark.sparkContext.broadcast(frequent)), "k long, n long")
         for r in pairs.groupBy("k").agg(F.sum("n").alias("n")).collect():
             m[r["k"] // FREQUENT, r["k"] % FREQUENT] = r["n"]
     return frequent, _cluster(m[: len(frequent), : len(frequent)])
 
 
 def _count_words(held):
-    """h, c, and how often it follows each cluster, summed in batches of texts."""
+    """h, g, n: how often each word follows each cluster (GROUPS: none), summed in packets."""
+
+    def added(hs, gs, ns):
+        h, g, n = np.concatenate(hs), np.concatenate(gs), np.concatenate(ns)
+        order = np.argsort(h * np.int64(2 * GROUPS + 1) + g)
+        x, y = h[order], g[order]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        at = order[first]
+        return pa.record_batch({"h": pa.array(h[at]), "g": pa.array(g[at].astype(np.int32)), "n": pa.array(np.add.reduceat(n[order], first))})
 
     def run(batches):
         frequent, cluster = held.value
-        for rows in _texts(batches):
-            hs, gs = [], []
-            for part in blocks(rows, lambda r: len(r[0]), 1 << 19):
-                w, doc, start = _tokens([r[0] for r in part])
-                last = _last_frequent(w, doc, start, frequent)
-                hs.append(w)
-                gs.append(np.where(last < FREQUENT, cluster[last], GROUPS))
-            w, g = np.concatenate(hs), np.concatenate(gs)
-            order = np.argsort(w)
-            w, g = w[order], g[order]
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-            n = np.stack([np.add.reduceat((g == k).astype(np.int64), first) if len(first) else first for k in range(GROUPS)], 1)
-            yield pa.record_batch({"h": pa.array(w[first]), "c": pa.array(np.diff(np.append(first, len(w))))} | {f"g{k}": pa.array(n[:, k]) for k in range(GROUPS)})
+        of, got, total = np.append(cluster[:FREQUENT], GROUPS), [], 0
+        for raw in _rows(batches, "u", "i"):
+            u, i, doc, start = _opened(*raw)
+            g = of[_last_frequent(_among(frequent, u)[i], doc, start)]
+            n = np.bincount(i.astype(np.int64) * (GROUPS + 1) + g)
+            k = np.flatnonzero(n)
+            got.append((u[k // (GROUPS + 1)], k % (GROUPS + 1), n[k]))
+            total += len(k)
+            if total >= 1 << 20:
+                yield added(*zip(*got, strict=True))
+                got, total = [], 0
+        if got:
+            yield added(*zip(*got, strict=True))
 
     return run
 
 
-def _packets(batches):
-    """(packet, text, doc_id, held_out): packets of PACKET bytes at most of one input split, in order."""
-    done: dict[int, int] = {}
-    for b in batches:
-        for text, chunk, doc, out in zip(*(b.column(c).to_pylist() for c in ("text", "chunk", "doc_id", "held_out")), strict=True):
-            n = done.get(chunk, 0)
-            data = (text or "").encode("utf-8", "surrogatepass")
-            done[chunk] = n + len(data)
-            yield (chunk ^ (n // PACKET) * 0x5851F42D4C957F2D) & 0x7FFFFFFFFFFFFFFF, data, doc, out
-
-
-def _by_packet(batches, most: int):
-    """(packet, rows) of about `most` bytes."""
-    now, rows, total = None, [], 0
-    for packet, *row in _packets(batches):
-        if rows and (packet != now or total + len(row[0]) > most):
-            yield now, rows
-            rows, total = [], 0
-        now = packet
-        rows.append(row)
-        total += len(row[0])
-    if rows:
-        yield now, rows
-
-
 def _distinct_words(batches):
-    """packet, h: the distinct words of each packet, part by part."""
-    for packet, rows in _by_packet(batches, BATCH):
-        found = [np.unique(_tokens([r[0] for r in part])[0]) for part in blocks(rows, lambda r: len(r[0]), 1 << 19)]
-        u = np.unique(np.concatenate(found))
-        yield pa.record_batch({"packet": pa.array(np.full(len(u), packet)), "h": pa.array(u)})
+    """packet, h: the distinct words of each packet; a packet that two tasks read names a word twice."""
+    now, found = None, []
+    for packet, u in _rows(batches, "packet", "u"):
+        if found and packet != now:
+            h = np.unique(np.concatenate(found))
+            yield pa.record_batch({"packet": pa.array(np.full(len(h), now)), "h": pa.array(h)})
+            found = []
+        now = packet
+        found.append(_words_of(u))
+    if found:
+        h = np.unique(np.concatenate(found))
+        yield pa.record_batch({"packet": pa.array(np.full(len(h), now)), "h": pa.array(h)})
 
 
-def _pack(batches):
-    """packet, texts, docs: parts of a packet, texts compressed."""
-    kind = pa.schema([("text", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_())])
-    for packet, rows in _by_packet(batches, PART):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
-            w.write_batch(pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind))
-        yield pa.record_batch({"packet": pa.array([packet], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+def _in_order(batches):
+    """h, task, k: the words of a task, which are in order, by number."""
+    task, k = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.num_rows
+        yield pa.record_batch({"h": b.column("h"), "task": pa.array(np.full(n, task, np.int32)), "k": pa.array(np.arange(k, k + n))})
+        k += n
 
 
 def _features(w: np.ndarray, doc: np.ndarray, start: np.ndarray, last: np.ndarray, bits: int) -> np.ndarray:
@@ -237,62 +309,150 @@ def _word_features(x: np.ndarray, kind: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Counts:
-    """What classes hold, over all training documents. left: log share of a word of a class that has no softmax."""
-
-    def __init__(self, total: int, kinds: int, once: int, twice: int, mass: np.ndarray):
-        self.total, self.kinds, self.mass, self.once = total, kinds, mass, once
-        self.unseen = (once + 1) / (once + 2 * twice + 2)
+    """What classes hold, over all training documents, from the number n of words of each class y and count c.
+
+    A word's place is its number in the order of class, falling count and hash.
+    """
+
+    def __init__(self, y: np.ndarray, c: np.ndarray, n: np.ndarray):
+        order = np.lexsort((-c, y))
+        y, c, n = (np.asarray(v, np.int64)[order] for v in (y, c, n))
+        word = y != 1
+        self.total, self.kinds = int((c * n).sum()), int(n.sum())
+        self.once, twice = (int(n[word & (c == k)].sum()) for k in (1, 2))
+        self.unseen = (self.once + 1) / (self.once + 2 * twice + 2)
         #: Words that exist and were not seen, by Chao's estimate.
-        self.missing = max(1.0, once * (once - 1) / (2 * (twice + 1)))
+        self.missing = max(1.0, self.once * (self.once - 1) / (2 * (twice + 1)))
         #: Rows of weights, as a power of 2.
-        self.bits = int(min(BITS[1], max(BITS[0], np.ceil(np.log2(max(kinds, 2))))))
-
-
-def _examples(key, left, right):
-    """Parts of a packet: distinct words (u), their counts (c), classes (y), places in a class (s), tokens as places among them (i), documents."""
-    h = right.column("h").to_numpy()
-    order = np.argsort(h)
-    h, c, y, s = (right.column(k).to_numpy()[order] for k in "hcys")
-    out = []
-    for blob in left.column("texts").to_pylist():
-        rows = pa.ipc.open_stream(blob).read_all()
-        held, docs = np.array(rows.column("held_out").to_pylist(), bool), rows.column("doc_id").to_pylist()
-        texts = rows.column("text").to_pylist()
-        for flag in (False, True):
-            own = [k for k in range(len(docs)) if held[k] == flag]
-            if own:
-                w, _, _ = _tokens([texts[k] for k in own])
-                u, at = np.unique(w, return_inverse=True)
-                place = np.searchsorted(h, u)
-                small = "<u2" if len(u) <= 1 << 16 else "<u4"
-                out.append((u.tobytes(), c[place].astype("<i8").tobytes(), y[place].astype(np.uint8).tobytes(), s[place].astype(np.uint8).tobytes(), at.astype(small).tobytes(), [docs[k] for k in own], flag))
-    cols = list(zip(*out, strict=True)) or [[]] * 7
-    return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.binary()] * 5 + [pa.list_(pa.int64()), pa.bool_()], strict=True)], names=[*"ucysi", "docs", "held_out"])
-
-
-EXAMPLES = "u binary, c binary, y binary, s binary, i binary, docs array<long>, held_out boolean"
-
-
-def _opened(u: bytes, c: bytes, y: bytes, s: bytes, i: bytes):
-    """Words, text, start of texts, count, class and place in it, of the tokens of a part of _examples."""
-    u = np.frombuffer(u, np.int64)
-    at = np.frombuffer(i, "<u2" if len(u) <= 1 << 16 else "<u4")
-    w = u[at]
-    stop = np.flatnonzero(w == END) + 1
-    start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
-    return w, np.repeat(np.arange(len(stop)), stop - start), start, np.frombuffer(c, "<i8")[at], np.frombuffer(y, np.uint8)[at].astype(np.int64), np.frombuffer(s, np.uint8)[at].astype(np.int64)
+        self.bits = int(min(BITS[1], max(BITS[0], np.ceil(np.log2(max(self.kinds, 2))))))
+        #: Words of each class, its first place, and the levels of its tree (none, if it has a softmax or one word).
+        self.size = np.bincount(y, n, CLASSES).astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.depth = np.array([0 if k == 1 or k >= FIRST_HEAD else int(max(m - 1, 0)).bit_length() for k, m in enumerate(self.size)])
+        #: Places at which a run of words of one count ends, and that count.
+        self.ends, self.count = np.cumsum(n), c
+        self.place = "<i4" if self.kinds < 1 << 31 else "<i8"
+        #: Log odds of the second side of the nodes of the top levels, at 2**level + node.
+        self.odds = np.zeros(FIRST_HEAD << TOP, np.float32)
+        for k in np.flatnonzero(self.depth):
+            for level in range(min(TOP, int(self.depth[k]))):
+                edge = np.minimum(np.arange((2 << level) + 1) << int(self.depth[k] - level - 1), self.size[k]) + self.first[k]
+                mass = np.diff(self._before(edge))
+                both = (mass[::2] > 0) & (mass[1::2] > 0)
+                self.odds[(k << TOP) + (1 << level) + np.flatnonzero(both)] = np.log(mass[1::2][both] / mass[::2][both])
+
+    def _before(self, place: np.ndarray) -> np.ndarray:
+        """Tokens of the words before a place."""
+        n = np.diff(self.ends, prepend=0)
+        k = np.minimum(np.searchsorted(self.ends, place, "right"), len(n) - 1)
+        return (np.cumsum(n * self.count) - n * self.count)[k] + (place - (self.ends - n)[k]) * self.count[k]
+
+    def of(self, place: np.ndarray):
+        """Count, class and place in the class of words; those with place -1 were not seen."""
+        if not self.kinds:
+            return np.zeros((3, len(place)), np.int64)
+        seen = np.maximum(place, 0)
+        kind = np.searchsorted(self.first, seen, "right") - 1
+        c = self.count[np.searchsorted(self.ends, seen, "right")]
+        return np.where(place < 0, 0, c), np.where(place < 0, 0, kind), np.where(place < 0, 0, seen - self.first[kind])
+
+
+def _tree(x: np.ndarray, kind: np.ndarray, spot: np.ndarray, counts: Counts):
+    """Tokens of classes with trees, deepest first; and for each level, of the first tokens of these, the decisions on the way to the word:
+    whether the second side is taken, its log odds by counts (-inf: it is empty, so nothing is decided), and three rows of weights."""
+    depth = counts.depth[kind]
+    token = np.argsort(-depth.astype(np.int8), kind="stable")
+    depth = depth[token]
+    token = token[: np.searchsorted(-depth, 0)]
+    narrow = np.uint32 if counts.place == "<i4" else _U
+    kind = kind[token]
+    spot, size, named = spot[token].astype(narrow), counts.size[kind].astype(narrow), kind << TOP
+    depth = depth[: len(token)]
+    below, own = depth.astype(narrow), kind.astype(np.uint32) * np.uint32(0x9E3779B1)
+    more = [(_mix(x[token, f].astype(_U) + _U(f << 40)) >> _U(32)).astype(np.uint32) for f in (1, 4)]
+
+    def levels():
+        for level in range(int(depth[0]) if len(token) else 0):
+            n = int(np.searchsorted(-depth, -level))
+            shift = below[:n] - narrow(level + 1)
+            side = spot[:n] >> shift
+            node = side >> narrow(1)
+            second = (side | narrow(1)) << shift
+            if level < TOP:
+                odds = np.take(counts.odds, named[:n] + ((1 << level) + node.astype(np.int64)))
+            else:
+                odds = np.zeros(n, np.float32)
+                part = np.flatnonzero((second < size[:n]) & (size[:n] - second < narrow(1) << shift))
+                odds[part] = np.log((size[part] - second[part]) / (narrow(1) << shift[part]))
+            none = np.flatnonzero(second >= size[:n])
+            if len(none):
+                odds[none] = -np.inf
+            key = (node.astype(np.uint32) ^ own[:n] ^ np.uint32(level << 26)) * np.uint32(0x85EBCA6B)
+            at = [(h >> np.uint32(32 - TREE_BITS)).astype(np.int64) for h in (key, *((key ^ f[:n]) * np.uint32(0xC2B2AE35) for f in more))]
+            yield n, (side & narrow(1)).astype(np.float32), odds, at
+
+    return token, levels()
+
+
+def _odds(weights: np.ndarray, odds: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    z = odds + np.take(weights, at[0])
+    z += np.take(weights, at[1])
+    z += np.take(weights, at[2])
+    return z
 
 
-def _rows(batch, names):
-    """Rows one by one, as a part of texts is large."""
-    for k in range(batch.num_rows):
-        yield tuple(batch.column(n)[k].as_py() for n in names)
+def _decide(weights: np.ndarray, seen: np.ndarray, levels, rate: float) -> None:
+    """One update on decisions of trees."""
+    ps, ats = [], []
+    for _, side, odds, at in levels:
+        p = _odds(weights, odds, at)
+        np.exp(np.negative(p, out=p), out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        p -= side
+        ps += [p] * 3
+        ats += [*at]
+    if ps:
+        at = np.concatenate(ats)
+        n = np.bincount(at, minlength=len(weights)).astype(np.float32)
+        seen += n
+        weights -= (rate * np.bincount(at, np.concatenate(ps), len(weights)) / (np.sqrt(seen) + n / 4)).astype(np.float32)
+
+
+def _examples(place: str):
+    """Parts of a packet with the place of their distinct words (p), -1 of those that were not seen."""
+
+    def run(key, left, right):
+        h = right.column("h").to_numpy()
+        order = np.argsort(h)
+        h, p = h[order], right.column("p").to_numpy()[order]
+        names = ["turn", "docs", "held_out", "u", "i"]
+        got = [p[np.searchsorted(h, _words_of(u.as_py()))].astype(place).tobytes() for u in left.column("u")]
+        return pa.table([*[left.column(c) for c in names], pa.array(got, pa.binary())], names=[*names, "p"])
+
+    return run
+
+
+EXAMPLES = "turn int, docs array<long>, held_out boolean, u binary, i binary, p binary"
+
+
+def _tokens_of(u: bytes, i: bytes, p: bytes, frequent: np.ndarray, counts: Counts):
+    """Start of texts, rows of weights, count, class and place in it, of the tokens of a part."""
+    u, at, doc, start = _opened(u, i)
+    c, kind, spot = (v[at] for v in counts.of(np.frombuffer(p, counts.place)))
+    return doc, start, _features(u[at], doc, start, _last_frequent(_among(frequent, u)[at], doc, start), counts.bits), c, kind, spot
+
+
+def _lower(z: np.ndarray) -> None:
+    """Takes the greatest of each row off it, if exponentials could run over or (of the first outcome, which there always is) under."""
+    if z.max(initial=0) > 60 or z[:, 0].min(initial=0) < -60:
+        z -= z.max(1, keepdims=True)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    _lower(z)
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
     return z
 
 
@@ -330,19 +490,26 @@ def _descend(weights: np.ndarray, seen: np.ndarray, f: np.ndarray, n: np.ndarray
     weights[f] = np.subtract(np.take(weights, f, 0), step, out=step)
 
 
+@lru_cache(maxsize=8)
+def _bars(k: int) -> np.ndarray:
+    """For each number of outcomes that there are, 0 for those and -inf for the others of k."""
+    return np.where(np.arange(k) >= np.arange(k + 1)[:, None], np.float32(-np.inf), np.float32(0))
+
+
 def _step(weights: np.ndarray, seen: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float, few: int | None = None, room: np.ndarray | None = None) -> None:
     """One update on the positions x with outcomes y. few: a column of few values; room: outcomes that there are at each position."""
     z = _sum_rows(weights, x)
     if room is not None:
-        z[np.arange(z.shape[1]) >= room[:, None]] = -np.inf
+        z += np.take(_bars(z.shape[1]), room, 0)
     p = _softmax(z)
     p[np.arange(len(y)), y] -= 1
     # Column 0 is the same or nearly so everywhere: sums of it, and of the column of few values, are matrix products.
     for k in (0, few) if few is not None else (0,):
         n = np.bincount(x[:, k])
         f = np.flatnonzero(n)
-        hot = np.zeros((len(f), len(y)), np.float32)
-        hot[np.cumsum(n > 0)[x[:, k]] - 1, np.arange(len(y))] = 1
+        hot = np.ones((1, len(y)), np.float32) if len(f) == 1 else np.zeros((len(f), len(y)), np.float32)
+        if len(f) > 1:
+            hot[np.cumsum(n > 0)[x[:, k]] - 1, np.arange(len(y))] = 1
         _descend(weights, seen, f, n[f], hot @ p, rate)
     rest = [k for k in range(1, x.shape[1]) if k != few]
     flat = x[:, rest].ravel()
@@ -354,27 +521,28 @@ def _step(weights: np.ndarray, seen: np.ndarray, x: np.ndarray, y: np.ndarray, r
     _descend(weights, seen, flat[cut].astype(np.int64), n, _sums(p, order // len(rest), n), rate)
 
 
-def _update(held, held_weights, bits: int, rate: float):
-    """Both models' weights after this partition's updates, in blocks of rows, and how many positions it saw."""
+def _update(held, held_weights, rate: float):
+    """By how much this partition's updates change all weights, in blocks of rows of 16-bit floats, and how many positions it saw."""
 
     def run(batches):
-        (frequent, _), room = held.value
-        a, b = (x.copy() for x in held_weights.value)
-        seen, n = [np.ones(len(a), np.float32), np.ones(len(b), np.float32)], 0
-        for batch in batches:
-            for raw in _rows(batch, "ucysi"):
-                w, doc, start, _, kind, spot = _opened(*raw)
-                xs = _features(w, doc, start, _last_frequent(w, doc, start, frequent), bits)
-                for lo in range(0, len(w), STEP):
-                    x, y, s = xs[lo : lo + STEP], kind[lo : lo + STEP], spot[lo : lo + STEP]
-                    _step(a, seen[0], x, y, rate, FEATURES - 1)
-                    at = np.flatnonzero(y >= FIRST_HEAD)
-                    if len(at):
-                        _step(b, seen[1], _word_features(x[at], y[at], bits), s[at], rate, None, room[y[at]])
-                n += len(w)
+        frequent, room, counts = held.value
+        old = held_weights.value
+        a, b, tree = (x.copy() for x in old)
+        seen, n = [np.ones(len(x), np.float32) for x in old], 0
+        for raw in _rows(batches, *"uip"):
+            _, _, xs, _, kind, spot = _tokens_of(*raw, frequent, counts)
+            for lo in range(0, len(xs), STEP):
+                x, y, s = xs[lo : lo + STEP], kind[lo : lo + STEP], spot[lo : lo + STEP]
+                _step(a, seen[0], x, y, rate, FEATURES - 1)
+                at = np.flatnonzero(y >= FIRST_HEAD)
+                if len(at):
+                    _step(b, seen[1], _word_features(x[at], y[at], counts.bits), s[at], rate, None, room[y[at]])
+            for lo in range(0, len(xs), TREE_STEP):
+                _decide(tree, seen[2], _tree(xs[lo : lo + TREE_STEP], kind[lo : lo + TREE_STEP], spot[lo : lo + TREE_STEP], counts)[1], rate)
+            n += len(xs)
         if n:
-            for kind, weights in enumerate((a, b)):
-                for k, part in enumerate(np.split(weights, 16)):
+            for kind, (weights, was) in enumerate(zip((a, b, tree), old, strict=True)):
+                for k, part in enumerate(np.split((weights - was).astype(np.float16), 16)):
                     yield pa.record_batch({"block": pa.array([100 * kind + k]), "w": pa.array([part.tobytes()], pa.binary()), "n": pa.array([float(n)])})
 
     return run
@@ -383,35 +551,39 @@ def _update(held, held_weights, bits: int, rate: float):
 def _average(key, got):
     total, n = 0.0, 0.0
     for raw, k in zip(got.column("w").to_pylist(), got.column("n").to_pylist(), strict=True):
-        total = total + np.frombuffer(raw, np.float32).astype(np.float64) * k
+        total = total + np.frombuffer(raw, np.float16).astype(np.float64) * k
         n += k
-    return pa.table({"block": pa.array([key[0].as_py()]), "w": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n])})
+    return pa.table({"block": pa.array([key[0].as_py()]), "w": pa.array([(total / n).astype(np.float16).tobytes()], pa.binary()), "n": pa.array([n])})
 
 
 def _log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logarithm of the share of outcome y in each row; z is overwritten."""
-    z -= z.max(1, keepdims=True)
+    _lower(z)
     own = z[np.arange(len(z)), y]
     np.exp(z, out=z)
     return own - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
-def log_probabilities(w, doc, start, c, kind, spot, frequent, room, weights, counts: Counts) -> np.ndarray:
-    """Natural log-probability of each token."""
-    x = _features(w, doc, start, _last_frequent(w, doc, start, frequent), counts.bits)
-    out = np.empty(len(w))
-    for lo in range(0, len(w), STEP):
+def log_probabilities(x, kind, spot, c, room, weights, counts: Counts) -> np.ndarray:
+    """Natural log-probability of each token, of rows of weights x."""
+    out = np.empty(len(x))
+    for lo in range(0, len(x), STEP):
         s = slice(lo, lo + STEP)
-        z = _sum_rows(weights[0], x[s])
-        out[s] = _log_softmax(z, kind[s])
-    share = np.log(np.maximum(c, 1) / np.maximum(counts.mass[kind], 1))
-    rare = np.where(c == 0, np.log(counts.unseen / counts.missing), np.log((1 - counts.unseen) / max(counts.once, 1)))
-    out += np.where(kind == 0, rare, np.where(kind < FIRST_HEAD, share, 0))
+        out[s] = _log_softmax(_sum_rows(weights[0], x[s]), kind[s])
+    out[kind == 0] += np.where(c[kind == 0] == 0, np.log(counts.unseen / counts.missing), np.log(1 - counts.unseen))
+    for lo in range(0, len(x), TREE_STEP):
+        at = lo + np.flatnonzero((kind[lo : lo + TREE_STEP] < FIRST_HEAD) & (c[lo : lo + TREE_STEP] > 0))
+        token, levels = _tree(x[at], kind[at], spot[at], counts)
+        lost = np.zeros(len(token))
+        for n, side, odds, rows in levels:
+            z = _odds(weights[2], odds, rows) * (1 - 2 * side)
+            lost[:n] += np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
+        out[at[token]] -= lost
     at = np.flatnonzero(kind >= FIRST_HEAD)
     for lo in range(0, len(at), STEP):
         k = at[lo : lo + STEP]
         z = _sum_rows(weights[1], _word_features(x[k], kind[k], counts.bits))
-        z[np.arange(IN_CLASS) >= room[kind[k]][:, None]] = -np.inf
+        z += np.take(_bars(IN_CLASS), room[kind[k]], 0)
         out[k] += _log_softmax(z, spot[k])
     return out
 
@@ -419,19 +591,18 @@ def log_probabilities(w, doc, start, c, kind, spot, frequent, room, weights, cou
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long"
 
 
-def _score(held, held_weights, counts: Counts):
+def _score(held, held_weights):
     def run(batches):
-        (frequent, _), room = held.value
+        frequent, room, counts = held.value
         base_of = np.log10(counts.total + 0.5 * (counts.kinds + 1)) if counts.total else np.log10(0.5)
-        for batch in batches:
-            for docs, out, *raw in _rows(batch, ("docs", "held_out", *"ucysi")):
-                w, doc, start, c, kind, spot = _opened(*raw)
-                base = np.log10(c + 0.5) - base_of
-                score = log_probabilities(w, doc, start, c, kind, spot, frequent, room, held_weights.value, counts) / np.log(10) if counts.total else base
-                known, b, s = (np.add.reduceat(v, start) for v in ((c > 0).astype(np.int64), base, score))
-                n = np.bincount(doc, minlength=len(docs))
-                cols = [(docs, pa.int64()), ([out] * len(docs), pa.bool_()), (n, pa.int64()), (known, pa.int64()), (b, pa.float64()), (s, pa.float64()), (np.full(len(docs), counts.total), pa.int64())]
-                yield pa.record_batch([pa.array(v, t) for v, t in cols], names=[x.split()[0] for x in SCORES.split(", ")])
+        for docs, out, *raw in _rows(batches, "docs", "held_out", *"uip"):
+            doc, start, x, c, kind, spot = _tokens_of(*raw, frequent, counts)
+            base = np.log10(c + 0.5) - base_of
+            score = log_probabilities(x, kind, spot, c, room, held_weights.value, counts) / np.log(10) if counts.total else base
+            known, b, s = (np.add.reduceat(v, start) for v in ((c > 0).astype(np.int64), base, score))
+            n = np.bincount(doc, minlength=len(docs))
+            cols = [(docs, pa.int64()), ([out] * len(docs), pa.bool_()), (n, pa.int64()), (known, pa.int64()), (b, pa.float64()), (s, pa.float64()), (np.full(len(docs), counts.total), pa.int64())]
+            yield pa.record_batch([pa.array(v, t) for v, t in cols], names=[x.split()[0] for x in SCORES.split(", ")])
 
     return run
 
@@ -456,45 +627,55 @@ def word_classes(words: DataFrame):
     return words.join(F.broadcast(head), "h", "left").select("h", "c", F.coalesce("hy", rest).cast("int").alias("y"), F.coalesce("hs", F.lit(0)).alias("s")), room
 
 
+def in_order(classed: DataFrame) -> DataFrame:
+    """h, p: the place of each word in the order of class, falling count and hash. The driver sees one number for each partition."""
+    spark = classed.sparkSession
+    by = [F.col("y"), F.desc("c"), F.col("h")]
+    numbered = saved(classed.repartitionByRange(*by).sortWithinPartitions(*by).select("h").mapInArrow(_in_order, "h long, task int, k long"), "places")
+    sizes = sorted((r["task"], r["n"]) for r in numbered.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    first = spark.createDataFrame([(t, b) for (t, _), b in zip(sizes, before, strict=False)], "task int, first long")
+    out = numbered.join(F.broadcast(first), "task").select("h", (F.col("first") + F.col("k")).alias("p"))
+    out._scratch = numbered
+    return out
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    try:
-        docs.select("_metadata.file_path")
-    except AnalysisException:  # not a table of files: write it, so that its splits have names
-        docs = saved(docs.select("doc_id", "text"), "docs")
-    split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"), split.alias("chunk"))
-    learn = rows.where("NOT held_out")
+    rows = docs.select(F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+    parts = saved(rows.mapInArrow(_parts, PARTS), "parts")
+    learn = parts.where("NOT held_out")
     found = frequent_words(learn)
-    follow = [f"g{k}" for k in range(GROUPS)]
-    counted = learn.select("text").mapInArrow(_count_words(spark.sparkContext.broadcast(found)), "h long, c long, " + ", ".join(f"{g} long" for g in follow)).groupBy("h").agg(F.sum("c").alias("c"), *[F.sum(g).alias(g) for g in follow])
-    words = saved(counted.select("h", "c", (F.array_position(F.array(*follow), F.greatest(*follow)) - 1).cast("int").alias("g")), "words")
+    counted = learn.select("u", "i").mapInArrow(_count_words(spark.sparkContext.broadcast(found)), "h long, g int, n long").repartition("h").groupBy("h")
+    follow = [F.sum(F.when(F.col("g") == k, F.col("n")).otherwise(0)).alias(f"g{k}") for k in range(GROUPS)]
+    most = F.array(*[f"g{k}" for k in range(GROUPS)])
+    words = saved(counted.agg(F.sum("n").alias("c"), *follow).select("h", "c", (F.array_position(most, F.array_max(most)) - 1).cast("int").alias("g")), "words")
     release(spark)
     classed, room = word_classes(words)
-    got = classed.groupBy("y").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("twice")).collect()
-    mass = np.zeros(CLASSES)
-    for r in got:
-        mass[r["y"]] = r["c"]
-    counts = Counts(sum(r["c"] for r in got), sum(r["n"] for r in got), sum(r["once"] for r in got if r["y"] != 1), sum(r["twice"] for r in got if r["y"] != 1), mass)
-    held = spark.sparkContext.broadcast((found, room))
-    distinct = rows.mapInArrow(_distinct_words, "packet long, h long")
-    known = distinct.join(classed, "h", "left").select("packet", "h", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("y", F.lit(0)).alias("y"), F.coalesce("s", F.lit(0)).alias("s")).distinct()
-    texts = rows.mapInArrow(_pack, "packet long, texts binary")
-    examples = saved(texts.groupBy("packet").cogroup(known.groupBy("packet")).applyInArrow(_examples, EXAMPLES).withColumn("turn", F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("u"), F.lit(ROUNDS))).cast("int")), "examples", "turn")
-    release(spark)
+    got = classed.groupBy("y", "c").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = Counts(*(np.array([r[k] for r in got], np.int64) for k in "ycn"))
+    held = spark.sparkContext.broadcast((found[0], room, counts))
+    places = in_order(classed)
     drop_saved(words)
-    weights = (np.zeros((1 << counts.bits, CLASSES), np.float32), np.zeros((1 << counts.bits, IN_CLASS), np.float32))
+    release(spark)
+    distinct = parts.select("packet", "u").mapInArrow(_distinct_words, "packet long, h long")
+    known = distinct.join(places, "h", "left").select("packet", "h", F.coalesce("p", F.lit(-1)).alias("p"))
+    examples = saved(parts.groupBy("packet").cogroup(known.groupBy("packet")).applyInArrow(_examples(counts.place), EXAMPLES), "examples", "turn")
+    release(spark)
+    drop_saved(places._scratch)
+    drop_saved(parts)
+    weights = (np.zeros((1 << counts.bits, CLASSES), np.float32), np.zeros((1 << counts.bits, IN_CLASS), np.float32), np.zeros(1 << TREE_BITS, np.float32))
     done = 0  # rounds that had texts: a small table has too few parts for all rounds, and its steps must not be small for that
     for k in range(ROUNDS if counts.total else 0):
-        part = examples.where(F.col("turn") == k).select(*"ucysi")
-        made = part.mapInArrow(_update(held, spark.sparkContext.broadcast(weights), counts.bits, 0.5 / (1 + done)), "block long, w binary, n double")
+        part = examples.where(F.col("turn") == k).select(*"uip")
+        made = part.mapInArrow(_update(held, spark.sparkContext.broadcast(weights), 0.5 / (1 + done)), "block long, w binary, n double")
         some = made.withColumn("_s", (F.spark_partition_id() / 64).cast("int")).groupBy("block", "_s").applyInArrow(_average, "block long, w binary, n double")
-        parts = some.groupBy("block").applyInArrow(_average, "block long, w binary, n double").toPandas().sort_values("block")
+        steps = some.groupBy("block").applyInArrow(_average, "block long, w binary, n double").toPandas().sort_values("block")
         release(spark)
-        if len(parts):
+        if len(steps):
             done += 1
-            both = [np.frombuffer(b"".join(parts["w"][parts["block"] // 100 == m]), np.float32) for m in (0, 1)]
-            weights = tuple(x.reshape(old.shape).copy() for x, old in zip(both, weights, strict=True))
-    out = examples.drop("turn").mapInArrow(_score(held, spark.sparkContext.broadcast(weights), counts), SCORES)
+            each = [np.frombuffer(b"".join(steps["w"][steps["block"] // 100 == m]), np.float16) for m in range(len(weights))]
+            weights = tuple(old + x.reshape(old.shape) for x, old in zip(each, weights, strict=True))
+    out = examples.drop("turn").mapInArrow(_score(held, spark.sparkContext.broadcast(weights)), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
