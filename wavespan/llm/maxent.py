@@ -163,9 +163,14 @@ def _opened(u: bytes, i: bytes):
     """Distinct words, tokens as places among them, text of each token, and start of texts."""
     u = _words_of(u)
     at = np.frombuffer(_unpacked(i), "<u2" if len(u) <= 1 << 16 else "<u4")
-    stop = np.flatnonzero(at == np.searchsorted(u, END)) + 1
+    return u, at, *_ends(at, np.searchsorted(u, END))
+
+
+def _ends(at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text of each token, and start of texts, each of which has an end."""
+    stop = np.flatnonzero(at == end) + 1
     start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
-    return u, at, np.repeat(np.arange(len(stop)), stop - start), start
+    return np.repeat(np.arange(len(stop)), stop - start), start
 
 
 def _count_some(share: int | None, among: np.ndarray | None = None):
@@ -419,28 +424,39 @@ def _decide(weights: np.ndarray, seen: np.ndarray, levels, rate: float) -> None:
         weights -= (rate * np.bincount(at, np.concatenate(ps), len(weights)) / (np.sqrt(seen) + n / 4)).astype(np.float32)
 
 
-def _examples(place: str):
-    """Parts of a packet with the place of their distinct words (p), -1 of those that were not seen."""
-
-    def run(key, left, right):
-        h = right.column("h").to_numpy()
-        order = np.argsort(h)
-        h, p = h[order], right.column("p").to_numpy()[order]
-        names = ["turn", "docs", "held_out", "u", "i"]
-        got = [p[np.searchsorted(h, _words_of(u.as_py()))].astype(place).tobytes() for u in left.column("u")]
-        return pa.table([*[left.column(c) for c in names], pa.array(got, pa.binary())], names=[*names, "p"])
-
-    return run
-
-
-EXAMPLES = "turn int, docs array<long>, held_out boolean, u binary, i binary, p binary"
-
-
-def _tokens_of(u: bytes, i: bytes, p: bytes, frequent: np.ndarray, counts: Counts):
-    """Start of texts, rows of weights, count, class and place in it, of the tokens of a part."""
-    u, at, doc, start = _opened(u, i)
-    c, kind, spot = (v[at] for v in counts.of(np.frombuffer(p, counts.place)))
-    return doc, start, _features(u[at], doc, start, _last_frequent(_among(frequent, u)[at], doc, start), counts.bits), c, kind, spot
+def _examples(key, left, right):
+    """Parts of a packet with the places of their distinct words instead of these (p, in order), tokens as
+    numbers among them (i), and hashes of the words that were not seen, whose place is -1 (v)."""
+    h = right.column("h").to_numpy()
+    order = np.argsort(h)
+    h, place = h[order], right.column("p").to_numpy()[order]
+    ps, seen, vs = [], [], []
+    for raw in zip(left.column("u").to_pylist(), left.column("i").to_pylist(), strict=True):
+        u, at, _, _ = _opened(*raw)
+        p = place[np.searchsorted(h, u)]
+        order = np.argsort(p, kind="stable")
+        rank = np.empty(len(u), np.int64)
+        rank[order] = np.arange(len(u))
+        x, y = _packed(p[order], rank[at])
+        ps.append(x)
+        seen.append(y)
+        vs.append(u[p < 0].tobytes())
+    cols = [left.column(c) for c in ("turn", "docs", "held_out")] + [pa.array(x, pa.binary()) for x in (ps, seen, vs)]
+    return pa.table(cols, names=[x.split()[0] for x in EXAMPLES.split(", ")])
+
+
+EXAMPLES = "turn int, docs array<long>, held_out boolean, p binary, i binary, v binary"
+
+
+def _tokens_of(p: bytes, i: bytes, v: bytes, frequent: np.ndarray, counts: Counts):
+    """Text and start of texts, rows of weights, count, class and place in it, of the tokens of a part; frequent: places of frequent words."""
+    place, new = _words_of(p), np.frombuffer(v, np.int64)
+    at = np.frombuffer(_unpacked(i), "<u2" if len(place) <= 1 << 16 else "<u4")
+    doc, start = _ends(at, np.flatnonzero(new == END)[0] if END in new else np.searchsorted(place, counts.first[1]))
+    w = _mix(place.view(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+    w[: len(new)] = new
+    c, kind, spot = (x[at] for x in counts.of(place))
+    return doc, start, _features(w[at], doc, start, _last_frequent(_among(frequent, place)[at], doc, start), counts.bits), c, kind, spot
 
 
 def _lower(z: np.ndarray) -> None:
@@ -529,7 +545,7 @@ def _update(held, held_weights, rate: float):
         old = held_weights.value
         a, b, tree = (x.copy() for x in old)
         seen, n = [np.ones(len(x), np.float32) for x in old], 0
-        for raw in _rows(batches, *"uip"):
+        for raw in _rows(batches, *"piv"):
             _, _, xs, _, kind, spot = _tokens_of(*raw, frequent, counts)
             for lo in range(0, len(xs), STEP):
                 x, y, s = xs[lo : lo + STEP], kind[lo : lo + STEP], spot[lo : lo + STEP]
@@ -595,7 +611,7 @@ def _score(held, held_weights):
     def run(batches):
         frequent, room, counts = held.value
         base_of = np.log10(counts.total + 0.5 * (counts.kinds + 1)) if counts.total else np.log10(0.5)
-        for docs, out, *raw in _rows(batches, "docs", "held_out", *"uip"):
+        for docs, out, *raw in _rows(batches, "docs", "held_out", *"piv"):
             doc, start, x, c, kind, spot = _tokens_of(*raw, frequent, counts)
             base = np.log10(c + 0.5) - base_of
             score = log_probabilities(x, kind, spot, c, room, held_weights.value, counts) / np.log(10) if counts.total else base
@@ -655,20 +671,21 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     classed, room = word_classes(words)
     got = classed.groupBy("y", "c").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = Counts(*(np.array([r[k] for r in got], np.int64) for k in "ycn"))
-    held = spark.sparkContext.broadcast((found[0], room, counts))
     places = in_order(classed)
+    frequent = sorted(r["p"] for r in places.where(F.col("h").isin(found[0].tolist())).collect())
+    held = spark.sparkContext.broadcast((np.array(frequent, np.int64), room, counts))
     drop_saved(words)
     release(spark)
     distinct = parts.select("packet", "u").mapInArrow(_distinct_words, "packet long, h long")
     known = distinct.join(places, "h", "left").select("packet", "h", F.coalesce("p", F.lit(-1)).alias("p"))
-    examples = saved(parts.groupBy("packet").cogroup(known.groupBy("packet")).applyInArrow(_examples(counts.place), EXAMPLES), "examples", "turn")
+    examples = saved(parts.groupBy("packet").cogroup(known.groupBy("packet")).applyInArrow(_examples, EXAMPLES), "examples", "turn")
     release(spark)
     drop_saved(places._scratch)
     drop_saved(parts)
     weights = (np.zeros((1 << counts.bits, CLASSES), np.float32), np.zeros((1 << counts.bits, IN_CLASS), np.float32), np.zeros(1 << TREE_BITS, np.float32))
     done = 0  # rounds that had texts: a small table has too few parts for all rounds, and its steps must not be small for that
     for k in range(ROUNDS if counts.total else 0):
-        part = examples.where(F.col("turn") == k).select(*"uip")
+        part = examples.where(F.col("turn") == k).select(*"piv")
         made = part.mapInArrow(_update(held, spark.sparkContext.broadcast(weights), 0.5 / (1 + done)), "block long, w binary, n double")
         some = made.withColumn("_s", (F.spark_partition_id() / 64).cast("int")).groupBy("block", "_s").applyInArrow(_average, "block long, w binary, n double")
         steps = some.groupBy("block").applyInArrow(_average, "block long, w binary, n double").toPandas().sort_values("block")
