@@ -112,6 +112,8 @@ def _rows(batches, *names):
     for b in batches:
         for k in range(b.num_rows):
             yield tuple(b.column(n)[k].as_py() for n in names)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 PARTS = "packet long, turn int, docs array<long>, held_out boolean, u binary, i binary"
@@ -132,13 +134,12 @@ def _parts(batches):
         kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.binary(), pa.binary()]
         return pa.record_batch([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
 
-    for b in batches:
-        for data, doc, out in zip(*(b.column(c).to_pylist() for c in ("text", "doc_id", "held_out")), strict=True):
-            data = data or b""
-            if runs[out] and sizes[out] + len(data) > PART:
-                yield part(out)
-            runs[out].append((data, doc))
-            sizes[out] += len(data)
+    for data, doc, out in _rows(batches, "text", "doc_id", "held_out"):
+        data = data or b""
+        if runs[out] and sizes[out] + len(data) > PART:
+            yield part(out)
+        runs[out].append((data, doc))
+        sizes[out] += len(data)
     for out in runs:
         if runs[out]:
             yield part(out)
@@ -245,7 +246,7 @@ def _count_words(held):
         x, y = h[order], g[order]
         first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
         at = order[first]
-        return pa.record_batch({"h": pa.array(h[at]), "g": pa.array(g[at].astype(np.int32)), "n": pa.array(np.add.reduceat(n[order], first))})
+        return pa.record_batch({"h": pa.array(h[at]), "g": pa.array(g[at].astype(np.int32)), "n": pa.array(np.add.reduceat(n[order], first, dtype=np.int64))})
 
     def run(batches):
         frequent, cluster = held.value
@@ -255,7 +256,7 @@ def _count_words(held):
             g = of[_last_frequent(_among(frequent, u)[i], doc, start)]
             n = np.bincount(i.astype(np.int64) * (GROUPS + 1) + g)
             k = np.flatnonzero(n)
-            got.append((u[k // (GROUPS + 1)], k % (GROUPS + 1), n[k]))
+            got.append((u[k // (GROUPS + 1)], (k % (GROUPS + 1)).astype(np.int8), n[k].astype(np.int32)))
             total += len(k)
             if total >= 1 << 20:
                 yield added(*zip(*got, strict=True))
@@ -431,7 +432,7 @@ def _examples(key, left, right):
     order = np.argsort(h)
     h, place = h[order], right.column("p").to_numpy()[order]
     ps, seen, vs = [], [], []
-    for raw in zip(left.column("u").to_pylist(), left.column("i").to_pylist(), strict=True):
+    for raw in _rows(left.to_batches(), "u", "i"):
         u, at, _, _ = _opened(*raw)
         p = place[np.searchsorted(h, u)]
         order = np.argsort(p, kind="stable")
