@@ -202,7 +202,7 @@ def rare_class(n=5000, seed=5):
     c = np.sort(rnd.integers(2, 40, n))[::-1]
     y = np.concatenate([np.zeros(37), [1], np.full(n, 4), np.full(9, maxent.FIRST_HEAD)]).astype(np.int64)
     c = np.concatenate([np.ones(37), [500], c, np.arange(900, 891, -1)]).astype(np.int64)
-    return maxent.Counts(y, c, np.ones(len(y))), y, c
+    return maxent.Places(y, c, np.ones(len(y))), y, c
 
 
 def tree_odds(counts, weights, x, kind, spot):

@@ -76,13 +76,18 @@ def _tokens(texts: list[bytes]):
     return out, np.repeat(np.arange(len(texts)), n), stop - n
 
 
-def _last_frequent(at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _last(at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The last frequent word before each token in its text, FREQUENT if none; at: the frequent word that each token is, FREQUENT if none."""
     where = np.maximum.accumulate(np.where(at < FREQUENT, np.arange(len(at)), -1))
     before = np.concatenate([[-1], where[:-1]])
     return np.where(before >= start[doc], at[np.maximum(before, 0)], FREQUENT)
 
 
+def _last_frequent(w: np.ndarray, doc: np.ndarray, start: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Index of the last frequent word before each token in its text; FREQUENT if none."""
+    return _last(_among(frequent, w), doc, start)
+
+
 def _among(frequent: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Which frequent word each of u is; FREQUENT if none."""
     if not len(frequent):
@@ -216,7 +221,7 @@ def _count_pairs(held):
         for raw in _rows(batches, "u", "i"):
             u, i, doc, start = _opened(*raw)
             at = _among(frequent, u)[i]
-            last = _last_frequent(at, doc, start)
+            last = _last(at, doc, start)
             both = (at < FREQUENT) & (last < FREQUENT)
             m += np.bincount(last[both] * FREQUENT + at[both], minlength=len(m))
         k = np.flatnonzero(m)
@@ -226,8 +231,10 @@ def _count_pairs(held):
 
 
 def frequent_words(learn: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the frequent words of all parts (sorted), and the cluster of each."""
+    """Hashes of the frequent words of all texts or parts of them (sorted), and the cluster of each."""
     spark = learn.sparkSession
+    if "text" in learn.columns:
+        learn = learn.select(F.col("text").cast("binary").alias("text"), F.lit(0).alias("doc_id"), F.lit(False).alias("held_out")).mapInArrow(_parts, PARTS)
     frequent = np.sort(np.array(_most_frequent(learn), np.int64))
     m = np.zeros((FREQUENT, FREQUENT))
     if len(frequent):
@@ -253,7 +260,7 @@ def _count_words(held):
         of, got, total = np.append(cluster[:FREQUENT], GROUPS), [], 0
         for raw in _rows(batches, "u", "i"):
             u, i, doc, start = _opened(*raw)
-            g = of[_last_frequent(_among(frequent, u)[i], doc, start)]
+            g = of[_last(_among(frequent, u)[i], doc, start)]
             n = np.bincount(i.astype(np.int64) * (GROUPS + 1) + g)
             k = np.flatnonzero(n)
             got.append((u[k // (GROUPS + 1)], (k % (GROUPS + 1)).astype(np.int8), n[k].astype(np.int32)))
@@ -315,7 +322,19 @@ def _word_features(x: np.ndarray, kind: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Counts:
-    """What classes hold, over all training documents, from the number n of words of each class y and count c.
+    """What classes hold, over all training documents."""
+
+    def __init__(self, total: int, kinds: int, once: int, twice: int, mass: np.ndarray):
+        self.total, self.kinds, self.mass, self.once = total, kinds, mass, once
+        self.unseen = (once + 1) / (once + 2 * twice + 2)
+        #: Words that exist and were not seen, by Chao's estimate.
+        self.missing = max(1.0, once * (once - 1) / (2 * (twice + 1)))
+        #: Rows of weights, as a power of 2.
+        self.bits = int(min(BITS[1], max(BITS[0], np.ceil(np.log2(max(kinds, 2))))))
+
+
+class Places(Counts):
+    """Counts with the order of all words, from the number n of words of each class y and count c.
 
     A word's place is its number in the order of class, falling count and hash.
     """
@@ -323,14 +342,8 @@ class Counts:
     def __init__(self, y: np.ndarray, c: np.ndarray, n: np.ndarray):
         order = np.lexsort((-c, y))
         y, c, n = (np.asarray(v, np.int64)[order] for v in (y, c, n))
-        word = y != 1
-        self.total, self.kinds = int((c * n).sum()), int(n.sum())
-        self.once, twice = (int(n[word & (c == k)].sum()) for k in (1, 2))
-        self.unseen = (self.once + 1) / (self.once + 2 * twice + 2)
-        #: Words that exist and were not seen, by Chao's estimate.
-        self.missing = max(1.0, self.once * (self.once - 1) / (2 * (twice + 1)))
-        #: Rows of weights, as a power of 2.
-        self.bits = int(min(BITS[1], max(BITS[0], np.ceil(np.log2(max(self.kinds, 2))))))
+        once, twice = (int(n[(y != 1) & (c == k)].sum()) for k in (1, 2))
+        super().__init__(int((c * n).sum()), int(n.sum()), once, twice, np.bincount(y, c * n, CLASSES))
         #: Words of each class, its first place, and the levels of its tree (none, if it has a softmax or one word).
         self.size = np.bincount(y, n, CLASSES).astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
@@ -363,7 +376,7 @@ class Counts:
         return np.where(place < 0, 0, c), np.where(place < 0, 0, kind), np.where(place < 0, 0, seen - self.first[kind])
 
 
-def _tree(x: np.ndarray, kind: np.ndarray, spot: np.ndarray, counts: Counts):
+def _tree(x: np.ndarray, kind: np.ndarray, spot: np.ndarray, counts: Places):
     """Tokens of classes with trees, deepest first; and for each level, of the first tokens of these, the decisions on the way to the word:
     whether the second side is taken, its log odds by counts (-inf: it is empty, so nothing is decided), and three rows of weights."""
     depth = counts.depth[kind]
@@ -449,15 +462,20 @@ def _examples(key, left, right):
 EXAMPLES = "turn int, docs array<long>, held_out boolean, p binary, i binary, v binary"
 
 
-def _tokens_of(p: bytes, i: bytes, v: bytes, frequent: np.ndarray, counts: Counts):
-    """Text and start of texts, rows of weights, count, class and place in it, of the tokens of a part; frequent: places of frequent words."""
+def _named(place: np.ndarray) -> np.ndarray:
+    """What stands for words with a place, where a hash stands for those without."""
+    return _mix(place.view(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _tokens_of(p: bytes, i: bytes, v: bytes, counts: Places):
+    """Words, text, start of texts, count, class and place in it, of the tokens of a part."""
     place, new = _words_of(p), np.frombuffer(v, np.int64)
     at = np.frombuffer(_unpacked(i), "<u2" if len(place) <= 1 << 16 else "<u4")
     doc, start = _ends(at, np.flatnonzero(new == END)[0] if END in new else np.searchsorted(place, counts.first[1]))
-    w = _mix(place.view(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+    w = _named(place)
     w[: len(new)] = new
     c, kind, spot = (x[at] for x in counts.of(place))
-    return doc, start, _features(w[at], doc, start, _last_frequent(_among(frequent, place)[at], doc, start), counts.bits), c, kind, spot
+    return w[at], doc, start, c, kind, spot
 
 
 def _lower(z: np.ndarray) -> None:
@@ -547,7 +565,8 @@ def _update(held, held_weights, rate: float):
         a, b, tree = (x.copy() for x in old)
         seen, n = [np.ones(len(x), np.float32) for x in old], 0
         for raw in _rows(batches, *"piv"):
-            _, _, xs, _, kind, spot = _tokens_of(*raw, frequent, counts)
+            w, doc, start, _, kind, spot = _tokens_of(*raw, counts)
+            xs = _features(w, doc, start, _last_frequent(w, doc, start, frequent), counts.bits)
             for lo in range(0, len(xs), STEP):
                 x, y, s = xs[lo : lo + STEP], kind[lo : lo + STEP], spot[lo : lo + STEP]
                 _step(a, seen[0], x, y, rate, FEATURES - 1)
@@ -581,14 +600,18 @@ def _log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return own - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
-def log_probabilities(x, kind, spot, c, room, weights, counts: Counts) -> np.ndarray:
-    """Natural log-probability of each token, of rows of weights x."""
+def log_probabilities(w, doc, start, c, kind, spot, frequent, room, weights, counts: Counts) -> np.ndarray:
+    """Natural log-probability of each token; without weights of trees, words of a class that has no softmax have shares by count."""
+    x = _features(w, doc, start, _last_frequent(w, doc, start, frequent), counts.bits)
     out = np.empty(len(x))
     for lo in range(0, len(x), STEP):
         s = slice(lo, lo + STEP)
         out[s] = _log_softmax(_sum_rows(weights[0], x[s]), kind[s])
     out[kind == 0] += np.where(c[kind == 0] == 0, np.log(counts.unseen / counts.missing), np.log(1 - counts.unseen))
-    for lo in range(0, len(x), TREE_STEP):
+    if len(weights) == 2:
+        share = np.log(np.maximum(c, 1) / np.maximum(np.where(kind > 0, counts.mass[kind], np.where(c > 0, counts.once, 1)), 1))
+        out += np.where(kind < FIRST_HEAD, share, 0)
+    for lo in range(0, len(x) if len(weights) > 2 else 0, TREE_STEP):
         at = lo + np.flatnonzero((kind[lo : lo + TREE_STEP] < FIRST_HEAD) & (c[lo : lo + TREE_STEP] > 0))
         token, levels = _tree(x[at], kind[at], spot[at], counts)
         lost = np.zeros(len(token))
@@ -613,9 +636,9 @@ def _score(held, held_weights):
         frequent, room, counts = held.value
         base_of = np.log10(counts.total + 0.5 * (counts.kinds + 1)) if counts.total else np.log10(0.5)
         for docs, out, *raw in _rows(batches, "docs", "held_out", *"piv"):
-            doc, start, x, c, kind, spot = _tokens_of(*raw, frequent, counts)
+            w, doc, start, c, kind, spot = _tokens_of(*raw, counts)
             base = np.log10(c + 0.5) - base_of
-            score = log_probabilities(x, kind, spot, c, room, held_weights.value, counts) / np.log(10) if counts.total else base
+            score = log_probabilities(w, doc, start, c, kind, spot, frequent, room, held_weights.value, counts) / np.log(10) if counts.total else base
             known, b, s = (np.add.reduceat(v, start) for v in ((c > 0).astype(np.int64), base, score))
             n = np.bincount(doc, minlength=len(docs))
             cols = [(docs, pa.int64()), ([out] * len(docs), pa.bool_()), (n, pa.int64()), (known, pa.int64()), (b, pa.float64()), (s, pa.float64()), (np.full(len(docs), counts.total), pa.int64())]
@@ -671,10 +694,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     release(spark)
     classed, room = word_classes(words)
     got = classed.groupBy("y", "c").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = Counts(*(np.array([r[k] for r in got], np.int64) for k in "ycn"))
+    counts = Places(*(np.array([r[k] for r in got], np.int64) for k in "ycn"))
     places = in_order(classed)
     frequent = sorted(r["p"] for r in places.where(F.col("h").isin(found[0].tolist())).collect())
-    held = spark.sparkContext.broadcast((np.array(frequent, np.int64), room, counts))
+    held = spark.sparkContext.broadcast((np.sort(_named(np.array(frequent, np.int64))), room, counts))
     drop_saved(words)
     release(spark)
     distinct = parts.select("packet", "u").mapInArrow(_distinct_words, "packet long, h long")
