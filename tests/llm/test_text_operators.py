@@ -576,6 +576,87 @@ def test_partners_share_enough_regions(docs, rows, width, percent):
     assert n_links > 100
 
 
+@pytest.mark.parametrize("gather", [16, 512])
+def test_groups_held_together_by_common_passages_are_divided(spark, monkeypatch, gather):
+    """Documents with four fifths of their words in common are candidates, but no partners: only those with near copies are joined."""
+    rnd = np.random.default_rng(7)
+    common, texts = [f"c{k}" for k in range(120)], []
+    for i in range(150):
+        texts.append((i, " ".join(common + [f"u{i}_{k}" for k in range(30)])))
+    for i in range(150, 210):
+        words = texts[i % 20][1].split()
+        words[rnd.integers(0, 150)] = f"n{i}"
+        texts.append((i, " ".join(words)))
+    handed = []
+
+    def joined(sets, nodes, percent, f=ngramjoin._join_large):
+        handed.append(nodes.count())
+        return f(sets, nodes, percent)
+
+    monkeypatch.setattr(ngramjoin, "_join_large", joined)
+    df = spark.createDataFrame([texts[k] for k in rnd.permutation(len(texts))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.ngram_join(df, 5, 80, gather).collect()}
+    assert got == brute_components(texts, 5, 80) and len({c for _, c in got.values()}) == 150
+    assert sum(handed) < 100
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_rare_shingles_lose_no_link(spark, monkeypatch, percent):
+    """Links of a large group stay in one of the groups that it is divided into, however many parts hold its shingles."""
+    rnd = np.random.default_rng(9)
+    sets = []
+    for g in range(25):
+        base = np.concatenate([np.arange(40), rnd.choice(1 << 40, 60, replace=False)])[: int(rnd.integers(1, 100))]
+        for _ in range(8):
+            own = base.copy()
+            k = int(rnd.integers(0, 1 + len(base) // 4))
+            own[rnd.choice(len(base), k, replace=False)] = rnd.integers(1 << 41, 1 << 42, k)
+            sets.append(np.unique(own.astype(np.uint64)))
+    names = rnd.permutation(np.arange(-50, 150)).tolist()
+    df = spark.createDataFrame([(d, bytearray(x.tobytes())) for d, x in zip(names, sets, strict=True)], "doc long, shingles binary")
+    for parts, batch in ((1, 1 << 23), (16, 256)):
+        monkeypatch.setattr(ngramjoin, "PARTS", parts)
+        monkeypatch.setattr(ngramjoin, "BATCH", batch)
+        got = {r["node"]: r["label"] for r in ngramjoin._divided(df, percent).collect()}
+        assert 5 < len(set(got.values())) < len(got) < 200
+        n_links = 0
+        for i in range(len(sets)):
+            for j in range(i):
+                n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if n and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                    n_links += 1
+                    assert got[names[i]] == got[names[j]], (i, j)
+        assert n_links > 50
+
+
+def test_regions_of_a_large_group_are_joined_in_rounds(spark, monkeypatch):
+    """What is replicated at once is no more than the group, and the links of all rounds are the group's."""
+    rnd = np.random.default_rng(13)
+    sets = []
+    for _ in range(30):
+        base = np.concatenate([np.arange(60), rnd.choice(1 << 40, 60, replace=False)])
+        for _ in range(4):
+            own = base.copy()
+            k = int(rnd.integers(0, 20))
+            own[rnd.choice(120, k, replace=False)] = rnd.integers(1 << 41, 1 << 42, k)
+            sets.append(np.unique(own.astype(np.uint64)))
+    tags = []
+    monkeypatch.setattr(ngramjoin, "saved", lambda df, tag, *by, f=ngramjoin.saved: tags.append(tag) or f(df, tag, *by))
+    for name, value in (("ROUND", 1), ("BLOCK", 8), ("SLICE", 32)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    df = spark.createDataFrame([(1, d, bytearray(x.tobytes())) for d, x in enumerate(sets)], "cluster long, doc long, shingles binary")
+    nodes = spark.createDataFrame([(1, d, 1, len(sets)) for d in range(len(sets))], "cluster long, doc long, weight long, size long")
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if n and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    found = components(ngramjoin._join_large(df, nodes, 80)).collect()
+    assert tags.count("links") > 3 and {r["node"]: r["label"] for r in found} == {i: r for i, r in enumerate(root) if root.count(r) > 1}
+
+
 def test_ngram_join_edge_cases(edge, empty):
     got = ngramjoin.ngram_join(edge).collect()
     assert len(got) == 10 and {r["component_id"] for r in got if r["doc_id"] in (5, 6)} == {5}

@@ -15,8 +15,13 @@ Links are pairs with 100 * intersection >= 90 * union; symmetric difference and
    component need no comparison with each other. Every other document lies in the Voronoi region of its nearest pivot, and all
    documents whose distances to that pivot and to their own nearest one differ by no more than twice the join distance
    are replicated to it. Regions are joined by new pivots again, until they are small or no longer shrink.
-   A group of up to GATHER documents is joined in one task; of a larger one, the first level of pivots is a Spark join
-   over slices of the group, and its regions are compared in blocks, so no task holds a group.
+   A group of up to GATHER documents is joined in one task. A larger one is mostly held together by lines and passages
+   that many documents have, and is first divided by regions of its own shingles: of n shingles a partner has at least
+   n * PERCENT / 100, so it has one of the rarest n - n * PERCENT / 100 + 1, in whatever order rarity is counted (and
+   shingles that no other document of a large group has don't count). Documents that share such a shingle, in one annulus,
+   stay in one group. Of what is still large, the first level of pivots is a Spark join over slices of the group, and its
+   regions are compared in blocks, so no task holds a group; blocks are dealt out to rounds, so that what is replicated
+   for one round is no more than the group itself, or ROUND bytes.
 4. Links give connected components.
 
 Defined cases
@@ -28,6 +33,8 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,6 +55,10 @@ BLOCK = 256
 SLICE = 1024
 PIVOTS = 8
 LEAF = 2
+#: Bytes that may be replicated at once for regions of large groups, if the groups' own sets are not more.
+ROUND = 1 << 28
+#: Least number of parts that shingles of large groups are dealt to; there are more when a part would hold over BATCH bytes.
+PARTS = 16
 #: Of H + M parts, M is 2 and this share of H.
 SPARE = 0.25
 TYPICAL = 500
@@ -376,6 +387,129 @@ def _compare_clusters(percent):
     return run
 
 
+def _dealt(docs: np.ndarray, sizes: np.ndarray, flat: np.ndarray, row: np.ndarray, parts: int) -> pa.RecordBatch:
+    """part, doc, n, shingles: those of documents (flat, which row's), dealt out by hash."""
+    part = (_mix(flat + _U(0x2545F491)) % _U(parts)).astype(np.int64)
+    order = np.lexsort((row, part))
+    part, row = part[order], row[order]
+    first = np.flatnonzero(np.diff(part * len(docs) + row, prepend=-1))
+    ends = np.append(first, len(flat)).astype(np.int32) * 8
+    raws = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat[order].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(docs[row[first]]), pa.array(sizes[row[first]]), raws], ["part", "doc", "n", "shingles"])
+
+
+def _flat(table: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of raw arrays, and whose they are."""
+    raws = table.column(column).to_pylist()
+    flat = np.frombuffer(b"".join(raws), kind)
+    return flat, np.repeat(np.arange(len(raws)), [len(x) // flat.itemsize for x in raws])
+
+
+def _deal_sets(parts):
+    def deal(batches):
+        for b in batches:
+            for some in blocks(list(zip(b.column("doc").to_pylist(), b.column("shingles").to_pylist(), strict=True)), lambda r: len(r[1]), BATCH):
+                size = np.array([len(r[1]) // 8 for r in some], np.int64)
+                yield _dealt(np.array([r[0] for r in some], np.int64), size, np.frombuffer(b"".join(r[1] for r in some), _U), np.repeat(np.arange(len(some)), size), parts)
+
+    return deal
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """A part of all shingles: doc, n, those that another document has, too, and how many have them."""
+    flat, row = _flat(table, "shingles", _U)
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    kept = n[at] > 1
+    cut = np.searchsorted(row[kept], np.arange(table.num_rows + 1))
+    some = np.flatnonzero(np.diff(cut))
+    flat, held = flat[kept], n[at][kept].astype(np.int32)
+    raws = [[x[cut[k] : cut[k + 1]].tobytes() for k in some.tolist()] for x in (flat, held)]
+    return pa.table({"doc": table.column("doc").take(some), "n": table.column("n").take(some), "shingles": pa.array(raws[0], pa.binary()), "held": pa.array(raws[1], pa.binary())})
+
+
+def _whole(batches):
+    """Input sorted by doc: each document, its size, its shared shingles and how many have them."""
+    now, own = None, []
+    for b in batches:
+        for doc, n, *raws in zip(*(b.column(c).to_pylist() for c in ("doc", "n", "shingles", "held")), strict=True):
+            if own and doc != now[0]:
+                yield *now, *(b"".join(x) for x in zip(*own, strict=True))
+                own = []
+            now = doc, n
+            own.append(raws)
+    if own:
+        yield *now, *(b"".join(x) for x in zip(*own, strict=True))
+
+
+def _rarest(percent, parts):
+    """Input sorted by doc: of each document that can have a partner the rarest shared shingles, one of which the partner has, too."""
+
+    def flush(docs, sizes, found):
+        return _dealt(np.array(docs), np.array(sizes), np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found]), parts)
+
+    def run(batches):
+        docs, sizes, found, total = [], [], [], 0
+        for doc, n, raw, held in _whole(batches):
+            flat = np.frombuffer(raw, _U)
+            few = len(flat) - max(1, -(-percent * n // 100)) + 1
+            if few > 0:
+                docs.append(doc)
+                sizes.append(n)
+                found.append(flat[np.lexsort((flat, np.frombuffer(held, np.int32)))[:few]])
+                total += few
+            if total >= BATCH // 8:
+                yield flush(docs, sizes, found)
+                docs, sizes, found, total = [], [], [], 0
+        if docs:
+            yield flush(docs, sizes, found)
+
+    return run
+
+
+def _tied(percent):
+    """A part of the rarest shingles: documents (b) that share one with others of an annulus, and the first (a) of those that hang together."""
+
+    def run(table):
+        docs = table.column("doc").to_numpy()
+        flat, row = _flat(table, "shingles", _U)
+        own = np.searchsorted(_annuli(percent), table.column("n").to_numpy(), side="right")[row]
+        key = np.concatenate([_mix(flat + (own + shift).astype(_U) * _U(_R)) for shift in (0, 1)])
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], np.concatenate([row, row])[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        count = np.diff(np.append(first, len(key)))
+        row, count = row[np.repeat(count > 1, count)], count[count > 1]
+        first, label = np.cumsum(count) - count, np.arange(len(docs))
+        while len(row):  # each round hands the smallest number to all that share a shingle, until none changes
+            low = label.copy()
+            np.minimum.at(low, row, np.repeat(np.minimum.reduceat(label[row], first), count))
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        met = np.flatnonzero(label != np.arange(len(docs)))
+        return pa.table({"a": pa.array(docs[label[met]], pa.int64()), "b": pa.array(docs[met], pa.int64())})
+
+    return run
+
+
+def _divided(sets: DataFrame, percent: int) -> DataFrame:
+    """node, label of documents that share one of their rarest shingles with another, by what hangs together. sets: doc (distinct), shingles."""
+    parts = max(PARTS, math.ceil((sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) / BATCH))
+    kind = "part int, doc long, n long, shingles binary"
+    shared = sets.mapInArrow(_deal_sets(parts), kind).groupBy("part").applyInArrow(_shared, "doc long, n long, shingles binary, held binary")
+    shared = saved(shared, "shared")
+    release(sets.sparkSession)
+    rarest = saved(shared.repartition("doc").sortWithinPartitions("doc").mapInArrow(_rarest(percent, parts), kind), "rarest")
+    drop_saved(shared)
+    release(sets.sparkSession)
+    links = saved(rarest.groupBy("part").applyInArrow(_tied(percent), "a long, b long"), "links")
+    drop_saved(rarest)
+    out = components(links)
+    drop_saved(links)
+    return out
+
+
 def _near_pivots(percent):
     """Distances of the documents of a slice to the cluster's pivots, their component, and the first pivot of each component they link to.
 
@@ -446,7 +580,7 @@ def _join_large(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     sizes = saved(nodes.groupBy("cluster").agg(F.first("size").alias("size")), "sizes")
     mine = sets.join(sizes, "cluster").withColumn("s", _slice(F.col("size")))
     kind = "cluster long, doc long, shingles binary, far array<double>, own int, links array<long>"
-    near = saved(mine.groupBy("cluster", "s").cogroup(_renewed(pivots).groupBy("cluster", "s")).applyInArrow(_near_pivots(percent), kind), "near")
+    near = met = saved(mine.groupBy("cluster", "s").cogroup(_renewed(pivots).groupBy("cluster", "s")).applyInArrow(_near_pivots(percent), kind), "near")
     links = near.select(F.col("doc").alias("a"), F.explode("links").alias("b"))
     count = near.groupBy("cluster", "own").agg(F.count(F.lit(1)).alias("n"))
     main = saved(count.groupBy("cluster").agg(
@@ -462,12 +596,23 @@ def _join_large(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     window = 2 * (1 - percent / 100) + 1e-9
     close = F.filter(F.transform("far", lambda d, i: F.when(d - F.array_min("far") <= window, i.cast("int"))), lambda i: i.isNotNull())
     spread = near.select("cluster", "doc", "shingles", F.explode(close).alias("region")).join(held, ["cluster", "region"]).join(sizes, "cluster")
-    left = spread.select("cluster", "region", "doc", "shingles", _slice(F.col("size")).alias("s"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("rest") / BLOCK).cast("int") - 1)).alias("k"))
-    right = rest.join(held, ["cluster", "region"]).join(sizes, "cluster").select(
-        "cluster", "region", "doc", "shingles", F.pmod(F.xxhash64("doc"), F.ceil(F.col("rest") / BLOCK)).cast("int").alias("k"), slices
-    )
-    keys = ["cluster", "region", "k", "s"]
-    return links.unionAll(left.groupBy(*keys).cogroup(_renewed(right).groupBy(*keys)).applyInArrow(_against_block(percent), "a long, b long")).where("a <> b")
+    numbers = F.sequence(F.lit(0), F.ceil(F.col("rest") / BLOCK).cast("int") - 1)
+    right = rest.join(held, ["cluster", "region"]).join(sizes, "cluster")
+    length = lambda df, times: df.agg(F.sum(F.octet_length("shingles") * times)).first()[0] or 0
+    moved = length(spread, F.ceil(F.col("rest") / BLOCK)) + length(right, F.ceil(F.col("size") / SLICE))
+    rounds = max(1, math.ceil(moved / max(ROUND, length(sets, F.lit(1)))))
+    keys, found = ["cluster", "region", "k", "s"], [saved(links.where("a <> b"), "links")]
+    for now in range(rounds):
+        in_turn = lambda k, now=now: F.pmod(F.xxhash64("cluster", "region", k, F.lit(7)), F.lit(rounds)) == now
+        left = spread.select("cluster", "region", "doc", "shingles", _slice(F.col("size")).alias("s"), F.explode(F.filter(numbers, lambda k: in_turn(k))).alias("k"))
+        block = right.withColumn("k", F.pmod(F.xxhash64("doc"), F.ceil(F.col("rest") / BLOCK)).cast("int")).where(in_turn(F.col("k")))
+        block = _renewed(block.select("cluster", "region", "doc", "shingles", "k", slices))
+        pairs = left.groupBy(*keys).cogroup(block.groupBy(*keys)).applyInArrow(_against_block(percent), "a long, b long")
+        found.append(saved(pairs.where("a <> b"), "links"))
+        release(sets.sparkSession)
+    for done in (sizes, met, main, held):
+        drop_saved(done)
+    return sets.sparkSession.read.schema("a long, b long").parquet(*[x._scratch_path for x in found])
 
 
 def _collapsed(docs: DataFrame, width: int) -> DataFrame:
@@ -515,6 +660,12 @@ def candidates(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     return left
 
 
+def _compared(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the documents of clusters that one task joins. sets: cluster, doc, shingles."""
+    near = sets.select("cluster", "doc", "shingles").repartition("cluster").sortWithinPartitions("cluster", "doc")
+    return near.mapInArrow(_compare_clusters(percent), "node long, label long").select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, gather: int = GATHER) -> DataFrame:
     """doc, n, component of every distinct doc. docs: doc (long, not null), text (not null)."""
     spark = docs.sparkSession
@@ -532,18 +683,25 @@ def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     rows = docs.join(listed, "doc").select("doc", "cluster", "large", "text").mapInArrow(_set_rows(width), "cluster long, doc long, shingles binary, large boolean")
     rows = saved(rows, "sets")
     release(spark)
-    small = rows.where("NOT large").select("cluster", "doc", "shingles").repartition("cluster").sortWithinPartitions("cluster", "doc")
-    links = small.mapInArrow(_compare_clusters(percent), "node long, label long").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    large = nodes.where(F.col("size") > gather).select("cluster", "doc", "weight", "units", "size")
-    sets = None
-    if large.limit(1).count():
-        sets = saved(rows.where("large").select("cluster", "doc", "shingles").dropDuplicates(["cluster", "doc"]), "large")
-        links = links.unionAll(_join_large(sets, large, percent))
+    links, scratch = _compared(rows.where("NOT large"), percent), [left, grouped, sizes, rows]
+    if rows.where("large").limit(1).count():
+        sets = saved(rows.where("large").select("doc", "shingles").dropDuplicates(["doc"]), "large")
+        release(spark)
+        finer = _divided(sets, percent).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
+        finer = saved(finer.join(grouped.drop("cluster"), "doc"), "nodes")
+        counts = saved(finer.groupBy("cluster").agg(F.ceil(F.sum("units")).alias("size")), "groups")
+        large = finer.join(counts, "cluster")
+        parted = saved(sets.join(large.select("doc", "cluster", (F.col("size") > gather).alias("large")), "doc"), "sets")
+        drop_saved(sets)
+        release(spark)
+        links, large = links.unionAll(_compared(parted.where("NOT large"), percent)), large.where(F.col("size") > gather)
+        if large.limit(1).count():
+            links = links.unionAll(_join_large(parted.where("large").select("cluster", "doc", "shingles"), large, percent))
+        scratch += [finer, counts, parted]
     labels = components(links.where("a <> b"))
     release(spark)
-    for done in (left, grouped, sizes, rows, sets):
-        if done is not None:
-            drop_saved(done)
+    for done in scratch:
+        drop_saved(done)
     out = classes.join(labels, classes.lead == labels.node, "left").select("doc", "n", F.coalesce("label", "lead").alias("component"))
     return out.groupBy("doc").agg(F.max("n").alias("n"), F.min("component").alias("component"))
 
