@@ -470,6 +470,7 @@ def _tied(percent):
     """A part of the rarest shingles: documents (b) that share one with others of an annulus, and the first (a) of those that hang together."""
 
     def run(table):
+        table = table.sort_by("doc")  # so that the first is the smallest, as it is in most parts, which saves rounds of components
         docs = table.column("doc").to_numpy()
         flat, row = _flat(table, "shingles", _U)
         own = np.searchsorted(_annuli(percent), table.column("n").to_numpy(), side="right")[row]
